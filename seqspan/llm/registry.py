@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
     "op4_simhash": "simhash",
+    "op8_url_filter": "urls",
+    "op9_mix": "mixing",
 }
 
 
