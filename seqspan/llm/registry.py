@@ -8,9 +8,11 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
+    "op2_quality_classifier": "quality",
     "op4_simhash": "simhash",
     "op8_url_filter": "urls",
     "op9_mix": "mixing",
+    "op10_toxicity": "toxicity",
 }
 
 
