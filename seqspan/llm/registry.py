@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
     "op2_quality_classifier": "quality",
+    "op3_quality_rules": "rules",
     "op4_simhash": "simhash",
     "op8_url_filter": "urls",
     "op9_mix": "mixing",
