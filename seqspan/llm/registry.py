@@ -8,9 +8,13 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
+    "op1_line_dedup": "linededup",
     "op2_quality_classifier": "quality",
     "op3_quality_rules": "rules",
     "op4_simhash": "simhash",
+    "op5_lm_score": "lm",
+    "op6_ann": "ann",
+    "op7_pack": "packing",
     "op8_url_filter": "urls",
     "op9_mix": "mixing",
     "op10_toxicity": "toxicity",
