@@ -2,11 +2,15 @@
 
 Fingerprints that differ in at most ``max_bits`` bits agree in at least
 ``blocks - max_bits`` of ``blocks`` bit blocks, so they share one of the keys made of that
-many blocks.  Distinct fingerprints meet per key; a key's group is searched breadth-first
-and reports a spanning forest of its links instead of all pairs.  A group above
+many blocks.  Distinct fingerprints meet per key; a key's group reports its links, or a
+spanning forest of them where they are many, so output stays linear.  A group above
 ``tile_rows`` is cut into tiles (every two chunks of it meet in one), so no task holds more
 than two chunks and no link is lost.
 
+With wide limits chance links would grow with the square of the corpus.  ``check_bits`` then
+asks for a second, independent fingerprint: a link needs at most ``max_bits`` in the first
+and at most ``check_bits`` in both together.
+
 Nulls: a null text is empty; a null id keeps its row and its links, but is never a
 component's id (null if no document of the component has one).  No words: fingerprint zero.
 Repeated rows and equal texts share a fingerprint.  Empty table: empty result.
@@ -24,10 +28,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqspan.llm.common import fresh, spread_join, stored, text_buffers, work_dir
+from seqspan.llm.common import spread_join, stored, text_buffers, work_dir
 from seqspan.llm.components import connected_components
 
-_ONE = np.uint64(1)
 _CHUNK = 1 << 15
 
 
@@ -36,36 +39,40 @@ def _counts(hashes: list[int]) -> np.ndarray:
     return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
-    """The fingerprint of one text: a bit is 1 if it is set in over half the shingle hashes."""
+def fingerprint(text: bytes, width: int = 3, seeds: tuple[int, ...] = (42,)) -> list[int]:
+    """Fingerprints of one text: a bit is 1 if it is set in over half the shingle hashes."""
     words = text.lower().split()  # bytes: only A-Z change, and the six ASCII separators cut
     n = max(1, len(words) - width + 1)
     if not words:
-        return 0
+        return [0] * len(seeds)
     joined = b" ".join(words)
     at = [0]
     for w in words:
         at.append(at[-1] + len(w) + 1)
     hash64, last = xxhash.xxh64_intdigest, min(width, len(words))
-    totals = np.zeros(64, np.int64)
+    totals = np.zeros((len(seeds), 64), np.int64)
     for i in range(0, n, _CHUNK):
         j = min(n, i + _CHUNK)
-        totals += _counts([hash64(joined[a : b - 1], seed) for a, b in zip(at[i:j], at[i + last : j + last], strict=True)])
-    return int(sum(1 << k for k in np.flatnonzero(2 * totals > n).tolist()))
+        shingles = [joined[a : b - 1] for a, b in zip(at[i:j], at[i + last : j + last], strict=True)]
+        for k, seed in enumerate(seeds):
+            totals[k] += _counts([hash64(s, seed) for s in shingles])
+    return [int(sum(1 << k for k in np.flatnonzero(2 * t > n).tolist())) for t in totals]
 
 
-def fingerprints(text: Column, width: int = 3) -> Column:
-    """Fingerprint of each text as a long (the unsigned value's two's complement)."""
+def fingerprints(text: Column, width: int = 3, seeds: tuple[int, ...] = (42,)) -> Column:
+    """Fingerprints of each text as longs (the unsigned values' two's complement)."""
+    names = [f"fp{k or ''}" for k in range(len(seeds))]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in batches:
             data, offs = text_buffers(array)
-            raw = data.tobytes() if len(data) < 1 << 28 else memoryview(data)
-            out = [fingerprint(bytes(raw[a:b]), width) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            yield pa.array(np.array(out, np.uint64).view(np.int64))
+            raw = memoryview(data)
+            out = [fingerprint(bytes(raw[a:b]), width, seeds) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            table = np.array(out, np.uint64).reshape(-1, len(seeds)).view(np.int64)
+            yield pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in table.T], names=names)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, T.LongType())(text)
+    return F.arrow_udf(run, T.StructType([T.StructField(x, T.LongType()) for x in names]))(text)
 
 
 def _block_keys(fp: Column, blocks: int, max_bits: int) -> Column:
@@ -73,106 +80,131 @@ def _block_keys(fp: Column, blocks: int, max_bits: int) -> Column:
     choice's mask, hashed together with the choice's number."""
     edge = [round(64 * k / blocks) for k in range(blocks + 1)]
     masks = [sum(((1 << edge[b + 1]) - (1 << edge[b])) for b in kept) for kept in combinations(range(blocks), blocks - max_bits)]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    return F.array(*[F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)])
-
-
-def forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (member, root) that join exactly what the Hamming links among ``fps`` join."""
-    left, a, b = np.sort(fps), [], []
+    signed = F.array(*[F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long") for m in masks])
+    return F.transform(signed, lambda m: F.xxhash64(m, fp.bitwiseAND(m)))
+
+
+def near_pairs(fps: np.ndarray, max_bits: int, check_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of links among ``fps`` (n, words): all of them, or if they are more than
+    four a row a spanning forest found breadth-first."""
+    n = len(fps)
+
+    def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        first = np.bitwise_count(x[..., 0] ^ y[..., 0])
+        near = first <= max_bits
+        if fps.shape[1] > 1:
+            near &= first.astype(np.int64) + np.bitwise_count(x[..., 1] ^ y[..., 1]) <= check_bits
+        return near
+
+    a, b, many = [], [], 0
+    step = max(1, (1 << 20) // max(1, n))
+    for i in range(0, n - 1, step):
+        near = close(fps[i : i + step, None], fps[None, i:])
+        x, y = np.nonzero(np.triu(near, 1))
+        many += len(x)
+        if many > 4 * n:
+            break
+        a.append(x + i)
+        b.append(y + i)
+    else:
+        none = np.zeros(0, np.int64)
+        return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+    a, b, left = [], [], np.arange(n)
     while len(left) > 1:
-        root, left = left[0], left[1:]
+        root, left = int(left[0]), left[1:]
         queue = [root]
         while queue and len(left):
-            near = np.bitwise_count(left ^ queue.pop()) <= max_bits
+            near = close(fps[left], fps[queue.pop()])
             if near.any():
                 found = left[near]
                 left = left[~near]
-                queue += list(found)
+                queue += found.tolist()
                 a.append(found)
                 b.append(np.full(len(found), root))
-    none = np.zeros(0, np.uint64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+    return np.concatenate(a), np.concatenate(b)
 
 
-def _linked(max_bits: int):
-    """Batches sorted by (key, tile) -> links; the last group waits for the next batch."""
+def _linked(max_bits: int, check_bits: int):
+    """Batches (key, tile, node, fp...) sorted by key and tile -> links; the last group waits
+    for the next batch."""
 
-    def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    def links(keys: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
         edge = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1), [True]]))
-        size = np.diff(edge)
-        two = edge[:-1][size == 2]
-        x, y = fps[two], fps[two + 1]
-        near = np.bitwise_count(x ^ y) <= max_bits
-        a, b = [np.maximum(x, y)[near]], [np.minimum(x, y)[near]]
-        for i in np.flatnonzero(size > 2).tolist():
-            p, q = forest(fps[edge[i] : edge[i + 1]], max_bits)
-            a.append(p)
-            b.append(q)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z).view(np.int64)) for z in (a, b)], names=["a", "b"])
+        fps = rows[:, 1:].view(np.uint64)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(np.diff(edge) > 1).tolist():
+            p, q = near_pairs(fps[edge[i] : edge[i + 1]], max_bits, check_bits)
+            a.append(rows[p + edge[i], 0])
+            b.append(rows[q + edge[i], 0])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (a, b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = [], []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            out = links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            return out
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
-            f = batch.column(2).to_numpy().view(np.uint64)
-            cut = len(k) - 1 - int(np.argmin((k == k[-1]).all(1)[::-1])) if (k[0] != k[-1]).any() else -1
-            if cut >= 0:
-                yield links(np.concatenate([*held_k, k[: cut + 1]]), np.concatenate([*held_f, f[: cut + 1]]))
-                held_k, held_f = [], []
-            elif held_k and (held_k[-1][-1] != k[0]).any():
-                yield links(np.concatenate(held_k), np.concatenate(held_f))
-                held_k, held_f = [], []
-            held_k.append(k[cut + 1 :])
-            held_f.append(f[cut + 1 :])
-        if held_k:
-            yield links(np.concatenate(held_k), np.concatenate(held_f))
+            cols = [c.to_numpy() for c in batch.columns]
+            k, r = np.stack(cols[:2], 1), np.stack(cols[2:], 1)
+            if held and (held[-1][0][-1] != k[0]).any():
+                yield flush()
+            cut = len(k) - int(np.argmin((k == k[-1]).all(1)[::-1])) if (k[0] != k[-1]).any() else 0
+            if cut:
+                held.append((k[:cut], r[:cut]))
+                yield flush()
+            held.append((k[cut:], r[cut:]))
+        if held:
+            yield flush()
 
     return run
 
 
-def fingerprint_links(fps: DataFrame, folder: str, max_bits: int = 3, blocks: int = 6, tile_rows: int = 4096) -> DataFrame:
-    """``fps(fp)`` distinct longs -> ``(a, b)``: links with the same components as all pairs
-    of fingerprints that differ in at most ``max_bits`` bits."""
+def fingerprint_links(fps: DataFrame, folder: str, max_bits: int = 3, blocks: int = 6, check_bits: int = 0, tile_rows: int = 4096) -> DataFrame:
+    """``fps(node, fp[, fp1])`` distinct longs -> ``(a, b)``: links between nodes with the same
+    components as all pairs of fingerprints within the limits."""
     if not 0 <= max_bits < blocks <= 64:
         raise ValueError("0 <= max_bits < blocks <= 64 is needed")
-    keyed = stored(fps.select(F.explode(_block_keys(F.col("fp"), blocks, max_bits)).alias("key"), "fp"), folder, "keyed")
-    shared = stored(keyed.groupBy("key").count().where("count > 1"), folder, "shared")
-    chunks = F.ceil(F.col("count") / tile_rows).cast("int")
-    met = keyed.join(shared, "key").withColumn("chunks", chunks)
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    keyed = fps.select(F.explode(_block_keys(F.col("fp"), blocks, max_bits)).alias("key"), *fps.columns)
+    large = keyed.groupBy("key").count().where(F.col("count") > tile_rows)
+    large = stored(large.select("key", F.ceil(F.col("count") / tile_rows).cast("int").alias("chunks")), folder, "large")
+    met = spread_join(keyed, large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     # a tile is an unordered pair of chunks; with one chunk there is the tile 0 alone
     tiles = F.transform(
         F.sequence(F.lit(0), F.col("chunks") - 1),
         lambda other: (F.least(own, other).cast("long") * F.col("chunks") + F.greatest(own, other)),
     )
-    dealt = met.select("key", F.explode(tiles).alias("tile"), "fp").repartition("key", "tile").sortWithinPartitions("key", "tile")
-    return dealt.mapInArrow(_linked(max_bits), "a long, b long").distinct()
+    dealt = met.withColumn("tile", F.explode(tiles)).select("key", "tile", *fps.columns)
+    dealt = dealt.repartition("key", "tile").sortWithinPartitions("key", "tile")
+    return dealt.mapInArrow(_linked(max_bits, check_bits), "a long, b long").distinct()
 
 
 def near_duplicates(
-    docs: DataFrame, spark: SparkSession | None = None, *, id_col: str = "doc_id", text_col: str = "text",
-    width: int = 3, max_bits: int = 3, blocks: int = 6, tile_rows: int = 4096,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3, blocks: int = 6,
+    check_bits: int = 0, tile_rows: int = 4096,
 ) -> DataFrame:
-    """One row per document: its columns, ``fingerprint`` (hex) and ``component_id`` (the
-    smallest id reachable over links).  Columns of these names in ``docs`` are replaced."""
-    spark = spark or docs.sparkSession
-    folder = work_dir(spark)
-    slim = stored(docs.select(F.col(id_col).cast("long").alias("id"), fingerprints(F.col(text_col), width).alias("fp")), folder, "fp")
-    least = stored(slim.groupBy("fp").agg(F.min("id").alias("least")), folder, "least")
-    links = fingerprint_links(least.select("fp"), folder, max_bits, blocks, tile_rows)
+    """One row per document: its id, ``fingerprint`` (hex) and ``component_id`` (the smallest
+    id reachable over links).  Other columns are not read."""
+    folder = work_dir(docs.sparkSession)
+    print_ = fingerprints(F.col(text_col), width, (42, 43) if check_bits else (42,))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), print_.alias("p")).select("id", "p.*")
+    words = [c for c in slim.columns if c != "id"]
+    slim = stored(slim.withColumn("node", F.xxhash64(*words) if check_bits else F.col("fp")), folder, "fp")
+    least = stored(slim.groupBy("node", *words).agg(F.min("id").alias("least")), folder, "least")
+    links = fingerprint_links(least.select("node", *words), folder, max_bits, blocks, check_bits, tile_rows)
     roots = connected_components(links, folder)
     # a fingerprint without links is its own root
-    labelled = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    labelled = least.join(roots.withColumnRenamed("node", "n"), least.node == F.col("n"), "left")
+    labelled = labelled.select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(labelled.join(smallest, "root").select("fp", "component_id"), folder, "classes")
+    classes = stored(labelled.join(smallest, "root").select("node", "component_id"), folder, "classes")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    if set(docs.columns) == {id_col, text_col} or set(docs.columns) == {id_col}:
-        return spread_join(slim, classes, "fp").select(F.col("id").alias(id_col), hexed, "component_id")
-    rest = fresh(docs, ["fingerprint", "component_id", "fp"]).withColumn("fp", fingerprints(F.col(text_col), width))
-    return spread_join(rest, classes, "fp").withColumn("fingerprint", hexed).drop("fp")
+    return spread_join(slim, classes, "node").select(F.col("id").alias(id_col), hexed, "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
