@@ -29,8 +29,8 @@ SLICE_BYTES = 4 << 20
 _HASH_SPAN = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS = np.cumprod(np.full(_HASH_SPAN, _P, np.uint64))
-_POWERS_INV = np.cumprod(np.full(_HASH_SPAN, _P_INV, np.uint64))
+_POWERS = np.cumprod(np.full(_HASH_SPAN + 1, _P, np.uint64))
+_POWERS_INV = np.cumprod(np.full(_HASH_SPAN + 1, _P_INV, np.uint64))  # an empty span may start at a window's end
 
 
 # ---------------------------------------------------------------- shared folder
