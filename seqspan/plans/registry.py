@@ -1,11 +1,368 @@
-"""Queries of the similarity engine and their DuckDB SQL."""
+"""Queries of the similarity engine over whole tables, and their DuckDB SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from seqspan.config import QueryConfig
+from seqspan.functions import sequences as fn
+from seqspan.operators import hierarchy, inspection, search
+from seqspan.operators.centers import center_edit_calls
+from seqspan.operators.reads import generate_reads
+from seqspan.operators.tables import kept, work_folder
+from seqspan.operators.windows import locations
+from seqspan.plans import corpus
+
+Query = Callable[[SparkSession, str], DataFrame]
+T = corpus.PART_CONFIG.max_tolerance
+
+
+def clean_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ascii_text = F.regexp_replace("text", "[^\\x00-\\x7F]", "")
+    return docs.select("doc_id", fn.clean(ascii_text).alias("bases"))
+
+
+def reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.document_contigs(spark, sf_dir).select("contig_ordinal", fn.reverse_complement(F.col("bases")).alias("reversed"))
+
+
+def contig_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.document_contigs(spark, sf_dir).select("contig_ordinal", "name")
+
+
+def window_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contigs = corpus.contig_windows(corpus.document_contigs(spark, sf_dir), corpus.WINDOW, corpus.STRIDE)
+    return contigs.select("contig_ordinal", "window_count", "first_sequence_id")
+
+
+def window_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.document_windows(spark, sf_dir)
+
+
+def window_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit of 1000 windows is the feature: the last contig is clipped."""
+    contigs = corpus.contig_windows(corpus.document_contigs(spark, sf_dir), corpus.WINDOW, corpus.STRIDE, 1000)
+    return contigs.select("contig_ordinal", "window_count", "first_sequence_id")
+
+
+def location_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contig and start of one id of each contig: its middle window."""
+    contigs = kept(corpus.contig_windows(corpus.document_contigs(spark, sf_dir), corpus.WINDOW, corpus.STRIDE).drop("bases"), work_folder(spark), "contigs")
+    ids = contigs.where("window_count > 0").select((F.col("first_sequence_id") + F.floor(F.col("window_count") / 2)).alias("sequence_id"))
+    return locations(ids, contigs, corpus.STRIDE).select("sequence_id", "contig", "start")
+
+
+def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", fn.clean(F.col("p_name")).alias("a"))
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", fn.clean(F.col("n_name")).alias("b"))
+    return parts.crossJoin(names)  # 25 nations at any scale
+
+
+def distance_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_pairs(spark, sf_dir).select("p_partkey", "n_nationkey", fn.distance(F.col("a"), F.col("b")).alias("distance"))
+
+
+def distance_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_pairs(spark, sf_dir).select("p_partkey", "n_nationkey", fn.bounded_distance(F.col("a"), F.col("b"), 11).alias("distance"))
+
+
+def brute_force_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.brute_force(corpus.part_reads(spark, sf_dir), corpus.part_windows(spark, sf_dir), 2)
+
+
+def both_strand_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.brute_force(corpus.part_reads(spark, sf_dir), corpus.part_windows(spark, sf_dir), 3, True)
+
+
+def segment_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.by_segments(corpus.benchmark_reads(spark, sf_dir), corpus.document_windows(spark, sf_dir), corpus.WINDOW, corpus.TOLERANCE)
+
+
+def hits_tsv_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = index_hits(spark, sf_dir)
+    line = F.concat_ws("\t", *[F.col(c).cast("string") for c in ("query", "contig", "start", "distance", "strand", "sequence_id")])
+    return hits.select(line.alias("line"))
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.part_windows(spark, sf_dir).select(F.lit(0).cast("long").alias("parent"), F.col("sequence_id").alias("id"), F.col("seq").alias("s"))
+
+
+def _centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centers of the root, from the index."""
+    nodes = corpus.part_index(spark, sf_dir).nodes.where("layer = 0")
+    return nodes.select(F.col("parent_id").alias("parent"), "child_ordinal", F.col("center_sequence_id").alias("center_id"), F.col("center_seq").alias("center_s"))
+
+
+def greedy_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.choose_centers(_members(spark, sf_dir), corpus.PART_CONFIG.radii[0], work_folder(spark), "root").select("child_ordinal", "center_id", "center_s")
+
+
+def center_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return center_edit_calls(_members(spark, sf_dir), _centers(spark, sf_dir), corpus.PART_CONFIG.radii[0])
+
+
+def beacon_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.part_index(spark, sf_dir).beacons.where("parent_id = 0").select("beacon_index", "child_ordinal")
+
+
+def beacon_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.part_index(spark, sf_dir).beacon_distances.select("parent_id", "child_ordinal", "beacon_index", "distance")
+
+
+def lower_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangle bound of every read to every large center."""
+    index = corpus.part_index(spark, sf_dir)
+    table = index.beacon_distances.where("parent_id = 0").select("child_ordinal", "beacon_index", "distance")
+    chosen = index.beacons.where("parent_id = 0").select("beacon_index", "child_ordinal").join(_centers(spark, sf_dir), "child_ordinal").select("beacon_index", "center_s")
+    to_beacon = corpus.part_reads(spark, sf_dir).crossJoin(chosen).select("ordinal", "beacon_index", F.levenshtein("seq", "center_s").alias("to_beacon"))
+    return to_beacon.join(table, "beacon_index").groupBy("ordinal", "child_ordinal").agg(fn.triangle_bound(F.col("to_beacon"), F.col("distance")).alias("lower_bound"))
+
+
+def classify_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hierarchy.classify(hierarchy.member_distances(_members(spark, sf_dir), _centers(spark, sf_dir)), T)
+    return found.select("child_ordinal", "id", F.col("d").alias("distance"))
+
+
+def world_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.part_index(spark, sf_dir).nodes.select("node_id", "layer", "member_count", "child_count", "beacon_count")
+
+
+def pruning_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keep = ["build_layer", "center_edit_calls", "beacon_table_edit_calls", "member_beacon_edit_calls", "candidate_edit_calls", "classification_center_pairs", "pruned_center_pairs", "classified_members", "pruning_ratio"]
+    return corpus.part_index(spark, sf_dir).build_stats.select(keep)
+
+
+def route_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = search.strands(corpus.part_reads(spark, sf_dir), True).withColumn("parent", F.lit(0).cast("long"))
+    return search.route_level(asked, corpus.part_index(spark, sf_dir).nodes.where("layer = 0")).select("ordinal", "reverse", F.col("parent").alias("node_id"))
+
+
+def hierarchy_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.part_index(spark, sf_dir).nodes.select("node_id", "layer", "parent_id", "child_ordinal", "center_sequence_id", "center_seq")
+
+
+def leaf_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.part_index(spark, sf_dir).members.select("leaf_id", "member_ordinal", "sequence_id")
+
+
+def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspection.summary(corpus.part_index(spark, sf_dir))
+
+
+def index_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.routed(corpus.part_reads(spark, sf_dir), corpus.part_index(spark, sf_dir), QueryConfig(both_strands=True))
+
+
+def verify_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.verify(corpus.part_reads(spark, sf_dir), corpus.part_index(spark, sf_dir), corpus.part_windows(spark, sf_dir), QueryConfig(both_strands=True), limit=0)
+
+
+def hit_order_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = W.partitionBy("ordinal").orderBy("sequence_id", F.when(F.col("strand") == "+", 0).otherwise(1), "distance")
+    return index_hits(spark, sf_dir).select("ordinal", "sequence_id", "strand", F.row_number().over(order).alias("place"))
+
+
+def query_stats_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = corpus.part_index(spark, sf_dir)
+    return search.query_stats(corpus.part_reads(spark, sf_dir), index, QueryConfig(route="scan")).select("routing_edit_calls", "leaf_members", "exact_verifications", "total_edit_calls")
+
+
+def query_stats_multilateration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.query_stats(corpus.part_reads(spark, sf_dir), corpus.part_index(spark, sf_dir))
+
+
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspection.latency_report(spark.read.parquet(f"{sf_dir}/events.parquet"), "value")
+
+
+def generated_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = corpus.document_windows(spark, sf_dir)
+    return generate_reads(source, window=corpus.WINDOW)
+
+
+def queries() -> dict[str, Query]:
+    named = [
+        clean_sequences, reverse_complement, contig_names, window_ids, window_extract, window_limit, location_lookup, distance_exact,
+        distance_bounded, brute_force_hits, both_strand_hits, segment_hits, hits_tsv_projection, greedy_centers, beacon_ordinals,
+        beacon_table, lower_bounds, classify_members, world_sizes, pruning_stats, route_nearest, hierarchy_nodes, leaf_members,
+        index_summary, index_hits, verify_counts, hit_order_rank, query_stats_scan, query_stats_multilateration, latency_percentiles,
+        generated_reads,
+    ]
+    return {f.__name__: f for f in named} | {"center_edit_calls": center_calls}
+
+
+# ---------------------------------------------------------------- SQL
+
+_FOLD = "translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC')"
+_CONTIGS = f"""
+k AS (SELECT doc_id AS contig_ordinal, 'doc_' || doc_id AS name, {_FOLD} AS bases FROM documents),
+kc AS (SELECT *, CASE WHEN length(bases) >= 50 THEN (length(bases) - 50) // 50 + 1 ELSE 0 END::BIGINT AS n FROM k),
+kw AS (SELECT *, coalesce(sum(n) OVER (ORDER BY contig_ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_id FROM kc),
+dw AS (SELECT first_id + i AS sequence_id, name AS contig, i * 50 AS start, substr(bases, (i * 50 + 1)::BIGINT, 50) AS seq
+       FROM (SELECT *, unnest(range(n)) AS i FROM kw WHERE n > 0))"""
+_CLEAN = "upper(regexp_replace({}, '[ \\t\\n\\x0B\\f\\r]', '', 'g'))"
+_RC = "translate(reverse(upper({})), 'ACGT', 'TGCA')"
+_PARTS = f"""
+w AS MATERIALIZED (SELECT p_partkey AS id, {_CLEAN.format('p_name')} AS s FROM part),
+rd AS MATERIALIZED (SELECT ordinal, 'r' || ordinal AS name, substr(s, 1, pos) || substr(s, pos + 2) AS seq
+  FROM (SELECT min(id) AS ordinal, s, (CASE WHEN length(s) > 0 THEN min(id) % length(s) ELSE 0 END)::BIGINT AS pos FROM w GROUP BY s))"""
+_R, _B = corpus.PART_CONFIG.radii, corpus.PART_CONFIG.beacon_ratios
+
+
+def _level(k: int, members: str) -> str:
+    first = "1" + "".join(f" + (SELECT count(*) FROM c{j})" for j in range(k))
+    return f"""
+d{k} AS MATERIALIZED (SELECT parent, s, min(id) AS id FROM {members} GROUP BY ALL),
+r{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY id) AS rn FROM d{k}),
+g{k}(parent, rn, ids, cs) AS (
+  SELECT parent, rn, [id], [s] FROM r{k} WHERE rn = 1
+  UNION ALL
+  SELECT g.parent, r.rn, CASE WHEN len(list_filter(g.cs, lambda c: levenshtein(c, r.s) <= {_R[k]})) = 0 THEN list_append(g.ids, r.id) ELSE g.ids END,
+         CASE WHEN len(list_filter(g.cs, lambda c: levenshtein(c, r.s) <= {_R[k]})) = 0 THEN list_append(g.cs, r.s) ELSE g.cs END
+  FROM g{k} g JOIN r{k} r ON r.parent = g.parent AND r.rn = g.rn + 1),
+e{k} AS (SELECT parent, arg_max(ids, rn) AS ids, arg_max(cs, rn) AS cs FROM g{k} GROUP BY parent),
+c{k} AS MATERIALIZED (SELECT parent, unnest(ids) AS center_id, unnest(cs) AS center_s, unnest(range(len(ids))) AS child_ordinal FROM e{k}),
+n{k} AS MATERIALIZED (SELECT *, (row_number() OVER (ORDER BY parent, child_ordinal) - 1 + {first})::BIGINT AS node_id FROM c{k}),
+p{k} AS MATERIALIZED (SELECT m.parent, m.id, m.s, n.node_id, n.child_ordinal, n.center_id, levenshtein(m.s, n.center_s) AS d,
+   min(levenshtein(m.s, n.center_s)) OVER (PARTITION BY m.parent, m.id) AS nearest,
+   bool_or(m.id = n.center_id) OVER (PARTITION BY m.parent, m.id) AS is_center FROM {members} m JOIN n{k} n ON m.parent = n.parent),
+m{k + 1} AS MATERIALIZED (SELECT node_id AS parent, id, s, child_ordinal, d FROM p{k}
+   WHERE (is_center AND id = center_id) OR (NOT is_center AND d <= nearest + {2 * T})),
+b{k} AS MATERIALIZED (SELECT parent, i AS beacon_index, (i * n) // k AS child_ordinal FROM (
+   SELECT parent, n, k, unnest(range(k)) AS i FROM (SELECT parent, count(*) AS n, ceil({_B[k]}::DOUBLE * count(*))::BIGINT AS k FROM c{k} GROUP BY parent))),
+t{k} AS MATERIALIZED (SELECT c.parent, c.child_ordinal, b.beacon_index, levenshtein(c.center_s, x.center_s) AS distance
+   FROM c{k} c JOIN b{k} b USING (parent) JOIN c{k} x ON x.parent = b.parent AND x.child_ordinal = b.child_ordinal)"""
+
+
+def _tree(levels: int, select: str) -> str:
+    parts = [_PARTS, "\nm0 AS MATERIALIZED (SELECT 0::BIGINT AS parent, id, s FROM w)"]
+    parts += [_level(k, f"m{k}") for k in range(levels)]
+    return "WITH RECURSIVE " + ",".join(parts) + "\n" + select
+
+
+def _near(tolerance: int, both: bool) -> str:
+    rc = f" UNION ALL SELECT ordinal, name, {_RC.format('seq')}, '-' FROM rd" if both else ""
+    return f"""WITH {_PARTS},
+q AS (SELECT ordinal, name, seq, '+' AS strand FROM rd{rc}),
+x AS (SELECT q.*, u.s, levenshtein(q.seq, u.s)::INTEGER AS distance FROM q, (SELECT DISTINCT s FROM w) u),
+h AS (SELECT ordinal, name AS query, 'part_' || id AS contig, 0::BIGINT AS start, distance, strand, id AS sequence_id FROM x JOIN w USING (s) WHERE distance <= {tolerance})
+"""
+
+
+def _stats_level(k: int) -> str:
+    return f"""SELECT '{("large", "middle", "small")[k]}' AS build_layer,
+ (SELECT sum(calls) FROM (SELECT child_ordinal AS calls FROM c{k} UNION ALL
+    SELECT min(n.child_ordinal) + 1 FROM m{k} m JOIN c{k} n ON m.parent = n.parent AND levenshtein(m.s, n.center_s) <= {_R[k]}
+    WHERE NOT EXISTS (SELECT 1 FROM c{k} z WHERE z.parent = m.parent AND z.center_id = m.id) GROUP BY m.parent, m.id))::BIGINT AS center_edit_calls,
+ (SELECT count(*) FROM t{k}) AS beacon_table_edit_calls, mb AS member_beacon_edit_calls, pairs - mb - pruned AS candidate_edit_calls,
+ pairs AS classification_center_pairs, pruned AS pruned_center_pairs, classified AS classified_members,
+ CASE WHEN pairs = 0 THEN 0.0::DOUBLE ELSE pruned::DOUBLE / pairs END AS pruning_ratio
+FROM (SELECT count(*) AS pairs, count(b.beacon_index) AS mb, count(DISTINCT (p.parent, p.id)) AS classified
+      FROM p{k} p LEFT JOIN b{k} b USING (parent, child_ordinal) WHERE NOT p.is_center),
+     (SELECT count(*) AS pruned FROM (
+        SELECT p.parent, p.id, p.child_ordinal, max(abs(y.d - t.distance)) AS lower, min(y.d) AS upper
+        FROM p{k} p JOIN t{k} t USING (parent, child_ordinal) JOIN b{k} b ON b.parent = p.parent AND b.beacon_index = t.beacon_index
+        JOIN p{k} y ON y.parent = p.parent AND y.id = p.id AND y.child_ordinal = b.child_ordinal
+        WHERE NOT p.is_center AND NOT EXISTS (SELECT 1 FROM b{k} z WHERE z.parent = p.parent AND z.child_ordinal = p.child_ordinal)
+        GROUP BY ALL) WHERE lower > upper + {2 * T})"""
+
+
+def _draw(ordinal: str, salt: int, below: str) -> str:
+    return f"((((({ordinal}) * 1103515245 + {salt * 12345 + 67890}) % 2147483647) * 48271) % 2147483647) % ({below})"
+
+
+def _generated() -> str:
+    """Five edit steps, one CTE each."""
+    steps = ["""s0 AS (SELECT i AS ordinal, i % a AS start, i % 6 AS edits, i % 10 = 9 AS random, d.seq, ''::VARCHAR AS log
+  FROM (SELECT unnest(range(1000)) AS i), (SELECT count(*) AS a FROM dw WHERE sequence_id < 10000) JOIN dw d ON d.sequence_id = i % a)"""]
+    for k in range(5):
+        kind = k % 3
+        at = _draw("ordinal", 2 * k + 1, "length(seq) + 1" if kind == 1 else "greatest(length(seq), 1)")
+        base = _draw("ordinal", 2 * k + 2, "4") if kind == 1 else "(instr('ACGT', substr(seq, pos + 1, 1)) + " + _draw("ordinal", 2 * k + 2, "3") + ") % 4"
+        new = "''" if kind == 2 else f"substr('ACGT', ({base}) + 1, 1)"
+        rest = "pos + 1" if kind == 1 else "pos + 2"
+        steps.append(f"""s{k + 1} AS (SELECT ordinal, start, edits, random,
+  CASE WHEN edits > {k} THEN substr(seq, 1, pos) || {new} || substr(seq, {rest}) ELSE seq END AS seq,
+  CASE WHEN edits > {k} THEN log || ',{'SID'[kind]}' || pos ELSE log END AS log FROM (SELECT *, {at} AS pos FROM s{k}))""")
+    noise = f"(SELECT string_agg(substr('ACGT', ({_draw('ordinal * 1009 + j', 7, '4')}) + 1, 1), '' ORDER BY j) FROM (SELECT unnest(range(50)) AS j))"
+    name = "'q' || ordinal || CASE WHEN random THEN '_random_nohit' ELSE '_source' || start || '_steps' || edits || '_' || CASE WHEN log = '' THEN 'none' ELSE substr(log, 2) END END"
+    return f"WITH {_CONTIGS}, " + ", ".join(steps) + f" SELECT ordinal, {name} AS name, CASE WHEN random THEN {noise} ELSE seq END AS seq FROM s5"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    part_hits = _near(T, True)
+    part_columns = "SELECT ordinal, query, contig, start, distance, strand, sequence_id FROM h"
+    nodes = " UNION ALL ".join(f"SELECT node_id, {k} AS layer, parent AS parent_id, child_ordinal, center_id AS center_sequence_id, center_s AS center_seq FROM n{k}" for k in range(3))
+    beacons = " UNION ALL ".join(f"SELECT parent, beacon_index FROM b{k}" for k in range(3))
+    tables = " UNION ALL ".join(f"SELECT parent AS parent_id, child_ordinal, beacon_index::INTEGER AS beacon_index, distance::INTEGER AS distance FROM t{k}" for k in range(3))
+    metrics = [
+        ("format_version", "2"), ("window", "0"), ("stride", "1"), ("T", str(T)), ("windows", "(SELECT count(*) FROM w)"),
+        *[(f"radius_{k}", str(_R[k])) for k in range(3)], *[(f"worlds_{k}", f"(SELECT count(*) FROM n{k})") for k in range(3)],
+        ("leaf_memberships", "(SELECT count(*) FROM m3)"), ("beacons", f"(SELECT count(*) FROM ({beacons}))"), ("beacon_distances", f"(SELECT count(*) FROM ({tables}))"),
+    ]
+    pairs = f"FROM (SELECT p_partkey, {_CLEAN.format('p_name')} AS a FROM part), (SELECT n_nationkey, {_CLEAN.format('n_name')} AS b FROM nation)"
+    edges = [50 * k // 6 for k in range(7)]
+    cut = " UNION ALL ".join(f"SELECT {k} AS k, {a} AS a, {b - a} AS n" for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
+    item = f"(SELECT item_id, {_FOLD} AS b FROM benchmark)"
+    return {
+        "clean_sequences": "SELECT doc_id, " + _CLEAN.format(r"regexp_replace(text, '[^\x00-\x7F]', '', 'g')") + " AS bases FROM documents",
+        "reverse_complement": f"WITH {_CONTIGS} SELECT contig_ordinal, {_RC.format('bases')} AS reversed FROM k",
+        "contig_names": f"WITH {_CONTIGS} SELECT contig_ordinal, name FROM k",
+        "window_ids": f"WITH {_CONTIGS} SELECT contig_ordinal, n AS window_count, first_id AS first_sequence_id FROM kw",
+        "window_extract": f"WITH {_CONTIGS} SELECT sequence_id, contig, start, seq FROM dw",
+        "window_limit": f"WITH {_CONTIGS} SELECT contig_ordinal, least(n, 1000 - first_id) AS window_count, first_id AS first_sequence_id FROM kw WHERE first_id < 1000",
+        "location_lookup": f"WITH {_CONTIGS} SELECT i.sequence_id, d.contig, d.start FROM (SELECT first_id + n // 2 AS sequence_id FROM kw WHERE n > 0) i JOIN dw d ON d.sequence_id = i.sequence_id",
+        "distance_exact": f"SELECT p_partkey, n_nationkey, levenshtein(a, b)::INTEGER AS distance {pairs}",
+        "distance_bounded": f"SELECT p_partkey, n_nationkey, (CASE WHEN levenshtein(a, b) <= 11 THEN levenshtein(a, b) ELSE -1 END)::INTEGER AS distance {pairs}",
+        "brute_force_hits": _near(2, False) + part_columns,
+        "both_strand_hits": _near(3, True) + part_columns,
+        "segment_hits": f"""WITH {_CONTIGS},
+rb AS (SELECT item_id * 1000 + i AS ordinal, 'b' || item_id || '_' || i AS query, substr(b, (i * 50 + 1)::BIGINT, 50) AS r, (item_id % 50)::BIGINT AS pos
+       FROM (SELECT item_id, b, unnest(range(length(b) // 50)) AS i FROM {item} WHERE length(b) >= 50)),
+q AS (SELECT ordinal, query, substr(r, 1, pos) || substr(r, pos + 2) AS seq FROM rb),
+g AS ({cut}),
+l AS (SELECT DISTINCT d.seq, g.k, substr(d.seq, g.a + 1, g.n) AS x FROM dw d, g),
+s AS (SELECT DISTINCT q.seq, g.k, substr(q.seq, (g.a + v.move + 1)::BIGINT, g.n) AS x FROM q, g, (SELECT unnest(range(-5, 6)) AS move) v
+      WHERE g.a + v.move >= 0 AND g.a + v.move + g.n <= length(q.seq)),
+c AS (SELECT DISTINCT s.seq AS seq, l.seq AS t FROM s JOIN l USING (k, x)),
+f AS (SELECT seq, t, levenshtein(seq, t)::INTEGER AS distance FROM c)
+SELECT q.ordinal, q.query, d.contig, d.start, f.distance, '+' AS strand, d.sequence_id FROM q JOIN f USING (seq) JOIN dw d ON d.seq = f.t WHERE f.distance <= 5""",
+        "hits_tsv_projection": part_hits + "SELECT concat_ws(chr(9), query, contig, start::VARCHAR, distance::VARCHAR, strand, sequence_id::VARCHAR) AS line FROM h",
+        "greedy_centers": _tree(1, "SELECT child_ordinal, center_id, center_s FROM c0"),
+        "center_edit_calls": _tree(1, "SELECT 0::BIGINT AS parent, center_edit_calls AS calls FROM (" + _stats_level(0) + ")"),
+        "beacon_ordinals": _tree(1, "SELECT beacon_index::INTEGER AS beacon_index, child_ordinal FROM b0"),
+        "beacon_table": _tree(3, tables),
+        "lower_bounds": _tree(1, "SELECT r.ordinal, t.child_ordinal, max(abs(levenshtein(r.seq, c.center_s) - t.distance))::INTEGER AS lower_bound FROM rd r, t0 t JOIN b0 b ON b.beacon_index = t.beacon_index JOIN c0 c ON c.child_ordinal = b.child_ordinal GROUP BY ALL"),
+        "classify_members": _tree(1, "SELECT child_ordinal, id, d::INTEGER AS distance FROM m1"),
+        "world_sizes": _tree(3, f"""SELECT x.node_id, x.layer, mc AS member_count, coalesce(cc, 0) AS child_count, coalesce(bc, 0) AS beacon_count FROM (
+  SELECT 0::BIGINT AS node_id, 3 AS layer, (SELECT count(*) FROM w) AS mc UNION ALL
+  SELECT node_id, 0, (SELECT count(*) FROM m1 WHERE m1.parent = node_id) FROM n0 UNION ALL
+  SELECT node_id, 1, (SELECT count(*) FROM m2 WHERE m2.parent = node_id) FROM n1 UNION ALL
+  SELECT node_id, 2, (SELECT count(*) FROM m3 WHERE m3.parent = node_id) FROM n2) x
+  LEFT JOIN (SELECT parent_id, count(*) AS cc FROM ({nodes}) GROUP BY ALL) y ON y.parent_id = x.node_id
+  LEFT JOIN (SELECT parent, count(*) AS bc FROM ({beacons}) GROUP BY ALL) z ON z.parent = x.node_id"""),
+        "pruning_stats": _tree(3, " UNION ALL ".join(_stats_level(k) for k in range(3))),
+        "route_nearest": _tree(1, "SELECT ordinal, reverse, arg_min(node_id, d * 1000000 + node_id) AS node_id FROM (SELECT q.ordinal, q.reverse, n.node_id, levenshtein(q.seq, n.center_s) AS d FROM "
+                               f"(SELECT ordinal, seq, false AS reverse FROM rd UNION ALL SELECT ordinal, {_RC.format('seq')}, true FROM rd) q, n0 n) GROUP BY ALL"),
+        "hierarchy_nodes": _tree(3, "SELECT 0::BIGINT AS node_id, 3 AS layer, NULL::BIGINT AS parent_id, NULL::BIGINT AS child_ordinal, NULL::BIGINT AS center_sequence_id, NULL::VARCHAR AS center_seq UNION ALL " + nodes),
+        "leaf_members": _tree(3, "SELECT parent AS leaf_id, row_number() OVER (PARTITION BY parent ORDER BY id) - 1 AS member_ordinal, id AS sequence_id FROM m3"),
+        "index_summary": _tree(3, " UNION ALL ".join(f"SELECT '{m}' AS metric, ({v})::BIGINT AS value" for m, v in metrics)),
+        "index_hits": part_hits + part_columns,
+        "verify_counts": part_hits + "SELECT count(*) AS expected_hits, count(*) AS observed_hits, 0::BIGINT AS false_negatives, 0::BIGINT AS false_positives FROM h",
+        "hit_order_rank": part_hits + "SELECT ordinal, sequence_id, strand, (row_number() OVER (PARTITION BY ordinal ORDER BY sequence_id, CASE strand WHEN '+' THEN 0 ELSE 1 END, distance))::INTEGER AS place FROM h",
+        "query_stats_scan": _tree(3, """SELECT (e0 + e1 + e2)::BIGINT AS routing_edit_calls, leaf::BIGINT AS leaf_members, leaf::BIGINT AS exact_verifications, (e0 + e1 + e2 + leaf)::BIGINT AS total_edit_calls FROM (
+  SELECT sum((SELECT count(*) FROM n0)) AS e0, sum((SELECT count(*) FROM n1 WHERE n1.parent = a)) AS e1, sum((SELECT count(*) FROM n2 WHERE n2.parent = b)) AS e2, sum((SELECT count(*) FROM m3 WHERE m3.parent = c)) AS leaf FROM (
+  SELECT a, b, (SELECT arg_min(node_id, levenshtein(seq, center_s) * 1000000 + node_id) FROM n2 WHERE n2.parent = b) AS c FROM (
+  SELECT seq, a, (SELECT arg_min(node_id, levenshtein(seq, center_s) * 1000000 + node_id) FROM n1 WHERE n1.parent = a) AS b FROM (
+  SELECT seq, (SELECT arg_min(node_id, levenshtein(seq, center_s) * 1000000 + node_id) FROM n0) AS a FROM rd))))"""),
+        "generated_reads": _generated(),
+        "latency_percentiles": """SELECT count(value) AS queries, avg(value) / 1000 AS mean_latency_us, v[floor(0.5::DOUBLE * (len(v) - 1))::BIGINT + 1] / 1000 AS p50_us,
+ v[floor(0.95::DOUBLE * (len(v) - 1))::BIGINT + 1] / 1000 AS p95_us, v[floor(0.99::DOUBLE * (len(v) - 1))::BIGINT + 1] / 1000 AS p99_us
+FROM events, (SELECT list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL) GROUP BY v""",
+    }
