@@ -13,7 +13,7 @@ def work_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir`` that goes when the application ends; a
     local one is set only where that setting is absent."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="seqspan-")
         sc.setCheckpointDir(base)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from seqspan.operators.search import ordered_hits
 
@@ -17,6 +18,12 @@ def write_tsv(hits: DataFrame, path: str, single_file: bool = True) -> None:
     rows.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "\u0000").csv(path)
 
 
+def write_fasta(reads: DataFrame, path: str) -> None:
+    """``reads(ordinal, name, seq)`` as two-line records in order, one file."""
+    record = F.concat(F.lit(">"), F.col("name"), F.lit("\n"), F.col("seq"))
+    reads.orderBy("ordinal").select(record.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def discard(hits: DataFrame) -> None:
     """Compute everything, keep nothing."""
     hits.write.mode("overwrite").format("noop").save()

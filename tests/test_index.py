@@ -152,7 +152,7 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "r.fa").write_text(">one\nAAAAAACC\n")
     (tmp_path / "q.fa").write_text(">q1\nAAAA\n>q2\nAAC\n")
     (tmp_path / "q.fq").write_text("@q1\nAAAA\n+\nIIII\n@q2\nAAC\n+\nIII\n")
-    at = {k: str(tmp_path / k) for k in ("r.fa", "q.fa", "q.fq", "index", "out")}
+    at = {k: str(tmp_path / k) for k in ("r.fa", "q.fa", "q.fq", "index", "out", "gen")}
     assert main(["build", "--reference", at["r.fa"], "--index", at["index"], "--window", "4", "--T", "1", "--radii", "3,3,3", "--beacon-ratios", ".5,.5,.5", "--threads", "2"], spark) == 0
     capsys.readouterr()
     golden = ["query\tcontig\tstart\tdistance\tstrand\tsequence_id"] + ["q1\tone\t%d\t%d\t+\t%d" % x for x in ((0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 1, 3))] + ["q2\tone\t3\t1\t+\t3", "q2\tone\t4\t1\t+\t4"]
@@ -168,6 +168,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["benchmark", "--index", at["index"], "--queries", at["q.fa"], "--repeat", "2", "--warmup", "1"], spark) == 0
     assert main(["query", "--index", at["index"], "--queries", at["q.fa"], "--tolerance", "2"], spark) == 1
     assert main(["nonsense"], spark) == 0
+    assert main(["generate", "--reference", at["r.fa"], "--output", at["gen"], "--count", "12", "--window", "4"], spark) == 0
+    lines = next((tmp_path / "gen").glob("part-*")).read_text().splitlines()
+    assert len(lines) == 24 and lines[0] == ">q0_source0_steps0_none" and lines[1] == "AAAA" and lines[18] == ">q9_random_nohit"
 
 
 def test_version_is_checked(spark, tmp_path):
