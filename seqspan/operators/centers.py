@@ -79,9 +79,9 @@ def ranked(centers: DataFrame) -> DataFrame:
 def center_edit_calls(members: DataFrame, centers: DataFrame, radius: int) -> DataFrame:
     """``(parent, calls)``: distances the sequential rule computes.  The k-th center is tried
     against k centers, another member against those up to the first within the radius."""
-    pairs = within_parents(members, centers)
-    near = pairs.where(F.levenshtein("s", "center_s", radius) >= 0)
-    others = near.join(centers.select("parent", F.col("center_id").alias("id")), ["parent", "id"], "left_anti")
-    calls = others.groupBy("parent", "id").agg((F.min("child_ordinal") + 1).alias("calls"))
+    own = centers.select("parent", F.col("center_id").alias("id"))
+    texts = members.join(own, ["parent", "id"], "left_anti").groupBy("parent", "s").agg(F.count("*").alias("n"))
+    near = within_parents(texts, centers).where(F.levenshtein("s", "center_s", radius) >= 0)
+    calls = near.groupBy("parent", "s").agg(((F.min("child_ordinal") + 1) * F.first("n")).alias("calls"))
     every = calls.select("parent", "calls").unionByName(centers.select("parent", F.col("child_ordinal").alias("calls")))
     return every.groupBy("parent").agg(F.sum("calls").alias("calls"))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqspan.config import FORMAT_VERSION, LAYERS, BuildConfig
-from seqspan.functions.sequences import beacon_count, beacon_ordinal, pruning_ratio, triangle_bound
+from seqspan.functions.sequences import beacon_count, beacon_ordinal, pruning_ratio
 from seqspan.operators.centers import center_edit_calls, choose_centers
 from seqspan.operators.tables import kept, within_parents, work_folder
 from seqspan.operators.windows import windows
@@ -51,36 +51,55 @@ def beacon_table(centers: DataFrame, beacons: DataFrame) -> DataFrame:
     return pairs.select("parent", "child_ordinal", "beacon_index", F.levenshtein("center_s", "beacon_s").alias("distance"))
 
 
-def member_distances(members: DataFrame, centers: DataFrame) -> DataFrame:
-    """Each member by each center of its parent: adds d, its least d of the parent, and whether
-    the member is a center there."""
-    pairs = within_parents(members, centers).withColumn("d", F.levenshtein("s", "center_s"))
-    own = W.partitionBy("parent", "id")
-    return pairs.withColumn("nearest", F.min("d").over(own)).withColumn("is_center", F.max(F.col("id") == F.col("center_id")).over(own))
-
-
-def classify(distances: DataFrame, max_tolerance: int) -> DataFrame:
-    """A center belongs to its own world only; another member to every world whose center is
-    within 2T of its nearest."""
-    mine = F.col("is_center") & (F.col("id") == F.col("center_id"))
-    return distances.where(mine | (~F.col("is_center") & (F.col("d") <= F.col("nearest") + 2 * max_tolerance)))
-
-
-def pruning_counts(distances: DataFrame, beacons: DataFrame, table: DataFrame, max_tolerance: int) -> DataFrame:
-    """Per parent: pairs, member-beacon, candidate and pruned pairs of members that are no
-    centers.  A center that is no beacon is pruned if the triangle bound exceeds the nearest
-    beacon by more than 2T."""
-    others = distances.where(~F.col("is_center")).select("parent", "id", "child_ordinal", "d")
-    marked = others.join(beacons, ["parent", "child_ordinal"], "left")
-    to_beacon = marked.where(F.col("beacon_index").isNotNull()).select("parent", "id", "beacon_index", F.col("d").alias("to_beacon"))
-    upper = to_beacon.groupBy("parent", "id").agg(F.min("to_beacon").alias("upper"))
-    rest = marked.where(F.col("beacon_index").isNull()).select("parent", "id", "child_ordinal")
-    seen = rest.join(to_beacon, ["parent", "id"]).join(table, ["parent", "child_ordinal", "beacon_index"])
-    lower = seen.groupBy("parent", "id", "child_ordinal").agg(triangle_bound(F.col("to_beacon"), F.col("distance")).alias("lower"))
-    cut = lower.join(upper, ["parent", "id"]).where(F.col("lower") > F.col("upper") + 2 * max_tolerance).groupBy("parent").agg(F.count("*").alias("pruned"))
-    counts = marked.groupBy("parent").agg(F.count("*").alias("pairs"), F.count("beacon_index").alias("member_beacon"), F.countDistinct("id").alias("classified"))
-    out = counts.join(cut, "parent", "left").withColumn("pruned", F.coalesce("pruned", F.lit(0)))
-    return out.withColumn("candidate", F.col("pairs") - F.col("member_beacon") - F.col("pruned"))
+def marked_members(members: DataFrame, centers: DataFrame) -> DataFrame:
+    """Adds is_center: whether the member is a center of this parent."""
+    own = centers.select("parent", F.col("center_id").alias("id"), F.lit(True).alias("own"))
+    return members.join(own, ["parent", "id"], "left").withColumn("is_center", F.coalesce("own", F.lit(False))).drop("own")
+
+
+def text_distances(marked: DataFrame, centers: DataFrame, beacons: DataFrame, table: DataFrame, max_tolerance: int) -> DataFrame:
+    """``(parent, s, others, child_ordinal, d, nearest, beacon)``: distances of each distinct
+    text to the centers of its parent; others counts its members that are no centers.
+
+    Distances to the beacons come first.  Another center is left out if the triangle bound
+    exceeds the nearest beacon by more than 2T: it can neither be nearest nor near enough."""
+    texts = marked.groupBy("parent", "s").agg(F.count_if(~F.col("is_center")).alias("others"))
+    split_ = centers.select("parent", "child_ordinal", "center_s").join(beacons, ["parent", "child_ordinal"], "left")
+    first = within_parents(texts, split_.where("beacon_index is not null")).withColumn("d", F.levenshtein("s", "center_s"))
+    in_order = lambda d: F.transform(F.array_sort(F.collect_list(F.struct("beacon_index", F.col(d).alias("d")))), lambda x: x["d"])
+    seen = first.groupBy("parent", "s").agg(in_order("d").alias("to_beacons"), F.min("d").alias("upper"))
+    known = table.groupBy("parent", "child_ordinal").agg(in_order("distance").alias("from_beacons"))
+    rest = split_.where("beacon_index is null").drop("beacon_index").join(known, ["parent", "child_ordinal"], "left")
+    pairs = within_parents(texts.join(seen, ["parent", "s"], "left"), rest)
+    lower = F.array_max(F.zip_with("to_beacons", "from_beacons", lambda x, y: F.abs(x - y)))
+    pairs = pairs.where(F.coalesce(lower <= F.col("upper") + 2 * max_tolerance, F.lit(True))).withColumn("d", F.levenshtein("s", "center_s"))
+    keep = ["parent", "s", "others", "child_ordinal", "d"]
+    both = first.select(*keep, F.lit(True).alias("beacon")).unionByName(pairs.select(*keep, F.lit(False).alias("beacon")))
+    return both.withColumn("nearest", F.min("d").over(W.partitionBy("parent", "s")))
+
+
+def classify(marked: DataFrame, centers: DataFrame, distances: DataFrame, max_tolerance: int) -> DataFrame:
+    """``(parent, child_ordinal, id, s, d)``: a center belongs to its own world only; another
+    member to every world whose center is within 2T of its nearest."""
+    near = distances.where(F.col("d") <= F.col("nearest") + 2 * max_tolerance).select("parent", "s", "child_ordinal", "d")
+    others = marked.where(~F.col("is_center")).select("parent", "id", "s").join(near, ["parent", "s"])
+    own = centers.select("parent", "child_ordinal", F.col("center_id").alias("id"), F.col("center_s").alias("s"), F.lit(0).alias("d"))
+    return others.select(own.columns).unionByName(own)
+
+
+def pruning_counts(distances: DataFrame, centers: DataFrame) -> DataFrame:
+    """One row: member-by-center pairs of members that are no centers, how many distances were
+    to beacons, to other centers, or saved by pruning."""
+    sizes = centers.groupBy("parent").agg(F.count("*").alias("n"))
+    texts = distances.groupBy("parent", "s").agg(F.first("others").alias("others")).join(sizes, "parent")
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long")
+    whole = texts.agg(zero(F.sum("others")).alias("classified_members"), zero(F.sum(F.col("others") * F.col("n"))).alias("classification_center_pairs"))
+    done = distances.agg(
+        zero(F.sum(F.when(F.col("beacon"), F.col("others")))).alias("member_beacon_edit_calls"),
+        zero(F.sum(F.when(~F.col("beacon"), F.col("others")))).alias("candidate_edit_calls"),
+    )
+    saved = F.col("classification_center_pairs") - F.col("member_beacon_edit_calls") - F.col("candidate_edit_calls")
+    return whole.crossJoin(done).withColumn("pruned_center_pairs", saved)
 
 
 def split(members: DataFrame, radius: int, ratio: float, max_tolerance: int, folder: str, name: str) -> dict[str, DataFrame]:
@@ -91,16 +110,13 @@ def split(members: DataFrame, radius: int, ratio: float, max_tolerance: int, fol
     beacons = kept(beacon_positions(centers, ratio), folder, f"{name}_beacons")
     table = kept(beacon_table(centers, beacons), folder, f"{name}_beacon_distances")
     tabled = time.monotonic()
-    distances = kept(member_distances(members, centers), folder, f"{name}_distances")
-    inside = kept(classify(distances, max_tolerance).select("parent", "child_ordinal", "id", "s"), folder, f"{name}_inside")
+    marked = marked_members(members, centers)
+    distances = kept(text_distances(marked, centers, beacons, table, max_tolerance), folder, f"{name}_distances")
+    inside = kept(classify(marked, centers, distances, max_tolerance).select("parent", "child_ordinal", "id", "s"), folder, f"{name}_inside")
     done = time.monotonic()
-    pruned = pruning_counts(distances, beacons, table, max_tolerance)
     stats = (
         center_edit_calls(members, centers, radius).groupBy().agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("center_edit_calls"))
-        .join(table.groupBy().agg(F.count("*").alias("beacon_table_edit_calls")))
-        .join(pruned.groupBy().agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in (
-            ("member_beacon", "member_beacon_edit_calls"), ("candidate", "candidate_edit_calls"), ("pairs", "classification_center_pairs"),
-            ("pruned", "pruned_center_pairs"), ("classified", "classified_members"))]))
+        .join(table.groupBy().agg(F.count("*").alias("beacon_table_edit_calls"))).join(pruning_counts(distances, centers))
     )
     times = {"center_selection_seconds": chosen - started, "beacon_table_seconds": tabled - chosen, "classification_seconds": done - tabled}
     return {"centers": centers, "beacons": beacons, "table": table, "inside": inside, "stats": stats.withColumns({k: F.lit(v) for k, v in times.items()})}

@@ -125,7 +125,11 @@ def lower_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classify_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hierarchy.classify(hierarchy.member_distances(_members(spark, sf_dir), _centers(spark, sf_dir)), T)
+    index, centers = corpus.part_index(spark, sf_dir), _centers(spark, sf_dir)
+    root = lambda df: df.where("parent_id = 0").withColumnRenamed("parent_id", "parent")
+    marked = hierarchy.marked_members(_members(spark, sf_dir), centers)
+    distances = hierarchy.text_distances(marked, centers, root(index.beacons), root(index.beacon_distances), T)
+    found = hierarchy.classify(marked, centers, kept(distances, work_folder(spark), "distances"), T)
     return found.select("child_ordinal", "id", F.col("d").alias("distance"))
 
 
