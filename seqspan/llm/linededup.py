@@ -190,8 +190,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     with_d = spread_join(with_a, one_each.select(F.col("dk").alias("d"), F.col("hashes").alias("d_h"), "words"), "d")
     cut = with_d.select("d", "a_h", "d_h", "words").mapInArrow(_aligned(min_block_words), "d long, gone array<int>")
     cut = stored(cut.groupBy("d").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("_gone")), folder, "cut")
-    rest = fresh(docs, ["n_lines", "deleted_lines", "_gone", "_dk"]).withColumn("_dk", F.when(F.col(id_col).isNotNull(), key))
-    joined = rest.join(cut.hint("shuffle_hash"), F.col("_dk") == F.col("d"), "left").drop("_dk", "d")
+    rest = fresh(docs, ["n_lines", "deleted_lines", "_gone", "_dk", "_cut", "_text"]).withColumn("_dk", F.when(F.col(id_col).isNotNull(), key))
+    cut = cut.withColumnRenamed("d", "_cut").hint("shuffle_hash")
+    joined = rest.join(cut, F.col("_dk") == F.col("_cut"), "left").drop("_dk", "_cut")
     some = F.col("_gone").isNotNull()
     text = F.when(some, _without(F.when(some, F.col(text_col)), F.col("_gone"))).otherwise(F.col(text_col))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(text_col, F.lit("\n")) + 1)

@@ -114,9 +114,9 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", source_col: str
     folder = work_dir(docs.sparkSession)
     size, h = word_count(F.col(text_col)), unit_hash(F.col(id_col))
     sizes = stored(docs.select(F.col(source_col).alias("source"), size.alias("size"), h.alias("h")), folder, "sizes")
-    cut = thresholds(sizes, folder, weights, max_passes).select(F.col("source").alias("_s"), "passes", "upto")
+    cut = thresholds(sizes, folder, weights, max_passes).select(F.col("source").alias("_s"), F.col("passes").alias("_passes"), F.col("upto").alias("_upto"))
     joined = docs.join(cut, F.col(source_col).eqNullSafe(F.col("_s")))
-    copies = F.when(size > 0, F.col("passes") + (h <= F.col("upto")).cast("long")).otherwise(0)
+    copies = F.when(size > 0, F.col("_passes") + (h <= F.col("_upto")).cast("long")).otherwise(0)
     return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[joined[c] for c in docs.columns])
 
 

@@ -89,7 +89,7 @@ def test_line_dedup_cuts_a_passage_from_later_documents_only(spark):
 
 
 def test_line_dedup_odd_rows(odd, none):
-    out = linededup.dedup_lines(odd.withColumn("n_lines", F.lit("old")).withColumn("h", F.lit(1)), min_block_words=5).collect()
+    out = linededup.dedup_lines(odd.withColumns({k: F.lit("old") for k in ("n_lines", "d", "h", "id", "a")}), min_block_words=5).collect()
     by = [(r.doc_id, r.text, r.n_lines) for r in out]
     assert len(out) == 9 and by.count((1, "a b c d e f g h\nsecond line of text here", 2)) == 2
     assert (7, "", 2) in by and (6, "", 1) in by and (2, None, 0) in by and (None, "no id at all", 1) in by and (4, " \n\t ", 2) in by
@@ -352,7 +352,7 @@ def test_mix_matches_its_sql(spark, docs, odd, tmp_path):
         out = mixing.op9_mix(spark, str(path))
         assert in_spark(out) == in_duckdb(mixing.ORACLE_SQL, documents=df)
         got = mixing.mix(df).collect()
-        copies = Counter(r.doc_id for r in mixing.mixed_documents(df).collect())
+        copies = Counter(r.doc_id for r in mixing.mixed_documents(df.withColumns({k: F.lit(1) for k in ("passes", "upto", "size", "h")})).collect())
         assert +copies == +Counter({r: n for r, n in _copies(got).items()})
         by = {}
         for r in got:
