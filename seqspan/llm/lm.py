@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from seqspan.llm.common import LOWER, crc_remainder, mix, pair_hash, row_sums, span_hashes, spread_join, stored, text_slices, words_of, work_dir
 
-RATIO = 1.2
+RATIO = 1.3
 _END = np.uint64(0x656E64)  # the end token, and the context before a first word
 _FLUSH_TOKENS = 5_000_000
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -185,7 +185,8 @@ def _segment(seg: int, rows: list[tuple[int, int, bytes]]) -> Iterator[tuple]:
         bi, often = _merged([lo.astype(np.uint64) | hi.astype(np.uint64) << np.uint64(32) for lo, hi, _ in grams], [c for *_, c in grams])
         bi, often = bi[often > 1], often[often > 1]
     levels = np.searchsorted(_UNI, many, "right"), np.searchsorted(_BI, often, "right")
-    entries = float(levels[0].sum() + levels[1].sum())
+    # an entry counts as one on the first level, as half a one above it
+    entries = float(sum(np.minimum(x, 1).sum() + np.maximum(x - 1.0, 0).sum() / 2 for x in levels))
     kept = pickle.dumps((uni, levels[0].astype(np.uint8), bi, levels[1].astype(np.uint8)), 5)
     yield seg, 4, 0, kept, float(many.sum()), float(len(uni)), entries
     for kind, p, x in rows:
@@ -235,24 +236,33 @@ def _base_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- the filter
 
 
-def _places(h: np.ndarray, salt: int, level: int, probe: int, bits: int) -> np.ndarray:
-    """Bit of a region for one probe of one level."""
+def _level_hash(h: np.ndarray, salt: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and odd step of a level's probes."""
     x = mix(h + np.uint64((salt + level * 0x9E3779B1) * 0xD1B54A32D192ED03 % (1 << 64)))
-    y = (x >> np.uint64(32)) | np.uint64(1)
+    return x, (x >> np.uint64(32)) | np.uint64(1)
+
+
+def _place(x: np.ndarray, y: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    """Bit of a region for one probe of a level."""
     return ((x + np.uint64(probe) * y) & np.uint64(0xFFFFFFFF)) * np.uint64(bits) >> np.uint64(32)
 
 
+def probes_of(level: int, probes: int) -> int:
+    """The first level settles membership; a higher one only refines the count."""
+    return probes if level == 1 else max(1, probes // 2)
+
+
 def _fill(bits: int, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for seg, x in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for seg, payload in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 region = np.zeros(bits, bool)
-                uni, u, bi, b = pickle.loads(x)
+                uni, u, bi, b = pickle.loads(payload)
                 for h, top, salt in ((uni & _LOW48, u, 1), (bi, b, 2)):
                     for level in range(1, int(top.max(initial=0)) + 1):
-                        own = h[top >= level]
-                        for k in range(probes):
-                            region[_places(own, salt, level, k, bits)] = True
+                        x, y = _level_hash(h[top >= level], salt, level)
+                        for k in range(probes_of(level, probes)):
+                            region[_place(x, y, k, bits)] = True
                 yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([np.packbits(region, bitorder="little").tobytes()], pa.binary())], names=["seg", "bits"])
 
     return run
@@ -272,9 +282,13 @@ class LogFrequencyFilter:
         region = (h >> np.uint64(shift)).astype(np.int64) * self.bits if self.segments > 1 else np.zeros(len(h), np.int64)
         low, alive = h & _LOW48, np.arange(len(h))
         for level in range(1, most + 1):
-            for k in range(self.probes):
-                at = region[alive] + _places(low[alive], salt, level, k, self.bits).astype(np.int64)
-                alive = alive[(self.regions[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
+            x, y = _level_hash(low[alive], salt, level)
+            here = region[alive]
+            for k in range(probes_of(level, self.probes)):
+                at = here + _place(x, y, k, self.bits).astype(np.int64)
+                hit = (self.regions[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+                if not hit.all():
+                    alive, x, y, here = alive[hit], x[hit], y[hit], here[hit]
             if not len(alive):
                 break
             out[alive] = level
