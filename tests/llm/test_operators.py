@@ -245,8 +245,9 @@ def test_lm_distribution(spark):
     seen = C(w for _, t, *_ in texts for w in words(t))
     _, _, data, offs = next(text_slices(pa.array(vocabulary)))
     levels = model.levels(lm.tokens_of(data, offs)[0][::2], 1, 60)
-    for w, level in zip(vocabulary, levels, strict=True):
-        assert lm._UNI[level - 1] <= seen[w] < lm._UNI[level]  # a sparse filter: no false level here
+    right = np.searchsorted(lm._UNI, [seen[w] for w in vocabulary], "right")
+    assert (levels >= right).all()  # never too low
+    assert (levels == right).mean() > 0.8 and (levels - right).max() <= 2  # five probes err one time in 32
 
 
 # ---------------------------------------------------------------- 6
