@@ -200,9 +200,9 @@ def near_duplicates(
     roots = connected_components(links, folder)
     # a fingerprint without links is its own root
     labelled = least.join(roots.withColumnRenamed("node", "n"), least.node == F.col("n"), "left")
-    labelled = labelled.select("node", "least", F.coalesce("root", "node").alias("root"))
+    labelled = stored(labelled.select("node", "least", F.coalesce("root", "node").alias("root")), folder, "labelled")
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(labelled.join(smallest, "root").select("node", "component_id"), folder, "classes")
+    classes = stored(spread_join(labelled, smallest, "root").select("node", "component_id"), folder, "classes")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return spread_join(slim, classes, "node").select(F.col("id").alias(id_col), hexed, "component_id")
 
