@@ -23,6 +23,7 @@ are log10(0.1 / 0.1) = 0 a token.  Empty table: empty result.  Other columns are
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ from seqspan.llm.common import LOWER, crc_remainder, mix, pair_hash, row_sums, s
 
 RATIO = 1.3
 _END = np.uint64(0x656E64)  # the end token, and the context before a first word
-_FLUSH_TOKENS = 5_000_000
+_FLUSH_TOKENS = 1_000_000
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -75,6 +76,13 @@ _UNI, _BI = level_starts(1), level_starts(2)
 # ---------------------------------------------------------------- counting
 
 
+def _give_back() -> None:
+    """Hand freed memory back to the system: workers live on and keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if (libc := ctypes.CDLL(None)) and hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
@@ -135,6 +143,8 @@ def _count(segments: int):
             flushed, held, size = flushed + 1, [], 0
             for row in _packed(*joined, segments, p):
                 yield _batch([(*row, 0.0, 0.0, 0.0)])
+            del joined
+            _give_back()
 
         for batch in batches:
             keys, train = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
@@ -158,9 +168,9 @@ def _merged(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
     return h[first], np.add.reduceat(c, first) if len(first) else c
 
 
-def _segment(seg: int, rows: list[tuple[int, int, bytes]]) -> Iterator[tuple]:
+def _segment(seg: int, rows: list[tuple[int, int, object]]) -> Iterator[tuple]:
     """All rows of one segment -> partial base sums of each chunk, and the kept counts."""
-    posts = [(p, pickle.loads(x)) for kind, p, x in rows if kind == 0]
+    posts = [(p, x) for kind, p, x in rows if kind == 0]
     uni, many = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if posts:
         own = []
@@ -179,7 +189,7 @@ def _segment(seg: int, rows: list[tuple[int, int, bytes]]) -> Iterator[tuple]:
             sums = np.bincount(d, tf * np.repeat(np.log10(c + 0.1), runs), docs)
             known = np.bincount(d, tf * np.repeat(c > 0, runs), docs).astype(np.int64)
             yield seg, 5, p, pickle.dumps((sums, _small(known)), 5), 0.0, 0.0, 0.0
-    grams = [pickle.loads(x) for kind, _, x in rows if kind == 1]
+    grams = [x for kind, _, x in rows if kind == 1]
     bi, often = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if grams:
         bi, often = _merged([lo.astype(np.uint64) | hi.astype(np.uint64) << np.uint64(32) for lo, hi, _ in grams], [c for *_, c in grams])
@@ -196,17 +206,24 @@ def _segment(seg: int, rows: list[tuple[int, int, bytes]]) -> Iterator[tuple]:
 
 def _sum_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, rows = None, []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        for r in _segment(now, rows):
+            yield _batch([r])
+        rows.clear()
+        _give_back()
+
     for batch in batches:
-        for seg, kind, p, x in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for k in range(batch.num_rows):
+            seg, kind, p = (batch.column(c)[k].as_py() for c in range(3))
             if seg != now and rows:
-                for r in _segment(now, rows):
-                    yield _batch([r])
-                rows = []
+                yield from done()
             now = seg
-            rows.append((kind, p, x))
+            payload = batch.column(3)[k]
+            # keys pass through as they are, the rest is unpacked without a copy of its bytes
+            rows.append((kind, p, payload.as_py() if kind == 2 else pickle.loads(payload.as_buffer())))
     if rows:
-        for r in _segment(now, rows):
-            yield _batch([r])
+        yield from done()
 
 
 def _base_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +354,7 @@ def train(docs: DataFrame, *, text_col: str = "text", train_col: str = "train",
     folder = work_dir(spark)
     source = docs.select("dk", F.col(train_col).alias("train"), F.col(text_col).alias("text"))
     parts = source.rdd.getNumPartitions()
-    segments = 1 << max(2, (max(1, parts // 2) - 1).bit_length())  # about two input splits each
+    segments = 1 << max(2, (max(1, parts) - 1).bit_length())  # at most an input split each
     dealt = source.mapInArrow(_count(segments), _ROWS).repartition(segments, "seg").sortWithinPartitions("seg")
     summed = stored(dealt.mapInArrow(_sum_segments, _ROWS), folder, "segments")
     total = summed.where("kind = 4").agg(F.sum("n"), F.sum("v"), F.sum("e"), F.max("e")).first()
@@ -352,8 +369,8 @@ def train(docs: DataFrame, *, text_col: str = "text", train_col: str = "train",
     model = LogFrequencyFilter(segments, bits, made, regions, n, v)
     base = summed.where("kind in (2, 5)").repartition(max(1, parts), "p").sortWithinPartitions("p").mapInArrow(_base_rows, "dk long, base double, known long")
     base = stored(base.groupBy("dk").agg(F.max("base").alias("base"), F.max("known").alias("known")), folder, "base")
-    # shares from training texts of the smallest keys: at most sample_texts of 256 KB
-    few = source.where("train").where(F.octet_length(F.coalesce("text", F.lit(""))) <= 1 << 18).select("dk", "text").orderBy("dk").limit(sample_texts).toArrow()
+    # shares from training texts of the smallest keys: at most sample_texts of 8 KB
+    few = source.where("train").where(F.octet_length(F.coalesce("text", F.lit(""))) <= 1 << 13).select("dk", "text").orderBy("dk").limit(sample_texts).toArrow()
     texts = pa.array(few.column("text").to_pylist(), pa.string())
     for _, _, data, offs in text_slices(texts, 1 << 28):
         model.fit_shares(*tokens_of(data, offs))
@@ -375,11 +392,12 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in batches:
             n, s = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for _, _, data, offs in text_slices(array):
+            for _, _, data, offs in text_slices(array, 1 << 21):
                 tokens, counts = tokens_of(data, offs)
                 n.append(counts)
                 s.append(sent.value.score(tokens, counts))
             yield pa.StructArray.from_arrays([pa.array(np.concatenate(n)), pa.array(np.concatenate(s))], names=["n_tokens", "score"])
+            _give_back()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     slim = keyed.select("_id", "dk", "train", F.arrow_udf(run, SCORES)(F.col("text")).alias("r")).select("_id", "dk", "train", "r.*")
