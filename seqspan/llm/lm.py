@@ -7,15 +7,16 @@ into that segment's region of one filter: a count on level j enters levels 1 to
 lookup probes rising levels until one is missing.  Levels grow by ``RATIO``.  Bigrams seen
 once are not kept (the usual cutoff, the same at every size).
 
+A region takes ``probes / ln 2`` bits an entry at every size, so the filter grows with its
+entries and its error rate does not.  It is never brought together: a segment looks up the
+n-grams of all chunks of texts in its own region and sends back their levels, a byte each,
+and a chunk's levels meet its tokens again in one task.
+
 The model interpolates: p(w|h) = s * c(hw) / c(h) + (1 - s) * p(w), all counts read from the
 filter, c(h) rounded up and the others down so that no distribution sums to more than 1
 (false positives aside).  s depends on the level of c(h); it is set by expectation
 maximisation on a bounded sample of training texts, their own occurrence left out.
 
-The filter takes ``probes / ln 2`` bits an entry up to ``max_filter_bytes``, so what is
-broadcast is bounded; beyond that bound fewer probes an entry are made (more false
-positives), no n-gram is dropped.
-
 Nulls: a null text is empty (one token, the end); a null id counts as the empty id text.
 Repeated rows are training text as often as they stand.  No training text: base and score
 are log10(0.1 / 0.1) = 0 a token.  Empty table: empty result.  Other columns are not read.
@@ -32,7 +33,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from seqspan.llm.common import LOWER, crc_remainder, mix, pair_hash, row_sums, span_hashes, spread_join, stored, text_slices, words_of, work_dir
 
@@ -98,6 +98,9 @@ def _packed(tokens: np.ndarray, counts: np.ndarray, train: np.ndarray, keys: np.
     doc = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)
     order = np.argsort(tokens, kind="stable")
     h, d = tokens[order], doc[order]
+    first = _runs(h)
+    kinds, word = h[first], np.empty(len(h), np.uint32)
+    word[order] = np.repeat(np.arange(len(first), dtype=np.uint32), np.diff(np.concatenate([first, [len(h)]])))
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
     post = np.flatnonzero(new)
@@ -110,11 +113,12 @@ def _packed(tokens: np.ndarray, counts: np.ndarray, train: np.ndarray, keys: np.
             first = _runs(h[a:b])
             runs = np.diff(np.concatenate([first, [b - a]]))
             yield s, 0, p, pickle.dumps((h[a:b][first], _small(runs), _small(d[a:b]), _small(tf[a:b]), np.packbits(train), len(counts)), 5)
-    yield p % segments, 2, p, pickle.dumps((keys,), 5)
-    at = np.repeat(train, counts)
-    g = np.sort(pair_hash(contexts_of(tokens, counts)[at], tokens[at]))
+    yield p % segments, 2, p, pickle.dumps((keys, _small(counts), train, kinds, _small(word)), 5)
+    g = pair_hash(contexts_of(tokens, counts), tokens)
+    order = np.argsort(g, kind="stable")
+    g = g[order]
     first = _runs(g)
-    n, g = np.diff(np.concatenate([first, [len(g)]])), g[first]
+    n, g = np.add.reduceat(np.repeat(train, counts)[order].astype(np.int64), first) if len(first) else first, g[first]
     edge = np.searchsorted(seg_of(g), np.arange(segments + 1))
     for s in range(segments):
         a, b = edge[s], edge[s + 1]
@@ -168,8 +172,8 @@ def _merged(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
     return h[first], np.add.reduceat(c, first) if len(first) else c
 
 
-def _segment(seg: int, rows: list[tuple[int, int, object]]) -> Iterator[tuple]:
-    """All rows of one segment -> partial base sums of each chunk, and the kept counts."""
+def _segment(seg: int, rows: list[tuple[int, int, object]], probes: int) -> Iterator[tuple]:
+    """All rows of one segment -> partial base sums and levels of each chunk, and the region."""
     posts = [(p, x) for kind, p, x in rows if kind == 0]
     uni, many = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if posts:
@@ -179,75 +183,100 @@ def _segment(seg: int, rows: list[tuple[int, int, object]]) -> Iterator[tuple]:
             first = np.concatenate([[0], np.cumsum(runs.astype(np.int64))])[:-1]
             own.append(np.add.reduceat(tf.astype(np.int64) * train[d], first))
         uni, many = _merged([x[1][0] for x in posts], own)
-        uni, many = uni[many > 0], many[many > 0]
         for p, (h, runs, d, tf, _, docs) in posts:
-            c = np.zeros(len(h))
-            if len(uni):
-                at = np.minimum(np.searchsorted(uni, h), len(uni) - 1)
-                c = np.where(uni[at] == h, many[at], 0).astype(float)
+            c = many[np.searchsorted(uni, h)].astype(float)
             runs, tf = runs.astype(np.int64), tf.astype(np.float64)
             sums = np.bincount(d, tf * np.repeat(np.log10(c + 0.1), runs), docs)
             known = np.bincount(d, tf * np.repeat(c > 0, runs), docs).astype(np.int64)
             yield seg, 5, p, pickle.dumps((sums, _small(known)), 5), 0.0, 0.0, 0.0
-    grams = [x for kind, _, x in rows if kind == 1]
+    grams = [(p, x[0].astype(np.uint64) | x[1].astype(np.uint64) << np.uint64(32), x[2]) for kind, p, x in rows if kind == 1]
     bi, often = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if grams:
-        bi, often = _merged([lo.astype(np.uint64) | hi.astype(np.uint64) << np.uint64(32) for lo, hi, _ in grams], [c for *_, c in grams])
-        bi, often = bi[often > 1], often[often > 1]
-    levels = np.searchsorted(_UNI, many, "right"), np.searchsorted(_BI, often, "right")
-    # an entry counts as one on the first level, as half a one above it
-    entries = float(sum(np.minimum(x, 1).sum() + np.maximum(x - 1.0, 0).sum() / 2 for x in levels))
-    kept = pickle.dumps((uni, levels[0].astype(np.uint8), bi, levels[1].astype(np.uint8)), 5)
-    yield seg, 4, 0, kept, float(many.sum()), float(len(uni)), entries
-    for kind, p, x in rows:
-        if kind == 2:
-            yield seg, 2, p, x, 0.0, 0.0, 0.0
-
-
-def _sum_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    now, rows = None, []
+        bi, often = _merged([h for _, h, _ in grams], [c for *_, c in grams])
+    u, b = np.searchsorted(_UNI, many, "right"), np.searchsorted(_BI, often, "right")
+    # a level's entry weighs as its probes do
+    entries = float(sum(np.minimum(x, 1).sum() + np.maximum(x - 1, 0).sum() * probes_of(2, probes) / probes for x in (u, b)))
+    bits = max(1024, -(-int(entries * probes / np.log(2)) // 8) * 8)
+    region = filled(bits, probes, (uni[u > 0] & _LOW48, u[u > 0], 1), (bi[b > 0], b[b > 0], 2))
+    yield seg, 4, 0, np.packbits(region, bitorder="little").tobytes(), float(many.sum()), float((many > 0).sum()), entries
+    for kind, every, salt, low, asked in ((6, uni, 1, uni & _LOW48, [(p, x[0]) for p, x in posts]), (7, bi, 2, bi, [(p, h) for p, h, _ in grams])):
+        found = probed(region, low, salt, len(_UNI) - 1, probes).astype(np.uint8)
+        for p, h in asked:
+            yield seg, kind, p, found[np.searchsorted(every, h)].tobytes(), 0.0, 0.0, 0.0
+
+
+def _sum_segments(probes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
 
-    def done() -> Iterator[pa.RecordBatch]:
-        for r in _segment(now, rows):
-            yield _batch([r])
-        rows.clear()
-        _give_back()
+        def done() -> Iterator[pa.RecordBatch]:
+            for r in _segment(now, rows, probes):
+                yield _batch([r])
+            rows.clear()
+            _give_back()
 
-    for batch in batches:
-        for k in range(batch.num_rows):
-            seg, kind, p = (batch.column(c)[k].as_py() for c in range(3))
-            if seg != now and rows:
-                yield from done()
-            now = seg
-            payload = batch.column(3)[k]
-            # keys pass through as they are, the rest is unpacked without a copy of its bytes
-            rows.append((kind, p, payload.as_py() if kind == 2 else pickle.loads(payload.as_buffer())))
-    if rows:
-        yield from done()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                seg, kind, p = (batch.column(c)[k].as_py() for c in range(3))
+                payload = batch.column(3)[k]
+                if kind == 2:  # texts pass through as they are
+                    yield _batch([(seg, kind, p, payload.as_py(), 0.0, 0.0, 0.0)])
+                    continue
+                if seg != now and rows:
+                    yield from done()
+                now = seg
+                # unpacked without a copy of its bytes
+                rows.append((kind, p, pickle.loads(payload.as_buffer())))
+        if rows:
+            yield from done()
 
+    return run
 
-def _base_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kinds 2 and 5, sorted by chunk -> (dk, base, known) of each of its texts."""
-    def done(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        keys = next(pickle.loads(x)[0] for kind, x in rows if kind == 2)
-        base, known = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
-        for kind, x in rows:
-            if kind == 5:
-                a, b = pickle.loads(x)
-                base += a
-                known += b
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(base), pa.array(known)], names=["dk", "base", "known"])
 
+def _met(rows: list[tuple[int, object]]) -> bytes:
+    """Rows (kind, payload) of one chunk in order of segments -> its texts' keys, token counts,
+    base sums, known tokens, distinct codes of levels, and the code's number of each token."""
+    keys, counts, train, kinds, word = next(pickle.loads(x.as_buffer()) for kind, x in rows if kind == 2)
+    counts = counts.astype(np.int64)
+    base, known = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+    for kind, x in rows:
+        if kind == 5:
+            a, b = pickle.loads(x.as_buffer())
+            base += a
+            known += b
+    # segments are ranges of hashes, so their levels follow each other in order of the hashes
+    u, b = (np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for kind, x in rows if kind == k]).astype(np.uint32) for k in (6, 7))
+    context = np.empty_like(word)
+    context[1:] = word[:-1]
+    context[np.cumsum(counts) - counts] = np.searchsorted(kinds, mix(np.array([_END]))[0])
+    g = pair_hash(kinds[context], kinds[word])
+    order = np.argsort(g, kind="stable")
+    first = _runs(g[order])
+    both = np.empty(len(g), np.uint32)
+    both[order] = np.repeat(b, np.diff(np.concatenate([first, [len(g)]])))
+    codes, at = np.unique(u[context] << np.uint32(16) | both << np.uint32(8) | u[word], return_inverse=True)
+    return pickle.dumps((keys, counts, train, base, known, codes, _small(at)), 5)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of kinds 2, 5, 6, 7 sorted by chunk and segment -> one row a chunk."""
     now, rows = None, []
+
+    def done() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([_met(rows)], pa.binary())], names=["payload"])
+        rows.clear()
+        _give_back()
+        return out
+
     for batch in batches:
-        for kind, p, x in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+        kinds, ps, payload = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+        for k, (kind, p) in enumerate(zip(kinds, ps, strict=True)):
             if p != now and rows:
-                yield done(rows)
-                rows = []
+                yield done()
             now = p
-            rows.append((kind, x))
+            rows.append((kind, payload[k]))
     if rows:
-        yield done(rows)
+        yield done()
 
 
 # ---------------------------------------------------------------- the filter
@@ -269,72 +298,69 @@ def probes_of(level: int, probes: int) -> int:
     return probes if level == 1 else max(1, probes // 2)
 
 
-def _fill(bits: int, probes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for seg, payload in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                region = np.zeros(bits, bool)
-                uni, u, bi, b = pickle.loads(payload)
-                for h, top, salt in ((uni & _LOW48, u, 1), (bi, b, 2)):
-                    for level in range(1, int(top.max(initial=0)) + 1):
-                        x, y = _level_hash(h[top >= level], salt, level)
-                        for k in range(probes_of(level, probes)):
-                            region[_place(x, y, k, bits)] = True
-                yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([np.packbits(region, bitorder="little").tobytes()], pa.binary())], names=["seg", "bits"])
-
-    return run
+def filled(bits: int, probes: int, *entries: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    """A region with the entries (hashes, levels, salt)."""
+    region = np.zeros(bits, bool)
+    for h, top, salt in entries:
+        for level in range(1, int(top.max(initial=0)) + 1):
+            h, top = h[top >= level], top[top >= level]
+            x, y = _level_hash(h, salt, level)
+            for k in range(probes_of(level, probes)):
+                region[_place(x, y, k, bits)] = True
+    return region
+
+
+def probed(region: np.ndarray, h: np.ndarray, salt: int, most: int, probes: int) -> np.ndarray:
+    """The highest level up to which all are found: 0 if not even the first."""
+    out = np.zeros(len(h), np.int64)
+    alive = np.arange(len(h))
+    for level in range(1, most + 1):
+        x, y = _level_hash(h[alive], salt, level)
+        for k in range(probes_of(level, probes)):
+            hit = region[_place(x, y, k, len(region))]
+            if not hit.all():
+                alive, x, y = alive[hit], x[hit], y[hit]
+        if not len(alive):
+            break
+        out[alive] = level
+    return out
+
+
+def parts_of(codes: np.ndarray, n: float, v: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each code of levels (context << 16 | bigram << 8 | word): p(w), c(hw) rounded down,
+    c(h) rounded up, level of c(h)."""
+    context, both, each = (codes >> 16).astype(np.int64), (codes >> 8 & 255).astype(np.int64), (codes & 255).astype(np.int64)
+    p = (np.concatenate([[0.0], _UNI])[each] + 0.1) / (n + 0.1 * (v + 1))
+    up = np.concatenate([[1.0], np.maximum(_UNI[1:] - 1, 1), [_UNI[-1]]])[context]
+    # no bigram is more frequent than its words
+    both = np.where((each > 0) & (context > 0), np.concatenate([[0.0], _BI])[both], 0.0)
+    return p, np.minimum(both, up), up, context
 
 
 class LogFrequencyFilter:
-    """Quantised counts by repeated membership probes."""
+    """Quantised counts by repeated membership probes.  ``regions(seg, payload)`` holds the
+    packed bits of each segment; only ``levels``, asked on the driver, reads them from there."""
 
-    def __init__(self, segments: int, bits: int, probes: int, regions: np.ndarray, n: float, v: float):
-        self.segments, self.bits, self.probes, self.regions, self.n, self.v = segments, bits, probes, regions, n, v
+    def __init__(self, segments: int, probes: int, regions: DataFrame, n: float, v: float):
+        self.segments, self.probes, self.regions, self.n, self.v = segments, probes, regions, n, v
         self.shares = np.full(len(_UNI) + 1, 0.3)  # s by level of the context's count
 
     def levels(self, h: np.ndarray, salt: int, most: int) -> np.ndarray:
-        """The highest level up to which all are found: 0 if not even the first."""
         out = np.zeros(len(h), np.int64)
-        shift = 64 - (self.segments.bit_length() - 1)
-        region = (h >> np.uint64(shift)).astype(np.int64) * self.bits if self.segments > 1 else np.zeros(len(h), np.int64)
-        low, alive = h & _LOW48, np.arange(len(h))
-        for level in range(1, most + 1):
-            x, y = _level_hash(low[alive], salt, level)
-            here = region[alive]
-            for k in range(probes_of(level, self.probes)):
-                at = here + _place(x, y, k, self.bits).astype(np.int64)
-                hit = (self.regions[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-                if not hit.all():
-                    alive, x, y, here = alive[hit], x[hit], y[hit], here[hit]
-            if not len(alive):
-                break
-            out[alive] = level
+        shift = np.uint64(64 - (self.segments.bit_length() - 1))
+        seg = (h >> shift).astype(np.int64) if self.segments > 1 else np.zeros(len(h), np.int64)
+        for s, bits in self.regions.where(F.col("seg").isin(np.unique(seg).tolist())).toLocalIterator():
+            mine = np.flatnonzero(seg == s)
+            region = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").view(bool)
+            out[mine] = probed(region, h[mine] & _LOW48, salt, most, self.probes)
         return out
 
     def parts(self, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each token: p(w), c(hw) rounded down, c(h) rounded up, level of c(h)."""
-        order = np.argsort(tokens, kind="stable")
-        first = _runs(tokens[order])
-        each = np.empty(len(tokens), np.int64)
-        each[order] = np.repeat(self.levels(tokens[order][first], 1, len(_UNI) - 1), np.diff(np.concatenate([first, [len(tokens)]])))
-        down = np.concatenate([[0.0], _UNI])
-        p = (down[each] + 0.1) / (self.n + 0.1 * (self.v + 1))
-        context = contexts_of(each.astype(np.uint64), counts).astype(np.int64)
-        head = np.cumsum(counts) - counts
-        end = int(self.levels(mix(np.array([_END])), 1, len(_UNI) - 1)[0])
-        context[head] = end
-        both = np.zeros(len(tokens))
-        # a bigram kept twice or more has both words seen twice or more
-        maybe = np.flatnonzero((each > 1) & (context > 1))
-        pairs = pair_hash(contexts_of(tokens, counts)[maybe], tokens[maybe])
-        both[maybe] = np.concatenate([[0.0], _BI])[self.levels(pairs, 2, len(_BI) - 1)]
-        up = np.concatenate([[1.0], np.maximum(_UNI[1:] - 1, 1), [_UNI[-1]]])[context]
-        return p, np.minimum(both, up), up, context
-
-    def score(self, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        p, both, up, context = self.parts(tokens, counts)
-        s = self.shares[context]
-        return row_sums(np.log10(s * both / up + (1 - s) * p), counts)
+        context = contexts_of(tokens, counts)
+        u, c = self.levels(tokens, 1, len(_UNI) - 1), self.levels(context, 1, len(_UNI) - 1)
+        b = self.levels(pair_hash(context, tokens), 2, len(_BI) - 1)
+        return parts_of(c << 16 | b << 8 | u, self.n, self.v)
 
     def fit_shares(self, tokens: np.ndarray, counts: np.ndarray, rounds: int = 8) -> None:
         p, both, up, context = self.parts(tokens, counts)
@@ -346,38 +372,39 @@ class LogFrequencyFilter:
             self.shares = np.clip((np.bincount(context, mine, len(self.shares)) + 1) / (n + 10), 0.01, 0.95)
 
 
-def train(docs: DataFrame, *, text_col: str = "text", train_col: str = "train", probes: int = 10, max_filter_bytes: int = 1 << 28,
-          sample_texts: int = 500) -> tuple[LogFrequencyFilter, DataFrame]:
-    """``docs(dk, train, text)`` -> the filter, and a table ``(dk, base, known)``: base is the
-    sum of log10(c + 0.1) over the text's tokens, known how many of them have c > 0."""
+def train(docs: DataFrame, *, text_col: str = "text", train_col: str = "train", probes: int = 10, sample_texts: int = 500) -> tuple[LogFrequencyFilter, DataFrame]:
+    """``docs(dk, train, text)`` -> the filter, and a table of chunks of texts: see ``_met``."""
     spark = docs.sparkSession
     folder = work_dir(spark)
     source = docs.select("dk", F.col(train_col).alias("train"), F.col(text_col).alias("text"))
     parts = source.rdd.getNumPartitions()
     segments = 1 << max(2, (max(1, parts) - 1).bit_length())  # at most an input split each
     dealt = source.mapInArrow(_count(segments), _ROWS).repartition(segments, "seg").sortWithinPartitions("seg")
-    summed = stored(dealt.mapInArrow(_sum_segments, _ROWS), folder, "segments")
-    total = summed.where("kind = 4").agg(F.sum("n"), F.sum("v"), F.sum("e"), F.max("e")).first()
-    n, v, entries = (float(x or 0) for x in total[:3])
-    per_entry = min(probes / np.log(2), 8 * max_filter_bytes / max(1.0, entries))
-    bits = max(1024, -(-int(entries * per_entry / segments) // 8) * 8)
-    made = max(1, min(probes, round(per_entry * np.log(2))))
-    got = summed.where("kind = 4").select("seg", "kind", "p", "payload").mapInArrow(_fill(bits, made), "seg int, bits binary").toArrow()
-    regions = np.zeros(segments * bits // 8, np.uint8)
-    for seg, x in zip(got.column("seg").to_pylist(), got.column("bits"), strict=True):
-        regions[seg * bits // 8 : (seg + 1) * bits // 8] = np.frombuffer(x.as_buffer(), np.uint8)
-    model = LogFrequencyFilter(segments, bits, made, regions, n, v)
-    base = summed.where("kind in (2, 5)").repartition(max(1, parts), "p").sortWithinPartitions("p").mapInArrow(_base_rows, "dk long, base double, known long")
-    base = stored(base.groupBy("dk").agg(F.max("base").alias("base"), F.max("known").alias("known")), folder, "base")
+    summed = stored(dealt.mapInArrow(_sum_segments(probes), _ROWS), folder, "segments")
+    n, v = (float(x or 0) for x in summed.where("kind = 4").agg(F.sum("n"), F.sum("v")).first())
+    model = LogFrequencyFilter(segments, probes, summed.where("kind = 4").select("seg", "payload"), n, v)
+    back = summed.where("kind <> 4").repartition(max(1, parts), "p").sortWithinPartitions("p", "seg")
+    chunks = stored(back.mapInArrow(_chunks, "payload binary"), folder, "chunks")
     # shares from training texts of the smallest keys: at most sample_texts of 8 KB
     few = source.where("train").where(F.octet_length(F.coalesce("text", F.lit(""))) <= 1 << 13).select("dk", "text").orderBy("dk").limit(sample_texts).toArrow()
     texts = pa.array(few.column("text").to_pylist(), pa.string())
     for _, _, data, offs in text_slices(texts, 1 << 28):
         model.fit_shares(*tokens_of(data, offs))
-    return model, base
+    return model, chunks
 
 
-SCORES = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())])
+def _scores(shares: np.ndarray, n: float, v: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                keys, counts, _, base, known, codes, at = pickle.loads(x.as_buffer())
+                p, both, up, context = parts_of(codes, n, v)
+                s = shares[context]
+                score = row_sums(np.log10(s * both / up + (1 - s) * p)[at], counts)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, counts, base, known, score)], names=["dk", "n_tokens", "base", "known", "score"])
+            _give_back()
+
+    return run
 
 
 def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, **options) -> DataFrame:
@@ -386,23 +413,11 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
         F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("dk"),
         (crc_remainder(id_col, folds) != 0).alias("train"),
     )
-    model, base = train(keyed, **options)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most max_filter_bytes
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for array in batches:
-            n, s = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for _, _, data, offs in text_slices(array, 1 << 21):
-                tokens, counts = tokens_of(data, offs)
-                n.append(counts)
-                s.append(sent.value.score(tokens, counts))
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate(n)), pa.array(np.concatenate(s))], names=["n_tokens", "score"])
-            _give_back()
-
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    slim = keyed.select("_id", "dk", "train", F.arrow_udf(run, SCORES)(F.col("text")).alias("r")).select("_id", "dk", "train", "r.*")
+    model, chunks = train(keyed, **options)
+    each = chunks.mapInArrow(_scores(model.shares, model.n, model.v), "dk long, n_tokens long, base double, known long, score double")
+    each = each.groupBy("dk").agg(*[F.max(c).alias(c) for c in ("n_tokens", "base", "known", "score")])
     norm = float(np.log10(model.n + 0.1 * (model.v + 1)))
-    return spread_join(slim, base, "dk").select(
+    return spread_join(keyed.select("_id", "dk", "train"), each, "dk").select(
         F.col("_id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", F.col("known").alias("n_known"),
         F.lit(int(model.n)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score",
     )

@@ -250,6 +250,18 @@ def test_lm_distribution(spark):
     assert (levels == right).mean() > 0.8 and (levels - right).max() <= 2  # five probes err one time in 32
 
 
+def test_lm_filter_grows_with_its_entries(spark):
+    """Its regions stay a table, filled to a half at most, with the same few false hits at any size."""
+    for n in (2_000, 40_000):
+        keyed = spark.range(n).select(F.concat(F.lit("w"), "id").alias("text"), F.xxhash64("id").alias("dk"), F.lit(True).alias("train"))
+        model, _ = lm.train(keyed)
+        regions = [np.unpackbits(np.frombuffer(r.payload, np.uint8)) for r in model.regions.collect()]
+        assert sum(len(x) for x in regions) >= n * model.probes / np.log(2)
+        assert all(x.mean() < 0.55 for x in regions) and model.probes == 10
+        absent = lm.mix(np.arange(20_000, dtype=np.uint64) + np.uint64(1 << 40))
+        assert (model.levels(absent, 1, 60) > 0).mean() < 0.004
+
+
 # ---------------------------------------------------------------- 6
 
 
