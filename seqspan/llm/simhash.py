@@ -184,6 +184,16 @@ def fingerprint_links(fps: DataFrame, folder: str, max_bits: int = 3, blocks: in
     return dealt.mapInArrow(_linked(max_bits, check_bits), "a long, b long").distinct()
 
 
+def component_ids(least: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """``least(node, least)`` and links ``(a, b)`` -> ``(node, component_id)``."""
+    roots = connected_components(links, folder)
+    # a node without links is its own root
+    labelled = least.join(roots.withColumnRenamed("node", "n"), least.node == F.col("n"), "left")
+    labelled = stored(labelled.select("node", "least", F.coalesce("root", "node").alias("root")), folder, "labelled")
+    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    return stored(spread_join(labelled, smallest, "root").select("node", "component_id"), folder, "classes")
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3, blocks: int = 6,
     check_bits: int = 0, tile_rows: int = 4096,
@@ -197,12 +207,7 @@ def near_duplicates(
     slim = stored(slim.withColumn("node", F.xxhash64(*words) if check_bits else F.col("fp")), folder, "fp")
     least = stored(slim.groupBy("node", *words).agg(F.min("id").alias("least")), folder, "least")
     links = fingerprint_links(least.select("node", *words), folder, max_bits, blocks, check_bits, tile_rows)
-    roots = connected_components(links, folder)
-    # a fingerprint without links is its own root
-    labelled = least.join(roots.withColumnRenamed("node", "n"), least.node == F.col("n"), "left")
-    labelled = stored(labelled.select("node", "least", F.coalesce("root", "node").alias("root")), folder, "labelled")
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(spread_join(labelled, smallest, "root").select("node", "component_id"), folder, "classes")
+    classes = component_ids(least, links, folder)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return spread_join(slim, classes, "node").select(F.col("id").alias(id_col), hexed, "component_id")
 
@@ -210,7 +215,11 @@ def near_duplicates(
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without near-duplicates: of each component the one with the smallest id
     stays (of repeated rows of that id one; of components without any id every row)."""
-    marked = near_duplicates(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **options)
+    return without_later(docs, near_duplicates(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **options), id_col)
+
+
+def without_later(docs: DataFrame, marked: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without those whose id is not the ``component_id`` that ``marked`` gives it."""
     gone = marked.where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
     left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
     first = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])

@@ -11,7 +11,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from seqspan.llm import ann, linededup, lm, mixing, packing, quality, registry, rules, simhash, toxicity, urls
+import corpus_pipeline
+from seqspan.llm import ann, jaccard, linededup, lm, mixing, packing, quality, registry, rules, simhash, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -199,6 +200,28 @@ def test_wide_links_and_one_kept(spark, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("tile", [500, 1 << 19])
+def test_near_dedup_stage_matches_brute_force_jaccard(spark, odd, tile):
+    rng = np.random.default_rng(3)
+    rows, sets = [], {}
+    for k, edits in enumerate([e for e in (3, 4, 5, 6, 7, 8, 9, 10, 12) for _ in range(40)]):
+        base = [f"v{x}" for x in rng.integers(0, 5000, 300)]
+        other = list(base)
+        for at in rng.choice(300, edits, replace=False):
+            other[at] = f"edit{at}"
+        rows += [(2 * k, " ".join(base), None, "s", 0), (2 * k + 1, " ".join(other), None, "s", 0)]
+    for i, t, *_ in rows:
+        w = words(lower(t))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    close = [len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(len(rows) // 2)]
+    assert all(sum(a <= j < a + 0.05 for j in close) > 20 for a in (0.7, 0.75, 0.8, 0.85))
+    kept = {r.doc_id for r in jaccard.keep_one(spark.createDataFrame(rows, DOC), tile_shingles=tile).collect()}
+    assert kept == {2 * k for k in range(len(close))} | {2 * k + 1 for k, j in enumerate(close) if j < 0.8}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, DOC), SF).collect()} == kept
+    assert len(jaccard.keep_one(odd).collect()) == len(simhash.keep_one(odd, width=5).collect())
+    assert jaccard.keep_one(odd.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- 5
 
 
