@@ -1,9 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Lines are compared as lower-cased words.  Documents that share a line are paired: a rare
-line (in at most ``rare_docs`` documents) pairs each holder with every earlier one; a more
-frequent line pairs each holder with its first holder only, so pairs grow with the lines and
-groups of any size are still found.  Each pair is aligned by patience diff; runs of lines
+Lines are compared as lower-cased words.  Documents are paired by runs: from each line the
+shortest run of neighbouring lines (blank ones do not count) forwards and backwards of at
+least ``min_block_words`` words.  Every repeated block is made up of such runs, so none is
+missed: a rare run (in at most ``rare_docs`` documents) pairs each holder with every earlier
+one; a more frequent run pairs each holder with its first holder, which holds all of it, so
+pairs grow with the lines and groups of any size are found.  Each pair is aligned by patience diff; runs of lines
 that are neighbours in both (blank lines do not count) and hold at least ``min_block_words``
 words are deleted from the later document.  Of every line text the first holder keeps it.
 
@@ -28,7 +30,8 @@ from seqspan.llm.common import LOWER, fresh, mix, span_hashes, spread_join, stor
 from seqspan.llm.rules import lines_of
 
 _B = np.uint64(0xA0761D6478BD642F)
-LINES = T.StructType([T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.LongType()))])
+_B_INV = np.uint64(pow(0xA0761D6478BD642F, -1, 1 << 64))
+LINES = T.StructType([T.StructField(x, T.ArrayType(T.LongType())) for x in ("hashes", "words", "runs")])
 
 
 def line_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,19 +50,45 @@ def line_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.where(count > 0, h, np.uint64(0)), count, per_row
 
 
-def lines(text: Column) -> Column:
+def run_hashes(hashes: np.ndarray, words: np.ndarray, per_row: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shortest runs of at least ``least`` words from each line with words, first
+    forwards, then backwards, row after row; runs per row."""
+    some = hashes != 0
+    row = np.repeat(np.arange(len(per_row)), per_row)[some]
+    h, n = hashes[some], words[some].astype(np.int64)
+    past = np.cumsum(n)
+    before = past - n
+    at, least = np.arange(len(h)), max(1, least)
+    last = np.searchsorted(past, before + least)
+    first = np.searchsorted(before, past - least, "right") - 1
+    a, b = np.concatenate([at, first]), np.concatenate([last, at])
+    fits = (a >= 0) & (b < len(h))
+    a, b = a[fits], b[fits]
+    fits = row[a] == row[b]
+    a, b = a[fits], b[fits]
+    power, back = (np.cumprod(np.full(len(h) + 1, x, np.uint64)) for x in (_B, _B_INV))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(h * power[: len(h)], dtype=np.uint64)])
+    out = mix((total[b + 1] - total[a]) * back[a] + (b + 1 - a).astype(np.uint64))
+    order = np.argsort(row[a], kind="stable")
+    return np.where(out == 0, np.uint64(1), out)[order], np.bincount(row[a], minlength=len(per_row))
+
+
+def lines(text: Column, least: int) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in batches:
-            hashes, words, rows = [], [], []
+            hashes, words, rows, runs, run_rows = [], [], [], [], []
             for _, _, data, offs in text_slices(array):
                 h, w, n = line_hashes(data, offs)
                 hashes.append(h.view(np.int64))
                 words.append(w.astype(np.int64))
                 rows.append(n)
-            edge = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(rows))]) if rows else [0], pa.int32())
+                r, n = run_hashes(h, w, n, least)
+                runs.append(r.view(np.int64))
+                run_rows.append(n)
+            edge, run_edge = (pa.array(np.concatenate([[0], np.cumsum(np.concatenate(x))]) if x else [0], pa.int32()) for x in (rows, run_rows))
             cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-            parts = [pa.ListArray.from_arrays(edge, cat(hashes)), pa.ListArray.from_arrays(edge, cat(words))]
-            yield pa.StructArray.from_arrays(parts, names=["hashes", "words"])
+            parts = [pa.ListArray.from_arrays(edge, cat(hashes)), pa.ListArray.from_arrays(edge, cat(words)), pa.ListArray.from_arrays(run_edge, cat(runs))]
+            yield pa.StructArray.from_arrays(parts, names=LINES.names)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, LINES)(text)
@@ -163,13 +192,13 @@ def _without(text: Column, gone: Column) -> Column:
 
 
 def shared_pairs(table: DataFrame, folder: str, rare_docs: int) -> DataFrame:
-    """``table(dk, id, hashes)`` -> distinct ``(a, d)``: document keys, a earlier."""
-    held = stored(table.select(F.explode(F.array_distinct("hashes")).alias("h"), "id", "dk").where("h <> 0"), folder, "held")
+    """``table(dk, id, runs)`` -> distinct ``(a, d)``: document keys, a earlier."""
+    held = stored(table.select(F.explode(F.array_distinct("runs")).alias("h"), "id", "dk"), folder, "held")
     met = held.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "dk")).alias("first")).where("n > 1")
     met = stored(met, folder, "met")
     both = spread_join(held, met, "h")
     to_first = both.where("first.id < id").select(F.col("first.dk").alias("a"), F.col("dk").alias("d"))
-    # at most rare_docs holders a line, so the lists are short
+    # at most rare_docs holders a run, so the lists are short
     few = held.join(met.where(F.col("n") <= rare_docs).select("h"), "h").groupBy("h").agg(F.collect_list(F.struct("id", "dk")).alias("x"))
     each = few.select(F.explode("x").alias("later"), "x").select("later", F.explode("x").alias("earlier"))
     rare = each.where("earlier.id < later.id").select(F.col("earlier.dk").alias("a"), F.col("later.dk").alias("d"))
@@ -182,8 +211,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     folder = work_dir(spark)
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
-    table = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(key.alias("dk"), F.col(id_col).cast("long").alias("id"), lines(F.col(text_col)).alias("l"))
-    table = stored(table.select("dk", "id", "l.hashes", "l.words"), folder, "lines")
+    table = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(key.alias("dk"), F.col(id_col).cast("long").alias("id"), lines(F.col(text_col), min_block_words).alias("l"))
+    table = stored(table.select("dk", "id", "l.hashes", "l.words", "l.runs"), folder, "lines")
     one_each = stored(table.dropDuplicates(["dk"]), folder, "documents")
     pairs = stored(shared_pairs(one_each, folder, rare_docs), folder, "pairs")
     with_a = spread_join(pairs, one_each.select(F.col("dk").alias("a"), F.col("hashes").alias("a_h")), "a").drop("a")

@@ -89,6 +89,14 @@ def test_line_dedup_cuts_a_passage_from_later_documents_only(spark):
     assert all(out[k] == f"own start {k} of text\n\nown end {k}" for k in range(1, 30))
 
 
+def test_line_dedup_cuts_frequent_passages_whose_lines_stand_singly_before(spark):
+    one = [" ".join(f"p{k}x{j}" for j in range(18)) for k in range(3)]
+    rows = [(k + 1, f"start {k}\n{one[k]}\nend {k}", None, None, 0) for k in range(3)]
+    rows += [(k, "\n".join([f"own start {k}", *one, f"own end {k}"]), None, None, 0) for k in range(10, 31)]
+    out = {r.doc_id: r.deleted_lines for r in linededup.dedup_lines(spark.createDataFrame(rows, DOC)).collect()}
+    assert all(out[k] == [] for k in (1, 2, 3, 10)) and all(out[k] == [1, 2, 3] for k in range(11, 31))
+
+
 def test_line_dedup_odd_rows(odd, none):
     out = linededup.dedup_lines(odd.withColumns({k: F.lit("old") for k in ("n_lines", "d", "h", "id", "a")}), min_block_words=5).collect()
     by = [(r.doc_id, r.text, r.n_lines) for r in out]
