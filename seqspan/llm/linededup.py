@@ -7,7 +7,10 @@ missed: a rare run (in at most ``rare_docs`` documents) pairs each holder with e
 one; a more frequent run pairs each holder with its first holder, which holds all of it, so
 pairs grow with the lines and groups of any size are found.  Each pair is aligned by patience diff; runs of lines
 that are neighbours in both (blank lines do not count) and hold at least ``min_block_words``
-words are deleted from the later document.  Of every line text the first holder keeps it.
+words are deleted from the later document.  An alignment gives each line one partner in one
+order, so a passage held twice or in another order can be left over: every run of the later
+document that the earlier one holds anywhere is deleted as well.  Of every line text the
+first holder keeps it.
 
 Earlier means a smaller id.  Nulls: a row without an id is left as it is; a null text stays
 null.  Rows of equal id are one document: none is later, they are not compared with each
@@ -140,22 +143,62 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def shortest_runs(words: list[int], least: int) -> set[tuple[int, int]]:
+    """(first, past last) of the shortest runs of at least ``least`` words from each place,
+    forwards and backwards."""
+    least = max(1, least)
+    out, total, e = set(), 0, 0
+    for i, n in enumerate(words):
+        while e < len(words) and total < least:
+            total += words[e]
+            e += 1
+        if total < least:
+            break
+        out.add((i, e))
+        total -= n
+    total, i = 0, len(words)
+    for e in range(len(words), 0, -1):
+        while i > 0 and total < least:
+            i -= 1
+            total += words[i]
+        if total < least:
+            break
+        out.add((i, e))
+        total -= words[e - 1]
+    return out
+
+
+def repeated_runs(a: list[int], b: list[int], words: list[int], least: int) -> list[tuple[int, int]]:
+    """Runs of ``b`` of at least ``least`` words that stand somewhere in ``a``: the shortest
+    ones, which together cover all others."""
+    size = dict(zip(b, words, strict=True))
+    held, start = set(), 0
+    for end in [*(k for k, h in enumerate(a) if h not in size), len(a)]:
+        part = a[start:end]
+        held |= {tuple(part[i:e]) for i, e in shortest_runs([size[h] for h in part], least)}
+        start = end + 1
+    return [(i, e) for i, e in shortest_runs(words, least) if tuple(b[i:e]) in held] if held else []
+
+
 def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
-    """Line numbers of ``b`` in aligned blocks of at least ``min_words`` words, blank lines
-    inside a block included."""
+    """Line numbers of ``b`` in aligned blocks and repeated runs of at least ``min_words`` words,
+    blank lines inside a block included."""
     here = [k for k, h in enumerate(b) if h]
     mine = [b[k] for k in here]
-    matched = patience([h for h in a if h], mine)
-    out, k = [], 0
+    theirs = [h for h in a if h]
+    matched = patience(theirs, mine)
+    out, k = set(), 0
     while k < len(matched):
         e = k + 1
         while e < len(matched) and matched[e][0] == matched[e - 1][0] + 1 and matched[e][1] == matched[e - 1][1] + 1:
             e += 1
         first, last = here[matched[k][1]], here[matched[e - 1][1]]
         if sum(words[here[matched[i][1]]] for i in range(k, e)) >= min_words:
-            out += range(first, last + 1)
+            out.update(range(first, last + 1))
         k = e
-    return out
+    for i, e in repeated_runs(theirs, mine, [words[k] for k in here], min_words):
+        out.update(range(here[i], here[e - 1] + 1))
+    return sorted(out)
 
 
 def _aligned(min_words: int):

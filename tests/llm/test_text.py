@@ -58,6 +58,27 @@ def test_blocks_skip_blank_lines_and_short_runs():
     assert common_blocks([1, 2, 3], [9, 1, 0, 2, 3, 8, 1], [5] * 7, 16) == []
 
 
+def test_common_blocks_held_twice_or_in_another_order():
+    passage = [1, 2, 3]
+    assert common_blocks([7, *passage, 8], [4, *passage, 5, *passage, 6], [5] * 9, 15) == [1, 2, 3, 5, 6, 7]
+    assert common_blocks([7, *passage, 9, *passage, 8], [4, *passage, 5], [5] * 5, 15) == [1, 2, 3]
+    assert common_blocks([1, 2, 7, 3, 4], [3, 4, 8, 1, 0, 2], [10] * 6, 20) == [0, 1, 3, 4, 5]
+    # a short line is covered from either end of its block
+    assert common_blocks([6, 1, 2, 3, 7], [1, 2, 3, 9, 1, 2, 3], [18, 2, 5, 9, 18, 2, 5], 20) == [0, 1, 2, 4, 5, 6]
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(1, 4), max_size=12), st.lists(st.integers(1, 4), max_size=12), st.integers(2, 9))
+def test_common_blocks_are_all_runs_held_by_both(a, b, least):
+    words = [1 + h % 3 for h in b]
+    want = set()
+    for i in range(len(b)):
+        for e in range(i + 1, len(b) + 1):
+            if sum(words[i:e]) >= least and any(a[k : k + e - i] == b[i:e] for k in range(len(a))):
+                want |= set(range(i, e))
+    assert common_blocks(a, b, words, least) == sorted(want)
+
+
 @pytest.mark.parametrize("n", [1, 2, 40, 300])
 def test_near_pairs_join_what_all_pairs_join(n):
     rng = np.random.default_rng(n)
