@@ -15,7 +15,8 @@ and a chunk's levels meet its tokens again in one task.
 The model interpolates: p(w|h) = s * c(hw) / c(h) + (1 - s) * p(w), all counts read from the
 filter, c(h) rounded up and the others down so that no distribution sums to more than 1
 (false positives aside).  s depends on the level of c(h); it is set by expectation
-maximisation on a bounded sample of training texts, their own occurrence left out.
+maximisation over all training tokens, their own occurrence left out: chunks count tokens by
+their three levels, and these counts are all that reaches the driver.
 
 Nulls: a null text is empty (one token, the end); a null id counts as the empty id text.
 Repeated rows are training text as often as they stand.  No training text: base and score
@@ -233,9 +234,10 @@ def _sum_segments(probes: int):
     return run
 
 
-def _met(rows: list[tuple[int, object]]) -> bytes:
+def _met(rows: list[tuple[int, object]]) -> tuple[bytes, bytes]:
     """Rows (kind, payload) of one chunk in order of segments -> its texts' keys, token counts,
-    base sums, known tokens, distinct codes of levels, and the code's number of each token."""
+    base sums, known tokens, distinct codes of levels, and the code's number of each token;
+    and the codes with the number of training tokens of each."""
     keys, counts, train, kinds, word = next(pickle.loads(x.as_buffer()) for kind, x in rows if kind == 2)
     counts = counts.astype(np.int64)
     base, known = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
@@ -255,7 +257,8 @@ def _met(rows: list[tuple[int, object]]) -> bytes:
     both = np.empty(len(g), np.uint32)
     both[order] = np.repeat(b, np.diff(np.concatenate([first, [len(g)]])))
     codes, at = np.unique(u[context] << np.uint32(16) | both << np.uint32(8) | u[word], return_inverse=True)
-    return pickle.dumps((keys, counts, train, base, known, codes, _small(at)), 5)
+    many = np.bincount(at[np.repeat(train, counts)], minlength=len(codes))
+    return pickle.dumps((keys, counts, base, known, codes, _small(at)), 5), pickle.dumps((codes, _small(many)), 5)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +266,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, rows = None, []
 
     def done() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array([_met(rows)], pa.binary())], names=["payload"])
+        out = pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in _met(rows)], names=["payload", "seen"])
         rows.clear()
         _give_back()
         return out
@@ -362,17 +365,37 @@ class LogFrequencyFilter:
         b = self.levels(pair_hash(context, tokens), 2, len(_BI) - 1)
         return parts_of(c << 16 | b << 8 | u, self.n, self.v)
 
-    def fit_shares(self, tokens: np.ndarray, counts: np.ndarray, rounds: int = 8) -> None:
-        p, both, up, context = self.parts(tokens, counts)
+
+def fitted_shares(codes: np.ndarray, many: np.ndarray, n: float, v: float, rounds: int = 8) -> np.ndarray:
+    """Shares by level of the context, from how many training tokens have each code of levels:
+    all that expectation maximisation asks of a token."""
+    shares = np.full(len(_UNI) + 1, 0.3)
+    if len(codes):
+        p, both, up, context = parts_of(codes, n, v)
         inside = np.maximum(both - 1, 0) / np.maximum(up - 1, 1)
+        sums = lambda x: np.bincount(context, x, len(shares))
+        here = sums(many)
+        seen = np.flatnonzero(here)
         for _ in range(rounds):
-            s = self.shares[context]
+            s = shares[context]
             mine = s * inside / (s * inside + (1 - s) * p)
-            n = np.bincount(context, minlength=len(self.shares))
-            self.shares = np.clip((np.bincount(context, mine, len(self.shares)) + 1) / (n + 10), 0.01, 0.95)
+            shares = np.clip((sums(mine * many) + 1) / (here + 10), 0.01, 0.95)
+            shares = np.interp(np.arange(len(shares)), seen, shares[seen])  # no token on a level: as its neighbours
+    shares[0] = 0.0  # nothing follows a context never seen
+    return shares
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of training tokens by code, summed over the chunks of a task."""
+    codes, many = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        each = [pickle.loads(x.as_buffer()) for x in batch.column(0)]
+        if each:
+            codes, many = _merged([codes, *(c.astype(np.int64) for c, _ in each)], [many, *(m for _, m in each)])
+    yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(many)], names=["code", "many"])
 
 
-def train(docs: DataFrame, *, text_col: str = "text", train_col: str = "train", probes: int = 10, sample_texts: int = 500) -> tuple[LogFrequencyFilter, DataFrame]:
+def train(docs: DataFrame, *, text_col: str = "text", train_col: str = "train", probes: int = 10) -> tuple[LogFrequencyFilter, DataFrame]:
     """``docs(dk, train, text)`` -> the filter, and a table of chunks of texts: see ``_met``."""
     spark = docs.sparkSession
     folder = work_dir(spark)
@@ -384,12 +407,9 @@ def train(docs: DataFrame, *, text_col: str = "text", train_col: str = "train",
     n, v = (float(x or 0) for x in summed.where("kind = 4").agg(F.sum("n"), F.sum("v")).first())
     model = LogFrequencyFilter(segments, probes, summed.where("kind = 4").select("seg", "payload"), n, v)
     back = summed.where("kind <> 4").repartition(max(1, parts), "p").sortWithinPartitions("p", "seg")
-    chunks = stored(back.mapInArrow(_chunks, "payload binary"), folder, "chunks")
-    # shares from training texts of the smallest keys: at most sample_texts of 8 KB
-    few = source.where("train").where(F.octet_length(F.coalesce("text", F.lit(""))) <= 1 << 13).select("dk", "text").orderBy("dk").limit(sample_texts).toArrow()
-    texts = pa.array(few.column("text").to_pylist(), pa.string())
-    for _, _, data, offs in text_slices(texts, 1 << 28):
-        model.fit_shares(*tokens_of(data, offs))
+    chunks = stored(back.mapInArrow(_chunks, "payload binary, seen binary"), folder, "chunks")
+    tally = chunks.select("seen").mapInArrow(_tally, "code long, many long").groupBy("code").agg(F.sum("many").alias("many")).where("many > 0").toArrow()
+    model.shares = fitted_shares(*(c.to_numpy() for c in tally.columns), n, v)
     return model, chunks
 
 
@@ -397,7 +417,7 @@ def _scores(shares: np.ndarray, n: float, v: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
-                keys, counts, _, base, known, codes, at = pickle.loads(x.as_buffer())
+                keys, counts, base, known, codes, at = pickle.loads(x.as_buffer())
                 p, both, up, context = parts_of(codes, n, v)
                 s = shares[context]
                 score = row_sums(np.log10(s * both / up + (1 - s) * p)[at], counts)
@@ -414,7 +434,7 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
         (crc_remainder(id_col, folds) != 0).alias("train"),
     )
     model, chunks = train(keyed, **options)
-    each = chunks.mapInArrow(_scores(model.shares, model.n, model.v), "dk long, n_tokens long, base double, known long, score double")
+    each = chunks.select("payload").mapInArrow(_scores(model.shares, model.n, model.v), "dk long, n_tokens long, base double, known long, score double")
     each = each.groupBy("dk").agg(*[F.max(c).alias(c) for c in ("n_tokens", "base", "known", "score")])
     norm = float(np.log10(model.n + 0.1 * (model.v + 1)))
     return spread_join(keyed.select("_id", "dk", "train"), each, "dk").select(

@@ -293,6 +293,20 @@ def test_lm_filter_grows_with_its_entries(spark):
         assert (model.levels(absent, 1, 60) > 0).mean() < 0.004
 
 
+def test_lm_shares_come_from_every_training_text(spark):
+    """Long texts only, and one corpus in many texts or few: the same shares."""
+    rng = np.random.default_rng(4)
+    chain = [f"c{k % 50} d{k % 50}" for k in rng.integers(0, 50, 40_000)]
+    found = []
+    for size in (4_000, 400):
+        rows = [(" ".join(chain[k : k + size]),) for k in range(0, len(chain), size)]
+        keyed = spark.createDataFrame(rows, "text string").select("text", F.xxhash64("text").alias("dk"), F.lit(True).alias("train"))
+        found.append(lm.train(keyed)[0])
+    top = [m.levels(lm.span_hashes(np.frombuffer(b"c7", np.uint8), np.array([0]), np.array([2])), 1, 100)[0] for m in found]
+    assert top[0] == top[1] and all(m.shares[top[0]] > 0.9 for m in found)
+    assert all(m.shares[0] == 0 for m in found) and np.allclose(found[0].shares[top[0]], found[1].shares[top[0]], atol=0.01)
+
+
 # ---------------------------------------------------------------- 6
 
 
