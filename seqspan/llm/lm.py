@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from seqspan.llm.common import LOWER, crc_remainder, mix, pair_hash, row_sums, span_hashes, spread_join, stored, text_slices, words_of, work_dir
 
-RATIO = 1.3
+RATIO = 1.2
 _END = np.uint64(0x656E64)  # the end token, and the context before a first word
 _FLUSH_TOKENS = 1_000_000
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -195,8 +195,7 @@ def _segment(seg: int, rows: list[tuple[int, int, object]], probes: int) -> Iter
     if grams:
         bi, often = _merged([h for _, h, _ in grams], [c for *_, c in grams])
     u, b = np.searchsorted(_UNI, many, "right"), np.searchsorted(_BI, often, "right")
-    # a level's entry weighs as its probes do
-    entries = float(sum(np.minimum(x, 1).sum() + np.maximum(x - 1, 0).sum() * probes_of(2, probes) / probes for x in (u, b)))
+    entries = float(u.sum() + b.sum())  # one a level
     bits = max(1024, -(-int(entries * probes / np.log(2)) // 8) * 8)
     region = filled(bits, probes, (uni[u > 0] & _LOW48, u[u > 0], 1), (bi[b > 0], b[b > 0], 2))
     yield seg, 4, 0, np.packbits(region, bitorder="little").tobytes(), float(many.sum()), float((many > 0).sum()), entries
@@ -296,11 +295,6 @@ def _place(x: np.ndarray, y: np.ndarray, probe: int, bits: int) -> np.ndarray:
     return ((x + np.uint64(probe) * y) & np.uint64(0xFFFFFFFF)) * np.uint64(bits) >> np.uint64(32)
 
 
-def probes_of(level: int, probes: int) -> int:
-    """The first level settles membership; a higher one only refines the count."""
-    return probes if level == 1 else max(1, probes // 2)
-
-
 def filled(bits: int, probes: int, *entries: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
     """A region with the entries (hashes, levels, salt)."""
     region = np.zeros(bits, bool)
@@ -308,7 +302,7 @@ def filled(bits: int, probes: int, *entries: tuple[np.ndarray, np.ndarray, int])
         for level in range(1, int(top.max(initial=0)) + 1):
             h, top = h[top >= level], top[top >= level]
             x, y = _level_hash(h, salt, level)
-            for k in range(probes_of(level, probes)):
+            for k in range(probes):
                 region[_place(x, y, k, bits)] = True
     return region
 
@@ -319,7 +313,7 @@ def probed(region: np.ndarray, h: np.ndarray, salt: int, most: int, probes: int)
     alive = np.arange(len(h))
     for level in range(1, most + 1):
         x, y = _level_hash(h[alive], salt, level)
-        for k in range(probes_of(level, probes)):
+        for k in range(probes):
             hit = region[_place(x, y, k, len(region))]
             if not hit.all():
                 alive, x, y = alive[hit], x[hit], y[hit]
