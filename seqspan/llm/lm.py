@@ -1,16 +1,15 @@
 """LM scoring with a log-frequency Bloom filter.
 
-One pass cuts every text into tokens (lower-cased words and one end) and deals packed
-arrays by hash: postings of words, for the exact base score, and counts of training
-bigrams.  Each segment of hash space sums its share; what is kept goes as quantised counts
+One pass cuts every text into tokens (lower-cased words and one end); each chunk of texts
+deals its distinct words and bigrams by hash, with their counts in training texts.  Each segment of hash space sums its share; what is kept goes as quantised counts
 into that segment's region of one filter: a count on level j enters levels 1 to j, and a
-lookup probes rising levels until one is missing.  Levels grow by ``RATIO``.  Bigrams seen
-once are not kept (the usual cutoff, the same at every size).
+lookup probes rising levels until one is missing.  Levels grow by ``RATIO``.  Words and
+bigrams are kept from count 1 on.
 
 A region takes ``probes / ln 2`` bits an entry at every size, so the filter grows with its
 entries and its error rate does not.  It is never brought together: a segment looks up the
 n-grams of all chunks of texts in its own region and sends back their levels, a byte each,
-and a chunk's levels meet its tokens again in one task.
+and exact counts of words for the base score; they meet the chunk's tokens in one task.
 
 The model interpolates: p(w|h) = s * c(hw) / c(h) + (1 - s) * p(w), all counts read from the
 filter, c(h) rounded up and the others down so that no distribution sums to more than 1
@@ -39,7 +38,8 @@ from seqspan.llm.common import LOWER, crc_remainder, mix, pair_hash, row_sums, s
 
 RATIO = 1.2
 _END = np.uint64(0x656E64)  # the end token, and the context before a first word
-_FLUSH_TOKENS = 1_000_000
+_FLUSH_TOKENS = 600_000
+_PROBED = 1 << 17  # n-grams looked up at once
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -71,7 +71,7 @@ def level_starts(least: int, most: float = 1e15) -> np.ndarray:
     return np.array(out, np.float64)
 
 
-_UNI, _BI = level_starts(1), level_starts(2)
+_UNI = _BI = level_starts(1)
 
 
 # ---------------------------------------------------------------- counting
@@ -88,44 +88,71 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
+def _dumped(x: tuple) -> bytes:
+    """Packed for disk and shuffle: numbers of words and levels are mostly small."""
+    raw = pickle.dumps(x, 5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _loaded(x: pa.Scalar) -> tuple:
+    raw = x.as_buffer()
+    return pickle.loads(pa.decompress(raw[8:], int.from_bytes(raw[:8].to_pybytes(), "little"), "zstd"))
+
+
 def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
-def _packed(tokens: np.ndarray, counts: np.ndarray, train: np.ndarray, keys: np.ndarray, segments: int, p: int) -> Iterator[tuple]:
-    """Rows (segment, kind, p, payload) of one chunk of texts."""
-    shift = np.uint64(64 - segments.bit_length() + 1)
-    seg_of = (lambda h: (h >> shift).astype(np.int64)) if segments > 1 else (lambda h: np.zeros(len(h), np.int64))
-    doc = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)
+def _packed(tokens: np.ndarray, counts: np.ndarray, train: np.ndarray, keys: np.ndarray) -> bytes:
+    """One chunk of texts: keys, token counts, train, distinct words, the word's number of each token."""
     order = np.argsort(tokens, kind="stable")
-    h, d = tokens[order], doc[order]
+    h = tokens[order]
     first = _runs(h)
-    kinds, word = h[first], np.empty(len(h), np.uint32)
+    word = np.empty(len(h), np.uint32)
     word[order] = np.repeat(np.arange(len(first), dtype=np.uint32), np.diff(np.concatenate([first, [len(h)]])))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    post = np.flatnonzero(new)
-    tf = np.diff(np.concatenate([post, [len(h)]]))
-    h, d = h[post], d[post]
-    edge = np.searchsorted(seg_of(h), np.arange(segments + 1))
-    for s in range(segments):
-        a, b = edge[s], edge[s + 1]
-        if a < b:
-            first = _runs(h[a:b])
-            runs = np.diff(np.concatenate([first, [b - a]]))
-            yield s, 0, p, pickle.dumps((h[a:b][first], _small(runs), _small(d[a:b]), _small(tf[a:b]), np.packbits(train), len(counts)), 5)
-    yield p % segments, 2, p, pickle.dumps((keys, _small(counts), train, kinds, _small(word)), 5)
-    g = pair_hash(contexts_of(tokens, counts), tokens)
+    return _dumped((keys, _small(counts), train, h[first], _small(word)))
+
+
+def _bigrams(kinds: np.ndarray, word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk's tokens: the context's number, bigram hashes in order, that order, runs of equal ones."""
+    context = np.empty_like(word)
+    context[1:] = word[:-1]
+    context[np.cumsum(counts) - counts] = np.searchsorted(kinds, mix(np.array([_END]))[0])
+    g = pair_hash(kinds[context], kinds[word])
     order = np.argsort(g, kind="stable")
     g = g[order]
-    first = _runs(g)
-    n, g = np.add.reduceat(np.repeat(train, counts)[order].astype(np.int64), first) if len(first) else first, g[first]
-    edge = np.searchsorted(seg_of(g), np.arange(segments + 1))
-    for s in range(segments):
-        a, b = edge[s], edge[s + 1]
-        if a < b:  # 48 bits name a bigram within a segment
-            low = g[a:b] & _LOW48
-            yield s, 1, p, pickle.dumps((low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint16), _small(n[a:b])), 5)
+    return context, g, order, _runs(g)
+
+
+def _dealt(segments: int):
+    """Chunks (p, payload) -> rows (seg, kind, p, payload): distinct words (kind 0) and bigrams
+    (kind 1) of each segment with their counts in training texts."""
+    shift = np.uint64(64 - segments.bit_length() + 1)
+
+    def shares(g: np.ndarray) -> np.ndarray:
+        return np.searchsorted((g >> shift).astype(np.int64) if segments > 1 else np.zeros(len(g), np.int64), np.arange(segments + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                _, counts, train, kinds, word = _loaded(x)
+                at, counts = np.repeat(train, counts), counts.astype(np.int64)
+                n = np.bincount(word[at], minlength=len(kinds))
+                edge = shares(kinds)
+                for s in np.flatnonzero(np.diff(edge)).tolist():
+                    a, b = edge[s], edge[s + 1]
+                    yield _batch([(s, 0, p, _dumped((kinds[a:b], _small(n[a:b]))), 0.0, 0.0, 0.0)])
+                _, g, order, first = _bigrams(kinds, word, counts)
+                n, g = np.add.reduceat(at[order].astype(np.uint32), first), g[first]
+                del order, at, word
+                edge = shares(g)
+                for s in np.flatnonzero(np.diff(edge)).tolist():
+                    a, b = edge[s], edge[s + 1]  # 48 bits name a bigram within a segment
+                    low = g[a:b] & _LOW48
+                    yield _batch([(s, 1, p, _dumped((low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint16), _small(n[a:b]))), 0.0, 0.0, 0.0)])
+                _give_back()
+
+    return run
 
 
 _ROWS = "seg int, kind int, p long, payload binary, n double, v double, e double"
@@ -137,32 +164,30 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["seg", "kind", "p", "payload", "n", "v", "e"])
 
 
-def _count(segments: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, flushed, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def flush():
-            nonlocal flushed, held, size
-            joined = [np.concatenate(x) for x in zip(*held, strict=True)]
-            p = (part << 24) + flushed
-            flushed, held, size = flushed + 1, [], 0
-            for row in _packed(*joined, segments, p):
-                yield _batch([(*row, 0.0, 0.0, 0.0)])
-            del joined
-            _give_back()
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (dk, train, text) -> chunks (p, payload)."""
+    part, flushed, held, size = TaskContext.get().partitionId(), 0, [], 0
 
-        for batch in batches:
-            keys, train = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            for i, j, data, offs in text_slices(batch.column(2)):
-                tokens, counts = tokens_of(data, offs)
-                held.append((tokens, counts, train[i:j], keys[i:j]))
-                size += len(tokens)
-                if size >= _FLUSH_TOKENS:
-                    yield from flush()
-        if held:
-            yield from flush()
+    def flush() -> pa.RecordBatch:
+        nonlocal flushed, held, size
+        joined = [np.concatenate(x) for x in zip(*held, strict=True)]
+        p = (part << 24) + flushed
+        flushed, held, size = flushed + 1, [], 0
+        out = pa.RecordBatch.from_arrays([pa.array([p]), pa.array([_packed(*joined)], pa.binary())], names=["p", "payload"])
+        del joined
+        _give_back()
+        return out
 
-    return run
+    for batch in batches:
+        keys, train = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+        for i, j, data, offs in text_slices(batch.column(2)):
+            tokens, counts = tokens_of(data, offs)
+            held.append((tokens, counts, train[i:j], keys[i:j]))
+            size += len(tokens)
+            if size >= _FLUSH_TOKENS:
+                yield flush()
+    if held:
+        yield flush()
 
 
 def _merged(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -174,35 +199,19 @@ def _merged(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
 
 
 def _segment(seg: int, rows: list[tuple[int, int, object]], probes: int) -> Iterator[tuple]:
-    """All rows of one segment -> partial base sums and levels of each chunk, and the region."""
-    posts = [(p, x) for kind, p, x in rows if kind == 0]
-    uni, many = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if posts:
-        own = []
-        for _, (h, runs, d, tf, bits, docs) in posts:
-            train = np.unpackbits(bits, count=docs).astype(bool)
-            first = np.concatenate([[0], np.cumsum(runs.astype(np.int64))])[:-1]
-            own.append(np.add.reduceat(tf.astype(np.int64) * train[d], first))
-        uni, many = _merged([x[1][0] for x in posts], own)
-        for p, (h, runs, d, tf, _, docs) in posts:
-            c = many[np.searchsorted(uni, h)].astype(float)
-            runs, tf = runs.astype(np.int64), tf.astype(np.float64)
-            sums = np.bincount(d, tf * np.repeat(np.log10(c + 0.1), runs), docs)
-            known = np.bincount(d, tf * np.repeat(c > 0, runs), docs).astype(np.int64)
-            yield seg, 5, p, pickle.dumps((sums, _small(known)), 5), 0.0, 0.0, 0.0
-    grams = [(p, x[0].astype(np.uint64) | x[1].astype(np.uint64) << np.uint64(32), x[2]) for kind, p, x in rows if kind == 1]
-    bi, often = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if grams:
-        bi, often = _merged([h for _, h, _ in grams], [c for *_, c in grams])
+    """All rows of one segment -> counts and levels of each chunk's n-grams, and the region."""
+    wide = lambda x: x[0] if len(x) == 2 else x[0].astype(np.uint64) | x[1].astype(np.uint64) << np.uint64(32)
+    sums = [_merged([np.zeros(0, np.uint64), *(wide(x) for kind, _, x in rows if kind == k)], [np.zeros(0, np.int64), *(x[-1] for kind, _, x in rows if kind == k)]) for k in (0, 1)]
+    (uni, many), (bi, often) = sums
     u, b = np.searchsorted(_UNI, many, "right"), np.searchsorted(_BI, often, "right")
     entries = float(u.sum() + b.sum())  # one a level
     bits = max(1024, -(-int(entries * probes / np.log(2)) // 8) * 8)
     region = filled(bits, probes, (uni[u > 0] & _LOW48, u[u > 0], 1), (bi[b > 0], b[b > 0], 2))
     yield seg, 4, 0, np.packbits(region, bitorder="little").tobytes(), float(many.sum()), float((many > 0).sum()), entries
-    for kind, every, salt, low, asked in ((6, uni, 1, uni & _LOW48, [(p, x[0]) for p, x in posts]), (7, bi, 2, bi, [(p, h) for p, h, _ in grams])):
-        found = probed(region, low, salt, len(_UNI) - 1, probes).astype(np.uint8)
-        for p, h in asked:
-            yield seg, kind, p, found[np.searchsorted(every, h)].tobytes(), 0.0, 0.0, 0.0
+    found = [probed(region, h & _LOW48, salt, len(_UNI) - 1, probes).astype(np.uint8) for h, salt in ((uni, 1), (bi, 2))]
+    for kind, p, x in rows:
+        at = np.searchsorted(sums[kind][0], wide(x))
+        yield seg, 6 + kind, p, _dumped((found[0][at], _small(many[at])) if kind == 0 else (found[1][at],)), 0.0, 0.0, 0.0
 
 
 def _sum_segments(probes: int):
@@ -219,14 +228,10 @@ def _sum_segments(probes: int):
             for k in range(batch.num_rows):
                 seg, kind, p = (batch.column(c)[k].as_py() for c in range(3))
                 payload = batch.column(3)[k]
-                if kind == 2:  # texts pass through as they are
-                    yield _batch([(seg, kind, p, payload.as_py(), 0.0, 0.0, 0.0)])
-                    continue
                 if seg != now and rows:
                     yield from done()
                 now = seg
-                # unpacked without a copy of its bytes
-                rows.append((kind, p, pickle.loads(payload.as_buffer())))
+                rows.append((kind, p, _loaded(payload)))
         if rows:
             yield from done()
 
@@ -237,31 +242,24 @@ def _met(rows: list[tuple[int, object]]) -> tuple[bytes, bytes]:
     """Rows (kind, payload) of one chunk in order of segments -> its texts' keys, token counts,
     base sums, known tokens, distinct codes of levels, and the code's number of each token;
     and the codes with the number of training tokens of each."""
-    keys, counts, train, kinds, word = next(pickle.loads(x.as_buffer()) for kind, x in rows if kind == 2)
+    keys, counts, train, kinds, word = next(_loaded(x) for kind, x in rows if kind == 2)
     counts = counts.astype(np.int64)
-    base, known = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
-    for kind, x in rows:
-        if kind == 5:
-            a, b = pickle.loads(x.as_buffer())
-            base += a
-            known += b
-    # segments are ranges of hashes, so their levels follow each other in order of the hashes
-    u, b = (np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for kind, x in rows if kind == k]).astype(np.uint32) for k in (6, 7))
-    context = np.empty_like(word)
-    context[1:] = word[:-1]
-    context[np.cumsum(counts) - counts] = np.searchsorted(kinds, mix(np.array([_END]))[0])
-    g = pair_hash(kinds[context], kinds[word])
-    order = np.argsort(g, kind="stable")
-    first = _runs(g[order])
+    # segments are ranges of hashes, so what they send back is in order of the hashes
+    words, pairs = ([_loaded(x) for kind, x in rows if kind == k] for k in (6, 7))
+    u, b = (np.concatenate([x[0] for x in back]).astype(np.uint32) for back in (words, pairs))
+    c = np.concatenate([x[1].astype(np.float64) for x in words])
+    base, known = row_sums(np.log10(c + 0.1)[word], counts), row_sums((c > 0)[word], counts)
+    context, g, order, first = _bigrams(kinds, word, counts)
     both = np.empty(len(g), np.uint32)
     both[order] = np.repeat(b, np.diff(np.concatenate([first, [len(g)]])))
+    del g, order
     codes, at = np.unique(u[context] << np.uint32(16) | both << np.uint32(8) | u[word], return_inverse=True)
     many = np.bincount(at[np.repeat(train, counts)], minlength=len(codes))
-    return pickle.dumps((keys, counts, base, known, codes, _small(at)), 5), pickle.dumps((codes, _small(many)), 5)
+    return _dumped((keys, counts, base, known, codes, _small(at))), _dumped((codes, _small(many)))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kinds 2, 5, 6, 7 sorted by chunk and segment -> one row a chunk."""
+    """Rows of kinds 2, 6, 7 sorted by chunk and segment -> one row a chunk."""
     now, rows = None, []
 
     def done() -> pa.RecordBatch:
@@ -309,6 +307,8 @@ def filled(bits: int, probes: int, *entries: tuple[np.ndarray, np.ndarray, int])
 
 def probed(region: np.ndarray, h: np.ndarray, salt: int, most: int, probes: int) -> np.ndarray:
     """The highest level up to which all are found: 0 if not even the first."""
+    if len(h) > _PROBED:
+        return np.concatenate([probed(region, h[k : k + _PROBED], salt, most, probes) for k in range(0, len(h), _PROBED)])
     out = np.zeros(len(h), np.int64)
     alive = np.arange(len(h))
     for level in range(1, most + 1):
@@ -383,7 +383,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Numbers of training tokens by code, summed over the chunks of a task."""
     codes, many = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
-        each = [pickle.loads(x.as_buffer()) for x in batch.column(0)]
+        each = [_loaded(x) for x in batch.column(0)]
         if each:
             codes, many = _merged([codes, *(c.astype(np.int64) for c, _ in each)], [many, *(m for _, m in each)])
     yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(many)], names=["code", "many"])
@@ -396,11 +396,13 @@ def train(docs: DataFrame, *, text_col: str = "text", train_col: str = "train",
     source = docs.select("dk", F.col(train_col).alias("train"), F.col(text_col).alias("text"))
     parts = source.rdd.getNumPartitions()
     segments = 1 << max(2, (max(1, parts) - 1).bit_length())  # at most an input split each
-    dealt = source.mapInArrow(_count(segments), _ROWS).repartition(segments, "seg").sortWithinPartitions("seg")
+    texts = stored(source.mapInArrow(_count, "p long, payload binary"), folder, "texts")
+    dealt = texts.mapInArrow(_dealt(segments), _ROWS).repartition(segments, "seg").sortWithinPartitions("seg")
     summed = stored(dealt.mapInArrow(_sum_segments(probes), _ROWS), folder, "segments")
     n, v = (float(x or 0) for x in summed.where("kind = 4").agg(F.sum("n"), F.sum("v")).first())
     model = LogFrequencyFilter(segments, probes, summed.where("kind = 4").select("seg", "payload"), n, v)
-    back = summed.where("kind <> 4").repartition(max(1, parts), "p").sortWithinPartitions("p", "seg")
+    back = summed.where("kind <> 4").select("seg", "kind", "p", "payload").unionByName(texts.selectExpr("-1 as seg", "2 as kind", "p", "payload"))
+    back = back.repartition(max(1, parts), "p").sortWithinPartitions("p", "seg")
     chunks = stored(back.mapInArrow(_chunks, "payload binary, seen binary"), folder, "chunks")
     tally = chunks.select("seen").mapInArrow(_tally, "code long, many long").groupBy("code").agg(F.sum("many").alias("many")).where("many > 0").toArrow()
     model.shares = fitted_shares(*(c.to_numpy() for c in tally.columns), n, v)
@@ -411,7 +413,7 @@ def _scores(shares: np.ndarray, n: float, v: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
-                keys, counts, base, known, codes, at = pickle.loads(x.as_buffer())
+                keys, counts, base, known, codes, at = _loaded(x)
                 p, both, up, context = parts_of(codes, n, v)
                 s = shares[context]
                 score = row_sums(np.log10(s * both / up + (1 - s) * p)[at], counts)

@@ -307,6 +307,29 @@ def test_lm_shares_come_from_every_training_text(spark):
     assert all(m.shares[0] == 0 for m in found) and np.allclose(found[0].shares[top[0]], found[1].shares[top[0]], atol=0.01)
 
 
+def test_lm_levels_are_exact_in_a_sparse_filter(spark):
+    rng = np.random.default_rng(2)
+    texts = [(k, " ".join(f"x{v}" for v in rng.zipf(1.5, 80) % 40), None, None, 0) for k in range(60)]
+    model, _ = lm.train(spark.createDataFrame(texts, DOC).select("text", F.xxhash64("doc_id").alias("dk"), F.lit(True).alias("train")))
+    seen = Counter(w for _, t, *_ in texts for w in words(t))
+    for w, n in seen.items():
+        raw = np.frombuffer(w.encode(), np.uint8)
+        level = model.levels(lm.span_hashes(raw, np.array([0]), np.array([len(raw)])), 1, 100)[0]
+        assert lm._UNI[level - 1] <= n < lm._UNI[level]
+
+
+def test_lm_credits_bigrams_seen_once(spark):
+    train = " ".join(f"once{k}" for k in range(400))
+    rest = " ".join(f"once{(7 * k) % 400}" for k in range(400))
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 10 == 0][:2]
+    filler = [(k, " ".join(f"a{(k * j) % 97} b{(k * j) % 97}" for j in range(60))) for k in range(400) if zlib.crc32(str(k).encode()) % 10]
+    rows = [(ids[0], train), (ids[1], rest), (filler[0][0], train), *filler[1:]]
+    out = {r.doc_id: r for r in lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[ids[0]].held_out and out[ids[1]].held_out
+    assert math.isclose(out[ids[0]].base_score, out[ids[1]].base_score, rel_tol=1e-9)
+    assert out[ids[0]].score > out[ids[1]].score + 100
+
+
 # ---------------------------------------------------------------- 6
 
 
