@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir`` that goes when the application ends; a
-    local one is set only where that setting is absent."""
+    local one is set only where that setting is absent and all runs in one process."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="seqspan-")
         sc.setCheckpointDir(base)
     path = sc._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/work-{uuid.uuid4().hex}")
