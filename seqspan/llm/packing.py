@@ -7,7 +7,7 @@ size that the bin could be cut down to over the tokens that could fill it, given
 still to come.  At the end each bin is cut down to the smallest size that holds its contents.
 
 Nulls: a null text (or length) is empty; texts without words get one row of length 0 and no
-bin; a null id is kept as it is.  Repeated rows are packed as often as they stand, ties in
+bin; a null id is kept as it is; ids are of any type that sorts.  Repeated rows are packed as often as they stand, ties in
 length go by id (null first) and piece.  Columns beside id and text (or length) are not
 read.  Empty table: empty result.
 """
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqspan.llm.common import stored, work_dir
 from seqspan.llm.mixing import word_count
@@ -87,14 +88,15 @@ def pack_lengths(lengths: DataFrame, *, id_col: str = "doc_id", length_col: str
         raise ValueError("capacities must be positive")
     spark, top = lengths.sparkSession, caps[-1]
     size = F.coalesce(F.col(length_col), F.lit(0)).cast("long")
-    rows = lengths.select(F.col(id_col).cast("long").alias("id"), size.alias("n"))
-    if rows.where("n < 0").limit(1).count():
-        raise ValueError("a length is negative")
+    rows = lengths.select(F.col(id_col).alias("id"), size.alias("n"))
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / top), F.lit(1)) - 1)))
     start = F.col("piece") * top
     pieces = pieces.select("id", "piece", start.alias("start"), F.least(F.lit(top), F.col("n") - start).alias("length"))
     pieces = stored(pieces, work_dir(spark), "pieces")
-    shards = max(1, -(-pieces.count() // shard_pieces))
+    many, least = pieces.agg(F.count("*"), F.min("length")).first()
+    if many and least < 0:
+        raise ValueError("a length is negative")
+    shards = max(1, -(-many // shard_pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches) if (batches := list(batches)) else None  # about shard_pieces rows
@@ -110,8 +112,8 @@ def pack_lengths(lengths: DataFrame, *, id_col: str = "doc_id", length_col: str
             table = table.append_column(name, pa.array(np.concatenate([v, np.zeros(k, np.int64)]), pa.int64(), mask=~some))
         yield from table.to_batches(max_chunksize=20_000)
 
-    out = pieces.repartition(shards).mapInArrow(run, "id long, piece long, start long, length long, bin_id long, capacity long, offset long")
-    return out.withColumnRenamed("id", id_col)
+    added = [T.StructField(c, T.LongType()) for c in ("bin_id", "capacity", "offset")]
+    return pieces.repartition(shards).mapInArrow(run, T.StructType([*pieces.schema.fields, *added])).withColumnRenamed("id", id_col)
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
