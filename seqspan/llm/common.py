@@ -39,10 +39,13 @@ _POWERS_INV = np.cumprod(np.full(_HASH_SPAN + 1, _P_INV, np.uint64))  # an empty
 def work_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; it goes when the application ends.
 
-    Only where that setting is absent (tests on one machine) a local folder is set."""
+    Only where that setting is absent and all runs in one process (tests) a local folder is
+    set; a cluster without it is an error."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="seqspan-")
         sc.setCheckpointDir(base)
     path = sc._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/seqspan-{uuid.uuid4().hex}")
@@ -94,7 +97,20 @@ def crc_remainder_of(value, n: int) -> int:
 def fresh(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without columns that an operator is about to add (the operator's win)."""
     low = {x.lower() for x in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
+    return df.select(*[c for c, name in zip(columns_of(df), df.columns, strict=True) if name.lower() not in low])
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns; their names may hold dots and backticks."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 # ---------------------------------------------------------------- words

@@ -4,18 +4,22 @@ Lines are compared as lower-cased words.  Documents are paired by runs: from eac
 shortest run of neighbouring lines (blank ones do not count) forwards and backwards of at
 least ``min_block_words`` words.  Every repeated block is made up of such runs, so none is
 missed: a rare run (in at most ``rare_docs`` documents) pairs each holder with every earlier
-one; a more frequent run pairs each holder with its first holder, which holds all of it, so
-pairs grow with the lines and groups of any size are found.  Each pair is aligned by patience diff; runs of lines
-that are neighbours in both (blank lines do not count) and hold at least ``min_block_words``
-words are deleted from the later document.  An alignment gives each line one partner in one
-order, so a passage held twice or in another order can be left over: every run of the later
-document that the earlier one holds anywhere is deleted as well.  Of every line text the
-first holder keeps it.
-
-Earlier means a smaller id.  Nulls: a row without an id is left as it is; a null text stays
-null.  Rows of equal id are one document: none is later, they are not compared with each
-other.  Empty texts have no lines with words.  A document may end up empty; its row stays.
-Columns named like the results are replaced.  Empty table: empty result.
+one; a more frequent run pairs each holder with its first holder, so pairs grow with the
+lines and groups of any size are found.
+
+A pair is aligned by patience diff over the runs that both hold, in the order of their
+lines; the aligned blocks are deleted from the later document, blank lines inside included.
+An alignment gives each run one partner in one order, so a passage held twice or in another
+order is left over.  Aligning what is left again and again would take every shared run in the
+end; they go in one step and are told apart as moved.  Of every passage the first holder
+keeps it.  Only places of shared runs travel, never whole documents, so a long first holder
+costs no more than a short one.
+
+Earlier means a smaller id (of any type that sorts).  Nulls: a row without an id is left as
+it is; a null text stays null.  Rows of equal id are one document: none is later, they are
+not compared with each other.  Empty texts have no lines with words.  A document may end up
+empty; its row stays.  Columns named like the results are replaced.  Empty table: empty
+result.
 """
 
 from __future__ import annotations
@@ -29,12 +33,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqspan.llm.common import LOWER, fresh, mix, span_hashes, spread_join, stored, text_slices, words_of, work_dir
+from seqspan.llm.common import LOWER, columns_of, fresh, mix, spare, span_hashes, spread_join, stored, text_slices, words_of, work_dir
 from seqspan.llm.rules import lines_of
 
 _B = np.uint64(0xA0761D6478BD642F)
 _B_INV = np.uint64(pow(0xA0761D6478BD642F, -1, 1 << 64))
-LINES = T.StructType([T.StructField(x, T.ArrayType(T.LongType())) for x in ("hashes", "words", "runs")])
+RUNS = T.StructType([T.StructField("h", T.ArrayType(T.LongType())), T.StructField("at", T.ArrayType(T.ArrayType(T.IntegerType())))])
 
 
 def line_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,12 +57,13 @@ def line_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.where(count > 0, h, np.uint64(0)), count, per_row
 
 
-def run_hashes(hashes: np.ndarray, words: np.ndarray, per_row: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shortest runs of at least ``least`` words from each line with words, first
-    forwards, then backwards, row after row; runs per row."""
+def runs_of(hashes: np.ndarray, words: np.ndarray, per_row: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """The shortest runs of at least ``least`` words from each line with words, forwards and
+    backwards: row, hash, first and last line number within the row, in that order, each once."""
     some = hashes != 0
-    row = np.repeat(np.arange(len(per_row)), per_row)[some]
-    h, n = hashes[some], words[some].astype(np.int64)
+    row = np.repeat(np.arange(len(per_row)), per_row)
+    number = (np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row))[some]
+    row, h, n = row[some], hashes[some], words[some].astype(np.int64)
     past = np.cumsum(n)
     before = past - n
     at, least = np.arange(len(h)), max(1, least)
@@ -72,29 +77,36 @@ def run_hashes(hashes: np.ndarray, words: np.ndarray, per_row: np.ndarray, least
     power, back = (np.cumprod(np.full(len(h) + 1, x, np.uint64)) for x in (_B, _B_INV))
     total = np.concatenate([[np.uint64(0)], np.cumsum(h * power[: len(h)], dtype=np.uint64)])
     out = mix((total[b + 1] - total[a]) * back[a] + (b + 1 - a).astype(np.uint64))
-    order = np.argsort(row[a], kind="stable")
-    return np.where(out == 0, np.uint64(1), out)[order], np.bincount(row[a], minlength=len(per_row))
+    order = np.lexsort((b, a, out, row[a]))
+    a, b, out = a[order], b[order], out[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b, out = a[new], b[new], out[new]
+    return row[a], out, number[a], number[b]
 
 
-def lines(text: Column, least: int) -> Column:
+def runs(text: Column, least: int) -> Column:
+    """Of each text: hashes of its runs, and of each the lines (first, last, first, last, ...)."""
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in batches:
-            hashes, words, rows, runs, run_rows = [], [], [], [], []
-            for _, _, data, offs in text_slices(array):
-                h, w, n = line_hashes(data, offs)
-                hashes.append(h.view(np.int64))
-                words.append(w.astype(np.int64))
-                rows.append(n)
-                r, n = run_hashes(h, w, n, least)
-                runs.append(r.view(np.int64))
-                run_rows.append(n)
-            edge, run_edge = (pa.array(np.concatenate([[0], np.cumsum(np.concatenate(x))]) if x else [0], pa.int32()) for x in (rows, run_rows))
-            cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-            parts = [pa.ListArray.from_arrays(edge, cat(hashes)), pa.ListArray.from_arrays(edge, cat(words)), pa.ListArray.from_arrays(run_edge, cat(runs))]
-            yield pa.StructArray.from_arrays(parts, names=LINES.names)
+            h, spans, per_row, per_h = [], [], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+            for i, j, data, offs in text_slices(array):
+                hashes, words, n = line_hashes(data, offs)
+                row, out, first, last = runs_of(hashes, words, n, least)
+                new = np.ones(len(out), bool)
+                new[1:] = (out[1:] != out[:-1]) | (row[1:] != row[:-1])
+                h.append(out[new].view(np.int64))
+                spans.append(np.stack([first, last], 1).ravel().astype(np.int32))
+                per_row.append(np.bincount(row[new], minlength=j - i))
+                per_h.append(2 * np.diff(np.append(np.flatnonzero(new), len(out))))
+            cat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t))
+            edge, inner = (pa.array(np.cumsum(np.concatenate(x)), pa.int32()) for x in (per_row, per_h))
+            at = pa.ListArray.from_arrays(inner, cat(spans, np.int32))
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(edge, cat(h, np.int64)), pa.ListArray.from_arrays(edge, at)], names=RUNS.names)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, LINES)(text)
+    return F.arrow_udf(run, RUNS)(text)
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -143,77 +155,48 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def shortest_runs(words: list[int], least: int) -> set[tuple[int, int]]:
-    """(first, past last) of the shortest runs of at least ``least`` words from each place,
-    forwards and backwards."""
-    least = max(1, least)
-    out, total, e = set(), 0, 0
-    for i, n in enumerate(words):
-        while e < len(words) and total < least:
-            total += words[e]
-            e += 1
-        if total < least:
-            break
-        out.add((i, e))
-        total -= n
-    total, i = 0, len(words)
-    for e in range(len(words), 0, -1):
-        while i > 0 and total < least:
-            i -= 1
-            total += words[i]
-        if total < least:
-            break
-        out.add((i, e))
-        total -= words[e - 1]
-    return out
-
-
-def repeated_runs(a: list[int], b: list[int], words: list[int], least: int) -> list[tuple[int, int]]:
-    """Runs of ``b`` of at least ``least`` words that stand somewhere in ``a``: the shortest
-    ones, which together cover all others."""
-    size = dict(zip(b, words, strict=True))
-    held, start = set(), 0
-    for end in [*(k for k, h in enumerate(a) if h not in size), len(a)]:
-        part = a[start:end]
-        held |= {tuple(part[i:e]) for i, e in shortest_runs([size[h] for h in part], least)}
-        start = end + 1
-    return [(i, e) for i, e in shortest_runs(words, least) if tuple(b[i:e]) in held] if held else []
-
-
-def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
-    """Line numbers of ``b`` in aligned blocks and repeated runs of at least ``min_words`` words,
-    blank lines inside a block included."""
-    here = [k for k, h in enumerate(b) if h]
-    mine = [b[k] for k in here]
-    theirs = [h for h in a if h]
-    matched = patience(theirs, mine)
-    out, k = set(), 0
-    while k < len(matched):
-        e = k + 1
-        while e < len(matched) and matched[e][0] == matched[e - 1][0] + 1 and matched[e][1] == matched[e - 1][1] + 1:
-            e += 1
-        first, last = here[matched[k][1]], here[matched[e - 1][1]]
-        if sum(words[here[matched[i][1]]] for i in range(k, e)) >= min_words:
-            out.update(range(first, last + 1))
-        k = e
-    for i, e in repeated_runs(theirs, mine, [words[k] for k in here], min_words):
-        out.update(range(here[i], here[e - 1] + 1))
-    return sorted(out)
-
-
-def _aligned(min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, gone = [], []
-            d, one, two, words = (batch.column(k) for k in range(4))
-            for k in range(batch.num_rows):
-                found = common_blocks(one[k].values.to_numpy().tolist(), two[k].values.to_numpy().tolist(), words[k].values.to_numpy().tolist(), min_words)
-                if found:
-                    keys.append(d[k].as_py())
-                    gone.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["d", "gone"])
-
-    return run
+def common_blocks(shared: list[tuple[int, int, list[int]]]) -> tuple[set[int], set[int]]:
+    """``shared`` runs (hash, first line in the earlier document, lines in the later one) ->
+    lines of the later document in aligned blocks, and those in runs left over."""
+    theirs = [h for _, h in sorted((line, h) for h, line, _ in shared)]
+    mine = sorted((at[k], at[k + 1], h) for h, _, at in shared for k in range(0, len(at), 2))
+    in_order = {k for _, k in patience(theirs, [h for *_, h in mine])}
+    aligned: set[int] = set()
+    rest: set[int] = set()
+    for k, (first, last, _) in enumerate(mine):
+        (aligned if k in in_order else rest).update(range(first, last + 1))
+    return aligned, rest
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (d, a, h, line, at) sorted by d and a -> (d, gone, moved)."""
+    now: tuple[int, int] | None = None
+    shared: list[tuple[int, int, list[int]]] = []
+    aligned: set[int] = set()
+    rest: set[int] = set()
+
+    def pair() -> None:
+        for whole, part in zip((aligned, rest), common_blocks(shared), strict=True):
+            whole.update(part)
+        shared.clear()
+
+    def document(d: int) -> pa.RecordBatch:
+        lists = [pa.array([sorted(x)], pa.list_(pa.int32())) for x in (aligned | rest, rest - aligned)]
+        aligned.clear()
+        rest.clear()
+        return pa.RecordBatch.from_arrays([pa.array([d], pa.int64()), *lists], names=["d", "gone", "moved"])
+
+    for batch in batches:
+        for d, a, h, line, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now is not None and now != (d, a):
+                pair()
+                if now[0] != d:
+                    yield document(now[0])
+            now = d, a
+            shared.append((h, line, at))
+    if now is not None:
+        pair()
+        yield document(now[0])
 
 
 def _without(text: Column, gone: Column) -> Column:
@@ -234,42 +217,52 @@ def _without(text: Column, gone: Column) -> Column:
     return F.arrow_udf(run, T.StringType())(text, gone)
 
 
-def shared_pairs(table: DataFrame, folder: str, rare_docs: int) -> DataFrame:
-    """``table(dk, id, runs)`` -> distinct ``(a, d)``: document keys, a earlier."""
-    held = stored(table.select(F.explode(F.array_distinct("runs")).alias("h"), "id", "dk"), folder, "held")
-    met = held.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "dk")).alias("first")).where("n > 1")
+def shared_runs(table: DataFrame, folder: str, rare_docs: int) -> DataFrame:
+    """``table(dk, id, runs)`` -> ``(a, d, h, line, at)``: runs that an earlier document a and
+    a later one d hold, a's first line of it, d's lines."""
+    each = table.select("dk", "id", F.explode(F.arrays_zip("runs.h", "runs.at")).alias("r"))
+    held = stored(each.select(F.col("r.h").alias("h"), "id", "dk", F.col("r.at").alias("at")), folder, "held")
+    met = held.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "dk", F.col("at")[0].alias("line"))).alias("first")).where("n > 1")
     met = stored(met, folder, "met")
-    both = spread_join(held, met, "h")
-    to_first = both.where("first.id < id").select(F.col("first.dk").alias("a"), F.col("dk").alias("d"))
+    both = spread_join(held, met.where(F.col("n") > rare_docs), "h").where("first.id < id")
+    to_first = both.select(F.col("first.dk").alias("a"), F.col("dk").alias("d"), "h", F.col("first.line").alias("line"), "at")
     # at most rare_docs holders a run, so the lists are short
-    few = held.join(met.where(F.col("n") <= rare_docs).select("h"), "h").groupBy("h").agg(F.collect_list(F.struct("id", "dk")).alias("x"))
-    each = few.select(F.explode("x").alias("later"), "x").select("later", F.explode("x").alias("earlier"))
-    rare = each.where("earlier.id < later.id").select(F.col("earlier.dk").alias("a"), F.col("later.dk").alias("d"))
-    return to_first.unionByName(rare).distinct()
-
-
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_block_words: int = 20, rare_docs: int = 8) -> DataFrame:
-    """``docs`` with the repeated blocks cut from ``text_col``, n_lines and deleted_lines
-    (numbers of the deleted lines of the original text; empty if none)."""
-    spark = docs.sparkSession
-    folder = work_dir(spark)
-    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
-    table = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(key.alias("dk"), F.col(id_col).cast("long").alias("id"), lines(F.col(text_col), min_block_words).alias("l"))
-    table = stored(table.select("dk", "id", "l.hashes", "l.words", "l.runs"), folder, "lines")
-    one_each = stored(table.dropDuplicates(["dk"]), folder, "documents")
-    pairs = stored(shared_pairs(one_each, folder, rare_docs), folder, "pairs")
-    with_a = spread_join(pairs, one_each.select(F.col("dk").alias("a"), F.col("hashes").alias("a_h")), "a").drop("a")
-    with_d = spread_join(with_a, one_each.select(F.col("dk").alias("d"), F.col("hashes").alias("d_h"), "words"), "d")
-    cut = with_d.select("d", "a_h", "d_h", "words").mapInArrow(_aligned(min_block_words), "d long, gone array<int>")
-    cut = stored(cut.groupBy("d").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("_gone")), folder, "cut")
-    rest = fresh(docs, ["n_lines", "deleted_lines", "_gone", "_dk", "_cut", "_text"]).withColumn("_dk", F.when(F.col(id_col).isNotNull(), key))
-    cut = cut.withColumnRenamed("d", "_cut").hint("shuffle_hash")
-    joined = rest.join(cut, F.col("_dk") == F.col("_cut"), "left").drop("_dk", "_cut")
-    some = F.col("_gone").isNotNull()
-    text = F.when(some, _without(F.when(some, F.col(text_col)), F.col("_gone"))).otherwise(F.col(text_col))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(text_col, F.lit("\n")) + 1)
-    out = joined.select("*", text.alias("_text"), n_lines.cast("long").alias("n_lines"), F.coalesce("_gone", F.array().cast("array<int>")).alias("deleted_lines"))
-    return out.select(*[F.col("_text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in rest.columns if c != "_dk"], "n_lines", "deleted_lines")
+    few = held.join(met.where(F.col("n") <= rare_docs).select("h"), "h").groupBy("h").agg(F.collect_list(F.struct("id", "dk", "at")).alias("x"))
+    pairs = few.select("h", F.explode("x").alias("later"), "x").select("h", "later", F.explode("x").alias("earlier")).where("earlier.id < later.id")
+    rare = pairs.select(F.col("earlier.dk").alias("a"), F.col("later.dk").alias("d"), "h", F.col("earlier.at")[0].alias("line"), F.col("later.at").alias("at"))
+    return to_first.unionByName(rare)
+
+
+def cut_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_block_words: int = 20, rare_docs: int = 8) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, and its name: null, or the numbers of the lines to delete
+    (``gone``) and those of them outside the alignments (``moved``)."""
+    folder = work_dir(docs.sparkSession)
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    table = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    table = table.select(key.alias("dk"), F.col(id_col).alias("id"), runs(F.col(text_col), min_block_words).alias("runs"))
+    one_each = stored(table.where(F.size("runs.h") > 0).dropDuplicates(["dk"]), folder, "documents")
+    shared = shared_runs(one_each, folder, rare_docs).select("d", "a", "h", "line", "at")
+    found = shared.repartition("d").sortWithinPartitions("d", "a").mapInArrow(_aligned, "d long, gone array<int>, moved array<int>")
+    dk, cut = spare(docs, "dk"), spare(docs, "cut")
+    found = stored(found, folder, "cut").select(F.col("d").alias(dk), F.struct("gone", "moved").alias(cut)).hint("shuffle_hash")
+    return docs.withColumn(dk, F.when(F.col(id_col).isNotNull(), key)).join(found, dk, "left").drop(dk), cut
+
+
+def shortened(text_col: str, cut: str) -> Column:
+    """The text without the lines to delete; as it is where there are none."""
+    some = F.col(cut).isNotNull()
+    return F.when(some, _without(F.when(some, F.col(text_col)), F.col(cut)["gone"])).otherwise(F.col(text_col))
+
+
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with the repeated blocks cut from ``text_col``, n_lines, deleted_lines (their
+    numbers in the original text; empty if none) and moved_lines (those outside alignments)."""
+    added = ["n_lines", "deleted_lines", "moved_lines"]
+    joined, cut = cut_lines(fresh(docs, added), id_col=id_col, text_col=text_col, **options)
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(text_col, F.lit("\n")) + 1).cast("long")
+    lists = [F.coalesce(F.col(cut)[x], F.array().cast("array<int>")) for x in ("gone", "moved")]
+    kept = [shortened(text_col, cut).alias(name) if name == text_col else c for c, name in zip(columns_of(joined), joined.columns, strict=True) if name != cut]
+    return joined.select(*kept, *[c.alias(x) for c, x in zip([n_lines, *lists], added, strict=True)])
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

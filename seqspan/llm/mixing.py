@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqspan.llm.common import fresh, stored, work_dir
+from seqspan.llm.common import columns_of, spare, stored, work_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 _LEVEL = 12  # bits of one bucket level, of 60 hash bits
@@ -114,10 +114,12 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", source_col: str
     folder = work_dir(docs.sparkSession)
     size, h = word_count(F.col(text_col)), unit_hash(F.col(id_col))
     sizes = stored(docs.select(F.col(source_col).alias("source"), size.alias("size"), h.alias("h")), folder, "sizes")
-    cut = thresholds(sizes, folder, weights, max_passes).select(F.col("source").alias("_s"), F.col("passes").alias("_passes"), F.col("upto").alias("_upto"))
-    joined = docs.join(cut, F.col(source_col).eqNullSafe(F.col("_s")))
-    copies = F.when(size > 0, F.col("_passes") + (h <= F.col("_upto")).cast("long")).otherwise(0)
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[joined[c] for c in docs.columns])
+    at = spare(docs, "at")
+    cut = thresholds(sizes, folder, weights, max_passes).select(F.struct("source", "passes", "upto").alias(at))
+    joined = docs.join(cut, F.col(source_col).eqNullSafe(F.col(at)["source"]))
+    copies = F.when(size > 0, F.col(at)["passes"] + (h <= F.col(at)["upto"]).cast("long")).otherwise(0)
+    again = F.explode(F.array_repeat(F.lit(1), copies.cast("int")))
+    return joined.select("*", again.alias(spare(joined, "copy"))).select(*columns_of(docs))
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

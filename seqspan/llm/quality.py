@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,8 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_class
     return train_ftrl(*sample)
 
 
-def scored(docs: DataFrame, model: dict, *, text_col: str = "text", keep_above: float = 0.3) -> DataFrame:
-    """``docs`` with ``score`` (likelihood of label 1) and ``predicted`` (score >= keep_above)."""
+def score(docs: DataFrame, model: dict, text_col: str = "text") -> Column:
+    """The likelihood of label 1."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**DIM_BITS floats: a fixed size
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -130,11 +130,20 @@ def scored(docs: DataFrame, model: dict, *, text_col: str = "text", keep_above:
             yield pa.array(score_array(array, sent.value))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    udf = F.arrow_udf(run, T.DoubleType())
-    out = fresh(docs, ["score", "predicted"]).withColumn("score", udf(F.col(text_col)))
+    return F.arrow_udf(run, T.DoubleType())(F.col(text_col))
+
+
+def scored(docs: DataFrame, model: dict, *, text_col: str = "text", keep_above: float = 0.3) -> DataFrame:
+    """``docs`` with ``score`` (likelihood of label 1) and ``predicted`` (score >= keep_above)."""
+    out = fresh(docs, ["score", "predicted"]).withColumn("score", score(docs, model, text_col))
     return out.withColumn("predicted", (F.col("score") >= keep_above).cast("int"))
 
 
+def accepted(docs: DataFrame, model: dict, *, text_col: str = "text", keep_above: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that ``scored`` gives predicted 1; no column is added or replaced."""
+    return docs.where(score(docs, model, text_col) >= keep_above)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqspan.llm.common import spread_join, stored, text_buffers, work_dir
+from seqspan.llm.common import spare, spread_join, stored, text_buffers, work_dir
 from seqspan.llm.components import connected_components
 
 _CHUNK = 1 << 15
@@ -184,14 +184,20 @@ def fingerprint_links(fps: DataFrame, folder: str, max_bits: int = 3, blocks: in
     return dealt.mapInArrow(_linked(max_bits, check_bits), "a long, b long").distinct()
 
 
-def component_ids(least: DataFrame, links: DataFrame, folder: str) -> DataFrame:
-    """``least(node, least)`` and links ``(a, b)`` -> ``(node, component_id)``."""
+def class_roots(nodes: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """``nodes(node, ...)`` with ``root``: the same for all nodes that links ``(a, b)`` connect."""
     roots = connected_components(links, folder)
     # a node without links is its own root
-    labelled = least.join(roots.withColumnRenamed("node", "n"), least.node == F.col("n"), "left")
-    labelled = stored(labelled.select("node", "least", F.coalesce("root", "node").alias("root")), folder, "labelled")
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return stored(spread_join(labelled, smallest, "root").select("node", "component_id"), folder, "classes")
+    labelled = nodes.join(roots.withColumnRenamed("node", "n"), nodes.node == F.col("n"), "left").drop("n")
+    return stored(labelled.withColumn("root", F.coalesce("root", "node")), folder, "labelled")
+
+
+def fingerprint_table(docs: DataFrame, folder: str, id_col: str, text_col: str, width: int, check_bits: int) -> DataFrame:
+    """``(id, key, node, fp[, fp1])``: node names the fingerprint, key the id and text of a row."""
+    print_ = fingerprints(F.col(text_col), width, (42, 43) if check_bits else (42,))
+    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), print_.alias("p")).select("id", "key", "p.*")
+    words = [c for c in slim.columns if c not in ("id", "key")]
+    return stored(slim.withColumn("node", F.xxhash64(*words) if check_bits else F.col("fp")), folder, "fp")
 
 
 def near_duplicates(
@@ -199,31 +205,43 @@ def near_duplicates(
     check_bits: int = 0, tile_rows: int = 4096,
 ) -> DataFrame:
     """One row per document: its id, ``fingerprint`` (hex) and ``component_id`` (the smallest
-    id reachable over links).  Other columns are not read."""
+    id reachable over links).  Ids are of any type that sorts.  Other columns are not read."""
     folder = work_dir(docs.sparkSession)
-    print_ = fingerprints(F.col(text_col), width, (42, 43) if check_bits else (42,))
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), print_.alias("p")).select("id", "p.*")
-    words = [c for c in slim.columns if c != "id"]
-    slim = stored(slim.withColumn("node", F.xxhash64(*words) if check_bits else F.col("fp")), folder, "fp")
+    slim = fingerprint_table(docs, folder, id_col, text_col, width, check_bits)
+    words = [c for c in slim.columns if c.startswith("fp")]
     least = stored(slim.groupBy("node", *words).agg(F.min("id").alias("least")), folder, "least")
     links = fingerprint_links(least.select("node", *words), folder, max_bits, blocks, check_bits, tile_rows)
-    classes = component_ids(least, links, folder)
+    labelled = class_roots(least.select("node", "least"), links, folder)
+    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = stored(spread_join(labelled, smallest, "root").select("node", "component_id"), folder, "classes")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return spread_join(slim, classes, "node").select(F.col("id").alias(id_col), hexed, "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without near-duplicates: of each component the one with the smallest id
-    stays (of repeated rows of that id one; of components without any id every row)."""
-    return without_later(docs, near_duplicates(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **options), id_col)
-
-
-def without_later(docs: DataFrame, marked: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without those whose id is not the ``component_id`` that ``marked`` gives it."""
-    gone = marked.where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    first = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return first.unionByName(left.where(F.col(id_col).isNull()))
+def keep_one(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3, blocks: int = 6,
+    check_bits: int = 0, tile_rows: int = 4096,
+) -> DataFrame:
+    """The documents without near-duplicates: of each component one row stays, that with the
+    smallest id (a row without an id only where no row has one)."""
+    folder = work_dir(docs.sparkSession)
+    slim = fingerprint_table(docs, folder, id_col, text_col, width, check_bits)
+    nodes = slim.select("node", *[c for c in slim.columns if c.startswith("fp")]).distinct()
+    links = fingerprint_links(nodes, folder, max_bits, blocks, check_bits, tile_rows)
+    return first_of_class(docs, slim, links, folder, id_col, text_col)
+
+
+def first_of_class(docs: DataFrame, rows: DataFrame, links: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each class of ``rows(id, key, node)`` under ``links``.  Rows of one
+    id and text are one document; which of them stays is open.  Rows of one id with unlike
+    texts are documents of their own."""
+    best = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("best"))
+    labelled = class_roots(stored(best, folder, "best"), links, folder)
+    key = spare(docs, "key")
+    kept = labelled.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias(key))
+    # equal rows meet in partial aggregates first, so that no key is a hot one in the join
+    one_each = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col))).dropDuplicates([key])
+    return one_each.join(kept, key, "left_semi").drop(key)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

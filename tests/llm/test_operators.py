@@ -56,24 +56,28 @@ def labels(spark):
 # ---------------------------------------------------------------- 1
 
 
-def plain_line_dedup(rows, least, rare):
-    lines = {i: [tuple(words(lower(x))) for x in t.split("\n")] for i, t in rows}
-    held, number = {}, {}
+def plain_line_dedup(rows, least):
+    """Every run of lines of ``least`` words or more that a document of a smaller id holds is cut."""
+    lines = {i: [(k, w) for k, x in enumerate(t.split("\n")) if (w := tuple(words(lower(x))))] for i, t in rows}
+    first, spans = {}, {}
     for i in sorted(lines):
-        for x in set(lines[i]) - {()}:
-            held.setdefault(x, []).append(i)
-    coded = {i: [number.setdefault(x, len(number) + 1) if x else 0 for x in v] for i, v in lines.items()}
-    pairs = {(a, d) for at in held.values() for k, d in enumerate(at) for a in (at[:k] if len(at) <= rare else at[:1]) if a < d}
-    cut = {i: set() for i in lines}
-    for a, d in pairs:
-        cut[d] |= set(linededup.common_blocks(coded[a], coded[d], [len(x) for x in lines[d]], least))
-    return cut
+        spans[i] = []
+        for a in range(len(lines[i])):
+            total = 0
+            for e in range(a, min(a + least, len(lines[i]))):  # longer runs are made up of such ones
+                total += len(lines[i][e][1])
+                if total >= least:
+                    run = tuple(w for _, w in lines[i][a : e + 1])
+                    first.setdefault(run, i)
+                    spans[i].append((lines[i][a][0], lines[i][e][0], run))
+    return {i: {k for a, e, run in spans[i] if first[run] < i for k in range(a, e + 1)} for i in lines}
 
 
 def test_line_dedup_matches_plain_version(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = plain_line_dedup(rows, 20)
+    assert sum(map(len, want.values())) > 50
     for rare in (1, 8):
-        want = plain_line_dedup(rows, 20, rare)
         out = linededup.dedup_lines(docs, rare_docs=rare).collect()
         assert len(out) == len(rows)
         for r in out:
@@ -97,6 +101,20 @@ def test_line_dedup_cuts_frequent_passages_whose_lines_stand_singly_before(spark
     assert all(out[k] == [] for k in (1, 2, 3, 10)) and all(out[k] == [1, 2, 3] for k in range(11, 31))
 
 
+def test_line_dedup_tells_moved_lines_apart(spark):
+    one, two = ("\n".join(" ".join(f"{p}{k}x{j}" for j in range(11)) for k in range(2)) for p in "pq")
+    rows = [(1, f"{one}\nmiddle of it\n{two}"), (2, f"{two}\nelse\n{one}"), (3, f"new\n{one}\nmiddle\n{two}\n\nend\n{one}")]
+    out = {r.doc_id: (r.deleted_lines, r.moved_lines) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1] == ([], []) and out[2][0] == [0, 1, 3, 4] and len(out[2][1]) == 2
+    assert out[3] == ([1, 2, 4, 5, 8, 9], [])  # document 2 holds the last two in this order
+
+
+def test_line_dedup_ids_of_another_type(spark):
+    text = "\n".join(" ".join(f"p{k}x{j}" for j in range(11)) for k in range(2))
+    df = spark.createDataFrame([("b", text), ("a", text), (None, text)], "doc_id string, text string")
+    assert {(r.doc_id, len(r.deleted_lines)) for r in linededup.dedup_lines(df).collect()} == {("a", 0), ("b", 2), (None, 0)}
+
+
 def test_line_dedup_odd_rows(odd, none):
     out = linededup.dedup_lines(odd.withColumns({k: F.lit("old") for k in ("n_lines", "d", "h", "id", "a")}), min_block_words=5).collect()
     by = [(r.doc_id, r.text, r.n_lines) for r in out]
@@ -333,10 +351,11 @@ def test_lm_credits_bigrams_seen_once(spark):
 # ---------------------------------------------------------------- 6
 
 
-def test_neighbours_recall_and_exact_scores(spark):
+@pytest.mark.parametrize("cell_rows", [60, 8192])
+def test_neighbours_recall_and_exact_scores(spark, cell_rows):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
     x, ids = np.array([r.embedding for r in rows], np.float64), np.array([r.vec_id for r in rows])
-    out = ann.neighbours(spark.createDataFrame(rows), query=F.col("vec_id") % 20 == 0, shard_rows=120, query_rows=9, leaf=16)
+    out = ann.neighbours(spark.createDataFrame(rows), query=F.col("vec_id") % 20 == 0, leaf=16, cell_rows=cell_rows, sample_rows=300)
     got = {}
     for r in out.collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
