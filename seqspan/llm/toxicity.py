@@ -186,17 +186,13 @@ def tree_margin(x: np.ndarray, model: dict) -> np.ndarray:
 
 def isotonic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: knots (margin, probability), both rising."""
-    order = np.argsort(margin, kind="stable")
+    levels, at = np.unique(margin, return_inverse=True)  # rows of one margin are one point
     stack: list[list[float]] = []  # weighted sum, weight, last margin
-    for m, t, w in zip(margin[order], y[order], weight[order], strict=True):
-        if stack and stack[-1][2] == m:
-            stack[-1][0] += t * w
-            stack[-1][1] += w
-        else:
-            stack.append([t * w, w, m])
+    for m, s, w in zip(levels, np.bincount(at, y * weight), np.bincount(at, weight), strict=True):
+        stack.append([s, w, m])
         while len(stack) > 1 and stack[-2][0] * stack[-1][1] >= stack[-1][0] * stack[-2][1]:
-            s, w2, m2 = stack.pop()
-            stack[-1] = [stack[-1][0] + s, stack[-1][1] + w2, m2]
+            s2, w2, m2 = stack.pop()
+            stack[-1] = [stack[-1][0] + s2, stack[-1][1] + w2, m2]
     return np.array([q[2] for q in stack]), np.array([q[0] / q[1] for q in stack])
 
 
