@@ -1,10 +1,11 @@
 """LM scoring with a log-frequency Bloom filter.
 
 One pass cuts every text into tokens (lower-cased words and one end); each chunk of texts
-deals its distinct words and bigrams by hash, with their counts in training texts.  Each segment of hash space sums its share; what is kept goes as quantised counts
-into that segment's region of one filter: a count on level j enters levels 1 to j, and a
-lookup probes rising levels until one is missing.  Levels grow by ``RATIO``.  Words and
-bigrams are kept from count 1 on.
+deals its distinct words and bigrams by hash, with their counts in training texts, so a word
+that stands in every text comes once a chunk.  Each segment of hash space, a partition of its
+own, sums its share and puts it as quantised counts into its region of one filter: a count
+on level j enters levels 1 to j, and a lookup probes rising levels until one is missing.
+Levels grow by ``RATIO``.  Words and bigrams are kept from count 1 on.
 
 A region takes ``probes / ln 2`` bits an entry at every size, so the filter grows with its
 entries and its error rate does not.  It is never brought together: a segment looks up the
@@ -397,7 +398,7 @@ def train(docs: DataFrame, *, text_col: str = "text", train_col: str = "train",
     parts = source.rdd.getNumPartitions()
     segments = 1 << max(2, (max(1, parts) - 1).bit_length())  # at most an input split each
     texts = stored(source.mapInArrow(_count, "p long, payload binary"), folder, "texts")
-    dealt = texts.mapInArrow(_dealt(segments), _ROWS).repartition(segments, "seg").sortWithinPartitions("seg")
+    dealt = texts.mapInArrow(_dealt(segments), _ROWS).repartitionById(segments, F.col("seg")).sortWithinPartitions("seg")
     summed = stored(dealt.mapInArrow(_sum_segments(probes), _ROWS), folder, "segments")
     n, v = (float(x or 0) for x in summed.where("kind = 4").agg(F.sum("n"), F.sum("v")).first())
     model = LogFrequencyFilter(segments, probes, summed.where("kind = 4").select("seg", "payload"), n, v)
