@@ -2,6 +2,7 @@
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqspan.llm import packing, quality, registry, rules, toxicity, urls
+from seqspan.llm import lm, packing, quality, registry, rules, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -99,6 +100,57 @@ def test_rules_kept_follows_the_decoded_labels(spark):
         assert r.kept == (not r.base_failed and content >= 0.5 * sum(counts))
 
 
+# ---------------------------------------------------------------- 5
+
+
+def test_lm_score_matches_a_plain_model(spark):
+    """Counts in dictionaries, quantised by the same levels, shares by the same rule; the filter's
+    rare false hits are all that may differ."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    tokens = {r.doc_id: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")), None] for r in rows}
+    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 10]
+    one = Counter(w for i in train for w in tokens[i])
+    two = Counter(p for i in train for p in zip([None, *tokens[i]], tokens[i]))
+    n, v = sum(one.values()), len(one)
+    starts = [1]
+    while starts[-1] < 1e15:
+        starts.append(max(starts[-1] + 1, int(starts[-1] * lm.RATIO)))
+    level = lambda c: int(np.searchsorted(starts, c, "right"))
+
+    def parts(h, w):
+        low = lambda c: starts[level(c) - 1] if c else 0
+        p = (low(one[w]) + 0.1) / (n + 0.1 * (v + 1))
+        up = max(starts[level(one[h])] - 1, 1) if one[h] else 1
+        both = low(two[h, w]) if one[h] and one[w] else 0
+        return p, min(both, up), up, level(one[h])
+
+    codes = Counter(parts(h, w) for i in train for h, w in zip([None, *tokens[i]], tokens[i]))
+    shares = [0.3] * (len(starts) + 1)
+    for _ in range(8):
+        mine, here = [0.0] * len(shares), [0] * len(shares)
+        for (p, both, up, at), many in codes.items():
+            inside = max(both - 1, 0) / max(up - 1, 1)
+            mine[at] += many * shares[at] * inside / (shares[at] * inside + (1 - shares[at]) * p)
+            here[at] += many
+        seen = [k for k in range(len(shares)) if here[k]]
+        new = [min(0.95, max(0.01, (a + 1) / (b + 10))) for a, b in zip(mine, here)]
+        shares = np.interp(range(len(shares)), seen, [new[k] for k in seen]).tolist()
+    shares[0] = 0.0
+    got = {r.doc_id: r.score for r in lm.scored(docs).collect()}
+    want = {}
+    for i, w in tokens.items():
+        each = [parts(h, x) for h, x in zip([None, *w], w)]
+        want[i] = sum(math.log10(shares[at] * both / up + (1 - shares[at]) * p) for p, both, up, at in each)
+    off = [abs(got[i] - want[i]) / len(tokens[i]) for i in tokens]
+    assert max(off) < 0.25 and np.mean(off) < 0.01
+    assert math.isclose(sum(got.values()), sum(want.values()), rel_tol=2e-3)
+    # a distribution is short of 1 by its rounding alone, and never above it
+    for h in (None, *[w for w, _ in one.most_common(40)][1::13]):
+        total = sum(s * both / up + (1 - s) * p for p, both, up, at in (parts(h, w) for w in one) for s in [shares[at]])
+        assert 1 / lm.RATIO**2 < total <= 1
+
+
 # ---------------------------------------------------------------- 7
 
 
@@ -258,8 +310,6 @@ def test_every_query_returns_its_contract(spark, name):
         table, key = ("pages", "page_id") if name == "op8_url_filter" else ("documents", "doc_id")
         assert Counter(r[key] for r in rows) == Counter(r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect())
     if "held_out" in out.columns:
-        import zlib
-
         n, rest = {"op2_quality_classifier": (5, 0), "op5_lm_score": (10, 0), "op10_toxicity": (4, 2)}[name]
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % n == rest) for r in rows)
     if "predicted" in out.columns:
