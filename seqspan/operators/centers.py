@@ -1,74 +1,50 @@
 """Greedy centers: by ascending id, a member becomes a center iff no earlier center of its
 parent lies within the radius.
 
-Ids are taken in blocks.  A block's members near a center of earlier blocks are settled by a
-join; only the rest meets the sequential rule, at most one block of a parent in one task.
-Equal sequences are settled together, which does not change the centers.
+Members are taken in rounds.  A round takes the first undecided members of every parent,
+compares them with each other by a join, and settles them by the rule; then all other
+undecided members near one of the new centers are dropped by a join.  What a round leaves
+lies beyond every center found so far, so the next round need not look back.  Rounds
+double up to ``most``, so there are about centers / most of them, whatever the number of
+members.  Equal sequences are settled together, which does not change the centers.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqspan.functions.kernel import distance_within
 from seqspan.operators.tables import kept, within_parents
 
+_PER_TASK = 2_000_000  # distances
 
-def edit_distance(a: str, b: str) -> int:
-    """Global unit-cost distance by bit-parallel columns on whole integers (Myers, Hyyro)."""
-    m = len(a)
-    if not m:
-        return len(b)
-    seen: dict[str, int] = {}
-    for i, x in enumerate(a):
-        seen[x] = seen.get(x, 0) | 1 << i
-    mask, top = (1 << m) - 1, 1 << m - 1
-    up, down, score = mask, 0, m
-    for y in b:
-        equal = seen.get(y, 0)
-        vertical = equal | down
-        diagonal = ((equal & up) + up ^ up) | equal
-        gain, loss = down | ~(diagonal | up) & mask, up & diagonal
-        score += (gain & top > 0) - (loss & top > 0)
-        gain, loss = (gain << 1 | 1) & mask, loss << 1 & mask
-        up, down = loss | ~(vertical | gain) & mask, gain & vertical
-    return score
 
+def settled(first: DataFrame, radius: int) -> DataFrame:
+    """The rule over ``first(parent, id, s)``, few rows a parent -> ``(parent, id)`` of centers."""
+    others = first.select("parent", F.col("id").alias("other"), F.col("s").alias("c"))
+    near = within_parents(first, others, 256).where("other < id").where(distance_within(F.col("s"), F.col("c"), radius))
+    before = near.groupBy("parent", "id").agg(F.collect_list("other").alias("near"))
+    every = first.select("parent", "id").join(before, ["parent", "id"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<bigint>")))
+    in_order = every.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("id", "near"))).alias("x"))
+    chosen = F.aggregate("x", F.array().cast("array<bigint>"), lambda found, m: F.when(F.arrays_overlap(found, m["near"]), found).otherwise(F.concat(found, F.array(m["id"]))))
+    return in_order.select("parent", F.explode(chosen).alias("id"))
 
-def greedy(members: list[tuple[int, str]], radius: int) -> list[tuple[int, str]]:
-    """The rule itself over (id, sequence) in ascending order."""
-    found: list[tuple[int, str]] = []
-    for i, s in members:
-        if all(abs(len(s) - len(c)) > radius or edit_distance(s, c) > radius for _, c in found):
-            found.append((i, s))
-    return found
 
-
-def choose_centers(members: DataFrame, radius: int, folder: str, name: str, block_ids: int = 50_000) -> DataFrame:
+def choose_centers(members: DataFrame, radius: int, folder: str, name: str, head: int = 512, most: int = 2048) -> DataFrame:
     """``members(parent, id, s)`` -> ``(parent, child_ordinal, center_id, center_s)``."""
-    first = members.groupBy("parent", "s").agg(F.min("id").alias("id"))
-    first = kept(first.withColumn("block", F.floor(F.col("id") / block_ids)), folder, f"{name}_distinct")
-    blocks = [r[0] for r in first.select("block").distinct().orderBy("block").collect()]  # one number per block
-
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        found = greedy(list(zip(pdf["id"], pdf["s"], strict=True)), radius)
-        return pd.DataFrame({"parent": [pdf["parent"].iloc[0]] * len(found), "id": [i for i, _ in found], "s": [s for _, s in found]})
-
-    schema, centers = "parent long, id long, s string", None
-    for k, block in enumerate(blocks):
-        here = first.where(F.col("block") == block).select("parent", "id", "s")
-        if centers is not None:
-            near = within_parents(here, centers.select("parent", F.col("s").alias("c")))
-            near = near.where(F.levenshtein("s", "c", radius) >= 0).select("parent", "id").distinct()
-            here = here.join(near, ["parent", "id"], "left_anti")
-        new = kept(here.groupBy("parent").applyInPandas(within, schema), folder, f"{name}_block{k}")
-        centers = new if centers is None else centers.unionByName(new)
-    if centers is None:
-        centers = members.sparkSession.createDataFrame([], schema)
-    return kept(ranked(centers), folder, f"{name}_centers")
+    left = kept(members.groupBy("parent", "s").agg(F.min("id").alias("id")).select("parent", "id", "s"), folder, f"{name}_distinct")
+    centers, k = None, 0
+    while left.limit(1).count():
+        place = F.row_number().over(W.partitionBy("parent").orderBy("id"))  # limited before the shuffle
+        first = kept(left.withColumn("place", place).where(F.col("place") <= head).drop("place"), folder, f"{name}_first{k}")
+        new = kept(first.join(settled(first, radius), ["parent", "id"]), folder, f"{name}_new{k}")
+        centers = new if centers is None else kept(centers.unionByName(new), folder, f"{name}_found{k}")
+        near = within_parents(left, new.select("parent", F.col("s").alias("c")), max(1, _PER_TASK // head)).where(distance_within(F.col("s"), F.col("c"), radius))
+        left = kept(left.join(near.select("parent", "id").distinct(), ["parent", "id"], "left_anti"), folder, f"{name}_left{k}")
+        head, k = min(2 * head, most), k + 1
+    return kept(ranked(left if centers is None else centers), folder, f"{name}_centers")
 
 
 def ranked(centers: DataFrame) -> DataFrame:
@@ -81,7 +57,7 @@ def center_edit_calls(members: DataFrame, centers: DataFrame, radius: int) -> Da
     against k centers, another member against those up to the first within the radius."""
     own = centers.select("parent", F.col("center_id").alias("id"))
     texts = members.join(own, ["parent", "id"], "left_anti").groupBy("parent", "s").agg(F.count("*").alias("n"))
-    near = within_parents(texts, centers).where(F.levenshtein("s", "center_s", radius) >= 0)
+    near = within_parents(texts, centers).where(distance_within(F.col("s"), F.col("center_s"), radius))
     calls = near.groupBy("parent", "s").agg(((F.min("child_ordinal") + 1) * F.first("n")).alias("calls"))
     every = calls.select("parent", "calls").unionByName(centers.select("parent", F.col("child_ordinal").alias("calls")))
     return every.groupBy("parent").agg(F.sum("calls").alias("calls"))

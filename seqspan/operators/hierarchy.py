@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from seqspan.config import FORMAT_VERSION, LAYERS, BuildConfig
 from seqspan.functions.sequences import beacon_count, beacon_ordinal, pruning_ratio
+from seqspan.functions.kernel import exact_distance
 from seqspan.operators.centers import center_edit_calls, choose_centers
 from seqspan.operators.tables import kept, within_parents, work_folder
 from seqspan.operators.windows import windows
@@ -48,7 +49,7 @@ def beacon_table(centers: DataFrame, beacons: DataFrame) -> DataFrame:
     """``(parent, child_ordinal, beacon_index, distance)``: all centers by their beacons."""
     chosen = centers.join(beacons, ["parent", "child_ordinal"]).select("parent", "beacon_index", F.col("center_s").alias("beacon_s"))
     pairs = within_parents(centers.select("parent", "child_ordinal", "center_s"), chosen)
-    return pairs.select("parent", "child_ordinal", "beacon_index", F.levenshtein("center_s", "beacon_s").alias("distance"))
+    return pairs.select("parent", "child_ordinal", "beacon_index", exact_distance(F.col("center_s"), F.col("beacon_s")).alias("distance"))
 
 
 def marked_members(members: DataFrame, centers: DataFrame) -> DataFrame:
@@ -65,14 +66,14 @@ def text_distances(marked: DataFrame, centers: DataFrame, beacons: DataFrame, ta
     exceeds the nearest beacon by more than 2T: it can neither be nearest nor near enough."""
     texts = marked.groupBy("parent", "s").agg(F.count_if(~F.col("is_center")).alias("others"))
     split_ = centers.select("parent", "child_ordinal", "center_s").join(beacons, ["parent", "child_ordinal"], "left")
-    first = within_parents(texts, split_.where("beacon_index is not null")).withColumn("d", F.levenshtein("s", "center_s"))
+    first = within_parents(texts, split_.where("beacon_index is not null")).withColumn("d", exact_distance(F.col("s"), F.col("center_s")))
     in_order = lambda d: F.transform(F.array_sort(F.collect_list(F.struct("beacon_index", F.col(d).alias("d")))), lambda x: x["d"])
     seen = first.groupBy("parent", "s").agg(in_order("d").alias("to_beacons"), F.min("d").alias("upper"))
     known = table.groupBy("parent", "child_ordinal").agg(in_order("distance").alias("from_beacons"))
     rest = split_.where("beacon_index is null").drop("beacon_index").join(known, ["parent", "child_ordinal"], "left")
     pairs = within_parents(texts.join(seen, ["parent", "s"], "left"), rest)
     lower = F.array_max(F.zip_with("to_beacons", "from_beacons", lambda x, y: F.abs(x - y)))
-    pairs = pairs.where(F.coalesce(lower <= F.col("upper") + 2 * max_tolerance, F.lit(True))).withColumn("d", F.levenshtein("s", "center_s"))
+    pairs = pairs.where(F.coalesce(lower <= F.col("upper") + 2 * max_tolerance, F.lit(True))).withColumn("d", exact_distance(F.col("s"), F.col("center_s")))
     keep = ["parent", "s", "others", "child_ordinal", "d"]
     both = first.select(*keep, F.lit(True).alias("beacon")).unionByName(pairs.select(*keep, F.lit(False).alias("beacon")))
     return both.withColumn("nearest", F.min("d").over(W.partitionBy("parent", "s")))
@@ -124,7 +125,7 @@ def split(members: DataFrame, radius: int, ratio: float, max_tolerance: int, fol
 
 def build(contigs: DataFrame, window: int, stride: int, config: BuildConfig) -> SequenceIndex:
     """The index of all windows of ``contigs`` (see sources.fasta.contig_windows)."""
-    return build_from_windows(windows(contigs, window, stride), window, stride, config)
+    return build_from_windows(windows(contigs, window, stride, spread=True), window, stride, config)
 
 
 def build_from_windows(every: DataFrame, window: int, stride: int, config: BuildConfig) -> SequenceIndex:

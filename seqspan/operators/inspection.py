@@ -27,13 +27,14 @@ def summary(index: SequenceIndex) -> DataFrame:
     return out
 
 
-def estimated_bytes(index: SequenceIndex) -> int:
-    """About what the index would take in memory: 65 bytes a node, its center, and per leaf
-    membership an id and the window."""
-    n = index.nodes.agg(F.count("*"), F.sum(F.octet_length("center_seq"))).first()
-    m = index.members.agg(F.count("*"), F.sum(F.octet_length("seq"))).first()
-    b, d = index.beacons.count(), index.beacon_distances.count()
-    return int(65 * n[0] + (n[1] or 0) + 8 * m[0] + (m[1] or 0) + 8 * b + 4 * d)
+def size_in_memory(index: SequenceIndex) -> DataFrame:
+    """One row, index_bytes: about what the index would take in memory.  65 bytes a node and its
+    center, per leaf membership an id and the window, beacons and their distances."""
+    long = lambda x: F.coalesce(x, F.lit(0)).cast("long")
+    n = index.nodes.agg((65 * F.count("*") + long(F.sum(F.octet_length("center_seq")))).alias("n"))
+    m = index.members.agg((8 * F.count("*") + long(F.sum(F.octet_length("seq")))).alias("m"))
+    b, d = index.beacons.agg((8 * F.count("*")).alias("b")), index.beacon_distances.agg((4 * F.count("*")).alias("d"))
+    return n.crossJoin(m).crossJoin(b).crossJoin(d).select((F.col("n") + F.col("m") + F.col("b") + F.col("d")).alias("index_bytes"))  # one row each
 
 
 def latency_report(latencies: DataFrame, column: str = "latency_ns") -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqspan.config import QueryConfig
+from seqspan.functions.kernel import exact_distance
 from seqspan.functions.sequences import reverse_complement, strand, triangle_bound
 from seqspan.operators.hierarchy import SequenceIndex
-from seqspan.operators.tables import within_parents
+from seqspan.operators.tables import kept, salts_of, within_parents, work_folder
 
 HIT_COLUMNS = ("ordinal", "query", "contig", "start", "distance", "strand", "sequence_id")
 
@@ -55,16 +56,20 @@ def segments(length: int, tolerance: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edge, edge[1:], strict=False)]
 
 
-def by_segments(reads: DataFrame, windows: DataFrame, window: int, tolerance: int, both_strands: bool = False) -> DataFrame:
+def by_segments(reads: DataFrame, windows: DataFrame, window: int, tolerance: int, both_strands: bool = False, repeats: bool = True) -> DataFrame:
     """Pigeonhole join: t edits leave one of t + 1 segments of the window unchanged in the
-    read, moved by t places at most.  Equal windows are verified once.  For windows of t
-    bases or fewer a segment would be empty; then every pair is compared."""
+    read, moved by t places at most.  For windows of t bases or fewer a segment would be
+    empty; then every pair is compared.
+
+    ``repeats``: windows that repeat are looked up once (one more shuffle of the windows);
+    without it they stream past the reads' segments, which suits windows at stride 1."""
     if window <= tolerance:
         return brute_force(reads, windows, tolerance, both_strands)
     parts = segments(window, tolerance)
-    texts = windows.select(F.col("seq").alias("s")).distinct()
+    every = windows.select(F.col("seq").alias("s"), "sequence_id", "contig", "start")
+    texts = every.select("s").distinct() if repeats else every
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("s", a + 1, n).alias("x")) for k, (a, n) in enumerate(parts)])
-    left = texts.select("s", F.explode(keys).alias("key")).select("s", "key.*")
+    left = texts.select("*", F.explode(keys).alias("key")).select(*texts.columns, "key.*")
     asked = strands(reads, both_strands)
     cuts = [
         F.struct(F.lit(k).alias("k"), F.substring("seq", a + move + 1, n).alias("x"))
@@ -74,34 +79,62 @@ def by_segments(reads: DataFrame, windows: DataFrame, window: int, tolerance: in
     right = distinct.select("seq", F.explode(F.array_distinct(F.array(*cuts))).alias("key")).select("seq", "key.*")
     length = F.element_at(F.array(*[F.lit(n) for _, n in parts]), F.col("k") + 1)
     right = right.where(F.length("x") == length)  # cut short at the read's end
-    pairs = right.join(left, ["k", "x"]).select("seq", "s").distinct()
-    near = pairs.withColumn("distance", F.levenshtein("seq", "s", tolerance)).where("distance >= 0")
-    placed = near.join(windows.select(F.col("seq").alias("s"), "sequence_id", "contig", "start"), "s").drop("s")
+    pairs = left.join(right, ["k", "x"]).drop("k", "x")
+    if repeats:
+        near = pairs.distinct().withColumn("distance", F.levenshtein("seq", "s", tolerance)).where("distance >= 0")
+        placed = near.join(every, "s").drop("s")
+    else:
+        placed = pairs.withColumn("distance", F.levenshtein("seq", "s", tolerance)).where("distance >= 0").drop("s").distinct()
     return _hits(asked.join(placed, "seq"))
 
 
-def route_level(asked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``asked(ordinal, reverse, seq, parent, ...)`` moved to the nearest child of each
-    parent; ties go to the smallest node id."""
-    children = nodes.where("parent_id is not null").select(F.col("parent_id").alias("parent"), "node_id", "center_seq")
-    near = within_parents(asked, children).withColumn("d", F.levenshtein("seq", "center_seq"))
-    best = near.groupBy("ordinal", "reverse").agg(F.min(F.struct("d", "node_id")).alias("best"), F.first("seq").alias("seq"), F.first("name").alias("name"))
-    return best.select("ordinal", "reverse", "name", "seq", F.col("best.node_id").alias("parent"))
-
-
-def routed_leaves(reads: DataFrame, index: SequenceIndex, both_strands: bool = False) -> DataFrame:
-    """``(ordinal, reverse, name, seq, parent)``: the leaf world of each read and strand."""
-    asked = strands(reads, both_strands).withColumn("parent", F.lit(0).cast("long"))
+def route_level(asked: DataFrame, nodes: DataFrame, beacons: DataFrame | None = None, table: DataFrame | None = None) -> DataFrame:
+    """``asked(ordinal, reverse, name, seq, parent)``, stored, moved to the nearest child of each
+    parent; ties go to the smallest node id.
+
+    With ``beacons`` and their distance ``table`` only the first child and the beacons are
+    compared at once; another child only if its triangle bound does not exceed the nearest
+    of these.  Without them every child is compared."""
+    children = nodes.where("parent_id is not null").select(F.col("parent_id").alias("parent"), "child_ordinal", "node_id", "center_seq")
+    salts = salts_of(asked, 2_000)
+    key = ["ordinal", "reverse", "parent"]
+    nearest, same = F.min(F.struct("d", "node_id")).alias("best"), [F.first(c).alias(c) for c in ("name", "seq")]
+    moved = ["ordinal", "reverse", "name", "seq", F.col("best.node_id").alias("parent")]
+    if beacons is None:
+        near = within_parents(asked, children.drop("child_ordinal"), salts=salts).withColumn("d", exact_distance(F.col("seq"), F.col("center_seq")))
+        return near.groupBy(*key).agg(nearest, *same).select(moved)
+    children = children.join(beacons.withColumnRenamed("parent_id", "parent"), ["parent", "child_ordinal"], "left")
+    at_once = F.col("beacon_index").isNotNull() | (F.col("child_ordinal") == 0)
+    first = within_parents(asked, children.where(at_once).drop("child_ordinal"), salts=salts).withColumn("d", exact_distance(F.col("seq"), F.col("center_seq")))
+    seen = F.array_sort(F.collect_list(F.when(F.col("beacon_index").isNotNull(), F.struct("beacon_index", "d"))))
+    first = first.groupBy(*key).agg(nearest, *same, F.transform(seen, lambda x: x["d"]).alias("to_beacons"))
+    known = F.transform(F.array_sort(F.collect_list(F.struct("beacon_index", "distance"))), lambda x: x["distance"])
+    rest = children.where(~at_once).drop("beacon_index").join(
+        table.withColumnRenamed("parent_id", "parent").groupBy("parent", "child_ordinal").agg(known.alias("from_beacons")), ["parent", "child_ordinal"], "left")
+    lower = F.coalesce(F.array_max(F.zip_with("to_beacons", "from_beacons", lambda x, y: F.abs(x - y))), F.lit(0))
+    open_ = within_parents(first, rest.select("parent", "node_id", "center_seq", "from_beacons"), salts=salts).where(lower <= F.col("best.d"))
+    other = open_.withColumn("best", F.struct(exact_distance(F.col("seq"), F.col("center_seq")).alias("d"), "node_id"))
+    both = first.select(*key, "name", "seq", "best").unionByName(other.select(*key, "name", "seq", "best"))
+    return both.groupBy(*key).agg(F.min("best").alias("best"), *same).select(moved)
+
+
+def routed_leaves(reads: DataFrame, index: SequenceIndex, both_strands: bool = False, route: str = "multilateration") -> list[DataFrame]:
+    """``(ordinal, reverse, name, seq, parent)`` before each level and at the leaf worlds; every
+    level is stored, so none is computed again by the next."""
+    folder = work_folder(reads.sparkSession)
+    asked = [kept(strands(reads, both_strands).withColumn("parent", F.lit(0).cast("long")), folder, "asked")]
     for layer in range(3):
-        asked = route_level(asked, index.nodes.where(F.col("layer") == layer))
+        nodes = index.nodes.where(F.col("layer") == layer)
+        known = (None, None) if route == "scan" else (index.beacons, index.beacon_distances)
+        asked.append(kept(route_level(asked[-1], nodes, *known), folder, f"asked{layer}"))
     return asked
 
 
 def routed(reads: DataFrame, index: SequenceIndex, config: QueryConfig = QueryConfig()) -> DataFrame:
-    """Hits among the members of the leaf world that each read and strand is routed to.
-    Both route modes give the same child, so one plan serves both."""
+    """Hits among the members of the leaf world that each read and strand is routed to; both
+    route modes lead to the same one."""
     t = config.within(index.max_tolerance)
-    leaves = routed_leaves(reads, index, config.both_strands)
+    leaves = routed_leaves(reads, index, config.both_strands, config.route)[-1]
     members = index.members.select(F.col("leaf_id").alias("parent"), F.col("seq").alias("s"), "sequence_id", "contig", "start")
     near = leaves.join(members, "parent").withColumn("distance", F.levenshtein("seq", "s", t)).where("distance >= 0")
     return _hits(near)
@@ -125,16 +158,15 @@ def verify(reads: DataFrame, index: SequenceIndex, windows: DataFrame, config: Q
     return differences(brute_force(some, windows, t, config.both_strands), routed(some, index, config))
 
 
-def route_counts(reads: DataFrame, index: SequenceIndex, config: QueryConfig = QueryConfig()) -> DataFrame:
-    """Per read and strand and layer, without a path cache: children, distances computed and
+def route_counts(asked_at: list[DataFrame], index: SequenceIndex, config: QueryConfig = QueryConfig()) -> DataFrame:
+    """``asked_at`` as from ``routed_leaves``.  Per read and strand and layer, without a path cache: children, distances computed and
     children pruned.  The first child and the beacons are always computed; of the rest, in
     order of triangle bound and id, a child is pruned if its bound cannot beat the best."""
-    asked = strands(reads, config.both_strands).withColumn("parent", F.lit(0).cast("long"))
     out = None
-    for layer in range(3):
+    for layer, asked in enumerate(asked_at[:3]):
         nodes = index.nodes.where(F.col("layer") == layer)
         children = nodes.select(F.col("parent_id").alias("parent"), "node_id", "child_ordinal", "center_seq")
-        near = within_parents(asked, children).withColumn("d", F.levenshtein("seq", "center_seq"))
+        near = within_parents(asked, children).withColumn("d", exact_distance(F.col("seq"), F.col("center_seq")))
         beacons = index.beacons.withColumnRenamed("parent_id", "parent")
         near = near.join(beacons, ["parent", "child_ordinal"], "left").select("ordinal", "reverse", "parent", "child_ordinal", "node_id", "d", "beacon_index")
         first = F.col("beacon_index").isNotNull() | (F.col("child_ordinal") == 0)
@@ -154,15 +186,15 @@ def route_counts(reads: DataFrame, index: SequenceIndex, config: QueryConfig = Q
         counts = placed.withColumn("cut", cut).groupBy("ordinal", "reverse").agg(F.count("*").alias("children"), F.count_if("cut").alias("pruned"))
         counts = counts.select("ordinal", "reverse", F.lit(layer).alias("layer"), "children", (F.col("children") - F.col("pruned")).alias("edits"), "pruned")
         out = counts if out is None else out.unionByName(counts)
-        asked = route_level(asked, nodes)
     return out
 
 
 def query_stats(reads: DataFrame, index: SequenceIndex, config: QueryConfig = QueryConfig()) -> DataFrame:
     """One row: totals over all reads and strands, cache off."""
-    counts = route_counts(reads, index, config)
+    asked_at = routed_leaves(reads, index, config.both_strands, config.route)
+    counts = route_counts(asked_at, index, config)
     sizes = index.nodes.select(F.col("node_id").alias("parent"), "member_count")
-    leaves = routed_leaves(reads, index, config.both_strands).join(sizes, "parent")
+    leaves = asked_at[-1].join(sizes, "parent")
     per_layer = [F.sum(F.when(F.col("layer") == k, F.col(c))).alias(f"{c}_{k}") for c in ("edits", "pruned") for k in range(3)]
     route = counts.agg(*per_layer, F.sum("edits").alias("routing_edit_calls"))
     leaf = leaves.agg(F.sum("member_count").alias("leaf_members"), F.sum("member_count").alias("exact_verifications"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,9 @@ from seqspan.operators.windows import windows
 from seqspan.sources.fasta import contig_windows
 
 WINDOW, STRIDE, TOLERANCE = 50, 50, 5
+PASSAGE_STRIDE, PASSAGE_READS, CLOSE = 5, 10, 2
 PART_CONFIG = BuildConfig(radii=(7, 5, 3), beacon_ratios=(0.4, 0.5, 0.6), max_tolerance=1)
+PASSAGE_CONFIG = BuildConfig(radii=(14, 9, 5), beacon_ratios=(0.1, 0.1, 0.1), max_tolerance=CLOSE)
 TO_BASES = "ACGTACGTACGTACGTACGTACGTAC"
 
 
@@ -35,6 +38,11 @@ def document_windows(spark: SparkSession, sf_dir: str, limit: int = 0) -> DataFr
     return windows(contig_windows(document_contigs(spark, sf_dir), WINDOW, STRIDE, limit), WINDOW, STRIDE)
 
 
+def dense_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window of every document, at stride 1."""
+    return windows(contig_windows(document_contigs(spark, sf_dir), WINDOW, 1), WINDOW, 1)
+
+
 def benchmark_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage cut into reads of window length, one base dropped from each."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", bases(F.col("text")).alias("b"))
@@ -59,12 +67,48 @@ def part_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("ordinal", F.concat(F.lit("r"), "ordinal").alias("name"), cut.alias("seq"))
 
 
-_BUILT: dict[tuple[str, str], SequenceIndex] = {}
+def passage_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole benchmark passage as a contig."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return items.select(F.col("item_id").alias("contig_ordinal"), F.concat(F.lit("item_"), "item_id").alias("name"), bases(F.col("text")).alias("bases"))
 
 
-def part_index(spark: SparkSession, sf_dir: str) -> SequenceIndex:
-    """The three-level index of all part names, built once per application and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def passage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of every benchmark passage."""
+    return windows(contig_windows(passage_contigs(spark, sf_dir), WINDOW, PASSAGE_STRIDE), WINDOW, PASSAGE_STRIDE)
+
+
+def passage_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second window of the passages: one base dropped, the last one exchanged."""
+    every = windows(contig_windows(passage_contigs(spark, sf_dir), WINDOW, PASSAGE_READS), WINDOW, PASSAGE_READS)
+    at = (F.col("sequence_id") % (WINDOW - 1)).cast("int")
+    last = F.translate(F.substring("seq", WINDOW, 1), "ACGT", "CATG")
+    seq = F.concat(F.substring("seq", F.lit(1), at), F.substring("seq", at + 2, WINDOW - 2 - at), last)
+    return every.select(F.col("sequence_id").alias("ordinal"), F.concat(F.lit("p"), "sequence_id").alias("name"), seq.alias("seq"))
+
+
+_BUILT: dict[tuple, SequenceIndex] = {}
+
+
+def _built(spark: SparkSession, path: str, build: Callable[[], SequenceIndex]) -> SequenceIndex:
+    """An index is built once per application and state of its table (bytes and time of change)."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    key = (spark.sparkContext.applicationId, path, fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime())
     if key not in _BUILT:
-        _BUILT[key] = build_from_windows(part_windows(spark, sf_dir), 0, 1, PART_CONFIG)
+        _BUILT[key] = build()
     return _BUILT[key]
+
+
+def part_index(spark: SparkSession, sf_dir: str) -> SequenceIndex:
+    """The three-level index of all part names."""
+    return _built(spark, f"{sf_dir}/part.parquet", lambda: build_from_windows(part_windows(spark, sf_dir), 0, 1, PART_CONFIG))
+
+
+def build_passages(spark: SparkSession, sf_dir: str) -> SequenceIndex:
+    return build_from_windows(passage_windows(spark, sf_dir), WINDOW, PASSAGE_STRIDE, PASSAGE_CONFIG)
+
+
+def passage_index(spark: SparkSession, sf_dir: str) -> SequenceIndex:
+    """The three-level index of all windows of the passages."""
+    return _built(spark, f"{sf_dir}/benchmark.parquet", lambda: build_passages(spark, sf_dir))

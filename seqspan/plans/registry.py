@@ -14,8 +14,9 @@ from seqspan.operators import hierarchy, inspection, search
 from seqspan.operators.centers import center_edit_calls
 from seqspan.operators.reads import generate_reads
 from seqspan.operators.tables import kept, work_folder
-from seqspan.operators.windows import locations
+from seqspan.operators.windows import locations, windows
 from seqspan.plans import corpus
+from seqspan.sources import fasta, hits, index_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 T = corpus.PART_CONFIG.max_tolerance
@@ -83,10 +84,94 @@ def segment_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.by_segments(corpus.benchmark_reads(spark, sf_dir), corpus.document_windows(spark, sf_dir), corpus.WINDOW, corpus.TOLERANCE)
 
 
+def dense_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark pieces among all document windows at stride 1."""
+    return search.by_segments(corpus.benchmark_reads(spark, sf_dir), corpus.dense_windows(spark, sf_dir), corpus.WINDOW, corpus.CLOSE, repeats=False)
+
+
+def passage_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fresh build of the index of the passages: its worlds and their centers at the root."""
+    nodes = corpus.build_passages(spark, sf_dir).nodes.where("layer = 0")
+    return nodes.select("child_ordinal", "center_sequence_id", "center_seq")
+
+
+def passage_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.routed(corpus.passage_reads(spark, sf_dir), corpus.passage_index(spark, sf_dir), QueryConfig(both_strands=True))
+
+
+def passage_hits_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.routed(corpus.passage_reads(spark, sf_dir), corpus.passage_index(spark, sf_dir), QueryConfig(both_strands=True, route="scan"))
+
+
+def passage_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads, windows = corpus.passage_reads(spark, sf_dir), corpus.passage_windows(spark, sf_dir)
+    return search.verify(reads, corpus.passage_index(spark, sf_dir), windows, QueryConfig(both_strands=True), limit=0)
+
+
+def _file(spark: SparkSession, df: DataFrame, name: str, write: Callable[[DataFrame, str], None]) -> str:
+    path = f"{work_folder(spark)}/{name}"
+    write(df, path)
+    return path
+
+
+def fasta_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as FASTA with a longer header, and read as a reference."""
+    docs = corpus.document_contigs(spark, sf_dir)
+    lines = F.regexp_replace("bases", "(.{60})", "$1\n")  # bases in lines of 60
+    path = _file(spark, docs.select(F.col("contig_ordinal").alias("ordinal"), F.concat("name", F.lit(" more words")).alias("name"), lines.alias("seq")), "r.fa", hits.write_fasta)
+    return fasta.read_contigs(spark, path)
+
+
+def fasta_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark pieces written as FASTA and read as reads: the whole header is the name."""
+    reads = corpus.benchmark_reads(spark, sf_dir).withColumn("name", F.concat("name", F.lit(" tail")))
+    return fasta.read_reads(spark, _file(spark, reads, "q.fa", hits.write_fasta))
+
+
+def fastq_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as FASTQ; the format is found from the first character."""
+    return fasta.read_reads(spark, _file(spark, corpus.benchmark_reads(spark, sf_dir), "q.fq", hits.write_fastq))
+
+
+def read_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit of 20 reads is the feature."""
+    return fasta.read_reads(spark, _file(spark, corpus.benchmark_reads(spark, sf_dir), "q.fq", hits.write_fastq), limit=20)
+
+
+def in_memory_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nation names of one length as an in-memory source: 25 rows at any scale."""
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").select(F.rpad("n_name", 12, "n")).collect()
+    contigs, window, stride = fasta.from_sequences(spark, [r[0] for r in names])
+    return windows(fasta.contig_windows(contigs, window, stride), window, stride)
+
+
+def tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _file(spark, index_hits(spark, sf_dir), "hits", hits.write_tsv)
+    return spark.read.option("sep", "\t").option("header", True).schema("query string, contig string, start long, distance int, strand string, sequence_id long").csv(path)
+
+
+def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf members of the saved and loaded index."""
+    path = f"{work_folder(spark)}/index"
+    index_store.save(corpus.part_index(spark, sf_dir), path)
+    return index_store.load(spark, path).members.select("leaf_id", "member_ordinal", "sequence_id")
+
+
+def index_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspection.size_in_memory(corpus.part_index(spark, sf_dir))
+
+
+def descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows below each large world, whatever the leaves that hold them."""
+    index = corpus.part_index(spark, sf_dir)
+    small = index.nodes.where("layer = 2").select(F.col("node_id").alias("leaf_id"), F.col("parent_id").alias("middle"))
+    middle = index.nodes.where("layer = 1").select(F.col("node_id").alias("middle"), F.col("parent_id").alias("large"))
+    return index.members.join(small, "leaf_id").join(middle, "middle").select(F.col("large").alias("node_id"), "sequence_id").distinct()
+
+
 def hits_tsv_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = index_hits(spark, sf_dir)
     line = F.concat_ws("\t", *[F.col(c).cast("string") for c in ("query", "contig", "start", "distance", "strand", "sequence_id")])
-    return hits.select(line.alias("line"))
+    return index_hits(spark, sf_dir).select(line.alias("line"))
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +281,8 @@ def queries() -> dict[str, Query]:
         distance_bounded, brute_force_hits, both_strand_hits, segment_hits, hits_tsv_projection, greedy_centers, beacon_ordinals,
         beacon_table, lower_bounds, classify_members, world_sizes, pruning_stats, route_nearest, hierarchy_nodes, leaf_members,
         index_summary, index_hits, verify_counts, hit_order_rank, query_stats_scan, query_stats_multilateration, latency_percentiles,
-        generated_reads,
+        generated_reads, dense_hits, passage_build, passage_hits, passage_hits_scan, passage_verify, fasta_contigs, fasta_reads, fastq_reads,
+        read_limit, in_memory_windows, tsv_round_trip, index_round_trip, index_bytes, descendants,
     ]
     return {f.__name__: f for f in named} | {"center_edit_calls": center_calls}
 
@@ -219,19 +305,23 @@ rd AS MATERIALIZED (SELECT ordinal, 'r' || ordinal AS name, substr(s, 1, pos) ||
 _R, _B = corpus.PART_CONFIG.radii, corpus.PART_CONFIG.beacon_ratios
 
 
-def _level(k: int, members: str) -> str:
-    first = "1" + "".join(f" + (SELECT count(*) FROM c{j})" for j in range(k))
+def _greedy(k: int, members: str, radius: int) -> str:
+    near = f"len(list_filter(g.cs, lambda c: levenshtein(c, r.s) <= {radius})) = 0"
     return f"""
 d{k} AS MATERIALIZED (SELECT parent, s, min(id) AS id FROM {members} GROUP BY ALL),
 r{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY id) AS rn FROM d{k}),
 g{k}(parent, rn, ids, cs) AS (
   SELECT parent, rn, [id], [s] FROM r{k} WHERE rn = 1
   UNION ALL
-  SELECT g.parent, r.rn, CASE WHEN len(list_filter(g.cs, lambda c: levenshtein(c, r.s) <= {_R[k]})) = 0 THEN list_append(g.ids, r.id) ELSE g.ids END,
-         CASE WHEN len(list_filter(g.cs, lambda c: levenshtein(c, r.s) <= {_R[k]})) = 0 THEN list_append(g.cs, r.s) ELSE g.cs END
+  SELECT g.parent, r.rn, CASE WHEN {near} THEN list_append(g.ids, r.id) ELSE g.ids END, CASE WHEN {near} THEN list_append(g.cs, r.s) ELSE g.cs END
   FROM g{k} g JOIN r{k} r ON r.parent = g.parent AND r.rn = g.rn + 1),
 e{k} AS (SELECT parent, arg_max(ids, rn) AS ids, arg_max(cs, rn) AS cs FROM g{k} GROUP BY parent),
-c{k} AS MATERIALIZED (SELECT parent, unnest(ids) AS center_id, unnest(cs) AS center_s, unnest(range(len(ids))) AS child_ordinal FROM e{k}),
+c{k} AS MATERIALIZED (SELECT parent, unnest(ids) AS center_id, unnest(cs) AS center_s, unnest(range(len(ids))) AS child_ordinal FROM e{k})"""
+
+
+def _level(k: int, members: str) -> str:
+    first = "1" + "".join(f" + (SELECT count(*) FROM c{j})" for j in range(k))
+    return _greedy(k, members, _R[k]) + f""",
 n{k} AS MATERIALIZED (SELECT *, (row_number() OVER (ORDER BY parent, child_ordinal) - 1 + {first})::BIGINT AS node_id FROM c{k}),
 p{k} AS MATERIALIZED (SELECT m.parent, m.id, m.s, n.node_id, n.child_ordinal, n.center_id, levenshtein(m.s, n.center_s) AS d,
    min(levenshtein(m.s, n.center_s)) OVER (PARTITION BY m.parent, m.id) AS nearest,
@@ -277,6 +367,56 @@ FROM (SELECT count(*) AS pairs, count(b.beacon_index) AS mb, count(DISTINCT (p.p
         GROUP BY ALL) WHERE lower > upper + {2 * T})"""
 
 
+_PASSAGES = f"""
+bc AS (SELECT item_id, 'item_' || item_id AS name, {_FOLD} AS bases FROM benchmark),
+bn AS (SELECT *, CASE WHEN length(bases) >= 50 THEN (length(bases) - 50) // 5 + 1 ELSE 0 END::BIGINT AS n5,
+              CASE WHEN length(bases) >= 50 THEN (length(bases) - 50) // 10 + 1 ELSE 0 END::BIGINT AS n10 FROM bc),
+bf AS (SELECT *, coalesce(sum(n5) OVER r, 0)::BIGINT AS f5, coalesce(sum(n10) OVER r, 0)::BIGINT AS f10 FROM bn
+       WINDOW r AS (ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+pw AS MATERIALIZED (SELECT f5 + i AS id, name AS contig, i * 5 AS start, substr(bases, (i * 5 + 1)::BIGINT, 50) AS s FROM (SELECT *, unnest(range(n5)) AS i FROM bf WHERE n5 > 0)),
+pr AS MATERIALIZED (SELECT id AS ordinal, 'p' || id AS query, substr(s, 1, (id % 49)::BIGINT) || substr(s, (id % 49 + 2)::BIGINT, (48 - id % 49)::BIGINT) || translate(substr(s, 50, 1), 'ACGT', 'CATG') AS seq
+  FROM (SELECT f10 + i AS id, substr(bases, (i * 10 + 1)::BIGINT, 50) AS s FROM (SELECT *, unnest(range(n10)) AS i FROM bf WHERE n10 > 0)))"""
+
+
+def _passage_hits(select: str) -> str:
+    return f"""WITH {_PASSAGES},
+q AS (SELECT ordinal, query, seq, '+' AS strand FROM pr UNION ALL SELECT ordinal, query, {_RC.format('seq')}, '-' FROM pr),
+x AS (SELECT q.*, u.s, levenshtein(q.seq, u.s)::INTEGER AS distance FROM q, (SELECT DISTINCT s FROM pw) u),
+h AS (SELECT ordinal, query, contig, start, distance, strand, id AS sequence_id FROM x JOIN pw USING (s) WHERE distance <= {corpus.CLOSE})
+{select}"""
+
+
+def _route_stats() -> str:
+    """The rule of pruning, child by child, as a recursion over the candidates in order."""
+    parts, names = [], ("n0", "n1", "n2")
+    for k, n in enumerate(names):
+        asked = "(SELECT ordinal, seq, 0::BIGINT AS parent FROM rd)" if k == 0 else f"q{k}"
+        parts.append(f"""
+v{k} AS MATERIALIZED (SELECT a.ordinal, a.seq, n.parent, n.child_ordinal, n.node_id, levenshtein(a.seq, n.center_s) AS d, b.beacon_index
+  FROM {asked} a JOIN {n} n ON n.parent = a.parent LEFT JOIN b{k} b ON b.parent = n.parent AND b.child_ordinal = n.child_ordinal),
+f{k} AS MATERIALIZED (SELECT ordinal, arg_min(d, d * 1000000 + node_id) AS d, arg_min(node_id, d * 1000000 + node_id) AS node_id, count(*) AS calls
+  FROM v{k} WHERE beacon_index IS NOT NULL OR child_ordinal = 0 GROUP BY ordinal),
+l{k} AS (SELECT v.ordinal, v.node_id, v.d, coalesce((SELECT max(abs(x.d - t.distance)) FROM v{k} x JOIN t{k} t ON t.parent = x.parent AND t.beacon_index = x.beacon_index
+    WHERE x.ordinal = v.ordinal AND x.beacon_index IS NOT NULL AND t.child_ordinal = v.child_ordinal), 0) AS low
+  FROM v{k} v WHERE v.beacon_index IS NULL AND v.child_ordinal <> 0),
+o{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY low, node_id) AS rn FROM l{k}),
+w{k}(ordinal, rn, d, node_id, calls, pruned) AS (
+  SELECT ordinal, 0::BIGINT, d, node_id, calls, 0::BIGINT FROM f{k}
+  UNION ALL
+  SELECT w.ordinal, o.rn, CASE WHEN cut THEN w.d WHEN (o.d, o.node_id) < (w.d, w.node_id) THEN o.d ELSE w.d END,
+         CASE WHEN cut THEN w.node_id WHEN (o.d, o.node_id) < (w.d, w.node_id) THEN o.node_id ELSE w.node_id END,
+         w.calls + (CASE WHEN cut THEN 0 ELSE 1 END), w.pruned + (CASE WHEN cut THEN 1 ELSE 0 END)
+  FROM (SELECT w.*, o.rn AS orn, o.low > w.d OR (o.low = w.d AND o.node_id >= w.node_id) AS cut FROM w{k} w JOIN o{k} o ON o.ordinal = w.ordinal AND o.rn = w.rn + 1) w
+  JOIN o{k} o ON o.ordinal = w.ordinal AND o.rn = w.orn),
+z{k} AS MATERIALIZED (SELECT ordinal, arg_max(node_id, rn) AS node_id, max(calls) AS calls, max(pruned) AS pruned FROM w{k} GROUP BY ordinal),
+q{k + 1} AS MATERIALIZED (SELECT r.ordinal, r.seq, z.node_id AS parent FROM z{k} z JOIN rd r USING (ordinal))""")
+    body = [_PARTS, "\nm0 AS MATERIALIZED (SELECT 0::BIGINT AS parent, id, s FROM w)", *[_level(k, f"m{k}") for k in range(3)], *parts]
+    each = ", ".join(f"(SELECT sum({c}) FROM z{k})::BIGINT AS {name}_{k}" for c, name in (("calls", "edits"), ("pruned", "pruned")) for k in range(3))
+    return "WITH RECURSIVE " + ",".join(body) + f"""
+SELECT *, (edits_0 + edits_1 + edits_2)::BIGINT AS routing_edit_calls, leaf AS leaf_members, leaf AS exact_verifications, (edits_0 + edits_1 + edits_2 + leaf)::BIGINT AS total_edit_calls
+FROM (SELECT {each}), (SELECT count(*) AS leaf FROM q3 JOIN m3 ON m3.parent = q3.parent)"""
+
+
 def _draw(ordinal: str, salt: int, below: str) -> str:
     return f"((((({ordinal}) * 1103515245 + {salt * 12345 + 67890}) % 2147483647) * 48271) % 2147483647) % ({below})"
 
@@ -314,6 +454,9 @@ def oracle_sql() -> dict[str, str]:
     edges = [50 * k // 6 for k in range(7)]
     cut = " UNION ALL ".join(f"SELECT {k} AS k, {a} AS a, {b - a} AS n" for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
     item = f"(SELECT item_id, {_FOLD} AS b FROM benchmark)"
+    reads_ = f"""rs AS (SELECT ordinal, name, substr(r, 1, pos) || substr(r, pos + 2) AS seq FROM (
+  SELECT item_id * 1000 + i AS ordinal, 'b' || item_id || '_' || i AS name, substr(b, (i * 50 + 1)::BIGINT, 50) AS r, (item_id % 50)::BIGINT AS pos
+  FROM (SELECT item_id, b, unnest(range(length(b) // 50)) AS i FROM {item} WHERE length(b) >= 50)))"""
     return {
         "clean_sequences": "SELECT doc_id, " + _CLEAN.format(r"regexp_replace(text, '[^\x00-\x7F]', '', 'g')") + " AS bases FROM documents",
         "reverse_complement": f"WITH {_CONTIGS} SELECT contig_ordinal, {_RC.format('bases')} AS reversed FROM k",
@@ -337,6 +480,38 @@ s AS (SELECT DISTINCT q.seq, g.k, substr(q.seq, (g.a + v.move + 1)::BIGINT, g.n)
 c AS (SELECT DISTINCT s.seq AS seq, l.seq AS t FROM s JOIN l USING (k, x)),
 f AS (SELECT seq, t, levenshtein(seq, t)::INTEGER AS distance FROM c)
 SELECT q.ordinal, q.query, d.contig, d.start, f.distance, '+' AS strand, d.sequence_id FROM q JOIN f USING (seq) JOIN dw d ON d.seq = f.t WHERE f.distance <= 5""",
+        "dense_hits": f"""WITH k AS (SELECT doc_id AS contig_ordinal, 'doc_' || doc_id AS name, {_FOLD} AS bases FROM documents),
+kc AS (SELECT *, greatest(length(bases) - 49, 0)::BIGINT AS n FROM k),
+kw AS (SELECT *, coalesce(sum(n) OVER (ORDER BY contig_ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_id FROM kc),
+rb AS (SELECT item_id * 1000 + i AS ordinal, 'b' || item_id || '_' || i AS query, substr(b, (i * 50 + 1)::BIGINT, 50) AS r, (item_id % 50)::BIGINT AS pos
+       FROM (SELECT item_id, b, unnest(range(length(b) // 50)) AS i FROM {item} WHERE length(b) >= 50)),
+q AS (SELECT ordinal, query, substr(r, 1, pos) || substr(r, pos + 2) AS seq FROM rb),
+g AS (SELECT * FROM (VALUES (0, 0, 16), (1, 16, 17), (2, 33, 17)) v(k, a, n)),
+s AS MATERIALIZED (SELECT DISTINCT q.seq, g.k, g.a, substr(q.seq, (g.a + v.move + 1)::BIGINT, g.n) AS x FROM q, g, (SELECT unnest(range(-2, 3)) AS move) v
+      WHERE g.a + v.move >= 0 AND g.a + v.move + g.n <= length(q.seq)),
+p AS (SELECT name, first_id, bases, n, unnest(range(length(bases) - 15)) AS at FROM kw WHERE n > 0),
+c AS (SELECT DISTINCT s.seq, p.name, p.first_id, p.at - s.a AS start, substr(p.bases, (p.at - s.a + 1)::BIGINT, 50) AS t
+      FROM p JOIN s ON s.x = substr(p.bases, (p.at + 1)::BIGINT, 16) AND s.k = 0 WHERE p.at - s.a BETWEEN 0 AND p.n - 1
+      UNION SELECT DISTINCT s.seq, p.name, p.first_id, p.at - s.a, substr(p.bases, (p.at - s.a + 1)::BIGINT, 50)
+      FROM p JOIN s ON s.x = substr(p.bases, (p.at + 1)::BIGINT, 17) AND s.k > 0 WHERE p.at - s.a BETWEEN 0 AND p.n - 1)
+SELECT q.ordinal, q.query, c.name AS contig, c.start, levenshtein(c.seq, c.t)::INTEGER AS distance, '+' AS strand, c.first_id + c.start AS sequence_id
+FROM c JOIN q USING (seq) WHERE levenshtein(c.seq, c.t) <= 2""",
+        "passage_build": "WITH RECURSIVE " + _PASSAGES + ",\nm0 AS MATERIALIZED (SELECT 0::BIGINT AS parent, id, s FROM pw)," + _greedy(0, "m0", corpus.PASSAGE_CONFIG.radii[0])
+                         + "\nSELECT child_ordinal, center_id AS center_sequence_id, center_s AS center_seq FROM c0",
+        "passage_hits": _passage_hits("SELECT ordinal, query, contig, start, distance, strand, sequence_id FROM h"),
+        "passage_hits_scan": _passage_hits("SELECT ordinal, query, contig, start, distance, strand, sequence_id FROM h"),
+        "passage_verify": _passage_hits("SELECT count(*) AS expected_hits, count(*) AS observed_hits, 0::BIGINT AS false_negatives, 0::BIGINT AS false_positives FROM h"),
+        "fasta_contigs": f"WITH {_CONTIGS} SELECT row_number() OVER (ORDER BY contig_ordinal) - 1 AS contig_ordinal, name, bases FROM k",
+        "fasta_reads": f"WITH {reads_} SELECT row_number() OVER (ORDER BY ordinal) - 1 AS ordinal, name || ' tail' AS name, seq FROM rs",
+        "fastq_reads": f"WITH {reads_} SELECT row_number() OVER (ORDER BY ordinal) - 1 AS ordinal, name, seq FROM rs",
+        "read_limit": f"WITH {reads_} SELECT row_number() OVER (ORDER BY ordinal) - 1 AS ordinal, name, seq FROM rs QUALIFY row_number() OVER (ORDER BY ordinal) <= 20",
+        "in_memory_windows": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS sequence_id, 'sequence_' || (row_number() OVER (ORDER BY n_nationkey) - 1) AS contig, 0::BIGINT AS start, upper(rpad(n_name, 12, 'n')) AS seq FROM nation",
+        "tsv_round_trip": part_hits + "SELECT query, contig, start, distance, strand, sequence_id FROM h",
+        "index_round_trip": _tree(3, "SELECT parent AS leaf_id, row_number() OVER (PARTITION BY parent ORDER BY id) - 1 AS member_ordinal, id AS sequence_id FROM m3"),
+        "index_bytes": _tree(3, f"SELECT (65 * (1 + (SELECT count(*) FROM ({nodes}))) + (SELECT sum(strlen(center_seq)) FROM ({nodes})) + (SELECT 8 * count(*) + sum(strlen(s)) FROM m3) "
+                                f"+ 8 * (SELECT count(*) FROM ({beacons})) + 4 * (SELECT count(*) FROM ({tables})))::BIGINT AS index_bytes"),
+        "descendants": _tree(3, "SELECT DISTINCT n1.parent AS node_id, m3.id AS sequence_id FROM m3 JOIN n2 ON n2.node_id = m3.parent JOIN n1 ON n1.node_id = n2.parent"),
+        "query_stats_multilateration": _route_stats(),
         "hits_tsv_projection": part_hits + "SELECT concat_ws(chr(9), query, contig, start::VARCHAR, distance::VARCHAR, strand, sequence_id::VARCHAR) AS line FROM h",
         "greedy_centers": _tree(1, "SELECT child_ordinal, center_id, center_s FROM c0"),
         "center_edit_calls": _tree(1, "SELECT 0::BIGINT AS parent, center_edit_calls AS calls FROM (" + _stats_level(0) + ")"),

@@ -15,18 +15,20 @@ from seqspan.functions.sequences import clean, contig_name, window_count
 
 
 def _ordered(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """value, block (offset of the split), place (rises within the split)."""
+    """value, file, block (offset of the split in it), place (rises within the split)."""
     rows = spark.read.option("lineSep", sep).text(path)
-    return rows.select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    return rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Adds n = 0, 1, ...: a prefix sum over splits plus the place within the split."""
-    sizes = rows.groupBy("block").count()
-    before = F.coalesce(F.sum("count").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("block", before.alias("start"))
-    own = F.row_number().over(W.partitionBy("block").orderBy("place")) - 1
-    return rows.withColumn("own", own).join(starts, "block").select((F.col("start") + F.col("own")).alias("n"), "value")
+    """n = 0, 1, ... and whether the row opens its file: a prefix sum over splits, in order of
+    file names and offsets, plus the place within the split."""
+    sizes = rows.groupBy("file", "block").count()
+    before = F.coalesce(F.sum("count").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("file", "block", before.alias("start"))
+    own = F.row_number().over(W.partitionBy("file", "block").orderBy("place")) - 1
+    placed = rows.withColumn("own", own).join(starts, ["file", "block"])
+    return placed.select((F.col("start") + F.col("own")).alias("n"), "value", ((F.col("block") == 0) & (F.col("own") == 0)).alias("opens"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -40,13 +42,13 @@ def _header_and_bases(value: Column) -> tuple[Column, Column]:
 
 
 def read_contigs(spark: SparkSession, path: str) -> DataFrame:
-    """``(contig_ordinal, name, bases)`` of a reference FASTA.
+    """``(contig_ordinal, name, bases)`` of a reference FASTA, or of a folder of them.
 
     Names end at the first space or tab.  A record without a name, and bases before the first
     header, belong to the next named record; with none after them they are lost."""
     rows = _numbered(_ordered(spark, path, "\n>"))
-    first_has_header = (F.col("n") > 0) | F.col("value").startswith(">")
-    value = F.when((F.col("n") == 0) & F.col("value").startswith(">"), F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))
+    first_has_header = ~F.col("opens") | F.col("value").startswith(">")
+    value = F.when(F.col("opens") & F.col("value").startswith(">"), F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))
     header, bases = _header_and_bases(value)
     parts = rows.select(
         "n", F.when(first_has_header, contig_name(header)).otherwise("").alias("name"),
@@ -97,8 +99,8 @@ def read_reads(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
         raise ValueError(f"query file is empty: {path}")
     if first.value.startswith(">"):
         rows = _numbered(_ordered(spark, path, "\n>"))
-        rows = rows.where((F.col("n") > 0) | F.col("value").startswith(">"))  # blank lines before the first header
-        value = F.when(F.col("n") == 0, F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))
+        rows = rows.where(~F.col("opens") | F.col("value").startswith(">"))  # blank lines before the first header
+        value = F.when(F.col("opens"), F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))
         header, bases = _header_and_bases(value)
         skipped = 0 if first.n == 0 else 1
         out = rows.select((F.col("n") - skipped).alias("ordinal"), header.alias("name"), clean(bases).alias("seq"))

@@ -24,6 +24,12 @@ def write_fasta(reads: DataFrame, path: str) -> None:
     reads.orderBy("ordinal").select(record.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_fastq(reads: DataFrame, path: str) -> None:
+    """The same as four-line records; every quality is ``I``."""
+    record = F.concat(F.lit("@"), F.col("name"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("seq")))
+    reads.orderBy("ordinal").select(record.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def discard(hits: DataFrame) -> None:
     """Compute everything, keep nothing."""
     hits.write.mode("overwrite").format("noop").save()

@@ -14,6 +14,15 @@ def dp(a: str, b: str) -> int:
     return row[-1]
 
 
+def greedy(members: list[tuple[int, str]], radius: int) -> list[tuple[int, str]]:
+    """(id, sequence) in ascending order -> those farther than the radius from all before them."""
+    found: list[tuple[int, str]] = []
+    for i, s in members:
+        if all(dp(s, c) > radius for _, c in found):
+            found.append((i, s))
+    return found
+
+
 def rc(s: str) -> str:
     return s.upper()[::-1].translate(str.maketrans("ACGT", "TGCA"))
 

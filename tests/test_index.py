@@ -11,7 +11,7 @@ from seqspan.operators import hierarchy, inspection, search
 from seqspan.operators.reads import generate_reads
 from seqspan.operators.windows import windows
 from seqspan.sources import fasta, index_store
-from tests.plain import Tree, brute, rc
+from tests.plain import Tree, brute, dp, greedy, rc
 
 
 def made(spark, texts, radii, ratios, t):
@@ -123,19 +123,39 @@ def test_palindrome_has_both_strands(spark):
     assert found(search.routed(reads_of(spark, ["ACGT"]), index, QueryConfig(0, True))) == {(0, 0, "+", 0), (0, 0, "-", 0)}
 
 
-def test_blocks_of_centers_do_not_change_them(spark):
-    from seqspan.operators.centers import choose_centers, greedy
+def test_rounds_of_centers_do_not_change_them(spark):
+    from seqspan.operators.centers import choose_centers
     from seqspan.operators.tables import work_folder
     from pyspark.sql import functions as F
 
     rng = np.random.default_rng(3)
     rows = [(int(p), i, "".join(rng.choice(list("ACG"), 5))) for i, p in enumerate(rng.integers(0, 3, 90))]
     df = spark.createDataFrame(rows, "parent long, id long, s string")
-    want = {(p, i) for q in range(3) for p, (i, _) in ((q, x) for x in greedy([(i, s) for p, i, s in rows if p == q], 2))}
-    for block in (7, 1000):
-        got = choose_centers(df, 2, work_folder(spark), f"b{block}", block)
-        assert {(r.parent, r.center_id) for r in got.select("parent", "center_id").collect()} == want
+    for radius in (1, 2):
+        want = {(p, i) for q in range(3) for p, (i, _) in ((q, x) for x in greedy([(i, s) for p, i, s in rows if p == q], radius))}
+        for head in (1, 7, 1000):
+            got = choose_centers(df, radius, work_folder(spark), "b", head)
+            assert {(r.parent, r.center_id) for r in got.select("parent", "center_id").collect()} == want
     assert got.agg(F.min("child_ordinal")).first()[0] == 0
+    assert choose_centers(df.limit(0), 2, work_folder(spark), "none").count() == 0
+
+
+def test_batched_distances_are_exact():
+    import pyarrow as pa
+
+    from seqspan.functions.kernel import pair_distances
+
+    rng = np.random.default_rng(1)
+    a, b = ["", "", "é", "straße", "AC"], ["", "ACG", "e", "strasse", ""]
+    for n in (0, 1, 3, 50, 63, 64, 65, 127, 128, 129, 150, 200):
+        for k in range(8):
+            x = list("".join(rng.choice(list("ACGT"), n)))
+            a.append("".join(x))
+            for at in rng.integers(0, max(1, n), k) if n else ():
+                x[at] = "".join(rng.choice(list("ACGTN"), rng.integers(0, 3)))
+            b.append("".join(x) if k % 3 else "".join(rng.choice(list("ACGT"), rng.integers(0, 160))))
+    assert pair_distances(pa.array(a), pa.array(b)).tolist() == [dp(x, y) for x, y in zip(a, b, strict=True)]
+    assert pair_distances(pa.array([], pa.string()), pa.array([], pa.string())).tolist() == []
 
 
 def test_config_errors():
@@ -168,6 +188,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["benchmark", "--index", at["index"], "--queries", at["q.fa"], "--repeat", "2", "--warmup", "1"], spark) == 0
     assert main(["query", "--index", at["index"], "--queries", at["q.fa"], "--tolerance", "2"], spark) == 1
     assert main(["nonsense"], spark) == 0
+    capsys.readouterr()
+    assert main(["benchmark", "stray", "--unknown", "x", "--index", at["index"], "--queries", at["q.fa"], "--repeat", "3"], spark) == 0
+    out = capsys.readouterr().out
+    assert "queries=6 " in out and all(x in out for x in ("p50_us=", "p95_us=", "p99_us=", "mean_latency_us=", "peak_rss_bytes=", "avg_cache_candidates=0.0"))
+    for wrong in (["--threads", "0"], ["--block-size", "0"], ["--repeat", "0"], ["--repeat"], ["--route", "other"]):
+        assert main(["benchmark", "--index", at["index"], "--queries", at["q.fa"], *wrong], spark) == 1
+    (tmp_path / "none.fa").write_text("\n")
+    assert main(["query", "--index", at["index"], "--queries", str(tmp_path / "none.fa")], spark) == 1
+    assert main(["query", "--queries", at["q.fa"]], spark) == 1
     assert main(["generate", "--reference", at["r.fa"], "--output", at["gen"], "--count", "12", "--window", "4"], spark) == 0
     lines = next((tmp_path / "gen").glob("part-*")).read_text().splitlines()
     assert len(lines) == 24 and lines[0] == ">q0_source0_steps0_none" and lines[1] == "AAAA" and lines[18] == ">q9_random_nohit"
@@ -181,7 +210,7 @@ def test_version_is_checked(spark, tmp_path):
     index_store.save(index, str(tmp_path / "old"))
     with pytest.raises(ValueError):
         index_store.load(spark, str(tmp_path / "old"))
-    assert inspection.estimated_bytes(index) > 0
+    assert inspection.size_in_memory(index).first().index_bytes > 0
 
 
 @pytest.mark.parametrize("mode", ["ordered", "repeated", "shuffled"])

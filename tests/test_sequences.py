@@ -3,23 +3,29 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from seqspan.functions import sequences as fn
-from seqspan.operators.centers import edit_distance
+from seqspan.functions.kernel import pair_distances
 from seqspan.operators.windows import locations, windows
 from seqspan.sources import fasta
 from tests.plain import dp, rc
 
 
+def one_distance(a, b):
+    return int(pair_distances(pa.array([a]), pa.array([b]))[0])
+
+
 def test_distance_exhaustive(spark):
     left = ["".join(x) for x in itertools.product("ACN", repeat=3)]
     right = ["".join(x) for x in itertools.product("ACN", repeat=4)] + [""]
     pairs = spark.createDataFrame([(a, b, dp(a, b)) for a in left for b in right], "a string, b string, d int")
     cols = [fn.bounded_distance(F.col("a"), F.col("b"), t).alias(f"t{t}") for t in range(5)]
     for row in pairs.select("*", fn.distance(F.col("a"), F.col("b")).alias("exact"), *cols).collect():
-        assert row.exact == row.d == edit_distance(row.a, row.b)
+        assert row.exact == row.d == one_distance(row.a, row.b)
         for t in range(5):
             assert row[f"t{t}"] == (row.d if row.d <= t else -1)
 
@@ -32,7 +38,7 @@ def test_distance_lengths(spark):
         rows += [(a, b, dp(a, b)), (b, a, dp(a, b)), (a, "", len(a)), (a, a[: n // 2] + "N" + a[n // 2 :], 1)]
     out = spark.createDataFrame(rows, "a string, b string, d int").select("*", fn.distance(F.col("a"), F.col("b")).alias("x"), fn.bounded_distance(F.col("a"), F.col("b"), 0).alias("zero"))
     for row in out.collect():
-        assert row.x == row.d == edit_distance(row.a, row.b)
+        assert row.x == row.d == one_distance(row.a, row.b)
         assert row.zero == (0 if row.d == 0 else -1)
 
 
@@ -95,3 +101,29 @@ def test_from_sequences(spark):
     for bad in ([], [""], ["A", "AC"]):
         with pytest.raises(ValueError):
             fasta.from_sequences(spark, bad)
+
+
+def test_windows_of_long_and_wide_contigs(spark):
+    from seqspan.operators import windows as w
+    from seqspan.sources.fasta import contig_windows
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("ACGT"), 3 * w.PIECE // 2)), "äbc" * 7, "", "ACG", "ACGTACGT"]
+    contigs = spark.createDataFrame([(k, f"c{k}", s) for k, s in enumerate(texts)], "contig_ordinal long, name string, bases string")
+    for stride, spread in ((1, False), (7, True)):
+        placed = contig_windows(contigs, 5, stride)
+        rows = sorted(w.windows(placed, 5, stride, spread).collect())
+        want = [(f"c{k}", i, s[i : i + 5]) for k, s in enumerate(texts) for i in range(0, len(s) - 4, stride)]
+        assert [(r.contig, r.start, r.seq) for r in rows] == want and [r.sequence_id for r in rows] == list(range(len(want)))
+        ids = spark.createDataFrame([(k, k % 3) for k in range(0, len(want) + 50, 97)], "sequence_id long, more int")
+        got = {r.sequence_id: (r.contig, r.start) for r in w.locations(ids, placed, stride).collect()}
+        assert got == {k: want[k][:2] for k in range(0, len(want), 97)}
+
+
+def test_folders_of_fasta_files(spark, tmp_path):
+    from seqspan.sources.fasta import read_contigs
+
+    (tmp_path / "a.fa").write_text(">one x\nAC\nGT\n>two\nAA\n")
+    (tmp_path / "b.fa").write_text(">three\nCC\n")
+    rows = sorted(read_contigs(spark, str(tmp_path)).collect())
+    assert [(r.name, r.bases) for r in rows] == [("one", "ACGT"), ("two", "AA"), ("three", "CC")]
