@@ -7,6 +7,7 @@ code points cut alike.  A null text counts as an empty one everywhere in this pa
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -25,7 +26,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: bytes of text handled at once; only a single longer text makes a larger slice
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _HASH_SPAN = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -116,6 +117,13 @@ def spare(df: DataFrame, name: str) -> str:
 # ---------------------------------------------------------------- words
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: Python workers live on and keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if (libc := ctypes.CDLL(None)) and hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def text_buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (from 0) of a string array, without copying where it has no nulls."""
     if isinstance(array, pa.ChunkedArray):

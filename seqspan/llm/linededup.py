@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqspan.llm.common import LOWER, columns_of, fresh, mix, spare, span_hashes, spread_join, stored, text_slices, words_of, work_dir
+from seqspan.llm.common import LOWER, columns_of, fresh, give_back, mix, spare, span_hashes, spread_join, stored, text_slices, words_of, work_dir
 from seqspan.llm.rules import lines_of
 
 _B = np.uint64(0xA0761D6478BD642F)
@@ -104,6 +104,8 @@ def runs(text: Column, least: int) -> Column:
             edge, inner = (pa.array(np.cumsum(np.concatenate(x)), pa.int32()) for x in (per_row, per_h))
             at = pa.ListArray.from_arrays(inner, cat(spans, np.int32))
             yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(edge, cat(h, np.int64)), pa.ListArray.from_arrays(edge, at)], names=RUNS.names)
+            del h, spans, per_row, per_h, at
+            give_back()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, RUNS)(text)

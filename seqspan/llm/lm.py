@@ -25,7 +25,6 @@ are log10(0.1 / 0.1) = 0 a token.  Empty table: empty result.  Other columns are
 
 from __future__ import annotations
 
-import ctypes
 import pickle
 from collections.abc import Iterator
 
@@ -35,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspan.llm.common import LOWER, crc_remainder, mix, pair_hash, row_sums, span_hashes, spread_join, stored, text_slices, words_of, work_dir
+from seqspan.llm.common import LOWER, crc_remainder, give_back, mix, pair_hash, row_sums, span_hashes, spread_join, stored, text_slices, words_of, work_dir
 
 RATIO = 1.2
 _END = np.uint64(0x656E64)  # the end token, and the context before a first word
@@ -78,13 +77,6 @@ _UNI = _BI = level_starts(1)
 # ---------------------------------------------------------------- counting
 
 
-def _give_back() -> None:
-    """Hand freed memory back to the system: workers live on and keep it otherwise."""
-    pa.default_memory_pool().release_unused()
-    if (libc := ctypes.CDLL(None)) and hasattr(libc, "malloc_trim"):
-        libc.malloc_trim(0)
-
-
 def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
@@ -151,7 +143,7 @@ def _dealt(segments: int):
                     a, b = edge[s], edge[s + 1]  # 48 bits name a bigram within a segment
                     low = g[a:b] & _LOW48
                     yield _batch([(s, 1, p, _dumped((low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint16), _small(n[a:b]))), 0.0, 0.0, 0.0)])
-                _give_back()
+                give_back()
 
     return run
 
@@ -176,7 +168,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flushed, held, size = flushed + 1, [], 0
         out = pa.RecordBatch.from_arrays([pa.array([p]), pa.array([_packed(*joined)], pa.binary())], names=["p", "payload"])
         del joined
-        _give_back()
+        give_back()
         return out
 
     for batch in batches:
@@ -223,7 +215,7 @@ def _sum_segments(probes: int):
             for r in _segment(now, rows, probes):
                 yield _batch([r])
             rows.clear()
-            _give_back()
+            give_back()
 
         for batch in batches:
             for k in range(batch.num_rows):
@@ -266,7 +258,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done() -> pa.RecordBatch:
         out = pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in _met(rows)], names=["payload", "seen"])
         rows.clear()
-        _give_back()
+        give_back()
         return out
 
     for batch in batches:
@@ -419,7 +411,7 @@ def _scores(shares: np.ndarray, n: float, v: float):
                 s = shares[context]
                 score = row_sums(np.log10(s * both / up + (1 - s) * p)[at], counts)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, counts, base, known, score)], names=["dk", "n_tokens", "base", "known", "score"])
-            _give_back()
+            give_back()
 
     return run
 

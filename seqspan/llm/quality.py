@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqspan.llm.common import LOWER, crc_remainder, fresh, mix, pair_hash, row_sums, span_hashes, text_slices, words_of
+from seqspan.llm.common import LOWER, crc_remainder, fresh, give_back, mix, pair_hash, row_sums, span_hashes, text_slices, words_of
 from seqspan.llm.sampling import labelled_sample
 
 DIM_BITS = 18
@@ -128,6 +128,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in batches:
             yield pa.array(score_array(array, sent.value))
+            give_back()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, T.DoubleType())(F.col(text_col))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqspan.llm.common import IS_WORD, crc_remainder, distinct_sorted, fresh, mix, row_sums, span_hashes, text_slices, words_of
+from seqspan.llm.common import IS_WORD, crc_remainder, distinct_sorted, fresh, give_back, mix, row_sums, span_hashes, text_slices, words_of
 from seqspan.llm.sampling import labelled_sample
 
 _SYMBOL = np.zeros(256, bool)
@@ -212,7 +212,6 @@ def train(texts: pa.Array, y: np.ndarray, *, shared_by: int = 3) -> dict:
     h, n = distinct_sorted(cat["line_hash"][once])
     common = (n[np.searchsorted(h, cat["line_hash"])] >= shared_by) & (cat["line_words"] > 0)
     gold = ((y[doc] == 0) | common).astype(np.int64)
-    # both classes weigh alike in the sample: take as many lines' documents of each
     return fit_crf(cat["x"], gold, cat["per_row"])
 
 
@@ -241,6 +240,7 @@ def checked(docs: DataFrame, model: dict, *, text_col: str = "text", min_words:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in batches:
             yield label_array(array, sent.value)
+            give_back()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     names = [f.name for f in RESULT.fields]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqspan.llm.common import LOWER, crc_remainder, distinct_sorted, fresh, row_sums, span_hashes, text_buffers, text_slices, words_of
+from seqspan.llm.common import LOWER, crc_remainder, distinct_sorted, fresh, give_back, row_sums, span_hashes, text_buffers, text_slices, words_of
 from seqspan.llm.quality import collapsed
 from seqspan.llm.sampling import labelled_sample
 
@@ -239,6 +239,7 @@ def scored(docs: DataFrame, model: dict, *, text_col: str = "text", flag_above:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in batches:
             yield pa.array(score_array(array, sent.value))
+            give_back()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     out = fresh(docs, ["score", "predicted"]).withColumn("score", F.arrow_udf(run, T.DoubleType())(F.col(text_col)))
