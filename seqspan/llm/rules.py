@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -227,10 +228,12 @@ def label_array(array: pa.Array, model: dict) -> pa.StructArray:
     return pa.StructArray.from_arrays(whole, names=list(cols))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """A CRF from at most ``per_class`` documents of each quality label."""
+def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1000, max_lines: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> dict:
+    """A CRF from at most ``per_class`` documents of each quality label, none of them with more
+    than ``max_lines`` lines (such texts are decoded whole, but training steps go line by line)."""
     texts, y, _ = labelled_sample(docs, labels, "quality", crc_remainder(id_col, 5) != 0, id_col=id_col, text_col=text_col, per_class=per_class)
-    return train(texts, y)
+    short = pc.less(pc.count_substring(texts, "\n"), max_lines)
+    return train(texts.filter(short), y[short.to_numpy(zero_copy_only=False)])
 
 
 def checked(docs: DataFrame, model: dict, *, text_col: str = "text", min_words: int = 20, max_repeat: float = 0.30, min_content: float = 0.5) -> DataFrame:
