@@ -40,6 +40,7 @@ RATIO = 1.2
 _END = np.uint64(0x656E64)  # the end token, and the context before a first word
 _FLUSH_TOKENS = 600_000
 _PROBED = 1 << 17  # n-grams looked up at once
+_ZSTD = pa.Codec("zstd", compression_level=6)
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -84,7 +85,7 @@ def _small(x: np.ndarray) -> np.ndarray:
 def _dumped(x: tuple) -> bytes:
     """Packed for disk and shuffle: numbers of words and levels are mostly small."""
     raw = pickle.dumps(x, 5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
 def _loaded(x: pa.Scalar) -> tuple:
