@@ -248,6 +248,37 @@ def test_near_dedup_stage_matches_brute_force_jaccard(spark, odd, tile):
     assert jaccard.keep_one(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tile", [500, 3000, 1 << 19])
+def test_near_dedup_of_stars_and_chains_matches_brute_force(spark, tile):
+    """A tight family, chains whose ends are unlike, and outliers below the limit."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for family in range(3):
+        base = [f"f{family}x{x}" for x in rng.integers(0, 5000, 200)]
+        for k in range(40):
+            edited = list(base)
+            for at in rng.choice(200, k % 9, replace=False):
+                edited[at] = f"star{k}x{at}"
+            texts.append(edited)
+        for k in range(30):  # each a few words off its predecessor
+            base = list(base)
+            for at in rng.choice(200, 3, replace=False):
+                base[at] = f"chain{k}x{at}"
+            texts.append(base)
+    order = rng.permutation(len(texts)).tolist()
+    sets = {i: {tuple(texts[k][j : j + 5]) for j in range(196)} for i, k in enumerate(order)}
+    least = {i: i for i in sets}
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both * 1000 >= 800 * (len(sets[a]) + len(sets[b]) - both):
+                old, new = max(least[a], least[b]), min(least[a], least[b])
+                least = {i: new if v == old else v for i, v in least.items()}
+    df = spark.createDataFrame([(i, " ".join(texts[k]), None, "s", 0) for i, k in enumerate(order)], DOC)
+    assert 3 <= len(set(least.values())) < len(texts) // 2
+    assert {r.doc_id for r in jaccard.keep_one(df, tile_shingles=tile).collect()} == set(least.values())
+
+
 # ---------------------------------------------------------------- 5
 
 
