@@ -263,7 +263,9 @@ def query_stats_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_stats_multilateration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.query_stats(corpus.part_reads(spark, sf_dir), corpus.part_index(spark, sf_dir))
+    stats = search.query_stats(corpus.part_reads(spark, sf_dir), corpus.part_index(spark, sf_dir))
+    counts = [f"{c}_{k}" for c in ("edits", "pruned") for k in range(3)]
+    return stats.select(*counts, F.col("leaf_members").alias("leaf"), "routing_edit_calls", "leaf_members", "exact_verifications", "total_edit_calls")
 
 
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,3 +245,20 @@ def test_streaming_reads(spark, tmp_path):
     stream.processAllAvailable()
     stream.stop()
     assert found(spark.read.parquet(str(tmp_path / "out"))) == {(0, 0, "+", 1), (1, 1, "+", 0)}
+
+
+def test_query_stats_multilateration_equals_its_sql(spark):
+    from pathlib import Path
+
+    import duckdb
+
+    from seqspan.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for path in Path(sf).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS FROM read_parquet('{path}{'/*.parquet' if path.is_dir() else ''}')")
+    want = con.execute(registry.oracle_sql()["query_stats_multilateration"])
+    got = registry.queries()["query_stats_multilateration"](spark, sf)
+    assert got.columns == [d[0] for d in want.description]
+    assert [tuple(r) for r in got.collect()] == want.fetchall()
