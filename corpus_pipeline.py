@@ -31,7 +31,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: five-word shingles, Jaccard similarity
-    of 0.8 or more, counted on the whole shingle sets."""
+    of 0.8 or more.  SimHash finds the candidates, the whole shingle sets decide."""
     return jaccard.keep_one(docs, width=5, least=0.8)
 
 

@@ -1,10 +1,11 @@
 """Near-duplicates by the Jaccard similarity of word shingles, verified on whole sets.
 
-Candidates come from MinHash bands: texts that share one of ``bands`` keys of ``rows`` minima
-each are linked, whatever their number, and components of these links are the groups to
-verify.  A pair of similarity J shares no key with chance (1 - J**rows)**bands: 5e-6 at 0.8
-with the default 40 keys of 6 (and then it is still found if a chain of candidates joins it);
-at 0.3 it shares one with chance 0.03, so that unlike texts seldom make a group.
+Candidates come from SimHash (``simhash.table_links``): fingerprints of the shingle sets, 128
+keys that are blocks of 15 bits, and a Hamming limit of 38 on 128 further bits; components of
+these candidates are the groups to verify.  At a similarity of 0.8 a bit differs with chance
+0.15 at most, so a pair shares no key with chance 1.2e-5 and exceeds the limit with 9e-6 (and
+then it is still found if a chain of candidates joins it).  Sets of 4 and 5 shingles differ in
+0.19 of the bits: below 8 shingles there are 128 keys more, with a limit of 42.
 Within a group similarities are counted on the shingle sets (64-bit hashes), so no link below
 ``least`` is made.  Members are compared one by one with a hub of their group, then with
 linked candidates.  Members that stay unlinked are compared with their whole group: groups
@@ -27,10 +28,10 @@ from pyspark.sql import types as T
 
 from seqspan.llm.common import LOWER, give_back, mix, span_hashes, spread_join, stored, text_slices, words_of, work_dir
 from seqspan.llm.components import connected_components
-from seqspan.llm.simhash import first_of_class
+from seqspan.llm.simhash import CHECK_WORDS, KEY_WORDS, SHORT, first_of_class, long_fingerprints, table_links
 
 _B = np.uint64(0xA0761D6478BD642F)
-SETS = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("grams", T.BinaryType())])
+SETS = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("grams", T.BinaryType())])
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,37 +55,37 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.nda
     return h[new], np.bincount(row[new], minlength=len(counts))
 
 
-def band_keys(h: np.ndarray, counts: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """``bands`` keys of each row; rows without shingles share theirs."""
-    salts = mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64) * _B)
-    some = counts > 0
-    first = (np.cumsum(counts) - counts)[some]
-    out = np.zeros((len(counts), bands), np.uint64)
-    for band in range(bands):
-        key = np.full(len(first), band, np.uint64)
-        for k in range(band * rows, band * rows + rows):
-            if len(first):
-                key = mix(key * _B + np.minimum.reduceat((h ^ salts[2 * k]) * (salts[2 * k + 1] | np.uint64(1)), first))
-        out[some, band] = key
-    return out
+def words_of_prints(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the long fingerprints row after row, and their number in each row."""
+    common = CHECK_WORDS + KEY_WORDS
+    many = np.where(counts < SHORT, common + KEY_WORDS, common)
+    edge = np.cumsum(many) - many
+    out = np.zeros(many.sum(), np.uint64)
+    out[edge[:, None] + np.arange(common)] = long_fingerprints(h, counts, range(common))
+    short = counts < SHORT
+    more = long_fingerprints(h[np.repeat(short, counts)], counts[short], range(common, common + KEY_WORDS))
+    out[edge[short][:, None] + common + np.arange(KEY_WORDS)] = more
+    return out, many
 
 
-def sets_of(text: Column, width: int, bands: int, rows: int) -> Column:
+def sets_of(text: Column, width: int) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in batches:
-            nodes, sizes, keys, grams = [], [], [], []
+            nodes, sizes, prints, many, grams = [], [], [], [np.zeros(1, np.int64)], []
             for _, _, data, offs in text_slices(array, 1 << 18):
                 h, counts = shingle_sets(data, offs, width)
                 edge = np.concatenate([[0], np.cumsum(counts)])
                 total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h), dtype=np.uint64)])
                 nodes.append(mix(total[edge[1:]] - total[edge[:-1]] + counts.astype(np.uint64)))
                 sizes.append(counts.astype(np.int64))
-                keys.append(band_keys(h, counts, bands, rows).ravel())
+                words, each = words_of_prints(h, counts)
+                prints.append(words)
+                many.append(each)
                 grams += [h[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
             cat = lambda x, t: pa.array((np.concatenate(x) if x else np.zeros(0, t)).view(np.int64))
-            each = pa.ListArray.from_arrays(pa.array(np.arange(len(grams) + 1) * bands, pa.int32()), cat(keys, np.uint64))
-            yield pa.StructArray.from_arrays([cat(nodes, np.uint64), cat(sizes, np.int64), each, pa.array(grams, pa.binary())], names=SETS.names)
-            del nodes, sizes, keys, grams, each
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(many)), pa.int32()), cat(prints, np.uint64))
+            yield pa.StructArray.from_arrays([cat(nodes, np.uint64), cat(sizes, np.int64), lists, pa.array(grams, pa.binary())], names=SETS.names)
+            del nodes, sizes, prints, many, grams, lists
             give_back()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -187,29 +188,28 @@ def near_others(rows: DataFrame, partners: DataFrame, key: str, least: float) ->
 
 
 def jaccard_links(sets: DataFrame, folder: str, least: float, tile_shingles: int) -> DataFrame:
-    """``sets(node, n, keys, grams)`` -> ``(a, b)``: links between nodes with the same components
+    """``sets(node, n, words, grams)`` -> ``(a, b)``: links between nodes with the same components
     as all pairs of sets of a similarity of ``least`` or more.
 
     Each group is compared with its hub (the node with the most candidates) first, then what is
     not linked with candidates that are.  All linked so far form one class, so only the nodes
     still open need comparing with the rest of their group: work is linear in a group of copies."""
-    keyed = stored(sets.select("node", "keys").dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node"), folder, "keyed")
-    met = keyed.groupBy("key").agg(F.count("*").alias("many"), F.min("node").alias("first")).where("many > 1")
-    edges = stored(spread_join(keyed, met, "key").groupBy("node", "first").agg(F.sum("many").alias("many")), folder, "edges")
-    groups = connected_components(edges.select(F.col("node").alias("a"), F.col("first").alias("b")), folder, "met")
+    prints = stored(sets.select("node", "words").dropDuplicates(["node"]), folder, "prints")
+    met = stored(table_links(prints, folder), folder, "met_links")
+    edges = met.select(F.col("a").alias("node"), F.col("b").alias("other")).union(met.select("b", "a"))
+    groups = connected_components(met, folder, "met")
     groups = stored(groups.distinct(), folder, "groups")
     one_each = sets.select("node", "n", "grams").join(groups.select("node"), "node", "left_semi").dropDuplicates(["node"])
     grouped = stored(spread_join(one_each, groups, "node"), folder, "grouped")
 
-    busy = spread_join(groups, edges.groupBy("node").agg(F.sum("many").alias("many")), "node")
+    busy = spread_join(groups, edges.groupBy("node").agg(F.count("*").alias("many")), "node")
     hubs = stored(busy.groupBy("root").agg(F.max(F.struct("many", "node")).alias("top")).select("root", F.col("top.node").alias("other")), folder, "hubs")
     partners = grouped.select(F.col("node").alias("other"), F.col("n").alias("on"), F.col("grams").alias("og"))
     hub_sets = stored(partners.join(hubs, "other"), folder, "hub_sets")
     starred = stored(near_others(grouped, hub_sets, "root", least), folder, "starred")
     settled = stored(starred.select(F.col("a").alias("node")).union(hubs.select("other")), folder, "settled")
     waiting = stored(groups.join(settled, "node", "left_anti"), folder, "waiting")
-    tried = edges.select("node", F.col("first").alias("other")).union(edges.select("first", "node")).where("node <> other")
-    tried = spread_join(tried.join(waiting.select("node"), "node", "left_semi"), settled.withColumnRenamed("node", "other"), "other").distinct()
+    tried = spread_join(edges.join(waiting.select("node"), "node", "left_semi"), settled.withColumnRenamed("node", "other"), "other").distinct()
     # the sets of those waiting, once for each settled candidate
     tried = spread_join(stored(tried, folder, "tried"), grouped.select("node", "n", "grams"), "node")
     chained = near_others(tried.withColumn("at", F.col("other")).drop("other"), partners.withColumn("at", F.col("other")), "at", least)
@@ -236,11 +236,10 @@ def jaccard_links(sets: DataFrame, folder: str, least: float, tile_shingles: int
 
 
 def keep_one(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, bands: int = 40, rows: int = 6,
-    tile_shingles: int = 1 << 19,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, tile_shingles: int = 1 << 19,
 ) -> DataFrame:
     """The documents without near-duplicates: which stay is as in ``simhash.keep_one``."""
     folder = work_dir(docs.sparkSession)
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), sets_of(F.col(text_col), width, bands, rows).alias("s"))
-    sets = stored(keyed.select("id", "key", "s.node", "s.n", F.col("s.keys").alias("keys"), "s.grams"), folder, "sets")
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), sets_of(F.col(text_col), width).alias("s"))
+    sets = stored(keyed.select("id", "key", "s.node", "s.n", "s.words", "s.grams"), folder, "sets")
     return first_of_class(docs, sets.select("id", "key", "node"), jaccard_links(sets, folder, least, tile_shingles), folder, id_col, text_col)

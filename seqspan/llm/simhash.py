@@ -11,6 +11,10 @@ With wide limits chance links would grow with the square of the corpus.  ``check
 asks for a second, independent fingerprint: a link needs at most ``max_bits`` in the first
 and at most ``check_bits`` in both together.
 
+Limits too wide for a pigeonhole guarantee (0.15 of the bits) take ``table_links``: a long
+fingerprint from one pass over the shingle hashes, keys that are blocks of it, and the Hamming
+distance of two more words as the check.
+
 Nulls: a null text is empty; a null id keeps its row and its links, but is never a
 component's id (null if no document of the component has one).  No words: fingerprint zero.
 Repeated rows and equal texts share a fingerprint.  Empty table: empty result.
@@ -28,10 +32,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqspan.llm.common import spare, spread_join, stored, text_buffers, work_dir
+from seqspan.llm.common import mix, spare, spread_join, stored, text_buffers, work_dir
 from seqspan.llm.components import connected_components
 
 _CHUNK = 1 << 15
+_LANES = np.uint64(0x0101010101010101)
+
+#: ``table_links``: words of the check, words of four key blocks each, bits of a block; sets of
+#: fewer than ``SHORT`` shingles have as many key words again
+CHECK_WORDS, KEY_WORDS, BLOCK, SHORT = 2, 32, 15, 8
+#: bits of the check that may differ: in the common tables, in those of short sets
+CHECK_BITS = (38, 42)
 
 
 def _counts(hashes: list[int]) -> np.ndarray:
@@ -184,6 +195,110 @@ def fingerprint_links(fps: DataFrame, folder: str, max_bits: int = 3, blocks: in
     return dealt.mapInArrow(_linked(max_bits, check_bits), "a long, b long").distinct()
 
 
+def long_fingerprints(h: np.ndarray, counts: np.ndarray, words: range) -> np.ndarray:
+    """The named words of the fingerprint of each row of ``counts`` shingle hashes: a bit is 1 if
+    it is set in over half of the hashes, which are mixed anew for every word (bit 8 b + j of the
+    hashes is bit 8 j + b of the word)."""
+    out = np.zeros((len(counts), len(words)), np.uint64)
+    some = np.flatnonzero(counts)
+    if not len(some):
+        return out
+    many = counts[some]
+    pieces = -(-many // 255)  # a byte lane counts to 255
+    edge = np.cumsum(pieces) - pieces
+    nth = np.arange(pieces.sum()) - np.repeat(edge, pieces)
+    starts = np.repeat((np.cumsum(counts) - counts)[some], pieces) + 255 * nth
+    salts = mix(np.arange(1, words.stop + 1, dtype=np.uint64) * _LANES)
+    for at, word in enumerate(words):
+        x, bits = mix(h ^ salts[word]), np.zeros(len(some), np.uint64)
+        for j in range(8):
+            lanes = np.add.reduceat((x >> np.uint64(j)) & _LANES, starts)
+            totals = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8), edge, axis=0, dtype=np.int64)
+            bits |= np.packbits(2 * totals > many[:, None], axis=1, bitorder="little")[:, 0].astype(np.uint64) << np.uint64(8 * j)
+        out[some, at] = bits
+    return out
+
+
+def _table_keys(words: Column) -> Column:
+    """One long for each block of the key words: the table's number and the block."""
+    keys = F.slice(words, CHECK_WORDS + 1, F.size(words) - CHECK_WORDS)
+    block = lambda w, i, j: ((i * 4 + j).cast("long") * (1 << 16)) + F.shiftrightunsigned(w, 16 * j).bitwiseAND(F.lit((1 << BLOCK) - 1))
+    return F.flatten(F.transform(keys, lambda w, i: F.array(*[block(w, i, j) for j in range(4)])))
+
+
+def _near_in_tables():
+    """Batches (key, node, check words) sorted by key -> links; small groups are compared at
+    once, row by row with the next, second next and so on."""
+
+    def links(keys: np.ndarray, nodes: np.ndarray, check: np.ndarray) -> pa.RecordBatch:
+        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+        sizes = np.diff(edge)
+        limits = np.where((keys & 0xFFFFFFFF) >> 16 < 4 * KEY_WORDS, *CHECK_BITS)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(sizes > 16).tolist():
+            p, q = near_pairs(check[edge[i] : edge[i + 1]], 64, int(limits[edge[i]]))
+            a.append(nodes[p + edge[i]])
+            b.append(nodes[q + edge[i]])
+        at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 16), sizes))
+        for step in range(1, 16):
+            at = at[at + step < len(keys)]
+            at = at[keys[at] == keys[at + step]]
+            if not len(at):
+                break
+            apart = np.bitwise_count(check[at] ^ check[at + step]).sum(1, dtype=np.int64)
+            near = at[apart <= limits[at]]
+            a.append(nodes[near])
+            b.append(nodes[near + step])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            held.clear()
+            return links(rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy() for c in batch.columns], 1)
+            if held and held[-1][0, 0] != rows[0, 0]:
+                yield flush()
+            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            if cut:
+                held.append(rows[:cut])
+                yield flush()
+            held.append(rows[cut:])
+        if held:
+            yield flush()
+
+    return run
+
+
+def table_links(prints: DataFrame, folder: str, tile_rows: int = 4096) -> DataFrame:
+    """``prints(node, words)`` of distinct nodes -> ``(a, b)``: pairs that share a key and whose
+    check words are near, or where a key has many a spanning forest of them.
+
+    Keys held by over ``tile_rows`` nodes are cut into tiles; how many chunks they need is
+    estimated on one node of 16, every node takes part."""
+    checks = [F.col("words")[k].alias(f"c{k}") for k in range(CHECK_WORDS)]
+    keyed = prints.select(F.explode(_table_keys(F.col("words"))).alias("key"), "node", *checks)
+    some = prints.where(F.pmod(F.xxhash64("node"), F.lit(16)) == 0)
+    large = some.select(F.explode(_table_keys(F.col("words"))).alias("key")).groupBy("key").agg((F.count("*") * 16).alias("many"))
+    large = stored(large.where(F.col("many") > tile_rows).select("key", F.ceil(F.col("many") / tile_rows).alias("chunks")), folder, "large")
+    met = spread_join(keyed, large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+    tiles = F.transform(F.filter(others, lambda x: (x != own) | (F.col("chunks") == 1)), lambda x: F.least(own, x) * F.col("chunks") + F.greatest(own, x))
+    check = [f"c{k}" for k in range(CHECK_WORDS)]
+    plain = met.where("chunks = 1").select("key", "node", *check)
+    tiled = met.where("chunks > 1").withColumn("tile", F.explode(tiles)).select((F.col("key") + F.col("tile") * (1 << 32)).alias("key"), "node", *check)
+    dealt = plain.union(tiled) if large.head(1) else keyed
+    dealt = dealt.repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_near_in_tables(), "a long, b long").distinct()
+
+
 def class_roots(nodes: DataFrame, links: DataFrame, folder: str) -> DataFrame:
     """``nodes(node, ...)`` with ``root``: the same for all nodes that links ``(a, b)`` connect."""
     roots = connected_components(links, folder)

@@ -279,6 +279,40 @@ def test_near_dedup_of_stars_and_chains_matches_brute_force(spark, tile):
     assert {r.doc_id for r in jaccard.keep_one(df, tile_shingles=tile).collect()} == set(least.values())
 
 
+def test_table_links_equal_plain_fingerprints(spark, tmp_path):
+    """Bits, keys and links of the near-dedup stage against a plain model, in tiles too."""
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 2**64, n, dtype=np.uint64) for n in (0, 1, 4, 5, 300, 700)]
+    near = [np.concatenate([base[4][: 300 - k], rng.integers(0, 2**64, k, dtype=np.uint64)]) for k in range(0, 60, 2)]
+    sets = [np.unique(x) for x in [*base, *near]]
+    h, counts = np.concatenate(sets), np.array([len(x) for x in sets])
+    out, many = jaccard.words_of_prints(h, counts)
+    prints = np.split(out, np.cumsum(many)[:-1])
+    salts = jaccard.mix(np.arange(1, 100, dtype=np.uint64) * simhash._LANES)
+    for x, words_ in zip(sets, prints, strict=True):
+        assert len(words_) == 34 + 32 * (len(x) < 8)
+        for k in (0, 1, 2, 33, len(words_) - 1):
+            mixed = [int(v) for v in jaccard.mix(x ^ salts[k])]
+            assert int(words_[k]) == sum(1 << 8 * (bit % 8) + bit // 8 for bit in range(64) if 2 * sum(v >> bit & 1 for v in mixed) > len(x))
+    want, n = {k: k for k in range(len(sets))}, len(sets)
+    for a in range(n):
+        for b in range(a):
+            apart = sum(int(x ^ y).bit_count() for x, y in zip(prints[a][:2], prints[b][:2], strict=True))
+            same = [any((int(x ^ y) >> s) & 0x7FFF == 0 for s in (0, 16, 32, 48)) for x, y in zip(prints[a][2:], prints[b][2:], strict=False)]
+            if any(same[:32]) and apart <= 38 or any(same[32:]) and apart <= 42:
+                old, new = max(want[a], want[b]), min(want[a], want[b])
+                want = {i: new if v == old else v for i, v in want.items()}
+    df = spark.createDataFrame([(k, p.view(np.int64).tolist()) for k, p in enumerate(prints)], "node long, words array<long>")
+    for tile in (3, 4096):
+        (folder := tmp_path / str(tile)).mkdir()
+        links = simhash.table_links(df, str(folder), tile).collect()
+        got = {k: k for k in range(n)}
+        for r in links:
+            old, new = max(got[r.a], got[r.b]), min(got[r.a], got[r.b])
+            got = {i: new if v == old else v for i, v in got.items()}
+        assert got == want and 1 < len(set(got.values())) < n
+
+
 # ---------------------------------------------------------------- 5
 
 
