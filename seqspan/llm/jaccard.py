@@ -2,7 +2,8 @@
 
 Candidates come from SimHash (``simhash.table_links``): fingerprints of the shingle sets, 128
 keys that are blocks of 15 bits, and a Hamming limit of 38 on 128 further bits; components of
-these candidates are the groups to verify.  At a similarity of 0.8 a bit differs with chance
+these candidates are the groups to verify (``table_links`` gives links that are linear in a group
+and have these components, not all candidates).  At a similarity of 0.8 a bit differs with chance
 0.15 at most, so a pair shares no key with chance 1.2e-5 and exceeds the limit with 9e-6 (and
 then it is still found if a chain of candidates joins it).  Sets of 4 and 5 shingles differ in
 0.19 of the bits: below 8 shingles there are 128 keys more, with a limit of 42.

@@ -41,6 +41,8 @@ _LANES = np.uint64(0x0101010101010101)
 #: ``table_links``: words of the check, words of four key blocks each, bits of a block; sets of
 #: fewer than ``SHORT`` shingles have as many key words again
 CHECK_WORDS, KEY_WORDS, BLOCK, SHORT = 2, 32, 15, 8
+#: key words whose tables give the links that make the first classes
+FIRST_WORDS = 4
 #: bits of the check that may differ: in the common tables, in those of short sets
 CHECK_BITS = (38, 42)
 
@@ -219,26 +221,29 @@ def long_fingerprints(h: np.ndarray, counts: np.ndarray, words: range) -> np.nda
     return out
 
 
-def _table_keys(words: Column) -> Column:
-    """One long for each block of the key words: the table's number and the block."""
-    keys = F.slice(words, CHECK_WORDS + 1, F.size(words) - CHECK_WORDS)
-    block = lambda w, i, j: ((i * 4 + j).cast("long") * (1 << 16)) + F.shiftrightunsigned(w, 16 * j).bitwiseAND(F.lit((1 << BLOCK) - 1))
+def _table_keys(words: Column, start: int = 0, stop: int | None = None) -> Column:
+    """One long for each block of the key words from ``start`` on: the table's number and the block."""
+    keys = F.slice(words, CHECK_WORDS + 1 + start, F.lit(stop - start) if stop else F.size(words) - CHECK_WORDS - start)
+    block = lambda w, i, j: (((i + start) * 4 + j).cast("long") * (1 << 16)) + F.shiftrightunsigned(w, 16 * j).bitwiseAND(F.lit((1 << BLOCK) - 1))
     return F.flatten(F.transform(keys, lambda w, i: F.array(*[block(w, i, j) for j in range(4)])))
 
 
 def _near_in_tables():
-    """Batches (key, node, check words) sorted by key -> links; small groups are compared at
-    once, row by row with the next, second next and so on."""
+    """Batches (key, node, class, check words) sorted by key -> links between unlike classes, one
+    for each two of them; small groups are compared at once, row by row with the next, second
+    next and so on."""
 
-    def links(keys: np.ndarray, nodes: np.ndarray, check: np.ndarray) -> pa.RecordBatch:
+    def links(keys: np.ndarray, nodes: np.ndarray, classes: np.ndarray, check: np.ndarray) -> pa.RecordBatch:
         edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
         sizes = np.diff(edge)
         limits = np.where((keys & 0xFFFFFFFF) >> 16 < 4 * KEY_WORDS, *CHECK_BITS)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in np.flatnonzero(sizes > 16).tolist():
+            if (classes[edge[i] : edge[i + 1]] == classes[edge[i]]).all():
+                continue
             p, q = near_pairs(check[edge[i] : edge[i + 1]], 64, int(limits[edge[i]]))
-            a.append(nodes[p + edge[i]])
-            b.append(nodes[q + edge[i]])
+            a.append(p + edge[i])
+            b.append(q + edge[i])
         at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 16), sizes))
         for step in range(1, 16):
             at = at[at + step < len(keys)]
@@ -247,9 +252,18 @@ def _near_in_tables():
                 break
             apart = np.bitwise_count(check[at] ^ check[at + step]).sum(1, dtype=np.int64)
             near = at[apart <= limits[at]]
-            a.append(nodes[near])
-            b.append(nodes[near + step])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+            a.append(near)
+            b.append(near + step)
+        x, y = np.concatenate(a), np.concatenate(b)
+        swap = classes[x] > classes[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        x, y = x[classes[x] != classes[y]], y[classes[x] != classes[y]]
+        order = np.lexsort((classes[y], classes[x]))
+        x, y = x[order], y[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (classes[x][1:] != classes[x][:-1]) | (classes[y][1:] != classes[y][:-1])
+        x, y = x[new], y[new]
+        return pa.RecordBatch.from_arrays([pa.array(z) for z in (nodes[x], nodes[y], classes[x], classes[y])], names=["a", "b", "ca", "cb"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -257,7 +271,7 @@ def _near_in_tables():
         def flush() -> pa.RecordBatch:
             rows = np.concatenate(held)
             held.clear()
-            return links(rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64))
+            return links(rows[:, 0], rows[:, 1], rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view(np.uint64))
 
         for batch in batches:
             if not batch.num_rows:
@@ -277,26 +291,47 @@ def _near_in_tables():
 
 
 def table_links(prints: DataFrame, folder: str, tile_rows: int = 4096) -> DataFrame:
-    """``prints(node, words)`` of distinct nodes -> ``(a, b)``: pairs that share a key and whose
-    check words are near, or where a key has many a spanning forest of them.
+    """``prints(node, words)`` of distinct nodes -> ``(a, b)``: links with the same components as
+    all pairs that share a key and whose check words are near.
+
+    The first tables give links (of a key that many hold, a spanning forest) and from them
+    classes; every other table then adds one link for each two classes that it joins.  So links
+    are linear in a group: each table alone would span a group of copies anew.
 
-    Keys held by over ``tile_rows`` nodes are cut into tiles; how many chunks they need is
-    estimated on one node of 16, every node takes part."""
-    checks = [F.col("words")[k].alias(f"c{k}") for k in range(CHECK_WORDS)]
-    keyed = prints.select(F.explode(_table_keys(F.col("words"))).alias("key"), "node", *checks)
+    Keys held by over ``tile_rows`` nodes are cut into chunks, in the first step each by itself, in
+    the second in tiles (every two chunks meet in one); how many chunks they need is estimated
+    on one node of 16, every node takes part."""
+    check = [f"c{k}" for k in range(CHECK_WORDS)]
+    checks = [F.col("words")[k].alias(c) for k, c in enumerate(check)]
     some = prints.where(F.pmod(F.xxhash64("node"), F.lit(16)) == 0)
     large = some.select(F.explode(_table_keys(F.col("words"))).alias("key")).groupBy("key").agg((F.count("*") * 16).alias("many"))
     large = stored(large.where(F.col("many") > tile_rows).select("key", F.ceil(F.col("many") / tile_rows).alias("chunks")), folder, "large")
-    met = spread_join(keyed, large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
-    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks"))
-    others = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
-    tiles = F.transform(F.filter(others, lambda x: (x != own) | (F.col("chunks") == 1)), lambda x: F.least(own, x) * F.col("chunks") + F.greatest(own, x))
-    check = [f"c{k}" for k in range(CHECK_WORDS)]
-    plain = met.where("chunks = 1").select("key", "node", *check)
-    tiled = met.where("chunks > 1").withColumn("tile", F.explode(tiles)).select((F.col("key") + F.col("tile") * (1 << 32)).alias("key"), "node", *check)
-    dealt = plain.union(tiled) if large.head(1) else keyed
-    dealt = dealt.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_near_in_tables(), "a long, b long").distinct()
+    any_large = bool(large.head(1))
+    own, chunks = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")), F.col("chunks")
+    others = F.sequence(F.lit(0).cast("long"), chunks - 1)
+    tiles = F.transform(F.filter(others, lambda x: (x != own) | (chunks == 1)), lambda x: F.least(own, x) * chunks + F.greatest(own, x))
+
+    def keyed(rows: DataFrame, *words: int) -> DataFrame:
+        return rows.select(F.explode(_table_keys(F.col("words"), *words)).alias("key"), "node", "class", *checks)
+
+    def sized(rows: DataFrame) -> DataFrame:
+        return spread_join(rows, large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
+
+    def cut(rows: DataFrame, place: Column) -> DataFrame:
+        return rows.withColumn("place", place).select((F.col("key") + F.col("place") * (1 << 32)).alias("key"), "node", "class", *check)
+
+    def found(rows: DataFrame, name: str) -> DataFrame:
+        near = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_near_in_tables(), "a long, b long, ca long, cb long")
+        return stored(near.dropDuplicates(["ca", "cb"]).select("a", "b"), folder, name)
+
+    first = keyed(prints.withColumn("class", F.col("node")), 0, FIRST_WORDS)
+    first = found(cut(sized(first), own) if any_large else first, "first_links")
+    classes = connected_components(first, folder, "first").withColumnRenamed("root", "class")
+    classed = spread_join(prints, classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    rest = keyed(classed, FIRST_WORDS)
+    if any_large:  # the first tables too, for pairs in unlike chunks
+        rest = cut(sized(rest).union(sized(keyed(classed, 0, FIRST_WORDS)).where("chunks > 1")), F.explode(tiles))
+    return first.union(found(rest, "rest_links"))
 
 
 def class_roots(nodes: DataFrame, links: DataFrame, folder: str) -> DataFrame:

@@ -313,6 +313,22 @@ def test_table_links_equal_plain_fingerprints(spark, tmp_path):
         assert got == want and 1 < len(set(got.values())) < n
 
 
+@pytest.mark.parametrize("tile", [100, 4096])
+def test_table_links_grow_with_a_group_not_its_pairs(spark, tmp_path, tile):
+    """One family of near copies, in which nearly all pairs share a key, and two loners."""
+    rng = np.random.default_rng(8)
+    n, bits = 1500, rng.random((1500, 34, 64)) < 0.04
+    bits[-2:] = rng.random((2, 34, 64)) < 0.5
+    words_ = np.packbits(bits, axis=2, bitorder="little").view(np.int64)[:, :, 0]
+    df = spark.createDataFrame([(k, w.tolist()) for k, w in enumerate(words_)], "node long, words array<long>")
+    links = simhash.table_links(df, str(tmp_path), tile).collect()
+    assert len(links) == len({frozenset((r.a, r.b)) for r in links}) < 25 * n
+    of = np.arange(n)
+    for r in links:
+        of[of == of[r.a]] = of[r.b]
+    assert len(set(of[:-2].tolist())) == 1 and len(set(of.tolist())) == 3
+
+
 # ---------------------------------------------------------------- 5
 
 
