@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -65,6 +66,17 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_once(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """``stored``, then the shuffle files behind it go.  Executors remove those of a finished step
+    when the driver's JVM collects its garbage, which by itself may come many steps later.  What
+    has just run is still referred to for a moment, so a second collection follows."""
+    out = stored(df, folder, name)
+    for pause in (0.5, 0):
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(pause)
+    return out
+
+
 def dropped(df: DataFrame, folder: str, name: str) -> None:
     """Remove a stored table that no later step reads."""
     sc = df.sparkSession.sparkContext

@@ -11,6 +11,8 @@ A region takes ``probes / ln 2`` bits an entry at every size, so the filter grow
 entries and its error rate does not.  It is never brought together: a segment looks up the
 n-grams of all chunks of texts in its own region and sends back their levels, a byte each,
 and exact counts of words for the base score; they meet the chunk's tokens in one task.
+Hashes travel sorted, as steps from one to the next, and what a step leaves on disk goes
+when the next has read it.
 
 The model interpolates: p(w|h) = s * c(hw) / c(h) + (1 - s) * p(w), all counts read from the
 filter, c(h) rounded up and the others down so that no distribution sums to more than 1
@@ -34,14 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspan.llm.common import LOWER, crc_remainder, give_back, mix, pair_hash, row_sums, span_hashes, spread_join, stored, text_slices, words_of, work_dir
+from seqspan.llm.common import LOWER, crc_remainder, dropped, give_back, mix, pair_hash, row_sums, span_hashes, spread_join, stored, stored_once, text_slices, words_of, work_dir
 
 RATIO = 1.2
 _END = np.uint64(0x656E64)  # the end token, and the context before a first word
 _FLUSH_TOKENS = 600_000
 _PROBED = 1 << 17  # n-grams looked up at once
 _ZSTD = pa.Codec("zstd", compression_level=6)
-_LOW48 = np.uint64((1 << 48) - 1)
 
 
 def tokens_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +94,26 @@ def _loaded(x: pa.Scalar) -> tuple:
     return pickle.loads(pa.decompress(raw[8:], int.from_bytes(raw[:8].to_pybytes(), "little"), "zstd"))
 
 
+def _deltas(x: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Sorted hashes as steps from one to the next: the low 32 bits, which do not compress, and
+    the rest byte by byte, mostly zeros."""
+    d = np.diff(x, prepend=np.uint64(0))
+    high = np.ascontiguousarray((d >> np.uint64(32)).astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return d.astype(np.uint32), _ZSTD.compress(high.tobytes(), asbytes=True)
+
+
+def _summed(low: np.ndarray, high: bytes) -> np.ndarray:
+    """The hashes of ``_deltas``."""
+    rest = np.frombuffer(pa.decompress(high, 4 * len(low), "zstd"), np.uint8).reshape(4, -1)
+    rest = np.ascontiguousarray(rest.T).view("<u4").ravel().astype(np.uint64)
+    return np.cumsum(rest << np.uint64(32) | low, dtype=np.uint64)
+
+
+def _named(h: np.ndarray, segments: int) -> np.ndarray:
+    """48 bits that name a hash within its segment, in the same order."""
+    return h << np.uint64(segments.bit_length() - 1) >> np.uint64(16)
+
+
 def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
@@ -104,7 +125,7 @@ def _packed(tokens: np.ndarray, counts: np.ndarray, train: np.ndarray, keys: np.
     first = _runs(h)
     word = np.empty(len(h), np.uint32)
     word[order] = np.repeat(np.arange(len(first), dtype=np.uint32), np.diff(np.concatenate([first, [len(h)]])))
-    return _dumped((keys, _small(counts), train, h[first], _small(word)))
+    return _dumped((keys, _small(counts), train, _deltas(h[first]), _small(word)))
 
 
 def _bigrams(kinds: np.ndarray, word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -130,20 +151,20 @@ def _dealt(segments: int):
         for batch in batches:
             for p, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 _, counts, train, kinds, word = _loaded(x)
+                kinds = _summed(*kinds)
                 at, counts = np.repeat(train, counts), counts.astype(np.int64)
                 n = np.bincount(word[at], minlength=len(kinds))
                 edge = shares(kinds)
                 for s in np.flatnonzero(np.diff(edge)).tolist():
                     a, b = edge[s], edge[s + 1]
-                    yield _batch([(s, 0, p, _dumped((kinds[a:b], _small(n[a:b]))), 0.0, 0.0, 0.0)])
+                    yield _batch([(s, 0, p, _dumped((*_deltas(kinds[a:b]), _small(n[a:b]))), 0.0, 0.0, 0.0)])
                 _, g, order, first = _bigrams(kinds, word, counts)
                 n, g = np.add.reduceat(at[order].astype(np.uint32), first), g[first]
                 del order, at, word
                 edge = shares(g)
                 for s in np.flatnonzero(np.diff(edge)).tolist():
-                    a, b = edge[s], edge[s + 1]  # 48 bits name a bigram within a segment
-                    low = g[a:b] & _LOW48
-                    yield _batch([(s, 1, p, _dumped((low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint16), _small(n[a:b]))), 0.0, 0.0, 0.0)])
+                    a, b = edge[s], edge[s + 1]
+                    yield _batch([(s, 1, p, _dumped((*_deltas(_named(g[a:b], segments)), _small(n[a:b]))), 0.0, 0.0, 0.0)])
                 give_back()
 
     return run
@@ -192,28 +213,28 @@ def _merged(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
     return h[first], np.add.reduceat(c, first) if len(first) else c
 
 
-def _segment(seg: int, rows: list[tuple[int, int, object]], probes: int) -> Iterator[tuple]:
+def _segment(seg: int, rows: list[tuple[int, int, object]], segments: int, probes: int) -> Iterator[tuple]:
     """All rows of one segment -> counts and levels of each chunk's n-grams, and the region."""
-    wide = lambda x: x[0] if len(x) == 2 else x[0].astype(np.uint64) | x[1].astype(np.uint64) << np.uint64(32)
-    sums = [_merged([np.zeros(0, np.uint64), *(wide(x) for kind, _, x in rows if kind == k)], [np.zeros(0, np.int64), *(x[-1] for kind, _, x in rows if kind == k)]) for k in (0, 1)]
+    sums = [_merged([np.zeros(0, np.uint64), *(_summed(*x[:2]) for kind, _, x in rows if kind == k)], [np.zeros(0, np.int64), *(x[-1] for kind, _, x in rows if kind == k)]) for k in (0, 1)]
     (uni, many), (bi, often) = sums
     u, b = np.searchsorted(_UNI, many, "right"), np.searchsorted(_BI, often, "right")
     entries = float(u.sum() + b.sum())  # one a level
     bits = max(1024, -(-int(entries * probes / np.log(2)) // 8) * 8)
-    region = filled(bits, probes, (uni[u > 0] & _LOW48, u[u > 0], 1), (bi[b > 0], b[b > 0], 2))
+    names = _named(uni, segments)
+    region = filled(bits, probes, (names[u > 0], u[u > 0], 1), (bi[b > 0], b[b > 0], 2))
     yield seg, 4, 0, np.packbits(region, bitorder="little").tobytes(), float(many.sum()), float((many > 0).sum()), entries
-    found = [probed(region, h & _LOW48, salt, len(_UNI) - 1, probes).astype(np.uint8) for h, salt in ((uni, 1), (bi, 2))]
+    found = [probed(region, h, salt, len(_UNI) - 1, probes).astype(np.uint8) for h, salt in ((names, 1), (bi, 2))]
     for kind, p, x in rows:
-        at = np.searchsorted(sums[kind][0], wide(x))
+        at = np.searchsorted(sums[kind][0], _summed(*x[:2]))
         yield seg, 6 + kind, p, _dumped((found[0][at], _small(many[at])) if kind == 0 else (found[1][at],)), 0.0, 0.0, 0.0
 
 
-def _sum_segments(probes: int):
+def _sum_segments(segments: int, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            for r in _segment(now, rows, probes):
+            for r in _segment(now, rows, segments, probes):
                 yield _batch([r])
             rows.clear()
             give_back()
@@ -237,6 +258,7 @@ def _met(rows: list[tuple[int, object]]) -> tuple[bytes, bytes]:
     base sums, known tokens, distinct codes of levels, and the code's number of each token;
     and the codes with the number of training tokens of each."""
     keys, counts, train, kinds, word = next(_loaded(x) for kind, x in rows if kind == 2)
+    kinds = _summed(*kinds)
     counts = counts.astype(np.int64)
     # segments are ranges of hashes, so what they send back is in order of the hashes
     words, pairs = ([_loaded(x) for kind, x in rows if kind == k] for k in (6, 7))
@@ -343,7 +365,7 @@ class LogFrequencyFilter:
         for s, bits in self.regions.where(F.col("seg").isin(np.unique(seg).tolist())).toLocalIterator():
             mine = np.flatnonzero(seg == s)
             region = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").view(bool)
-            out[mine] = probed(region, h[mine] & _LOW48, salt, most, self.probes)
+            out[mine] = probed(region, _named(h[mine], self.segments), salt, most, self.probes)
         return out
 
     def parts(self, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -392,12 +414,13 @@ def train(docs: DataFrame, *, text_col: str = "text", train_col: str = "train",
     segments = 1 << max(2, (max(1, parts) - 1).bit_length())  # at most an input split each
     texts = stored(source.mapInArrow(_count, "p long, payload binary"), folder, "texts")
     dealt = texts.mapInArrow(_dealt(segments), _ROWS).repartitionById(segments, F.col("seg")).sortWithinPartitions("seg")
-    summed = stored(dealt.mapInArrow(_sum_segments(probes), _ROWS), folder, "segments")
+    summed = stored_once(dealt.mapInArrow(_sum_segments(segments, probes), _ROWS), folder, "segments")
     n, v = (float(x or 0) for x in summed.where("kind = 4").agg(F.sum("n"), F.sum("v")).first())
     model = LogFrequencyFilter(segments, probes, summed.where("kind = 4").select("seg", "payload"), n, v)
     back = summed.where("kind <> 4").select("seg", "kind", "p", "payload").unionByName(texts.selectExpr("-1 as seg", "2 as kind", "p", "payload"))
     back = back.repartition(max(1, parts), "p").sortWithinPartitions("p", "seg")
-    chunks = stored(back.mapInArrow(_chunks, "payload binary, seen binary"), folder, "chunks")
+    chunks = stored_once(back.mapInArrow(_chunks, "payload binary, seen binary"), folder, "chunks")
+    dropped(texts, folder, "texts")
     tally = chunks.select("seen").mapInArrow(_tally, "code long, many long").groupBy("code").agg(F.sum("many").alias("many")).where("many > 0").toArrow()
     model.shares = fitted_shares(*(c.to_numpy() for c in tally.columns), n, v)
     return model, chunks

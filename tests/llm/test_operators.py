@@ -2,11 +2,14 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -429,6 +432,39 @@ def test_lm_credits_bigrams_seen_once(spark):
     assert out[ids[0]].score > out[ids[1]].score + 100
 
 
+def test_lm_hashes_travel_as_steps():
+    """A distinct bigram of a chunk takes less than its 48 bits, and no hash is changed."""
+    rng = np.random.default_rng(6)
+    tokens = np.append(lm.mix(rng.integers(0, 5_000, 200_000).astype(np.uint64)), lm.mix(np.array([lm._END])))
+    chunk = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([lm._packed(tokens, np.array([len(tokens)]), np.array([True]), np.array([7]))], pa.binary())], names=["p", "payload"])
+    rows = [r for batch in lm._dealt(4)(iter([chunk])) for r in batch.to_pylist()]
+    pairs = len(np.unique(lm.pair_hash(lm.contexts_of(tokens, np.array([len(tokens)])), tokens)))
+    assert pairs > 190_000 and sum(len(r["payload"]) for r in rows if r["kind"] == 1) < 5.2 * pairs
+    for h in (tokens, np.array([0, 0, 1, 1 << 32, (1 << 64) - 1], np.uint64), np.array([1 << 63], np.uint64)):
+        assert (lm._summed(*lm._deltas(np.sort(h))) == np.sort(h)).all()
+    for segments in (1, 4, 2048):
+        name = lm._named(np.sort(tokens), segments)
+        assert (name < 1 << 48).all() and len(set(zip(np.sort(tokens) >> np.uint64(53), name))) == len(np.unique(tokens))
+
+
+def test_lm_frees_the_disk_of_finished_steps(spark, docs):
+    """Shuffles that have been read, and texts that are in chunks, do not lie there to the end."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    lying = lambda: {f: f.stat().st_size for d in disk.localDirsString() for f in Path(d).rglob("shuffle_*.data")}
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    files, folders = lying(), set(shared.iterdir())
+    _, chunks = lm.train(docs.select("text", F.xxhash64("doc_id").alias("dk"), F.lit(True).alias("train")))
+    (folder,) = set(shared.iterdir()) - folders
+    assert {x.name for x in folder.iterdir()} == {"segments", "chunks"}
+    stored = sum(x.stat().st_size for x in (folder / "chunks").iterdir())
+    for _ in range(50):  # executors remove them a little later
+        left = sum(n for f, n in lying().items() if f not in files)
+        if left < stored / 2:
+            break
+        time.sleep(0.1)
+    assert left < stored / 2 and chunks.count() > 0
+
+
 # ---------------------------------------------------------------- 6
 
 
