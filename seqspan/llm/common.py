@@ -87,15 +87,23 @@ def dropped(df: DataFrame, folder: str, name: str) -> None:
 _MASK = 0x5DEECE66D
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Equi-join on one long key where a key of ``left`` may hold a third of all rows.
+def row_key(id_: Column, text: Column) -> tuple[Column, Column]:
+    """Two hashes that name a row by its id and text.  Spark's hash skips nulls, so whether each is
+    null enters too; of 2e10 rows none is expected to share both hashes with another (6e-19)."""
+    parts = (id_.isNull(), id_, text.isNull(), text)
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
 
-    Both sides join on the key XOR a constant: this hides any partitioning that an
+
+def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on long keys where a key of ``left`` may hold a third of all rows.
+
+    Both sides join on the first key XOR a constant: this hides any partitioning that an
     aggregate left behind, so both inputs get a plain shuffle that AQE may split."""
-    k = F.col(key).cast("long").bitwiseXOR(F.lit(_MASK))
+    first, *more = [key] if isinstance(key, str) else key
+    k = F.col(first).cast("long").bitwiseXOR(F.lit(_MASK))
     a = left.withColumn("_jk", k)
-    b = right.withColumn("_jk", k).drop(key)
-    return a.join(b, "_jk", how).drop("_jk")
+    b = right.withColumn("_jk", k).drop(first)
+    return a.join(b, ["_jk", *more], how).drop("_jk")
 
 
 def crc_remainder(column: str, n: int) -> Column:

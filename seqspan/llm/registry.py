@@ -18,6 +18,9 @@ _MODULES = {
     "op8_url_filter": "urls",
     "op9_mix": "mixing",
     "op10_toxicity": "toxicity",
+    "op11_topk": "topk",
+    "op12_fill_in_middle": "fim",
+    "op13_whitening": "whitening",
 }
 
 
