@@ -47,19 +47,21 @@ def form_of(id_: Column, text: Column, seed: int, percent: int, spm_percent: int
     return F.when(plain, "plain").when(h[3] % 100 < spm_percent, "spm").otherwise("psm")
 
 
-def cut_offsets(units: DataFrame, folder: str) -> DataFrame:
-    """``units(k1, k2, first, last, lengths)``, one row a key, lengths up to unit ``last`` ->
-    ``(k1, k2, prefix_chars, middle_end)`` in code points."""
+def cut_offsets(units: DataFrame) -> DataFrame:
+    """``units(k1, k2, n, first, last, lengths)``, one row a key -> ``(k1, k2, n, prefix_chars,
+    middle_end)`` in code points.  Lengths go up to unit ``last``; a unit of length 0 stands
+    before the first one, so that every cut meets one.
+
+    Sums and cuts stay where the key put them: the ordinal is no key of the join."""
     key = ["k1", "k2"]
-    units = stored(units.dropDuplicates(key), folder, "units")
-    each = units.repartition(*key).select(*key, F.posexplode("lengths").alias("at", "length"))
-    upto = F.sum("length").over(W.partitionBy(*key).orderBy("at").rowsBetween(W.unboundedPreceding, 0))
-    ends = each.select(*key, (F.col("at") + 1).cast("long").alias("ordinal"), upto.alias("end"))
-    cuts = units.select(*key, F.explode(F.array(*[F.struct(F.lit(c).alias("cut"), F.col(c).alias("ordinal")) for c in ("first", "last")])).alias("x"))
-    # no unit ends before the first one: a cut at ordinal 0 finds none and is at offset 0
-    placed = cuts.repartition(*key).select(*key, "x.*").join(ends, [*key, "ordinal"], "left")
-    at = lambda cut: F.coalesce(F.max(F.when(F.col("cut") == cut, F.col("end"))), F.lit(0)).cast("long")
-    return placed.groupBy(*key).agg(at("first").alias("prefix_chars"), at("last").alias("middle_end"))
+    each = units.repartition(*key).select(*key, F.posexplode("lengths").alias("ordinal", "length"))
+    upto = F.sum("length").over(W.partitionBy(*key).orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0))
+    ends = each.select(*key, "ordinal", upto.alias("end"))
+    cuts = F.array(*[F.struct(F.lit(c).alias("cut"), F.col(c).alias("wanted")) for c in ("first", "last")])
+    cuts = units.select(*key, "n", F.explode(cuts).alias("x")).repartition(*key).select(*key, "n", "x.*")
+    met = ends.join(cuts.hint("merge"), key).where((F.col("ordinal") >= F.col("wanted")) & (F.col("ordinal") <= F.col("wanted")))
+    at = lambda cut: F.max(F.when(F.col("cut") == cut, F.col("end")))
+    return met.groupBy(*key).agg(F.first("n").alias("n"), at("first").alias("prefix_chars"), at("last").alias("middle_end"))
 
 
 def transformed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, percent: int = 50, spm_percent: int = 80) -> DataFrame:
@@ -82,10 +84,10 @@ def transformed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     n = F.size("lengths")
     cuts = [F.col(c) % (n + 1) for c in ("h1", "h2")]
     lengths = lengths.withColumns({"n": n.cast("long"), "first": F.least(*cuts), "last": F.greatest(*cuts)})
-    units = stored(lengths.select("k1", "k2", "n", "first", "last", F.slice("lengths", 1, F.col("last").cast("int")).alias("lengths")), folder, "lengths")
+    upto = F.concat(F.array(F.lit(0)), F.slice("lengths", 1, F.col("last").cast("int")))
+    units = stored(lengths.select("k1", "k2", "n", "first", "last", upto.alias("lengths")).dropDuplicates(["k1", "k2"]), folder, "units")
     cut = [spare(docs, x) for x in ("k1", "k2", "n", "prefix_chars", "middle_end")]
-    offsets = cut_offsets(units.select("k1", "k2", "first", "last", "lengths"), folder)
-    offsets = stored(offsets.join(units.select("k1", "k2", "n").dropDuplicates(["k1", "k2"]), ["k1", "k2"]).select("k1", "k2", "n", "prefix_chars", "middle_end").toDF(*cut), folder, "offsets")
+    offsets = stored(cut_offsets(units).toDF(*cut), folder, "offsets")
     met = spread_join(moved.withColumns({cut[0]: k1, cut[1]: k2}), offsets, cut[:2])
     start, end = F.col(cut[3]).cast("int"), F.col(cut[4]).cast("int")
     prefix, middle, suffix = F.substring(text, F.lit(1), start), F.substring(text, start + 1, end - start), F.substring(text, end + 1, F.length(text))
