@@ -94,6 +94,11 @@ def row_key(id_: Column, text: Column) -> tuple[Column, Column]:
     return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
 
 
+def row_name(id_: Column, text: Column) -> Column:
+    """Both hashes of ``row_key`` as 16 bytes."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(k), 16, "0") for k in row_key(id_, text)]))
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
     """Equi-join on long keys where a key of ``left`` may hold a third of all rows.
 

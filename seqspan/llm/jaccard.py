@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqspan.llm.common import LOWER, give_back, mix, span_hashes, spread_join, stored, text_slices, words_of, work_dir
+from seqspan.llm.common import LOWER, give_back, mix, row_name, span_hashes, spread_join, stored, text_slices, words_of, work_dir
 from seqspan.llm.components import connected_components
 from seqspan.llm.simhash import CHECK_WORDS, KEY_WORDS, SHORT, first_of_class, long_fingerprints, table_links
 
@@ -241,6 +241,6 @@ def keep_one(
 ) -> DataFrame:
     """The documents without near-duplicates: which stay is as in ``simhash.keep_one``."""
     folder = work_dir(docs.sparkSession)
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), sets_of(F.col(text_col), width).alias("s"))
+    keyed = docs.select(F.col(id_col).alias("id"), row_name(F.col(id_col), F.col(text_col)).alias("key"), sets_of(F.col(text_col), width).alias("s"))
     sets = stored(keyed.select("id", "key", "s.node", "s.n", "s.words", "s.grams"), folder, "sets")
     return first_of_class(docs, sets.select("id", "key", "node"), jaccard_links(sets, folder, least, tile_shingles), folder, id_col, text_col)

@@ -8,12 +8,13 @@ one; a more frequent run pairs each holder with its first holder, so pairs grow
 lines and groups of any size are found.
 
 A pair is aligned by patience diff over the runs that both hold, in the order of their
-lines; the aligned blocks are deleted from the later document, blank lines inside included.
-An alignment gives each run one partner in one order, so a passage held twice or in another
-order is left over.  Aligning what is left again and again would take every shared run in the
-end; they go in one step and are told apart as moved.  Of every passage the first holder
-keeps it.  Only places of shared runs travel, never whole documents, so a long first holder
-costs no more than a short one.
+lines; the aligned blocks, and nothing else, are deleted from the later document, blank lines
+inside included.  An alignment gives each run one partner in one order, so a passage held
+twice or in another order is left over: what is left of the later document is aligned again,
+until no shared run is left.  Lines that only a later alignment took are told apart as moved.
+There are as many alignments as a passage has copies or an order has reversals.  Of every
+passage the first holder keeps it.  Only places of shared runs travel, never whole documents,
+so a long first holder costs no more than a short one.
 
 Earlier means a smaller id (of any type that sorts).  Nulls: a row without an id is left as
 it is; a null text stays null.  Rows of equal id are one document: none is later, they are
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqspan.llm.common import LOWER, columns_of, fresh, give_back, mix, spare, span_hashes, spread_join, stored, text_slices, words_of, work_dir
+from seqspan.llm.common import LOWER, columns_of, fresh, give_back, mix, row_name, spare, span_hashes, spread_join, stored, text_slices, words_of, work_dir
 from seqspan.llm.rules import lines_of
 
 _B = np.uint64(0xA0761D6478BD642F)
@@ -157,22 +158,44 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def matched_runs(theirs: list[int], mine: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Runs (first line, last line, hash) of the later document that one alignment matches.  Where
+    every run left stands twice, nothing is unique: then their first places are aligned."""
+    found = patience(theirs, [h for *_, h in mine])
+    if found:
+        return [mine[k] for _, k in found]
+    first: dict[int, tuple[int, int, int]] = {}
+    for run in mine:
+        first.setdefault(run[2], run)
+    firsts = list(first.values())
+    return [firsts[k] for _, k in patience(theirs, [h for *_, h in firsts])]
+
+
 def common_blocks(shared: list[tuple[int, int, list[int]]]) -> tuple[set[int], set[int]]:
     """``shared`` runs (hash, first line in the earlier document, lines in the later one) ->
-    lines of the later document in aligned blocks, and those in runs left over."""
+    lines of the later document in blocks of the first alignment, and those that later
+    alignments of what is left took."""
     theirs = [h for _, h in sorted((line, h) for h, line, _ in shared)]
     mine = sorted((at[k], at[k + 1], h) for h, _, at in shared for k in range(0, len(at), 2))
-    in_order = {k for _, k in patience(theirs, [h for *_, h in mine])}
     aligned: set[int] = set()
-    rest: set[int] = set()
-    for k, (first, last, _) in enumerate(mine):
-        (aligned if k in in_order else rest).update(range(first, last + 1))
-    return aligned, rest
+    later: set[int] = set()
+    now = aligned
+    while mine:
+        taken = matched_runs(theirs, mine)
+        if not taken:
+            break
+        for first, last, _ in taken:
+            now.update(range(first, last + 1))
+        done = set(taken)
+        mine = [x for x in mine if x not in done and not all(k in aligned or k in later for k in range(x[0], x[1] + 1))]
+        left = {h for *_, h in mine}
+        theirs, now = [h for h in theirs if h in left], later
+    return aligned, later
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (d, a, h, line, at) sorted by d and a -> (d, gone, moved)."""
-    now: tuple[int, int] | None = None
+    now: tuple[bytes, bytes] | None = None
     shared: list[tuple[int, int, list[int]]] = []
     aligned: set[int] = set()
     rest: set[int] = set()
@@ -182,11 +205,11 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole.update(part)
         shared.clear()
 
-    def document(d: int) -> pa.RecordBatch:
+    def document(d: bytes) -> pa.RecordBatch:
         lists = [pa.array([sorted(x)], pa.list_(pa.int32())) for x in (aligned | rest, rest - aligned)]
         aligned.clear()
         rest.clear()
-        return pa.RecordBatch.from_arrays([pa.array([d], pa.int64()), *lists], names=["d", "gone", "moved"])
+        return pa.RecordBatch.from_arrays([pa.array([d], pa.binary()), *lists], names=["d", "gone", "moved"])
 
     for batch in batches:
         for d, a, h, line, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -237,14 +260,14 @@ def shared_runs(table: DataFrame, folder: str, rare_docs: int) -> DataFrame:
 
 def cut_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_block_words: int = 20, rare_docs: int = 8) -> tuple[DataFrame, str]:
     """``docs`` with one more column, and its name: null, or the numbers of the lines to delete
-    (``gone``) and those of them outside the alignments (``moved``)."""
+    (``gone``) and those of them that no first alignment took (``moved``)."""
     folder = work_dir(docs.sparkSession)
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    key = row_name(F.col(id_col), F.col(text_col))
     table = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     table = table.select(key.alias("dk"), F.col(id_col).alias("id"), runs(F.col(text_col), min_block_words).alias("runs"))
     one_each = stored(table.where(F.size("runs.h") > 0).dropDuplicates(["dk"]), folder, "documents")
     shared = shared_runs(one_each, folder, rare_docs).select("d", "a", "h", "line", "at")
-    found = shared.repartition("d").sortWithinPartitions("d", "a").mapInArrow(_aligned, "d long, gone array<int>, moved array<int>")
+    found = shared.repartition("d").sortWithinPartitions("d", "a").mapInArrow(_aligned, "d binary, gone array<int>, moved array<int>")
     dk, cut = spare(docs, "dk"), spare(docs, "cut")
     found = stored(found, folder, "cut").select(F.col("d").alias(dk), F.struct("gone", "moved").alias(cut)).hint("shuffle_hash")
     return docs.withColumn(dk, F.when(F.col(id_col).isNotNull(), key)).join(found, dk, "left").drop(dk), cut
@@ -258,7 +281,7 @@ def shortened(text_col: str, cut: str) -> Column:
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the repeated blocks cut from ``text_col``, n_lines, deleted_lines (their
-    numbers in the original text; empty if none) and moved_lines (those outside alignments)."""
+    numbers in the original text; empty if none) and moved_lines (those outside first alignments)."""
     added = ["n_lines", "deleted_lines", "moved_lines"]
     joined, cut = cut_lines(fresh(docs, added), id_col=id_col, text_col=text_col, **options)
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(text_col, F.lit("\n")) + 1).cast("long")

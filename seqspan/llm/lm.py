@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspan.llm.common import LOWER, crc_remainder, dropped, give_back, mix, pair_hash, row_sums, span_hashes, spread_join, stored, stored_once, text_slices, words_of, work_dir
+from seqspan.llm.common import LOWER, crc_remainder, dropped, give_back, mix, pair_hash, row_key, row_sums, span_hashes, spread_join, stored, stored_once, text_slices, words_of, work_dir
 
 RATIO = 1.2
 _END = np.uint64(0x656E64)  # the end token, and the context before a first word
@@ -180,7 +180,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts (dk, train, text) -> chunks (p, payload)."""
+    """Texts (key columns, train, text) -> chunks (p, payload)."""
     part, flushed, held, size = TaskContext.get().partitionId(), 0, [], 0
 
     def flush() -> pa.RecordBatch:
@@ -194,8 +194,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        keys, train = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-        for i, j, data, offs in text_slices(batch.column(2)):
+        *names, train, texts = batch.columns
+        keys, train = np.stack([k.to_numpy() for k in names], 1), train.to_numpy(zero_copy_only=False)
+        for i, j, data, offs in text_slices(texts):
             tokens, counts = tokens_of(data, offs)
             held.append((tokens, counts, train[i:j], keys[i:j]))
             size += len(tokens)
@@ -406,10 +407,10 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, *, text_col: str = "text", train_col: str = "train", probes: int = 10) -> tuple[LogFrequencyFilter, DataFrame]:
-    """``docs(dk, train, text)`` -> the filter, and a table of chunks of texts: see ``_met``."""
+    """``docs(dk[, dk2], train, text)``, one or two key columns -> the filter, and a table of chunks of texts: see ``_met``."""
     spark = docs.sparkSession
     folder = work_dir(spark)
-    source = docs.select("dk", F.col(train_col).alias("train"), F.col(text_col).alias("text"))
+    source = docs.select(*[c for c in ("dk", "dk2") if c in docs.columns], F.col(train_col).alias("train"), F.col(text_col).alias("text"))
     parts = source.rdd.getNumPartitions()
     segments = 1 << max(2, (max(1, parts) - 1).bit_length())  # at most an input split each
     texts = stored(source.mapInArrow(_count, "p long, payload binary"), folder, "texts")
@@ -434,7 +435,8 @@ def _scores(shares: np.ndarray, n: float, v: float):
                 p, both, up, context = parts_of(codes, n, v)
                 s = shares[context]
                 score = row_sums(np.log10(s * both / up + (1 - s) * p)[at], counts)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, counts, base, known, score)], names=["dk", "n_tokens", "base", "known", "score"])
+                names = ["dk", "dk2"][: keys.shape[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*np.ascontiguousarray(keys.T), counts, base, known, score)], names=[*names, "n_tokens", "base", "known", "score"])
             give_back()
 
     return run
@@ -442,15 +444,16 @@ def _scores(shares: np.ndarray, n: float, v: float):
 
 def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, **options) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    dk, dk2 = row_key(F.col(id_col), F.col(text_col))
     keyed = docs.select(
-        F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("dk"),
+        F.col(id_col).alias("_id"), F.col(text_col).alias("text"), dk.alias("dk"), dk2.alias("dk2"),
         (crc_remainder(id_col, folds) != 0).alias("train"),
     )
     model, chunks = train(keyed, **options)
-    each = chunks.select("payload").mapInArrow(_scores(model.shares, model.n, model.v), "dk long, n_tokens long, base double, known long, score double")
-    each = each.groupBy("dk").agg(*[F.max(c).alias(c) for c in ("n_tokens", "base", "known", "score")])
+    each = chunks.select("payload").mapInArrow(_scores(model.shares, model.n, model.v), "dk long, dk2 long, n_tokens long, base double, known long, score double")
+    each = each.groupBy("dk", "dk2").agg(*[F.max(c).alias(c) for c in ("n_tokens", "base", "known", "score")])
     norm = float(np.log10(model.n + 0.1 * (model.v + 1)))
-    return spread_join(keyed.select("_id", "dk", "train"), each, "dk").select(
+    return spread_join(keyed.select("_id", "dk", "dk2", "train"), each, ["dk", "dk2"]).select(
         F.col("_id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", F.col("known").alias("n_known"),
         F.lit(int(model.n)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score",
     )

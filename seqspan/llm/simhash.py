@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqspan.llm.common import mix, spare, spread_join, stored, text_buffers, work_dir
+from seqspan.llm.common import mix, row_name, spare, spread_join, stored, text_buffers, work_dir
 from seqspan.llm.components import connected_components
 
 _CHUNK = 1 << 15
@@ -345,7 +345,7 @@ def class_roots(nodes: DataFrame, links: DataFrame, folder: str) -> DataFrame:
 def fingerprint_table(docs: DataFrame, folder: str, id_col: str, text_col: str, width: int, check_bits: int) -> DataFrame:
     """``(id, key, node, fp[, fp1])``: node names the fingerprint, key the id and text of a row."""
     print_ = fingerprints(F.col(text_col), width, (42, 43) if check_bits else (42,))
-    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), print_.alias("p")).select("id", "key", "p.*")
+    slim = docs.select(F.col(id_col).alias("id"), row_name(F.col(id_col), F.col(text_col)).alias("key"), print_.alias("p")).select("id", "key", "p.*")
     words = [c for c in slim.columns if c not in ("id", "key")]
     return stored(slim.withColumn("node", F.xxhash64(*words) if check_bits else F.col("fp")), folder, "fp")
 
@@ -390,7 +390,7 @@ def first_of_class(docs: DataFrame, rows: DataFrame, links: DataFrame, folder: s
     key = spare(docs, "key")
     kept = labelled.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias(key))
     # equal rows meet in partial aggregates first, so that no key is a hot one in the join
-    one_each = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col))).dropDuplicates([key])
+    one_each = docs.withColumn(key, row_name(F.col(id_col), F.col(text_col))).dropDuplicates([key])
     return one_each.join(kept, key, "left_semi").drop(key)
 
 

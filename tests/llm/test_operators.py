@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seqspan.llm import ann, jaccard, linededup, lm, mixing, packing, quality, registry, rules, simhash, toxicity, urls
+from seqspan.llm.common import row_name
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -332,6 +333,34 @@ def test_table_links_grow_with_a_group_not_its_pairs(spark, tmp_path, tile):
     assert len(set(of[:-2].tolist())) == 1 and len(set(of.tolist())) == 3
 
 
+def test_rows_are_told_apart_by_id_and_text_whatever_is_null(spark):
+    """A hash of columns skips nulls: the id of one row may be the text of another."""
+    rows = [(None, "5 a b"), ("5 a b", None), ("5 a b", "5 a b"), (None, None), (None, "5 a b")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert df.select(row_name(F.col("doc_id"), F.col("text")).alias("k")).distinct().count() == 4
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(df).collect()]
+    assert sorted(kept, key=repr) == [("5 a b", "5 a b"), ("5 a b", None)]
+    # one row of each class stays: a null text is an empty one, unlike the others
+    apart = df.where("doc_id is null or text is null").where("not (doc_id is null and text is null)")
+    assert {(r.doc_id, r.text) for r in jaccard.keep_one(apart).collect()} == {(None, "5 a b"), ("5 a b", None)}
+    assert {(r.doc_id, r.text) for r in simhash.keep_one(apart).collect()} == {(None, "5 a b"), ("5 a b", None)}
+    got = sorted(((r.doc_id, r.n_tokens) for r in lm.scored(df).collect()), key=repr)
+    assert got == [("5 a b", 1), ("5 a b", 4), (None, 1), (None, 4), (None, 4)]
+    cut = linededup.dedup_lines(df, min_block_words=3).collect()
+    assert len(cut) == 5 and all(r.deleted_lines == [] for r in cut)
+
+
+@pytest.mark.parametrize("run", [simhash.near_duplicates, lm.scored, packing.pack])
+def test_extra_columns_with_clashing_names(spark, docs, run):
+    some = docs.select("doc_id", "text").limit(60)
+    names = ("id", "key", "node", "fp", "root", "least", "component_id", "dk", "dk2", "train", "n_tokens", "score", "piece", "bin", "size", "shard", "n", "p", "_jk")
+    plain, clash = run(some), run(some.withColumns({x: F.lit("old") for x in names}))
+    key = lambda r: repr(r)
+    shown = [c for c in plain.columns if c in clash.columns and c in ("doc_id", "fingerprint", "n_tokens", "score", "base_score", "bin_id", "start", "length")]
+    assert len(shown) >= 2
+    assert sorted(map(key, plain.select(shown).collect())) == sorted(map(key, clash.select(shown).collect()))
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -593,8 +622,8 @@ def _copies(rows):
 
 
 def test_queries_are_registered():
-    assert [n.split("_")[0] for n in registry.queries()] == [f"op{k}" for k in range(1, 11)]
-    assert set(registry.oracle_sql()) == {"op8_url_filter", "op9_mix"}
+    assert [n.split("_")[0] for n in registry.queries()] == [f"op{k}" for k in range(1, 14)]
+    assert set(registry.oracle_sql()) == {"op8_url_filter", "op9_mix", "op11_topk", "op12_fill_in_middle"}
 
 
 def test_pipeline(spark, labels):

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seqspan.llm import common
+from seqspan.llm import common, linededup
 from seqspan.llm.linededup import common_blocks, patience, runs_of
 from seqspan.llm.rules import NO_MODEL, label_array, viterbi
 from seqspan.llm.simhash import near_pairs
@@ -81,6 +81,28 @@ def test_common_blocks_held_twice_or_in_another_order():
     assert cut_lines([6, 1, 2, 3, 7], [1, 2, 3, 9, 1, 2, 3], [18, 2, 5, 9, 18, 2, 5], 20) == [0, 1, 2, 4, 5, 6]
 
 
+def test_nothing_is_cut_without_an_alignment(monkeypatch):
+    shared = [(11, 0, [0, 3]), (12, 5, [4, 9, 20, 25])]
+    assert common_blocks(shared) == (set(range(10)), set(range(20, 26)))
+    monkeypatch.setattr(linededup, "patience", lambda a, b: [])
+    assert common_blocks(shared) == (set(), set())
+
+
+def test_each_copy_and_each_moved_passage_comes_from_an_alignment(monkeypatch):
+    calls = []
+
+    def watched(a, b):
+        calls.append(patience(a, b))
+        return calls[-1]
+
+    monkeypatch.setattr(linededup, "patience", watched)
+    one, two, three = (1, 0, [0, 2, 10, 12, 20, 22]), (2, 4, [5, 7]), (3, 8, [3, 4])  # one thrice, three before two
+    aligned, later = common_blocks([one, two, three])
+    assert aligned | later == {*range(8), *range(10, 13), *range(20, 23)} and len(later) >= 8
+    matched = [k for found in calls for k in found]
+    assert len(matched) == 5 and len([x for x in calls if x]) >= 3  # as many alignments as the passage has copies
+
+
 @settings(deadline=None)
 @given(st.lists(st.integers(1, 4), max_size=12), st.lists(st.integers(1, 4), max_size=12), st.integers(2, 9))
 def test_common_blocks_are_all_runs_held_by_both(a, b, least):
