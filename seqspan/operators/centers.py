@@ -1,63 +1,104 @@
 """Greedy centers: by ascending id, a member becomes a center iff no earlier center of its
 parent lies within the radius.
 
-Members are taken in rounds.  A round takes the first undecided members of every parent,
-compares them with each other by a join, and settles them by the rule; then all other
-undecided members near one of the new centers are dropped by a join.  What a round leaves
-lies beyond every center found so far, so the next round need not look back.  Rounds
-double up to ``most``, so there are about centers / most of them, whatever the number of
-members.  Equal sequences are settled together, which does not change the centers.
+Equal to the greedy maximal independent set of the graph of near members, it is found a prefix
+at a time (after Blelloch, Fineman and Shun, "Greedy sequential maximal independent set and
+matching are parallel on average", 2012).  A round takes a head of every parent, the undecided
+members up to some id; its near pairs are found in tiles, and a pass over them in order of id
+settles the head.  Then all other undecided members near a new center are dropped, in tiles
+too.  What a round leaves lies beyond every center found so far, so no round looks back, and
+heads double: rounds grow with the logarithm of the centers.  A head only stops doubling
+while its near pairs are more than ``pairs``.  Equal sequences are settled together, which
+does not change the centers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqspan.functions.kernel import distance_within
-from seqspan.operators.tables import kept, within_parents
+from seqspan.operators.scan import ranks
+from seqspan.operators.tables import kept
+from seqspan.operators.tiles import least_within, pairs_within
+
+SAMPLE = 1 << 16  # ids of a parent from which its head is cut
+
+
+def head_of(left: DataFrame, head: int) -> DataFrame:
+    """About the first ``head`` members of every parent, up to an id: exactly these up to
+    ``SAMPLE`` members, else a share of them estimated on as many."""
+    sizes = left.groupBy("parent").agg(F.count("*").alias("n")).where(F.col("n") > head)
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(float(SAMPLE) * (1 << 40)) / F.col("n")
+    some = left.join(sizes, "parent").where((F.col("n") <= SAMPLE) | share)
+    ids = some.groupBy("parent").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("n").alias("n"))  # about SAMPLE ids
+    place = F.greatest(F.ceil(F.lit(float(head)) * F.size("ids") / F.col("n")), F.lit(1)).cast("int")
+    cuts = ids.select("parent", F.element_at("ids", F.least(place, F.size("ids"))).alias("cut"))
+    return left.join(cuts, "parent", "left").where(F.col("cut").isNull() | (F.col("id") <= F.col("cut"))).drop("cut")
+
 
-_PER_TASK = 2_000_000  # distances
+def _not_centers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Near pairs (parent, id, other), other < id, sorted by parent and id -> members that a
+    center of their parent is near."""
+    parent, member, near = None, None, False
+    out: set[int] = set()
+    for batch in batches:
+        found = []
+        for p, i, other in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if p != parent:
+                parent, member, out = p, None, set()
+            if i != member:
+                member, near = i, False
+            if not near and other not in out:  # all smaller ids are settled
+                near = True
+                out.add(i)
+                found.append((p, i))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["parent", "id"])
 
 
-def settled(first: DataFrame, radius: int) -> DataFrame:
-    """The rule over ``first(parent, id, s)``, few rows a parent -> ``(parent, id)`` of centers."""
-    others = first.select("parent", F.col("id").alias("other"), F.col("s").alias("c"))
-    near = within_parents(first, others, 256).where("other < id").where(distance_within(F.col("s"), F.col("c"), radius))
-    before = near.groupBy("parent", "id").agg(F.collect_list("other").alias("near"))
-    every = first.select("parent", "id").join(before, ["parent", "id"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<bigint>")))
-    in_order = every.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("id", "near"))).alias("x"))
-    chosen = F.aggregate("x", F.array().cast("array<bigint>"), lambda found, m: F.when(F.arrays_overlap(found, m["near"]), found).otherwise(F.concat(found, F.array(m["id"]))))
-    return in_order.select("parent", F.explode(chosen).alias("id"))
+def settled(first: DataFrame, radius: int, folder: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rule over a stored head ``first(parent, id, s)`` -> its centers, and its near pairs."""
+    near = kept(pairs_within(first.withColumn("most", F.lit(radius)), first, before=True).select("parent", "id", "other"), folder, f"{name}_near")
+    in_order = near.repartition("parent").sortWithinPartitions("parent", "id", "other")
+    return first.join(in_order.mapInArrow(_not_centers, "parent long, id long"), ["parent", "id"], "left_anti"), near
 
 
-def choose_centers(members: DataFrame, radius: int, folder: str, name: str, head: int = 512, most: int = 2048) -> DataFrame:
+def choose_centers(members: DataFrame, radius: int, folder: str, name: str, head: int = 2048, pairs: int = 1 << 22) -> DataFrame:
     """``members(parent, id, s)`` -> ``(parent, child_ordinal, center_id, center_s)``."""
     left = kept(members.groupBy("parent", "s").agg(F.min("id").alias("id")).select("parent", "id", "s"), folder, f"{name}_distinct")
-    centers, k = None, 0
-    while left.limit(1).count():
-        place = F.row_number().over(W.partitionBy("parent").orderBy("id"))  # limited before the shuffle
-        first = kept(left.withColumn("place", place).where(F.col("place") <= head).drop("place"), folder, f"{name}_first{k}")
-        new = kept(first.join(settled(first, radius), ["parent", "id"]), folder, f"{name}_new{k}")
-        centers = new if centers is None else kept(centers.unionByName(new), folder, f"{name}_found{k}")
-        near = within_parents(left, new.select("parent", F.col("s").alias("c")), max(1, _PER_TASK // head)).where(distance_within(F.col("s"), F.col("c"), radius))
-        left = kept(left.join(near.select("parent", "id").distinct(), ["parent", "id"], "left_anti"), folder, f"{name}_left{k}")
-        head, k = min(2 * head, most), k + 1
-    return kept(ranked(left if centers is None else centers), folder, f"{name}_centers")
+    rounds = []
+    while most := left.groupBy("parent").count().agg(F.max("count")).first()[0]:
+        k = len(rounds)
+        first = left if most <= head else kept(head_of(left, head), folder, f"{name}_first{k}")
+        new, near = settled(first, radius, folder, f"{name}{k}")
+        rounds.append(kept(new, folder, f"{name}_new{k}"))
+        if most <= head:
+            break
+        rest = kept(left.join(first.select("parent", "id"), ["parent", "id"], "left_anti"), folder, f"{name}_rest{k}")
+        gone = least_within(rest.withColumn("most", F.lit(radius)), rounds[-1])
+        left = kept(rest.join(gone.select("parent", "id"), ["parent", "id"], "left_anti"), folder, f"{name}_left{k}")
+        if 2 * near.count() <= pairs:
+            head *= 2
+    centers = left if not rounds else rounds[0]
+    for new in rounds[1:]:
+        centers = centers.unionByName(new)
+    return kept(ranked(kept(centers, folder, f"{name}_found"), folder, name), folder, f"{name}_centers")
 
 
-def ranked(centers: DataFrame) -> DataFrame:
-    ordinal = F.row_number().over(W.partitionBy("parent").orderBy("id")) - 1
-    return centers.select("parent", ordinal.cast("long").alias("child_ordinal"), F.col("id").alias("center_id"), F.col("s").alias("center_s"))
+def ranked(centers: DataFrame, folder: str, name: str) -> DataFrame:
+    placed = ranks(centers, "parent", "id", f"{name}_ordinal", folder)
+    return placed.select("parent", F.col(f"{name}_ordinal").alias("child_ordinal"), F.col("id").alias("center_id"), F.col("s").alias("center_s"))
 
 
-def center_edit_calls(members: DataFrame, centers: DataFrame, radius: int) -> DataFrame:
+def center_edit_calls(members: DataFrame, centers: DataFrame, radius: int, folder: str, name: str) -> DataFrame:
     """``(parent, calls)``: distances the sequential rule computes.  The k-th center is tried
     against k centers, another member against those up to the first within the radius."""
     own = centers.select("parent", F.col("center_id").alias("id"))
-    texts = members.join(own, ["parent", "id"], "left_anti").groupBy("parent", "s").agg(F.count("*").alias("n"))
-    near = within_parents(texts, centers).where(distance_within(F.col("s"), F.col("center_s"), radius))
-    calls = near.groupBy("parent", "s").agg(((F.min("child_ordinal") + 1) * F.first("n")).alias("calls"))
-    every = calls.select("parent", "calls").unionByName(centers.select("parent", F.col("child_ordinal").alias("calls")))
+    texts = members.join(own, ["parent", "id"], "left_anti").groupBy("parent", "s").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    texts = kept(texts.withColumn("most", F.lit(radius)), folder, f"{name}_call_texts")
+    near = least_within(texts, centers.select("parent", F.col("child_ordinal").alias("id"), F.col("center_s").alias("s")))
+    calls = near.join(texts.select("parent", "id", "n"), ["parent", "id"]).select("parent", ((F.col("other") + 1) * F.col("n")).alias("calls"))
+    every = calls.unionByName(centers.select("parent", F.col("child_ordinal").alias("calls")))
     return every.groupBy("parent").agg(F.sum("calls").alias("calls"))

@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 from seqspan.config import FORMAT_VERSION, LAYERS, BuildConfig
 from seqspan.functions.sequences import beacon_count, beacon_ordinal, pruning_ratio
-from seqspan.functions.kernel import exact_distance
 from seqspan.operators.centers import center_edit_calls, choose_centers
-from seqspan.operators.tables import kept, within_parents, work_folder
+from seqspan.operators.scan import prefix_sums
+from seqspan.operators.tables import kept, work_folder
+from seqspan.operators.tiles import all_distances, nearest_within
 from seqspan.operators.windows import windows
 
 
+_ALL = 1 << 29  # a slack that takes every distance
+
+
 @dataclass
 class SequenceIndex:
     """The index as tables; ``members`` are those of leaf worlds, with their coordinates."""
@@ -47,9 +51,9 @@ def beacon_positions(centers: DataFrame, ratio: float) -> DataFrame:
 
 def beacon_table(centers: DataFrame, beacons: DataFrame) -> DataFrame:
     """``(parent, child_ordinal, beacon_index, distance)``: all centers by their beacons."""
-    chosen = centers.join(beacons, ["parent", "child_ordinal"]).select("parent", "beacon_index", F.col("center_s").alias("beacon_s"))
-    pairs = within_parents(centers.select("parent", "child_ordinal", "center_s"), chosen)
-    return pairs.select("parent", "child_ordinal", "beacon_index", exact_distance(F.col("center_s"), F.col("beacon_s")).alias("distance"))
+    chosen = centers.join(beacons, ["parent", "child_ordinal"]).select("parent", F.col("beacon_index").cast("long").alias("id"), F.col("center_s").alias("s"))
+    every = all_distances(centers.select("parent", F.col("child_ordinal").alias("id"), F.col("center_s").alias("s")), chosen)
+    return every.select("parent", F.col("id").alias("child_ordinal"), F.col("other").cast("int").alias("beacon_index"), F.col("d").alias("distance"))
 
 
 def marked_members(members: DataFrame, centers: DataFrame) -> DataFrame:
@@ -58,31 +62,40 @@ def marked_members(members: DataFrame, centers: DataFrame) -> DataFrame:
     return members.join(own, ["parent", "id"], "left").withColumn("is_center", F.coalesce("own", F.lit(False))).drop("own")
 
 
-def text_distances(marked: DataFrame, centers: DataFrame, beacons: DataFrame, table: DataFrame, max_tolerance: int) -> DataFrame:
-    """``(parent, s, others, child_ordinal, d, nearest, beacon)``: distances of each distinct
-    text to the centers of its parent; others counts its members that are no centers.
+def text_distances(marked: DataFrame, centers: DataFrame, beacons: DataFrame, table: DataFrame, max_tolerance: int, folder: str, name: str) -> DataFrame:
+    """``(parent, s, others, nearest, near, beacon_calls, candidate_calls)``: of each distinct text
+    that others members have besides centers, the least distance to a center of its parent, the
+    near ``(d, child_ordinal)`` within 2T of that, and how many distances were computed.
 
     Distances to the beacons come first.  Another center is left out if the triangle bound
     exceeds the nearest beacon by more than 2T: it can neither be nearest nor near enough."""
-    texts = marked.groupBy("parent", "s").agg(F.count_if(~F.col("is_center")).alias("others"))
-    split_ = centers.select("parent", "child_ordinal", "center_s").join(beacons, ["parent", "child_ordinal"], "left")
-    first = within_parents(texts, split_.where("beacon_index is not null")).withColumn("d", exact_distance(F.col("s"), F.col("center_s")))
-    in_order = lambda d: F.transform(F.array_sort(F.collect_list(F.struct("beacon_index", F.col(d).alias("d")))), lambda x: x["d"])
-    seen = first.groupBy("parent", "s").agg(in_order("d").alias("to_beacons"), F.min("d").alias("upper"))
-    known = table.groupBy("parent", "child_ordinal").agg(in_order("distance").alias("from_beacons"))
-    rest = split_.where("beacon_index is null").drop("beacon_index").join(known, ["parent", "child_ordinal"], "left")
-    pairs = within_parents(texts.join(seen, ["parent", "s"], "left"), rest)
-    lower = F.array_max(F.zip_with("to_beacons", "from_beacons", lambda x, y: F.abs(x - y)))
-    pairs = pairs.where(F.coalesce(lower <= F.col("upper") + 2 * max_tolerance, F.lit(True))).withColumn("d", exact_distance(F.col("s"), F.col("center_s")))
-    keep = ["parent", "s", "others", "child_ordinal", "d"]
-    both = first.select(*keep, F.lit(True).alias("beacon")).unionByName(pairs.select(*keep, F.lit(False).alias("beacon")))
-    return both.withColumn("nearest", F.min("d").over(W.partitionBy("parent", "s")))
-
-
-def classify(marked: DataFrame, centers: DataFrame, distances: DataFrame, max_tolerance: int) -> DataFrame:
+    slack = 2 * max_tolerance
+    texts = marked.groupBy("parent", "s").agg(F.count_if(~F.col("is_center")).alias("others"), F.min("id").alias("id")).where("others > 0")
+    texts = kept(texts, folder, f"{name}_texts")
+    split_ = centers.select("parent", F.col("child_ordinal").alias("id"), F.col("center_s").alias("s")).join(
+        beacons.select("parent", F.col("child_ordinal").alias("id"), "beacon_index"), ["parent", "id"], "left")
+    split_ = kept(split_, folder, f"{name}_split")
+    first = nearest_within(texts, split_.where("beacon_index is not null"), _ALL)
+    # beacons rise with their centers' ordinals
+    in_order = F.transform(F.array_sort(F.transform("near", lambda x: F.struct(x["other"], x["d"]))), lambda x: x["d"])
+    seen = first.select("parent", "id", F.col("least").alias("upper"), in_order.alias("bounds"), F.col("near").alias("to_beacons"), F.col("calls").alias("beacon_calls"))
+    seen = kept(texts.join(seen, ["parent", "id"], "left").withColumn("most", F.col("upper") + slack), folder, f"{name}_seen")
+    known = F.transform(F.array_sort(F.collect_list(F.struct("beacon_index", "distance"))), lambda x: x["distance"])
+    known = table.groupBy("parent", F.col("child_ordinal").alias("id")).agg(known.alias("bounds"))
+    rest = kept(split_.where("beacon_index is null").join(known, ["parent", "id"], "left"), folder, f"{name}_rest")
+    more = nearest_within(seen, rest, slack).select("parent", "id", "least", F.col("near").alias("found"), F.col("calls").alias("candidate_calls"))
+    both = seen.join(more, ["parent", "id"], "left").withColumn("nearest", F.least("upper", "least"))
+    none = F.array().cast("array<struct<d: int, other: long>>")
+    every = F.concat(F.coalesce("to_beacons", none), F.coalesce("found", none))
+    near = F.transform(F.filter(every, lambda x: x["d"] <= F.col("nearest") + slack), lambda x: F.struct(x["d"].alias("d"), x["other"].alias("child_ordinal")))
+    calls = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("beacon_calls", "candidate_calls")]
+    return both.select("parent", "s", "others", "nearest", near.alias("near"), *calls)
+
+
+def classify(marked: DataFrame, centers: DataFrame, distances: DataFrame) -> DataFrame:
     """``(parent, child_ordinal, id, s, d)``: a center belongs to its own world only; another
     member to every world whose center is within 2T of its nearest."""
-    near = distances.where(F.col("d") <= F.col("nearest") + 2 * max_tolerance).select("parent", "s", "child_ordinal", "d")
+    near = distances.select("parent", "s", F.explode("near").alias("x")).select("parent", "s", "x.child_ordinal", "x.d")
     others = marked.where(~F.col("is_center")).select("parent", "id", "s").join(near, ["parent", "s"])
     own = centers.select("parent", "child_ordinal", F.col("center_id").alias("id"), F.col("center_s").alias("s"), F.lit(0).alias("d"))
     return others.select(own.columns).unionByName(own)
@@ -92,15 +105,13 @@ def pruning_counts(distances: DataFrame, centers: DataFrame) -> DataFrame:
     """One row: member-by-center pairs of members that are no centers, how many distances were
     to beacons, to other centers, or saved by pruning."""
     sizes = centers.groupBy("parent").agg(F.count("*").alias("n"))
-    texts = distances.groupBy("parent", "s").agg(F.first("others").alias("others")).join(sizes, "parent")
-    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long")
-    whole = texts.agg(zero(F.sum("others")).alias("classified_members"), zero(F.sum(F.col("others") * F.col("n"))).alias("classification_center_pairs"))
-    done = distances.agg(
-        zero(F.sum(F.when(F.col("beacon"), F.col("others")))).alias("member_beacon_edit_calls"),
-        zero(F.sum(F.when(~F.col("beacon"), F.col("others")))).alias("candidate_edit_calls"),
-    )
+    total = lambda x: F.coalesce(F.sum(F.col("others") * x), F.lit(0)).cast("long")
+    whole = distances.join(sizes, "parent").agg(
+        total(F.lit(1)).alias("classified_members"), total(F.col("n")).alias("classification_center_pairs"),
+        total(F.col("beacon_calls")).alias("member_beacon_edit_calls"), total(F.col("candidate_calls")).alias("candidate_edit_calls"),
+    )
     saved = F.col("classification_center_pairs") - F.col("member_beacon_edit_calls") - F.col("candidate_edit_calls")
-    return whole.crossJoin(done).withColumn("pruned_center_pairs", saved)
+    return whole.withColumn("pruned_center_pairs", saved)
 
 
 def split(members: DataFrame, radius: int, ratio: float, max_tolerance: int, folder: str, name: str) -> dict[str, DataFrame]:
@@ -112,11 +123,11 @@ def split(members: DataFrame, radius: int, ratio: float, max_tolerance: int, fol
     table = kept(beacon_table(centers, beacons), folder, f"{name}_beacon_distances")
     tabled = time.monotonic()
     marked = marked_members(members, centers)
-    distances = kept(text_distances(marked, centers, beacons, table, max_tolerance), folder, f"{name}_distances")
-    inside = kept(classify(marked, centers, distances, max_tolerance).select("parent", "child_ordinal", "id", "s"), folder, f"{name}_inside")
+    distances = kept(text_distances(marked, centers, beacons, table, max_tolerance, folder, name), folder, f"{name}_distances")
+    inside = kept(classify(marked, centers, distances).select("parent", "child_ordinal", "id", "s"), folder, f"{name}_inside")
     done = time.monotonic()
     stats = (
-        center_edit_calls(members, centers, radius).groupBy().agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("center_edit_calls"))
+        center_edit_calls(members, centers, radius, folder, name).groupBy().agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("center_edit_calls"))
         .join(table.groupBy().agg(F.count("*").alias("beacon_table_edit_calls"))).join(pruning_counts(distances, centers))
     )
     times = {"center_selection_seconds": chosen - started, "beacon_table_seconds": tabled - chosen, "classification_seconds": done - tabled}
@@ -146,8 +157,9 @@ def build_from_windows(every: DataFrame, window: int, stride: int, config: Build
     first_node, nodes, beacons, tables, layers, stats = 1, [], [], [], [], []
     for k, (radius, ratio) in enumerate(zip(config.radii, config.beacon_ratios, strict=True)):
         made = split(members, radius, ratio, config.max_tolerance, folder, LAYERS[k])
-        number = F.row_number().over(W.orderBy("parent", "child_ordinal")) + (first_node - 1)  # one row per world
-        worlds = kept(made["centers"].select(number.cast("long").alias("node_id"), F.lit(k).alias("layer"), "*"), folder, f"{LAYERS[k]}_worlds")
+        numbered = prefix_sums(made["centers"], ["parent", "child_ordinal"], None, f"{LAYERS[k]}_number", folder)
+        number = F.col(f"{LAYERS[k]}_number") + first_node
+        worlds = kept(numbered.select(number.alias("node_id"), F.lit(k).alias("layer"), *made["centers"].columns), folder, f"{LAYERS[k]}_worlds")
         count = worlds.count()
         nodes.append(worlds)
         layers.append((k, first_node, count, radius))

@@ -7,15 +7,15 @@ segment join is exact always.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqspan.config import QueryConfig
-from seqspan.functions.kernel import exact_distance
 from seqspan.functions.sequences import reverse_complement, strand, triangle_bound
 from seqspan.operators.hierarchy import SequenceIndex
-from seqspan.operators.tables import kept, salts_of, within_parents, work_folder
+from seqspan.operators.tables import kept, work_folder
+from seqspan.operators.tiles import all_distances, nearest_within, pairs_within
 
 HIT_COLUMNS = ("ordinal", "query", "contig", "start", "distance", "strand", "sequence_id")
 
@@ -88,34 +88,38 @@ def by_segments(reads: DataFrame, windows: DataFrame, window: int, tolerance: in
     return _hits(asked.join(placed, "seq"))
 
 
-def route_level(asked: DataFrame, nodes: DataFrame, beacons: DataFrame | None = None, table: DataFrame | None = None) -> DataFrame:
+def asked_id() -> Column:
+    """One number for a read and strand."""
+    return (F.col("ordinal") * 2 + F.col("reverse").cast("int")).alias("id")
+
+
+def route_level(asked: DataFrame, nodes: DataFrame, folder: str, name: str, beacons: DataFrame | None = None, table: DataFrame | None = None) -> DataFrame:
     """``asked(ordinal, reverse, name, seq, parent)``, stored, moved to the nearest child of each
     parent; ties go to the smallest node id.
 
     With ``beacons`` and their distance ``table`` only the first child and the beacons are
     compared at once; another child only if its triangle bound does not exceed the nearest
-    of these.  Without them every child is compared."""
-    children = nodes.where("parent_id is not null").select(F.col("parent_id").alias("parent"), "child_ordinal", "node_id", "center_seq")
-    salts = salts_of(asked, 2_000)
-    key = ["ordinal", "reverse", "parent"]
-    nearest, same = F.min(F.struct("d", "node_id")).alias("best"), [F.first(c).alias(c) for c in ("name", "seq")]
-    moved = ["ordinal", "reverse", "name", "seq", F.col("best.node_id").alias("parent")]
+    of these, and then no further than this limit.  Without them every child is compared."""
+    children = nodes.where("parent_id is not null").select(F.col("parent_id").alias("parent"), "child_ordinal", F.col("node_id").alias("id"), F.col("center_seq").alias("s"))
+    children, many = kept(children, folder, f"{name}_children"), asked.select("parent", asked_id(), F.col("seq").alias("s"))
+    best = lambda df: df.where("least is not null").select("parent", "id", F.col("near")[0].alias("best"))
     if beacons is None:
-        near = within_parents(asked, children.drop("child_ordinal"), salts=salts).withColumn("d", exact_distance(F.col("seq"), F.col("center_seq")))
-        return near.groupBy(*key).agg(nearest, *same).select(moved)
-    children = children.join(beacons.withColumnRenamed("parent_id", "parent"), ["parent", "child_ordinal"], "left")
-    at_once = F.col("beacon_index").isNotNull() | (F.col("child_ordinal") == 0)
-    first = within_parents(asked, children.where(at_once).drop("child_ordinal"), salts=salts).withColumn("d", exact_distance(F.col("seq"), F.col("center_seq")))
-    seen = F.array_sort(F.collect_list(F.when(F.col("beacon_index").isNotNull(), F.struct("beacon_index", "d"))))
-    first = first.groupBy(*key).agg(nearest, *same, F.transform(seen, lambda x: x["d"]).alias("to_beacons"))
-    known = F.transform(F.array_sort(F.collect_list(F.struct("beacon_index", "distance"))), lambda x: x["distance"])
-    rest = children.where(~at_once).drop("beacon_index").join(
-        table.withColumnRenamed("parent_id", "parent").groupBy("parent", "child_ordinal").agg(known.alias("from_beacons")), ["parent", "child_ordinal"], "left")
-    lower = F.coalesce(F.array_max(F.zip_with("to_beacons", "from_beacons", lambda x, y: F.abs(x - y))), F.lit(0))
-    open_ = within_parents(first, rest.select("parent", "node_id", "center_seq", "from_beacons"), salts=salts).where(lower <= F.col("best.d"))
-    other = open_.withColumn("best", F.struct(exact_distance(F.col("seq"), F.col("center_seq")).alias("d"), "node_id"))
-    both = first.select(*key, "name", "seq", "best").unionByName(other.select(*key, "name", "seq", "best"))
-    return both.groupBy(*key).agg(F.min("best").alias("best"), *same).select(moved)
+        found = best(nearest_within(many, children))
+    else:
+        beacons = beacons.withColumnRenamed("parent_id", "parent")
+        children = kept(children.join(beacons, ["parent", "child_ordinal"], "left"), folder, f"{name}_marked")
+        at_once = F.col("beacon_index").isNotNull() | (F.col("child_ordinal") == 0)
+        first = nearest_within(many, children.where(at_once), 1 << 29)
+        # the first child is the first beacon, where there are any; beacons rise with node ids
+        in_order = F.transform(F.array_sort(F.transform("near", lambda x: F.struct(x["other"], x["d"]))), lambda x: x["d"])
+        first = kept(first.select("parent", "id", F.col("near")[0].alias("best"), F.col("least").alias("most"), in_order.alias("bounds")), folder, f"{name}_first")
+        known = F.transform(F.array_sort(F.collect_list(F.struct("beacon_index", "distance"))), lambda x: x["distance"])
+        known = table.withColumnRenamed("parent_id", "parent").groupBy("parent", "child_ordinal").agg(known.alias("bounds"))
+        rest = kept(children.where(~at_once).join(known, ["parent", "child_ordinal"], "left"), folder, f"{name}_rest")
+        other = best(nearest_within(kept(first.join(many, ["parent", "id"]), folder, f"{name}_open"), rest))
+        found = first.select("parent", "id", "best").unionByName(other).groupBy("parent", "id").agg(F.min("best").alias("best"))
+    met = asked.withColumn("id", asked_id()).join(found, ["parent", "id"])
+    return met.select("ordinal", "reverse", "name", "seq", F.col("best.other").alias("parent"))
 
 
 def routed_leaves(reads: DataFrame, index: SequenceIndex, both_strands: bool = False, route: str = "multilateration") -> list[DataFrame]:
@@ -126,7 +130,7 @@ def routed_leaves(reads: DataFrame, index: SequenceIndex, both_strands: bool = F
     for layer in range(3):
         nodes = index.nodes.where(F.col("layer") == layer)
         known = (None, None) if route == "scan" else (index.beacons, index.beacon_distances)
-        asked.append(kept(route_level(asked[-1], nodes, *known), folder, f"asked{layer}"))
+        asked.append(kept(route_level(asked[-1], nodes, folder, f"level{layer}", *known), folder, f"asked{layer}"))
     return asked
 
 
@@ -135,9 +139,11 @@ def routed(reads: DataFrame, index: SequenceIndex, config: QueryConfig = QueryCo
     route modes lead to the same one."""
     t = config.within(index.max_tolerance)
     leaves = routed_leaves(reads, index, config.both_strands, config.route)[-1]
-    members = index.members.select(F.col("leaf_id").alias("parent"), F.col("seq").alias("s"), "sequence_id", "contig", "start")
-    near = leaves.join(members, "parent").withColumn("distance", F.levenshtein("seq", "s", t)).where("distance >= 0")
-    return _hits(near)
+    members = index.members.select(F.col("leaf_id").alias("parent"), F.col("sequence_id").alias("id"), F.col("seq").alias("s"))
+    near = pairs_within(leaves.select("parent", asked_id(), F.col("seq").alias("s"), F.lit(t).alias("most")), members)
+    near = near.select("parent", "id", F.col("other").alias("sequence_id"), F.col("d").alias("distance"))
+    placed = near.join(index.members.select(F.col("leaf_id").alias("parent"), "sequence_id", "contig", "start"), ["parent", "sequence_id"])
+    return _hits(placed.join(leaves.select("parent", asked_id(), "ordinal", "name", "reverse"), ["parent", "id"]))
 
 
 def differences(expected: DataFrame, observed: DataFrame) -> DataFrame:
@@ -165,8 +171,10 @@ def route_counts(asked_at: list[DataFrame], index: SequenceIndex, config: QueryC
     out = None
     for layer, asked in enumerate(asked_at[:3]):
         nodes = index.nodes.where(F.col("layer") == layer)
-        children = nodes.select(F.col("parent_id").alias("parent"), "node_id", "child_ordinal", "center_seq")
-        near = within_parents(asked, children).withColumn("d", exact_distance(F.col("seq"), F.col("center_seq")))
+        children = nodes.where("parent_id is not null").select(F.col("parent_id").alias("parent"), F.col("node_id").alias("id"), "child_ordinal", F.col("center_seq").alias("s"))
+        near = all_distances(asked.select("parent", asked_id(), F.col("seq").alias("s")), children).withColumnRenamed("other", "node_id")
+        near = near.join(children.select("parent", F.col("id").alias("node_id"), "child_ordinal"), ["parent", "node_id"])
+        near = near.select("parent", F.floor(F.col("id") / 2).alias("ordinal"), (F.col("id") % 2 == 1).alias("reverse"), "node_id", "child_ordinal", "d")
         beacons = index.beacons.withColumnRenamed("parent_id", "parent")
         near = near.join(beacons, ["parent", "child_ordinal"], "left").select("ordinal", "reverse", "parent", "child_ordinal", "node_id", "d", "beacon_index")
         first = F.col("beacon_index").isNotNull() | (F.col("child_ordinal") == 0)

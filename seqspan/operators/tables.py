@@ -33,7 +33,7 @@ def kept(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _partitions(spark: SparkSession) -> int:
+def partitions_of(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
@@ -42,7 +42,7 @@ def salts_of(many: DataFrame, rows_per_task: int) -> DataFrame:
     eight times its share of all partitions if that is more."""
     counts = many.groupBy("parent").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    share = F.col("n") * (8 * _partitions(many.sparkSession)) / F.col("total")
+    share = F.col("n") * (8 * partitions_of(many.sparkSession)) / F.col("total")
     salts = F.greatest(F.col("n") / rows_per_task, F.least(share, F.col("n")))
     return counts.crossJoin(F.broadcast(total)).select("parent", F.ceil(salts).cast("int").alias("salts"))  # total: one row
 
@@ -57,4 +57,4 @@ def within_parents(many: DataFrame, few: DataFrame, rows_per_task: int = 2_000,
     salts = salts_of(many, rows_per_task) if salts is None else salts
     left = many.join(salts, "parent").withColumn("salt", F.pmod(F.xxhash64(*[c for c in many.columns if c != "parent"]), "salts").cast("int")).drop("salts")
     right = few.join(salts, "parent").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    return left.repartition(_partitions(many.sparkSession), "parent", "salt").join(right, ["parent", "salt"]).drop("salt")
+    return left.repartition(partitions_of(many.sparkSession), "parent", "salt").join(right, ["parent", "salt"]).drop("salt")

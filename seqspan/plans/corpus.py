@@ -18,6 +18,9 @@ WINDOW, STRIDE, TOLERANCE = 50, 50, 5
 PASSAGE_STRIDE, PASSAGE_READS, CLOSE = 5, 10, 2
 PART_CONFIG = BuildConfig(radii=(7, 5, 3), beacon_ratios=(0.4, 0.5, 0.6), max_tolerance=1)
 PASSAGE_CONFIG = BuildConfig(radii=(14, 9, 5), beacon_ratios=(0.1, 0.1, 0.1), max_tolerance=CLOSE)
+#: the command line's defaults
+DEFAULT_WINDOW, DEFAULT_READS = 150, 10
+DEFAULT_CONFIG = BuildConfig(radii=(60, 35, 15), beacon_ratios=(0.1, 0.1, 0.1), max_tolerance=5)
 TO_BASES = "ACGTACGTACGTACGTACGTACGTAC"
 
 
@@ -78,23 +81,25 @@ def passage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows(contig_windows(passage_contigs(spark, sf_dir), WINDOW, PASSAGE_STRIDE), WINDOW, PASSAGE_STRIDE)
 
 
-def passage_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second window of the passages: one base dropped, the last one exchanged."""
-    every = windows(contig_windows(passage_contigs(spark, sf_dir), WINDOW, PASSAGE_READS), WINDOW, PASSAGE_READS)
-    at = (F.col("sequence_id") % (WINDOW - 1)).cast("int")
-    last = F.translate(F.substring("seq", WINDOW, 1), "ACGT", "CATG")
-    seq = F.concat(F.substring("seq", F.lit(1), at), F.substring("seq", at + 2, WINDOW - 2 - at), last)
+def passage_reads(spark: SparkSession, sf_dir: str, window: int = WINDOW, stride: int = PASSAGE_READS) -> DataFrame:
+    """Windows of the passages (by default every second one): one base dropped, the last one
+    exchanged."""
+    every = windows(contig_windows(passage_contigs(spark, sf_dir), window, stride), window, stride)
+    at = (F.col("sequence_id") % (window - 1)).cast("int")
+    last = F.translate(F.substring("seq", window, 1), "ACGT", "CATG")
+    seq = F.concat(F.substring("seq", F.lit(1), at), F.substring("seq", at + 2, window - 2 - at), last)
     return every.select(F.col("sequence_id").alias("ordinal"), F.concat(F.lit("p"), "sequence_id").alias("name"), seq.alias("seq"))
 
 
 _BUILT: dict[tuple, SequenceIndex] = {}
 
 
-def _built(spark: SparkSession, path: str, build: Callable[[], SequenceIndex]) -> SequenceIndex:
-    """An index is built once per application and state of its table (bytes and time of change)."""
+def _built(spark: SparkSession, path: str, build: Callable[[], SequenceIndex], name: str = "") -> SequenceIndex:
+    """An index is built once per application, name and state of its table (bytes and time of
+    change)."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    key = (spark.sparkContext.applicationId, path, fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime())
+    key = (name, spark.sparkContext.applicationId, path, fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime())
     if key not in _BUILT:
         _BUILT[key] = build()
     return _BUILT[key]
@@ -112,3 +117,17 @@ def build_passages(spark: SparkSession, sf_dir: str) -> SequenceIndex:
 def passage_index(spark: SparkSession, sf_dir: str) -> SequenceIndex:
     """The three-level index of all windows of the passages."""
     return _built(spark, f"{sf_dir}/benchmark.parquet", lambda: build_passages(spark, sf_dir))
+
+
+def default_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window of 150 of every benchmark passage."""
+    return windows(contig_windows(passage_contigs(spark, sf_dir), DEFAULT_WINDOW, 1), DEFAULT_WINDOW, 1)
+
+
+def default_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_reads(spark, sf_dir, DEFAULT_WINDOW, DEFAULT_READS)
+
+
+def default_index(spark: SparkSession, sf_dir: str) -> SequenceIndex:
+    """The index of these windows with the command line's defaults."""
+    return _built(spark, f"{sf_dir}/benchmark.parquet", lambda: build_from_windows(default_windows(spark, sf_dir), DEFAULT_WINDOW, 1, DEFAULT_CONFIG), "default")

@@ -108,6 +108,16 @@ def passage_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.verify(reads, corpus.passage_index(spark, sf_dir), windows, QueryConfig(both_strands=True), limit=0)
 
 
+def default_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window 150, stride 1, T 5, radii 60, 35, 15: what the command line does by default."""
+    return search.routed(corpus.default_reads(spark, sf_dir), corpus.default_index(spark, sf_dir), QueryConfig(both_strands=True))
+
+
+def default_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads, windows = corpus.default_reads(spark, sf_dir), corpus.default_windows(spark, sf_dir)
+    return search.verify(reads, corpus.default_index(spark, sf_dir), windows, QueryConfig(both_strands=True), limit=0)
+
+
 def _file(spark: SparkSession, df: DataFrame, name: str, write: Callable[[DataFrame, str], None]) -> str:
     path = f"{work_folder(spark)}/{name}"
     write(df, path)
@@ -147,7 +157,7 @@ def in_memory_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _file(spark, index_hits(spark, sf_dir), "hits", hits.write_tsv)
-    return spark.read.option("sep", "\t").option("header", True).schema("query string, contig string, start long, distance int, strand string, sequence_id long").csv(path)
+    return hits.read_tsv(spark, path)
 
 
 def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +199,7 @@ def greedy_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def center_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return center_edit_calls(_members(spark, sf_dir), _centers(spark, sf_dir), corpus.PART_CONFIG.radii[0])
+    return center_edit_calls(_members(spark, sf_dir), _centers(spark, sf_dir), corpus.PART_CONFIG.radii[0], work_folder(spark), "calls")
 
 
 def beacon_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,8 +223,9 @@ def classify_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, centers = corpus.part_index(spark, sf_dir), _centers(spark, sf_dir)
     root = lambda df: df.where("parent_id = 0").withColumnRenamed("parent_id", "parent")
     marked = hierarchy.marked_members(_members(spark, sf_dir), centers)
-    distances = hierarchy.text_distances(marked, centers, root(index.beacons), root(index.beacon_distances), T)
-    found = hierarchy.classify(marked, centers, kept(distances, work_folder(spark), "distances"), T)
+    folder = work_folder(spark)
+    distances = hierarchy.text_distances(marked, centers, root(index.beacons), root(index.beacon_distances), T, folder, "root")
+    found = hierarchy.classify(marked, centers, kept(distances, folder, "distances"))
     return found.select("child_ordinal", "id", F.col("d").alias("distance"))
 
 
@@ -229,7 +240,7 @@ def pruning_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def route_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = search.strands(corpus.part_reads(spark, sf_dir), True).withColumn("parent", F.lit(0).cast("long"))
-    return search.route_level(asked, corpus.part_index(spark, sf_dir).nodes.where("layer = 0")).select("ordinal", "reverse", F.col("parent").alias("node_id"))
+    return search.route_level(asked, corpus.part_index(spark, sf_dir).nodes.where("layer = 0"), work_folder(spark), "root").select("ordinal", "reverse", F.col("parent").alias("node_id"))
 
 
 def hierarchy_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,7 +294,7 @@ def queries() -> dict[str, Query]:
         distance_bounded, brute_force_hits, both_strand_hits, segment_hits, hits_tsv_projection, greedy_centers, beacon_ordinals,
         beacon_table, lower_bounds, classify_members, world_sizes, pruning_stats, route_nearest, hierarchy_nodes, leaf_members,
         index_summary, index_hits, verify_counts, hit_order_rank, query_stats_scan, query_stats_multilateration, latency_percentiles,
-        generated_reads, dense_hits, passage_build, passage_hits, passage_hits_scan, passage_verify, fasta_contigs, fasta_reads, fastq_reads,
+        generated_reads, dense_hits, passage_build, passage_hits, passage_hits_scan, passage_verify, default_hits, default_verify, fasta_contigs, fasta_reads, fastq_reads,
         read_limit, in_memory_windows, tsv_round_trip, index_round_trip, index_bytes, descendants,
     ]
     return {f.__name__: f for f in named} | {"center_edit_calls": center_calls}
@@ -388,6 +399,21 @@ h AS (SELECT ordinal, query, contig, start, distance, strand, id AS sequence_id
 {select}"""
 
 
+def _default_hits(select: str) -> str:
+    windows = "CASE WHEN length(bases) >= 150 THEN (length(bases) - 150) // {0} + 1 ELSE 0 END::BIGINT AS n{0}"
+    return f"""WITH bc AS (SELECT item_id, 'item_' || item_id AS name, {_FOLD} AS bases FROM benchmark),
+bn AS (SELECT *, {windows.format(1)}, {windows.format(10)} FROM bc),
+bf AS (SELECT *, coalesce(sum(n1) OVER r, 0)::BIGINT AS f1, coalesce(sum(n10) OVER r, 0)::BIGINT AS f10 FROM bn
+       WINDOW r AS (ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+pw AS MATERIALIZED (SELECT f1 + i AS id, name AS contig, i AS start, substr(bases, (i + 1)::BIGINT, 150) AS s FROM (SELECT *, unnest(range(n1)) AS i FROM bf WHERE n1 > 0)),
+pr AS MATERIALIZED (SELECT id AS ordinal, 'p' || id AS query, substr(s, 1, (id % 149)::BIGINT) || substr(s, (id % 149 + 2)::BIGINT, (148 - id % 149)::BIGINT) || translate(substr(s, 150, 1), 'ACGT', 'CATG') AS seq
+  FROM (SELECT f10 + i AS id, substr(bases, (i * 10 + 1)::BIGINT, 150) AS s FROM (SELECT *, unnest(range(n10)) AS i FROM bf WHERE n10 > 0))),
+q AS (SELECT ordinal, query, seq, '+' AS strand FROM pr UNION ALL SELECT ordinal, query, {_RC.format('seq')}, '-' FROM pr),
+x AS (SELECT q.*, u.s, levenshtein(q.seq, u.s)::INTEGER AS distance FROM q, (SELECT DISTINCT s FROM pw) u),
+h AS (SELECT ordinal, query, contig, start, distance, strand, id AS sequence_id FROM x JOIN pw USING (s) WHERE distance <= 5)
+{select}"""
+
+
 def _route_stats() -> str:
     """The rule of pruning, child by child, as a recursion over the candidates in order."""
     parts, names = [], ("n0", "n1", "n2")
@@ -503,6 +529,8 @@ FROM c JOIN q USING (seq) WHERE levenshtein(c.seq, c.t) <= 2""",
         "passage_hits": _passage_hits("SELECT ordinal, query, contig, start, distance, strand, sequence_id FROM h"),
         "passage_hits_scan": _passage_hits("SELECT ordinal, query, contig, start, distance, strand, sequence_id FROM h"),
         "passage_verify": _passage_hits("SELECT count(*) AS expected_hits, count(*) AS observed_hits, 0::BIGINT AS false_negatives, 0::BIGINT AS false_positives FROM h"),
+        "default_hits": _default_hits("SELECT ordinal, query, contig, start, distance, strand, sequence_id FROM h"),
+        "default_verify": _default_hits("SELECT count(*) AS expected_hits, count(*) AS observed_hits, 0::BIGINT AS false_negatives, 0::BIGINT AS false_positives FROM h"),
         "fasta_contigs": f"WITH {_CONTIGS} SELECT row_number() OVER (ORDER BY contig_ordinal) - 1 AS contig_ordinal, name, bases FROM k",
         "fasta_reads": f"WITH {reads_} SELECT row_number() OVER (ORDER BY ordinal) - 1 AS ordinal, name || ' tail' AS name, seq FROM rs",
         "fastq_reads": f"WITH {reads_} SELECT row_number() OVER (ORDER BY ordinal) - 1 AS ordinal, name, seq FROM rs",
