@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-INT32_MAX = 2**31 - 1
+UINT32_MAX = 2**32 - 1  # radii, tolerances and counts are unsigned 32-bit numbers
 LAYERS = ("large", "middle", "small")
 FORMAT_VERSION = 2  # fixed value: the index format this engine reads and writes
 
@@ -16,14 +16,14 @@ def triple(text: str, kind: type) -> tuple:
     if len(parts) != 3 or any(not p.strip() for p in parts):
         raise ValueError(f"three comma-separated values are needed, not {text!r}")
     values = tuple(kind(p) for p in parts)
-    if kind is int and any(not 0 <= v <= INT32_MAX for v in values):
+    if kind is int and any(not 0 <= v <= UINT32_MAX for v in values):
         raise ValueError(f"value out of range in {text!r}")
     return values
 
 
 def integer32(value: str | int, name: str = "value") -> int:
     number = int(value)
-    if not 0 <= number <= INT32_MAX:
+    if not 0 <= number <= UINT32_MAX:
         raise ValueError(f"{name} is out of range: {value}")
     return number
 

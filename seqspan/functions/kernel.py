@@ -10,17 +10,11 @@ limit leaves the block.  Small limits of single pairs are quicker in the JVM:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _SLICE = 4096  # pairs of a step: their words stay in the cache
-_BAND = 8  # up to this limit the JVM's band is quicker
 _ONE = np.uint64(1)
 
 
@@ -233,20 +227,3 @@ def pair_distances(a: pa.Array, b: pa.Array) -> np.ndarray:
         left, right = table_of(number[: len(x)], x_edge, len(kinds)), table_of(number[len(x) :], y_edge, len(kinds))
         out[i : i + _SLICE] = column_distances(left, np.diff(x_edge), right, np.diff(y_edge), len(kinds))
     return out
-
-
-def _distances(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for a, b in batches:
-        some = pc.and_(pc.is_valid(a), pc.is_valid(b))
-        found = pair_distances(a.fill_null(""), b.fill_null(""))
-        yield pa.array(found, pa.int32(), mask=~some.to_numpy(zero_copy_only=False))
-
-
-def exact_distance(a: Column, b: Column) -> Column:
-    """Edit distance; null if either is."""
-    return F.arrow_udf(_distances, T.IntegerType())(a, b)
-
-
-def distance_within(a: Column, b: Column, limit: int) -> Column:
-    """Whether the edit distance is at most ``limit``."""
-    return F.levenshtein(a, b, limit) >= 0 if limit <= _BAND else exact_distance(a, b) <= limit

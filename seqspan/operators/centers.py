@@ -58,9 +58,11 @@ def _not_centers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["parent", "id"])
 
 
-def settled(first: DataFrame, radius: int, folder: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """The rule over a stored head ``first(parent, id, s)`` -> its centers, and its near pairs."""
-    near = kept(pairs_within(first.withColumn("most", F.lit(radius)), first, before=True).select("parent", "id", "other"), folder, f"{name}_near")
+def settled(first: DataFrame, radius: int, folder: str | None, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rule over a stored head ``first(parent, id, s)`` -> its centers, and its near pairs,
+    stored where a folder is given."""
+    near = pairs_within(first.withColumn("most", F.lit(radius)), first, before=True).select("parent", "id", "other")
+    near = kept(near, folder, f"{name}_near") if folder else near
     in_order = near.repartition("parent").sortWithinPartitions("parent", "id", "other")
     return first.join(in_order.mapInArrow(_not_centers, "parent long, id long"), ["parent", "id"], "left_anti"), near
 
@@ -72,7 +74,7 @@ def choose_centers(members: DataFrame, radius: int, folder: str, name: str, head
     while most := left.groupBy("parent").count().agg(F.max("count")).first()[0]:
         k = len(rounds)
         first = left if most <= head else kept(head_of(left, head), folder, f"{name}_first{k}")
-        new, near = settled(first, radius, folder, f"{name}{k}")
+        new, near = settled(first, radius, None if most <= head else folder, f"{name}{k}")
         rounds.append(kept(new, folder, f"{name}_new{k}"))
         if most <= head:
             break
@@ -84,7 +86,7 @@ def choose_centers(members: DataFrame, radius: int, folder: str, name: str, head
     centers = left if not rounds else rounds[0]
     for new in rounds[1:]:
         centers = centers.unionByName(new)
-    return kept(ranked(kept(centers, folder, f"{name}_found"), folder, name), folder, f"{name}_centers")
+    return kept(ranked(centers, folder, name), folder, f"{name}_centers")
 
 
 def ranked(centers: DataFrame, folder: str, name: str) -> DataFrame:
@@ -92,12 +94,12 @@ def ranked(centers: DataFrame, folder: str, name: str) -> DataFrame:
     return placed.select("parent", F.col(f"{name}_ordinal").alias("child_ordinal"), F.col("id").alias("center_id"), F.col("s").alias("center_s"))
 
 
-def center_edit_calls(members: DataFrame, centers: DataFrame, radius: int, folder: str, name: str) -> DataFrame:
+def center_edit_calls(members: DataFrame, centers: DataFrame, radius: int) -> DataFrame:
     """``(parent, calls)``: distances the sequential rule computes.  The k-th center is tried
     against k centers, another member against those up to the first within the radius."""
     own = centers.select("parent", F.col("center_id").alias("id"))
     texts = members.join(own, ["parent", "id"], "left_anti").groupBy("parent", "s").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    texts = kept(texts.withColumn("most", F.lit(radius)), folder, f"{name}_call_texts")
+    texts = texts.withColumn("most", F.lit(radius))
     near = least_within(texts, centers.select("parent", F.col("child_ordinal").alias("id"), F.col("center_s").alias("s")))
     calls = near.join(texts.select("parent", "id", "n"), ["parent", "id"]).select("parent", ((F.col("other") + 1) * F.col("n")).alias("calls"))
     every = calls.unionByName(centers.select("parent", F.col("child_ordinal").alias("calls")))

@@ -74,7 +74,6 @@ def text_distances(marked: DataFrame, centers: DataFrame, beacons: DataFrame, ta
     texts = kept(texts, folder, f"{name}_texts")
     split_ = centers.select("parent", F.col("child_ordinal").alias("id"), F.col("center_s").alias("s")).join(
         beacons.select("parent", F.col("child_ordinal").alias("id"), "beacon_index"), ["parent", "id"], "left")
-    split_ = kept(split_, folder, f"{name}_split")
     first = nearest_within(texts, split_.where("beacon_index is not null"), _ALL)
     # beacons rise with their centers' ordinals
     in_order = F.transform(F.array_sort(F.transform("near", lambda x: F.struct(x["other"], x["d"]))), lambda x: x["d"])
@@ -82,7 +81,7 @@ def text_distances(marked: DataFrame, centers: DataFrame, beacons: DataFrame, ta
     seen = kept(texts.join(seen, ["parent", "id"], "left").withColumn("most", F.col("upper") + slack), folder, f"{name}_seen")
     known = F.transform(F.array_sort(F.collect_list(F.struct("beacon_index", "distance"))), lambda x: x["distance"])
     known = table.groupBy("parent", F.col("child_ordinal").alias("id")).agg(known.alias("bounds"))
-    rest = kept(split_.where("beacon_index is null").join(known, ["parent", "id"], "left"), folder, f"{name}_rest")
+    rest = split_.where("beacon_index is null").join(known, ["parent", "id"], "left")
     more = nearest_within(seen, rest, slack).select("parent", "id", "least", F.col("near").alias("found"), F.col("calls").alias("candidate_calls"))
     both = seen.join(more, ["parent", "id"], "left").withColumn("nearest", F.least("upper", "least"))
     none = F.array().cast("array<struct<d: int, other: long>>")
@@ -127,7 +126,7 @@ def split(members: DataFrame, radius: int, ratio: float, max_tolerance: int, fol
     inside = kept(classify(marked, centers, distances).select("parent", "child_ordinal", "id", "s"), folder, f"{name}_inside")
     done = time.monotonic()
     stats = (
-        center_edit_calls(members, centers, radius, folder, name).groupBy().agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("center_edit_calls"))
+        center_edit_calls(members, centers, radius).groupBy().agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("center_edit_calls"))
         .join(table.groupBy().agg(F.count("*").alias("beacon_table_edit_calls"))).join(pruning_counts(distances, centers))
     )
     times = {"center_selection_seconds": chosen - started, "beacon_table_seconds": tabled - chosen, "classification_seconds": done - tabled}
@@ -183,8 +182,8 @@ def build_from_windows(every: DataFrame, window: int, stride: int, config: Build
     ordinal = (F.row_number().over(W.partitionBy("leaf_id").orderBy("sequence_id")) - 1).cast("long")
     leaves = members.select(F.col("parent").alias("leaf_id"), F.col("id").alias("sequence_id"), F.col("s").alias("seq")).withColumn("member_ordinal", ordinal)
     leaves = leaves.join(every.select("sequence_id", "contig", "start"), "sequence_id").select("leaf_id", "member_ordinal", "sequence_id", "seq", "contig", "start")
-    meta = spark.createDataFrame([(FORMAT_VERSION, window, stride, config.max_tolerance, total)], "format_version int, window int, stride int, max_tolerance int, reference_window_count long")
-    layer_table = spark.createDataFrame(layers, "layer int, first_node long, node_count long, selection_radius int")
+    meta = spark.createDataFrame([(FORMAT_VERSION, window, stride, config.max_tolerance, total)], "format_version int, window int, stride int, max_tolerance long, reference_window_count long")
+    layer_table = spark.createDataFrame(layers, "layer int, first_node long, node_count long, selection_radius long")
     rename = lambda df: df.withColumnRenamed("parent", "parent_id")
     index = SequenceIndex(
         meta, layer_table, kept(full, folder, "nodes"), kept(leaves, folder, "members"), rename(all_beacons), rename(all_tables),

@@ -33,6 +33,6 @@ def prefix_sums(rows: DataFrame, order: list[str], value: str | None, name: str,
 def ranks(rows: DataFrame, group: str, order: str, name: str, folder: str) -> DataFrame:
     """``rows`` and ``name``: their place (from 0) among those of their ``group``."""
     at = f"{name}_at"
-    placed = kept(prefix_sums(rows, [group, order], None, at, folder), folder, f"{name}_ranked")
+    placed = prefix_sums(rows, [group, order], None, at, folder)
     first = placed.groupBy(group).agg(F.min(at).alias("_first"))
     return placed.join(first, group).withColumn(name, F.col(at) - F.col("_first")).drop(at, "_first")

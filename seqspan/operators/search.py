@@ -17,6 +17,7 @@ from seqspan.operators.hierarchy import SequenceIndex
 from seqspan.operators.tables import kept, work_folder
 from seqspan.operators.tiles import all_distances, nearest_within, pairs_within
 
+LONGEST = 2**31 - 1  # letters of a text, and so a distance, at most
 HIT_COLUMNS = ("ordinal", "query", "contig", "start", "distance", "strand", "sequence_id")
 
 
@@ -28,7 +29,7 @@ def strands(reads: DataFrame, both: bool) -> DataFrame:
     return one.unionByName(reads.select("ordinal", "name", reverse_complement(F.col("seq")).alias("seq"), F.lit(True).alias("reverse")))
 
 
-def _hits(found: DataFrame) -> DataFrame:
+def hits_of(found: DataFrame) -> DataFrame:
     return found.select(
         "ordinal", F.col("name").alias("query"), "contig", "start", F.col("distance").cast("int").alias("distance"),
         strand(F.col("reverse")).alias("strand"), "sequence_id",
@@ -43,10 +44,10 @@ def ordered_hits(hits: DataFrame) -> DataFrame:
 def brute_force(reads: DataFrame, windows: DataFrame, tolerance: int, both_strands: bool = False) -> DataFrame:
     """All pairs within the tolerance: the stated query set against all windows, in blocks.
     Equal windows are compared once."""
-    texts = windows.select(F.col("seq").alias("s")).distinct()
+    texts, tolerance = windows.select(F.col("seq").alias("s")).distinct(), min(tolerance, LONGEST)
     asked = strands(reads, both_strands)
     near = asked.crossJoin(texts).withColumn("distance", F.levenshtein("seq", "s", tolerance)).where("distance >= 0")
-    return _hits(near.drop("seq").join(windows.select(F.col("seq").alias("s"), "sequence_id", "contig", "start"), "s"))
+    return hits_of(near.drop("seq").join(windows.select(F.col("seq").alias("s"), "sequence_id", "contig", "start"), "s"))
 
 
 def segments(length: int, tolerance: int) -> list[tuple[int, int]]:
@@ -85,7 +86,7 @@ def by_segments(reads: DataFrame, windows: DataFrame, window: int, tolerance: in
         placed = near.join(every, "s").drop("s")
     else:
         placed = pairs.withColumn("distance", F.levenshtein("seq", "s", tolerance)).where("distance >= 0").drop("s").distinct()
-    return _hits(asked.join(placed, "seq"))
+    return hits_of(asked.join(placed, "seq"))
 
 
 def asked_id() -> Column:
@@ -101,13 +102,12 @@ def route_level(asked: DataFrame, nodes: DataFrame, folder: str, name: str, beac
     compared at once; another child only if its triangle bound does not exceed the nearest
     of these, and then no further than this limit.  Without them every child is compared."""
     children = nodes.where("parent_id is not null").select(F.col("parent_id").alias("parent"), "child_ordinal", F.col("node_id").alias("id"), F.col("center_seq").alias("s"))
-    children, many = kept(children, folder, f"{name}_children"), asked.select("parent", asked_id(), F.col("seq").alias("s"))
+    many = asked.select("parent", asked_id(), F.col("seq").alias("s"))
     best = lambda df: df.where("least is not null").select("parent", "id", F.col("near")[0].alias("best"))
     if beacons is None:
         found = best(nearest_within(many, children))
     else:
-        beacons = beacons.withColumnRenamed("parent_id", "parent")
-        children = kept(children.join(beacons, ["parent", "child_ordinal"], "left"), folder, f"{name}_marked")
+        children = children.join(beacons.withColumnRenamed("parent_id", "parent"), ["parent", "child_ordinal"], "left")
         at_once = F.col("beacon_index").isNotNull() | (F.col("child_ordinal") == 0)
         first = nearest_within(many, children.where(at_once), 1 << 29)
         # the first child is the first beacon, where there are any; beacons rise with node ids
@@ -115,8 +115,8 @@ def route_level(asked: DataFrame, nodes: DataFrame, folder: str, name: str, beac
         first = kept(first.select("parent", "id", F.col("near")[0].alias("best"), F.col("least").alias("most"), in_order.alias("bounds")), folder, f"{name}_first")
         known = F.transform(F.array_sort(F.collect_list(F.struct("beacon_index", "distance"))), lambda x: x["distance"])
         known = table.withColumnRenamed("parent_id", "parent").groupBy("parent", "child_ordinal").agg(known.alias("bounds"))
-        rest = kept(children.where(~at_once).join(known, ["parent", "child_ordinal"], "left"), folder, f"{name}_rest")
-        other = best(nearest_within(kept(first.join(many, ["parent", "id"]), folder, f"{name}_open"), rest))
+        rest = children.where(~at_once).join(known, ["parent", "child_ordinal"], "left")
+        other = best(nearest_within(first.join(many, ["parent", "id"]), rest))
         found = first.select("parent", "id", "best").unionByName(other).groupBy("parent", "id").agg(F.min("best").alias("best"))
     met = asked.withColumn("id", asked_id()).join(found, ["parent", "id"])
     return met.select("ordinal", "reverse", "name", "seq", F.col("best.other").alias("parent"))
@@ -143,7 +143,7 @@ def routed(reads: DataFrame, index: SequenceIndex, config: QueryConfig = QueryCo
     near = pairs_within(leaves.select("parent", asked_id(), F.col("seq").alias("s"), F.lit(t).alias("most")), members)
     near = near.select("parent", "id", F.col("other").alias("sequence_id"), F.col("d").alias("distance"))
     placed = near.join(index.members.select(F.col("leaf_id").alias("parent"), "sequence_id", "contig", "start"), ["parent", "sequence_id"])
-    return _hits(placed.join(leaves.select("parent", asked_id(), "ordinal", "name", "reverse"), ["parent", "id"]))
+    return hits_of(placed.join(leaves.select("parent", asked_id(), "ordinal", "name", "reverse"), ["parent", "id"]))
 
 
 def differences(expected: DataFrame, observed: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Intermediate tables in the shared folder, and joins within groups of any size."""
+"""Intermediate tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -34,27 +33,5 @@ def kept(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def partitions_of(spark: SparkSession) -> int:
+    """Tasks to deal work over that counts by rows and not by bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
-def salts_of(many: DataFrame, rows_per_task: int) -> DataFrame:
-    """``(parent, salts)``: ceil(n / rows_per_task) of a parent with n rows in ``many``, and
-    eight times its share of all partitions if that is more."""
-    counts = many.groupBy("parent").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    share = F.col("n") * (8 * partitions_of(many.sparkSession)) / F.col("total")
-    salts = F.greatest(F.col("n") / rows_per_task, F.least(share, F.col("n")))
-    return counts.crossJoin(F.broadcast(total)).select("parent", F.ceil(salts).cast("int").alias("salts"))  # total: one row
-
-
-def within_parents(many: DataFrame, few: DataFrame, rows_per_task: int = 2_000, salts: DataFrame | None = None) -> DataFrame:
-    """``many`` join ``few`` on parent, with large parents cut into salts.
-
-    A parent's rows in ``few`` are repeated once per salt, so one parent (the root) spreads
-    over many tasks.  What follows compares sequences, so tasks count by rows and not by
-    bytes: the number of partitions is fixed.  ``salts`` are those of another table with as
-    many rows a parent."""
-    salts = salts_of(many, rows_per_task) if salts is None else salts
-    left = many.join(salts, "parent").withColumn("salt", F.pmod(F.xxhash64(*[c for c in many.columns if c != "parent"]), "salts").cast("int")).drop("salts")
-    right = few.join(salts, "parent").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    return left.repartition(partitions_of(many.sparkSession), "parent", "salt").join(right, ["parent", "salt"]).drop("salt")

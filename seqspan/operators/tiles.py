@@ -41,13 +41,13 @@ def _dealt(many: DataFrame, few: DataFrame) -> DataFrame:
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
     def side(df: DataFrame, kind: int, salt: Column, block: Column) -> DataFrame:
-        most = F.col("most").cast("int") if "most" in df.columns else F.lit(None).cast("int")
+        most = F.least(F.col("most"), F.lit(int(FAR))).cast("int") if "most" in df.columns else F.lit(None).cast("int")
         bounds = F.col("bounds").cast("array<int>") if "bounds" in df.columns else F.lit(None).cast("array<int>")
         placed = df.select("parent", "id", "s", most.alias("most"), bounds.alias("bounds")).join(sizes, "parent")
         return placed.withColumns({"salt": salt}).withColumns({"block": block, "kind": F.lit(kind)}).select(*_COLUMNS)
 
     both = side(few, 0, every("salts"), own("blocks")).unionByName(side(many, 1, own("salts"), every("blocks")))
-    return both.repartition(4 * parts, "parent", "salt", "block").sortWithinPartitions("parent", "salt", "block", "kind")
+    return both.repartition(2 * parts, "parent", "salt", "block").sortWithinPartitions("parent", "salt", "block", "kind")
 
 
 def _bounds(column: pa.Array) -> np.ndarray:
@@ -183,6 +183,8 @@ def nearest_within(many: DataFrame, few: DataFrame, slack: int = 0) -> DataFrame
     most ``slack`` beyond that, in order, and how many pairs the triangle bounds left.  A row
     with none within its limit has a null ``least`` and an empty list."""
 
+    slack = min(slack, int(FAR) // 2)  # no two distances are further apart
+
     def found(parent, ids, others, d, allowed):
         least = d.min(1)
         near = (d < FAR) & (d <= least[:, None] + slack)

@@ -41,11 +41,6 @@ def document_windows(spark: SparkSession, sf_dir: str, limit: int = 0) -> DataFr
     return windows(contig_windows(document_contigs(spark, sf_dir), WINDOW, STRIDE, limit), WINDOW, STRIDE)
 
 
-def dense_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every window of every document, at stride 1."""
-    return windows(contig_windows(document_contigs(spark, sf_dir), WINDOW, 1), WINDOW, 1)
-
-
 def benchmark_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage cut into reads of window length, one base dropped from each."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", bases(F.col("text")).alias("b"))

@@ -13,6 +13,7 @@ from seqspan.functions import sequences as fn
 from seqspan.operators import hierarchy, inspection, search
 from seqspan.operators.centers import center_edit_calls
 from seqspan.operators.reads import generate_reads
+from seqspan.operators.seeds import seed_hits
 from seqspan.operators.tables import kept, work_folder
 from seqspan.operators.windows import locations, windows
 from seqspan.plans import corpus
@@ -86,7 +87,8 @@ def segment_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark pieces among all document windows at stride 1."""
-    return search.by_segments(corpus.benchmark_reads(spark, sf_dir), corpus.dense_windows(spark, sf_dir), corpus.WINDOW, corpus.CLOSE, repeats=False)
+    contigs = corpus.contig_windows(corpus.document_contigs(spark, sf_dir), corpus.WINDOW, 1)
+    return seed_hits(corpus.benchmark_reads(spark, sf_dir), contigs, corpus.WINDOW, corpus.CLOSE)
 
 
 def passage_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +201,7 @@ def greedy_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def center_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return center_edit_calls(_members(spark, sf_dir), _centers(spark, sf_dir), corpus.PART_CONFIG.radii[0], work_folder(spark), "calls")
+    return center_edit_calls(_members(spark, sf_dir), _centers(spark, sf_dir), corpus.PART_CONFIG.radii[0])
 
 
 def beacon_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,7 +160,8 @@ def test_batched_distances_are_exact():
 
 def test_config_errors():
     assert triple("1,2,3", int) == (1, 2, 3)
-    for text in ("1,2", "1,,3", "1,2,3,4", "1,2,x", "1,2,99999999999"):
+    assert triple("0,2147483648,4294967295", int) == (0, 2**31, 2**32 - 1)
+    for text in ("1,2", "1,,3", "1,2,3,4", "1,2,x", "1,2,4294967296", "1,2,-1"):
         with pytest.raises(ValueError):
             triple(text, int)
     for bad in ({"beacon_ratios": (2.0, 0, 0)}, {"beacon_ratios": (float("nan"), 0, 0)}, {"max_tolerance": -1}):
@@ -168,6 +169,44 @@ def test_config_errors():
             BuildConfig(**bad)
 
 
+def test_radii_and_tolerances_above_signed_numbers(spark, tmp_path):
+    """Everything is within such a radius: one world a level, and every window is a hit."""
+    texts = ["ACGT", "TTTT", "ACCT"]
+    every, index = made(spark, texts, (2**32 - 1, 2**31, 2**31), (0.5, 0.5, 0.5), 2**32 - 1)
+    index_store.save(index, str(tmp_path / "i"))
+    index = index_store.load(spark, str(tmp_path / "i"))
+    assert index.max_tolerance == 2**32 - 1 and index.nodes.count() == 4
+    df, want = reads_of(spark, ["ACGT", ""]), expected(texts, ["ACGT", ""], 9, True)
+    for config in (QueryConfig(None, True), QueryConfig(2**31, True, "scan")):
+        assert found(search.routed(df, index, config)) == want
+    assert found(search.brute_force(df, every, 2**32 - 1, True)) == want
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_seed_hits_equal_brute_force_over_all_windows(spark, monkeypatch, most):
+    """Whole contigs at stride 1, cut into pieces; and without a broadcast where seeds are many."""
+    from seqspan.operators import seeds
+
+    monkeypatch.setattr(seeds, "PIECE", 37)
+    monkeypatch.setattr(seeds, "SEEDS", most)
+    rng = np.random.default_rng(12)
+    contigs = ["".join(rng.choice(list("ACGT"), n)) for n in (300, 14, 15, 40)] + ["", "é" * 3 + "".join(rng.choice(list("ACGT"), 50))]
+    reads = []
+    for c in (contigs[0], contigs[5]):
+        for at in range(0, len(c) - 15, 9):
+            w = c[at : at + 15]
+            reads += [w, w[:7] + w[8:], w[:3] + "N" + w[3:], w[:5] + "T" + w[6:]]
+    reads += ["", "ACG"]
+    df = spark.createDataFrame([(k, f"c{k}", s) for k, s in enumerate(contigs)], "contig_ordinal long, name string, bases string")
+    placed = fasta.contig_windows(df, 15, 1)
+    every = [c[i : i + 15] for c in contigs for i in range(len(c) - 14)]
+    out = seeds.seed_hits(reads_of(spark, reads), placed, 15, 2, True)
+    want = expected(every, reads, 2, True)
+    assert found(out) == want and len(want) > 200
+    starts = {r.sequence_id: (r.contig, r.start) for r in windows(placed, 15).collect()}
+    assert all(starts[r.sequence_id] == (r.contig, r.start) for r in out.collect())
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "r.fa").write_text(">one\nAAAAAACC\n")
     (tmp_path / "q.fa").write_text(">q1\nAAAA\n>q2\nAAC\n")
