@@ -15,19 +15,27 @@ from pyspark.sql import functions as F
 from seqspan.operators.tables import kept
 
 
+def prefix_sums_of(rows: DataFrame, order: list[str], values: dict[str, str | None], folder: str) -> DataFrame:
+    """``rows`` and a long column for each name in ``values``: the sum of its value (None: the
+    count) over all rows before in ``order``, which must tell rows apart.  ``rows`` are read
+    twice: give a stored table, and a slim one."""
+    names = list(values)
+    sizes = {f"_size_{n}": (F.lit(1) if v is None else F.col(v)).cast("long") for n, v in values.items()}
+    dealt = rows.repartitionByRange(*order).withColumns({"_part": F.spark_partition_id(), **sizes})
+    dealt = kept(dealt, folder, f"{names[0]}_ranges")
+    totals = sorted(dealt.groupBy("_part").agg(*[F.sum(s).alias(s) for s in sizes]).collect())  # one row a partition
+    starts = zip(*[accumulate((r[s] or 0 for r in totals), initial=0) for s in sizes], strict=True)
+    table = [(r["_part"], *start) for r, start in zip(totals, starts, strict=False)]
+    table = rows.sparkSession.createDataFrame(table, "_part int, " + ", ".join(f"_start_{n} long" for n in names))
+    before = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    placed = dealt.withColumns({f"_before_{n}": F.coalesce(F.sum(f"_size_{n}").over(before), F.lit(0)) for n in names}).join(F.broadcast(table), "_part")
+    placed = placed.withColumns({n: (F.col(f"_start_{n}") + F.col(f"_before_{n}")).cast("long") for n in names})
+    return placed.drop("_part", *[f"_{kind}_{n}" for kind in ("size", "before", "start") for n in names])
+
+
 def prefix_sums(rows: DataFrame, order: list[str], value: str | None, name: str, folder: str) -> DataFrame:
-    """``rows`` and a long column ``name``: the sum of ``value`` (None: the count) of all rows
-    before in ``order``, which must tell rows apart.  ``rows`` are read twice: give a stored
-    table, and a slim one."""
-    size = F.lit(1) if value is None else F.col(value)
-    dealt = rows.repartitionByRange(*order).withColumns({"_part": F.spark_partition_id(), "_size": size.cast("long")})
-    dealt = kept(dealt, folder, f"{name}_ranges")
-    totals = sorted((r["_part"], r["total"] or 0) for r in dealt.groupBy("_part").agg(F.sum("_size").alias("total")).collect())  # one row a partition
-    starts = accumulate((total for _, total in totals), initial=0)
-    table = rows.sparkSession.createDataFrame([(part, start) for (part, _), start in zip(totals, starts, strict=False)], "_part int, _start long")
-    before = F.sum("_size").over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
-    placed = dealt.withColumn("_before", F.coalesce(before, F.lit(0))).join(F.broadcast(table), "_part")
-    return placed.withColumn(name, (F.col("_start") + F.col("_before")).cast("long")).drop("_part", "_size", "_before", "_start")
+    """One of ``prefix_sums_of``."""
+    return prefix_sums_of(rows, order, {name: value}, folder)
 
 
 def ranks(rows: DataFrame, group: str, order: str, name: str, folder: str) -> DataFrame:

@@ -12,12 +12,13 @@ from seqspan.config import QueryConfig
 from seqspan.functions import sequences as fn
 from seqspan.operators import hierarchy, inspection, search
 from seqspan.operators.centers import center_edit_calls
+from seqspan.operators.hierarchy import SequenceIndex
 from seqspan.operators.reads import generate_reads
 from seqspan.operators.seeds import seed_hits
 from seqspan.operators.tables import kept, work_folder
 from seqspan.operators.windows import locations, windows
 from seqspan.plans import corpus
-from seqspan.sources import fasta, hits, index_store
+from seqspan.sources import fasta, hits, index_file, index_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 T = corpus.PART_CONFIG.max_tolerance
@@ -169,6 +170,32 @@ def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_store.load(spark, path).members.select("leaf_id", "member_ordinal", "sequence_id")
 
 
+def _index_file(spark: SparkSession, sf_dir: str) -> SequenceIndex:
+    """The index of all part names, written as a binary file and read again."""
+    path = f"{work_folder(spark)}/binary"
+    index_file.save(corpus.part_index(spark, sf_dir), path)
+    one = F.lit(1).cast("long")
+    contigs = corpus.part_windows(spark, sf_dir).select(F.col("contig").alias("name"), F.col("sequence_id").alias("first_sequence_id"), one.alias("window_count"))
+    return index_file.load(spark, path, contigs)
+
+
+def index_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf members of the binary file."""
+    return _index_file(spark, sf_dir).members.select("leaf_id", "member_ordinal", "sequence_id", "seq", "contig")
+
+
+def index_file_beacons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beacons and distances of their centers, from the binary file."""
+    index = _index_file(spark, sf_dir)
+    beacons = index.beacons.select("parent_id", "beacon_index", F.col("child_ordinal").alias("beacon_ordinal"))
+    return index.beacon_distances.join(beacons, ["parent_id", "beacon_index"])
+
+
+def index_file_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of ``index_hits`` in the index of the binary file."""
+    return search.routed(corpus.part_reads(spark, sf_dir), _index_file(spark, sf_dir), QueryConfig(both_strands=True))
+
+
 def index_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspection.size_in_memory(corpus.part_index(spark, sf_dir))
 
@@ -297,7 +324,7 @@ def queries() -> dict[str, Query]:
         beacon_table, lower_bounds, classify_members, world_sizes, pruning_stats, route_nearest, hierarchy_nodes, leaf_members,
         index_summary, index_hits, verify_counts, hit_order_rank, query_stats_scan, query_stats_multilateration, latency_percentiles,
         generated_reads, dense_hits, passage_build, passage_hits, passage_hits_scan, passage_verify, default_hits, default_verify, fasta_contigs, fasta_reads, fastq_reads,
-        read_limit, in_memory_windows, tsv_round_trip, index_round_trip, index_bytes, descendants,
+        read_limit, in_memory_windows, tsv_round_trip, index_round_trip, index_file_round_trip, index_file_beacons, index_file_hits, index_bytes, descendants,
     ]
     return {f.__name__: f for f in named} | {"center_edit_calls": center_calls}
 
@@ -475,6 +502,7 @@ def oracle_sql() -> dict[str, str]:
     nodes = " UNION ALL ".join(f"SELECT node_id, {k} AS layer, parent AS parent_id, child_ordinal, center_id AS center_sequence_id, center_s AS center_seq FROM n{k}" for k in range(3))
     beacons = " UNION ALL ".join(f"SELECT parent, beacon_index FROM b{k}" for k in range(3))
     tables = " UNION ALL ".join(f"SELECT parent AS parent_id, child_ordinal, beacon_index::INTEGER AS beacon_index, distance::INTEGER AS distance FROM t{k}" for k in range(3))
+    placed = " UNION ALL ".join(f"SELECT parent AS parent_id, beacon_index, child_ordinal FROM b{k}" for k in range(3))
     metrics = [
         ("format_version", "2"), ("window", "0"), ("stride", "1"), ("T", str(T)), ("windows", "(SELECT count(*) FROM w)"),
         *[(f"radius_{k}", str(_R[k])) for k in range(3)], *[(f"worlds_{k}", f"(SELECT count(*) FROM n{k})") for k in range(3)],
@@ -540,6 +568,9 @@ FROM c JOIN q USING (seq) WHERE levenshtein(c.seq, c.t) <= 2""",
         "in_memory_windows": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS sequence_id, 'sequence_' || (row_number() OVER (ORDER BY n_nationkey) - 1) AS contig, 0::BIGINT AS start, upper(rpad(n_name, 12, 'n')) AS seq FROM nation",
         "tsv_round_trip": part_hits + "SELECT query, contig, start, distance, strand, sequence_id FROM h",
         "index_round_trip": _tree(3, "SELECT parent AS leaf_id, row_number() OVER (PARTITION BY parent ORDER BY id) - 1 AS member_ordinal, id AS sequence_id FROM m3"),
+        "index_file_round_trip": _tree(3, "SELECT parent AS leaf_id, row_number() OVER (PARTITION BY parent ORDER BY id) - 1 AS member_ordinal, id AS sequence_id, s AS seq, 'part_' || id AS contig FROM m3"),
+        "index_file_beacons": _tree(3, f"SELECT t.parent_id, t.child_ordinal, t.beacon_index, t.distance, b.child_ordinal AS beacon_ordinal FROM ({tables}) t JOIN ({placed}) b USING (parent_id, beacon_index)"),
+        "index_file_hits": part_hits + part_columns,
         "index_bytes": _tree(3, f"SELECT (65 * (1 + (SELECT count(*) FROM ({nodes}))) + (SELECT sum(strlen(center_seq)) FROM ({nodes})) + (SELECT 8 * count(*) + sum(strlen(s)) FROM m3) "
                                 f"+ 8 * (SELECT count(*) FROM ({beacons})) + 4 * (SELECT count(*) FROM ({tables})))::BIGINT AS index_bytes"),
         "descendants": _tree(3, "SELECT DISTINCT n1.parent AS node_id, m3.id AS sequence_id FROM m3 JOIN n2 ON n2.node_id = m3.parent JOIN n1 ON n1.node_id = n2.parent"),
