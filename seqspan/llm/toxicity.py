@@ -98,9 +98,12 @@ def features(data: np.ndarray, offs: np.ndarray, lexicon: list[tuple[np.ndarray,
     inner = np.zeros(len(data), bool)
     if len(data) > 2:
         inner[1:-1] = alpha[:-2] & ~alpha[1:-1] & alpha[2:] & (data[1:-1] > 32)
-    odd = np.concatenate([[0], np.cumsum(inner)])
     same = np.zeros(len(data), bool)
     same[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & alpha[2:]
+    # neighbours in another text do not count
+    first = offs[:-1][offs[:-1] < len(data)]
+    inner[first] = inner[first - 1] = same[first] = same[np.minimum(first + 1, len(data) - 1)] = False
+    odd = np.concatenate([[0], np.cumsum(inner)])
     cols = [
         row_sums(seed, counts) / n, row_sums(learned[0], counts) / n, np.log1p(row_sums((learned[0] > 0).astype(float), counts)),
         row_sums(learned[1], counts) / n, row_sums(learned[2], counts) / n, np.log1p(row_sums((learned[2] > 0).astype(float), counts)),
