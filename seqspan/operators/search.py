@@ -7,6 +7,8 @@ segment join is exact always.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from seqspan.config import QueryConfig
 from seqspan.functions.sequences import reverse_complement, strand, triangle_bound
 from seqspan.operators.hierarchy import SequenceIndex
 from seqspan.operators.tables import kept, work_folder
-from seqspan.operators.tiles import all_distances, nearest_within, pairs_within
+from seqspan.operators.tiles import all_distances, nearest_within, pairs_within, row_times
 
 LONGEST = 2**31 - 1  # letters of a text, and so a distance, at most
 HIT_COLUMNS = ("ordinal", "query", "contig", "start", "distance", "strand", "sequence_id")
@@ -139,13 +141,34 @@ def routed(reads: DataFrame, index: SequenceIndex, config: QueryConfig = QueryCo
     route modes lead to the same one."""
     t = config.within(index.max_tolerance)
     leaves = routed_leaves(reads, index, config.both_strands, config.route)[-1]
-    members = index.members.select(F.col("leaf_id").alias("parent"), F.col("sequence_id").alias("id"), F.col("seq").alias("s"))
-    near = pairs_within(leaves.select("parent", asked_id(), F.col("seq").alias("s"), F.lit(t).alias("most")), members)
+    near = pairs_within(*leaf_sides(leaves, index, t))
     near = near.select("parent", "id", F.col("other").alias("sequence_id"), F.col("d").alias("distance"))
     placed = near.join(index.members.select(F.col("leaf_id").alias("parent"), "sequence_id", "contig", "start"), ["parent", "sequence_id"])
     return hits_of(placed.join(leaves.select("parent", asked_id(), "ordinal", "name", "reverse"), ["parent", "id"]))
 
 
+def leaf_sides(leaves: DataFrame, index: SequenceIndex, tolerance: int) -> tuple[DataFrame, DataFrame]:
+    """Reads at their leaf worlds, and the members of these."""
+    members = index.members.select(F.col("leaf_id").alias("parent"), F.col("sequence_id").alias("id"), F.col("seq").alias("s"))
+    return leaves.select("parent", asked_id(), F.col("seq").alias("s"), F.lit(tolerance).alias("most")), members
+
+
+def latencies(reads: DataFrame, index: SequenceIndex, config: QueryConfig = QueryConfig()) -> DataFrame:
+    """``(ordinal, routing_ns, leaf_ns, latency_ns)`` of every read, both strands together.  All reads
+    are routed at once, so routing is a read's share of that; its leaves are searched read by
+    read and timed in the tasks that do so."""
+    t = config.within(index.max_tolerance)
+    started = time.monotonic()
+    leaves = routed_leaves(reads, index, config.both_strands, config.route)[-1]
+    spent = (time.monotonic() - started) * 1e9
+    times = kept(row_times(*leaf_sides(leaves, index, t)), work_folder(reads.sparkSession), "row_times")  # measured once
+    each = times.groupBy(F.floor(F.col("id") / 2).alias("ordinal")).agg(F.sum("ns").alias("leaf_ns"))
+    many = reads.agg(F.count("*").alias("n")).first().n
+    share = F.lit(spent / max(many, 1))
+    found = reads.select("ordinal").join(each, "ordinal", "left").withColumns({"routing_ns": share, "leaf_ns": F.coalesce("leaf_ns", F.lit(0))})
+    return found.select("ordinal", "routing_ns", "leaf_ns", (F.col("routing_ns") + F.col("leaf_ns")).alias("latency_ns"))
+
+
 def differences(expected: DataFrame, observed: DataFrame) -> DataFrame:
     """One row: expected and observed hits, false negatives and positives.  The distance is
     part of the key, so a hit of another distance counts on both sides."""

@@ -13,6 +13,7 @@ compared.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -203,3 +204,24 @@ def nearest_within(many: DataFrame, few: DataFrame, slack: int = 0) -> DataFrame
 def all_distances(many: DataFrame, few: DataFrame) -> DataFrame:
     """``(parent, id, other, d)`` of every pair."""
     return pairs_within(many.drop("most", "bounds"), few.drop("bounds"))
+
+
+def row_times(many: DataFrame, few: DataFrame) -> DataFrame:
+    """``(parent, id, ns)``: how long each row of ``many`` (with ``most``) takes by itself against all of
+    ``few``, measured in the tasks and summed over its tiles.  A tile is a group of bounded size."""
+
+    def timed(tile: pa.Table) -> pa.Table:
+        kind = tile["kind"].to_numpy()
+        rows, others = (tile.filter(pa.array(kind == k)).combine_chunks() for k in (1, 0))
+        spent = []
+        if len(rows) and len(others):
+            right, limit = letters(others["s"].combine_chunks()), rows["most"].to_numpy()
+            texts = rows["s"].combine_chunks()
+            for k in range(len(rows)):
+                started = time.perf_counter_ns()
+                tile_distances(letters(texts.slice(k, 1)), right, limit[k : k + 1])
+                spent.append(time.perf_counter_ns() - started)
+        return pa.table({"parent": rows["parent"][: len(spent)], "id": rows["id"][: len(spent)], "ns": pa.array(spent, pa.int64())})
+
+    tiles = _dealt(many, few).groupBy("parent", "salt", "block").applyInArrow(timed, "parent long, id long, ns long")
+    return tiles.groupBy("parent", "id").agg(F.sum("ns").alias("ns"))
