@@ -68,7 +68,8 @@ def settled(first: DataFrame, radius: int, folder: str | None, name: str) -> tup
 
 
 def choose_centers(members: DataFrame, radius: int, folder: str, name: str, head: int = 2048, pairs: int = 1 << 22) -> DataFrame:
-    """``members(parent, id, s)`` -> ``(parent, child_ordinal, center_id, center_s)``."""
+    """``members(parent, id, s)`` -> ``(parent, child_ordinal, center_id, center_s, place)``, the
+    place (from 0) among the centers of all parents in order of parent and ordinal."""
     left = kept(members.groupBy("parent", "s").agg(F.min("id").alias("id")).select("parent", "id", "s"), folder, f"{name}_distinct")
     rounds = []
     while most := left.groupBy("parent").count().agg(F.max("count")).first()[0]:
@@ -90,8 +91,9 @@ def choose_centers(members: DataFrame, radius: int, folder: str, name: str, head
 
 
 def ranked(centers: DataFrame, folder: str, name: str) -> DataFrame:
-    placed = ranks(centers, "parent", "id", f"{name}_ordinal", folder)
-    return placed.select("parent", F.col(f"{name}_ordinal").alias("child_ordinal"), F.col("id").alias("center_id"), F.col("s").alias("center_s"))
+    placed = ranks(centers, "parent", "id", f"{name}_ordinal", folder, f"{name}_place")
+    ordinal, place = F.col(f"{name}_ordinal").alias("child_ordinal"), F.col(f"{name}_place").alias("place")
+    return placed.select("parent", ordinal, F.col("id").alias("center_id"), F.col("s").alias("center_s"), place)
 
 
 def center_edit_calls(members: DataFrame, centers: DataFrame, radius: int) -> DataFrame:

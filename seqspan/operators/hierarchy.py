@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from seqspan.config import FORMAT_VERSION, LAYERS, BuildConfig
 from seqspan.functions.sequences import beacon_count, beacon_ordinal, pruning_ratio
 from seqspan.operators.centers import center_edit_calls, choose_centers
-from seqspan.operators.scan import prefix_sums
 from seqspan.operators.tables import kept, work_folder
 from seqspan.operators.tiles import all_distances, nearest_within
 from seqspan.operators.windows import windows
@@ -113,17 +112,19 @@ def pruning_counts(distances: DataFrame, centers: DataFrame) -> DataFrame:
     return whole.withColumn("pruned_center_pairs", saved)
 
 
-def split(members: DataFrame, radius: int, ratio: float, max_tolerance: int, folder: str, name: str) -> dict[str, DataFrame]:
-    """One level for all parents: centers, beacons, beacon table, worlds' members, counters."""
+def split(members: DataFrame, radius: int, ratio: float, max_tolerance: int, folder: str, name: str, first_node: int) -> dict[str, DataFrame]:
+    """One level for all parents: centers with their node ids, beacons, beacon table, worlds'
+    members (a world's node id is their next parent), counters."""
     started = time.monotonic()
-    centers = choose_centers(members, radius, folder, name)
+    centers = choose_centers(members, radius, folder, name).withColumn("node_id", F.col("place") + first_node).drop("place")
     chosen = time.monotonic()
     beacons = kept(beacon_positions(centers, ratio), folder, f"{name}_beacons")
     table = kept(beacon_table(centers, beacons), folder, f"{name}_beacon_distances")
     tabled = time.monotonic()
     marked = marked_members(members, centers)
     distances = kept(text_distances(marked, centers, beacons, table, max_tolerance, folder, name), folder, f"{name}_distances")
-    inside = kept(classify(marked, centers, distances).select("parent", "child_ordinal", "id", "s"), folder, f"{name}_inside")
+    inside = classify(marked, centers, distances).join(centers.select("parent", "child_ordinal", "node_id"), ["parent", "child_ordinal"])
+    inside = kept(inside.select(F.col("node_id").alias("parent"), "id", "s"), folder, f"{name}_members")
     done = time.monotonic()
     stats = (
         center_edit_calls(members, centers, radius).groupBy().agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("center_edit_calls"))
@@ -155,20 +156,15 @@ def build_from_windows(every: DataFrame, window: int, stride: int, config: Build
     members = every.select(F.lit(0).cast("long").alias("parent"), F.col("sequence_id").alias("id"), F.col("seq").alias("s"))
     first_node, nodes, beacons, tables, layers, stats = 1, [], [], [], [], []
     for k, (radius, ratio) in enumerate(zip(config.radii, config.beacon_ratios, strict=True)):
-        made = split(members, radius, ratio, config.max_tolerance, folder, LAYERS[k])
-        numbered = prefix_sums(made["centers"], ["parent", "child_ordinal"], None, f"{LAYERS[k]}_number", folder)
-        number = F.col(f"{LAYERS[k]}_number") + first_node
-        worlds = kept(numbered.select(number.alias("node_id"), F.lit(k).alias("layer"), *made["centers"].columns), folder, f"{LAYERS[k]}_worlds")
+        made = split(members, radius, ratio, config.max_tolerance, folder, LAYERS[k], first_node)
+        worlds, members = made["centers"].withColumn("layer", F.lit(k)), made["inside"]
         count = worlds.count()
-        nodes.append(worlds)
         layers.append((k, first_node, count, radius))
         beacons.append(made["beacons"])
         tables.append(made["table"])
         stats.append(made["stats"].select(F.lit(LAYERS[k]).alias("build_layer"), "*"))
-        inside = made["inside"].join(worlds.select("parent", "child_ordinal", "node_id"), ["parent", "child_ordinal"])
-        members = kept(inside.select(F.col("node_id").alias("parent"), "id", "s"), folder, f"{LAYERS[k]}_members")
         sizes = members.groupBy(F.col("parent").alias("node_id")).agg(F.count("*").alias("member_count"))
-        nodes[-1] = worlds.join(sizes, "node_id")
+        nodes.append(worlds.join(sizes, "node_id"))
         first_node += count
     root = spark.createDataFrame([(0, 3, None, None, None, None, total)], "node_id long, layer int, parent long, child_ordinal long, center_id long, center_s string, member_count long")
     all_nodes = root

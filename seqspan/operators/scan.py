@@ -38,9 +38,10 @@ def prefix_sums(rows: DataFrame, order: list[str], value: str | None, name: str,
     return prefix_sums_of(rows, order, {name: value}, folder)
 
 
-def ranks(rows: DataFrame, group: str, order: str, name: str, folder: str) -> DataFrame:
-    """``rows`` and ``name``: their place (from 0) among those of their ``group``."""
-    at = f"{name}_at"
+def ranks(rows: DataFrame, group: str, order: str, name: str, folder: str, overall: str | None = None) -> DataFrame:
+    """``rows`` and ``name``: their place (from 0) among those of their ``group``; with
+    ``overall`` also that among all rows, in order of group and place."""
+    at = overall or f"{name}_at"
     placed = prefix_sums(rows, [group, order], None, at, folder)
     first = placed.groupBy(group).agg(F.min(at).alias("_first"))
-    return placed.join(first, group).withColumn(name, F.col(at) - F.col("_first")).drop(at, "_first")
+    return placed.join(first, group).withColumn(name, F.col(at) - F.col("_first")).drop("_first", *([] if overall else [at]))

@@ -33,8 +33,9 @@ _COLUMNS = ("parent", "salt", "block", "kind", "id", "s", "most", "bounds")
 def _dealt(many: DataFrame, few: DataFrame) -> DataFrame:
     """Rows of both sides, once for each tile they are in."""
     parts = partitions_of(many.sparkSession)
-    n, m = many.groupBy("parent").agg(F.count("*").alias("n")), few.groupBy("parent").agg(F.count("*").alias("m"))
-    sizes, pairs = n.join(m, "parent"), F.col("n") * F.col("m")
+    both = many.select("parent", F.lit(1).alias("n"), F.lit(0).alias("m")).union(few.select("parent", F.lit(0), F.lit(1)))
+    sizes = both.groupBy("parent").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where("n > 0 and m > 0")
+    pairs = F.col("n") * F.col("m")
     area = F.least(F.lit(MOST), F.greatest(F.lit(LEAST), pairs / (4 * parts)))
     wide = F.greatest(F.lit(8), F.floor(area / F.least("n", F.lit(SIDE))))
     sizes = sizes.select("parent", F.ceil(F.col("n") / SIDE).cast("int").alias("salts"), F.ceil(F.col("m") / wide).cast("int").alias("blocks"))
