@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seqspan.config import QueryConfig
 from seqspan.functions import sequences as fn
-from seqspan.operators import hierarchy, inspection, search
+from seqspan.operators import hierarchy, inspection, search, seed_table
 from seqspan.operators.centers import center_edit_calls
 from seqspan.operators.hierarchy import SequenceIndex
 from seqspan.operators.reads import generate_reads
@@ -92,6 +92,13 @@ def dense_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seed_hits(corpus.benchmark_reads(spark, sf_dir), contigs, corpus.WINDOW, corpus.CLOSE)
 
 
+def seed_table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search by a stored table of the documents' blocks."""
+    contigs, path = corpus.contig_windows(corpus.document_contigs(spark, sf_dir), corpus.WINDOW, 1), f"{work_folder(spark)}/seeds"
+    seed_table.save(contigs, path, corpus.WINDOW, corpus.CLOSE)
+    return seed_table.search(corpus.benchmark_reads(spark, sf_dir), seed_table.load(spark, path))
+
+
 def passage_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fresh build of the index of the passages: its worlds and their centers at the root."""
     nodes = corpus.build_passages(spark, sf_dir).nodes.where("layer = 0")
@@ -323,7 +330,7 @@ def queries() -> dict[str, Query]:
         distance_bounded, brute_force_hits, both_strand_hits, segment_hits, hits_tsv_projection, greedy_centers, beacon_ordinals,
         beacon_table, lower_bounds, classify_members, world_sizes, pruning_stats, route_nearest, hierarchy_nodes, leaf_members,
         index_summary, index_hits, verify_counts, hit_order_rank, query_stats_scan, query_stats_multilateration, latency_percentiles,
-        generated_reads, dense_hits, passage_build, passage_hits, passage_hits_scan, passage_verify, default_hits, default_verify, fasta_contigs, fasta_reads, fastq_reads,
+        generated_reads, dense_hits, seed_table_hits, passage_build, passage_hits, passage_hits_scan, passage_verify, default_hits, default_verify, fasta_contigs, fasta_reads, fastq_reads,
         read_limit, in_memory_windows, tsv_round_trip, index_round_trip, index_file_round_trip, index_file_beacons, index_file_hits, index_bytes, descendants,
     ]
     return {f.__name__: f for f in named} | {"center_edit_calls": center_calls}
@@ -515,7 +522,7 @@ def oracle_sql() -> dict[str, str]:
     reads_ = f"""rs AS (SELECT ordinal, name, substr(r, 1, pos) || substr(r, pos + 2) AS seq FROM (
   SELECT item_id * 1000 + i AS ordinal, 'b' || item_id || '_' || i AS name, substr(b, (i * 50 + 1)::BIGINT, 50) AS r, (item_id % 50)::BIGINT AS pos
   FROM (SELECT item_id, b, unnest(range(length(b) // 50)) AS i FROM {item} WHERE length(b) >= 50)))"""
-    return {
+    found = {
         "clean_sequences": "SELECT doc_id, " + _CLEAN.format(r"regexp_replace(text, '[^\x00-\x7F]', '', 'g')") + " AS bases FROM documents",
         "reverse_complement": f"WITH {_CONTIGS} SELECT contig_ordinal, {_RC.format('bases')} AS reversed FROM k",
         "contig_names": f"WITH {_CONTIGS} SELECT contig_ordinal, name FROM k",
@@ -608,3 +615,4 @@ FROM c JOIN q USING (seq) WHERE levenshtein(c.seq, c.t) <= 2""",
  v[floor(0.95::DOUBLE * (len(v) - 1))::BIGINT + 1] / 1000 AS p95_us, v[floor(0.99::DOUBLE * (len(v) - 1))::BIGINT + 1] / 1000 AS p99_us
 FROM events, (SELECT list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL) GROUP BY v""",
     }
+    return found | {"seed_table_hits": found["dense_hits"]}
