@@ -7,8 +7,9 @@ one of them unchanged, moved by t places at most.  So one row for ``step`` lette
 hit at stride 1: a read's pieces of ``block`` letters are joined with the rows, the windows
 around those met are cut out of stored pieces of the contigs, and only these are compared.
 
-The rows lie in directories by hash and are sorted by it within; ranges run over hash and
-place, so a block that stands everywhere spreads over files.  A read side that Spark broadcasts
+The rows are not shuffled: each task sorts those of its pieces by hash and writes them into
+directories by ranges of the hash, so a block that stands everywhere lies in as many files as
+pieces were read by tasks.  A read side that Spark broadcasts
 prunes directories; a larger one is shuffled by hash, where adaptive execution splits hot
 blocks.  ``meta`` is written last: a broken build is refused.
 
@@ -80,7 +81,7 @@ def save(contigs: DataFrame, path: str, window: int, tolerance: int, step: int |
     h = F.xxhash64(_cut("raw", "wide", F.col("place") - F.col("left") + 1, block))
     rows = at.select(h.alias("h"), "first_sequence_id", "place").withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     order = ("bucket", "h", "first_sequence_id", "place")
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    rows.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
     meta = [(VERSION, window, tolerance, step, block, piece, buckets)]
     names = "version int, window int, tolerance long, step int, block int, piece int, buckets int"
     contigs.sparkSession.createDataFrame(meta, names).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
