@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from seqspan.operators.search import LONGEST, hits_of, strands
 
 VERSION = 1
+HASH = 48  # bits of a hash, written as steps of 4 bytes or less; what meets by chance is compared anyway
 
 
 @dataclass
@@ -46,18 +47,26 @@ class SeedTable:
 
 def layout(window: int, tolerance: int, step: int | None = None) -> tuple[int, int]:
     """``(step, block)``: the longest block for a step; by default the widest step that costs a
-    block at most a tenth of its letters."""
+    block at most an eighth of its letters."""
     longest = window // (tolerance + 1)
     if longest < 1:
         raise ValueError("a window must be longer than the tolerance")
     block = lambda s: s * ((window - s + 1) // (s * (tolerance + 1)))
     if step is None:
-        step = max(s for s in range(1, longest + 1) if 10 * block(s) >= 9 * longest)
+        step = max(s for s in range(1, longest + 1) if 8 * block(s) >= 7 * longest)
     if step < 1 or block(step) < 1:
         raise ValueError(f"no block fits a step of {step}")
     return step, block(step)
 
 
+def _hash(block: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(block), 64 - HASH)
+
+
+def _bucket(h: Column, buckets: int) -> Column:
+    return F.shiftright(h * buckets, HASH).cast("int")
+
+
 def _cut(raw: str, wide: str, start: Column, n: int) -> Column:
     return F.coalesce(F.substring(raw, start.cast("int"), F.lit(n)), F.substring(wide, start.cast("int"), F.lit(n)).cast("binary"))
 
@@ -78,10 +87,11 @@ def save(contigs: DataFrame, path: str, window: int, tolerance: int, step: int |
     kept = contigs.sparkSession.read.schema(pieces.schema).parquet(f"{path}/pieces")
     last = F.least(F.col("from") + piece, F.col("size") - block + 1) - 1  # of the places where a block begins
     at = kept.where(last >= F.col("from")).select("*", F.explode(F.sequence(F.col("from"), last, F.lit(step).cast("long"))).alias("place"))
-    h = F.xxhash64(_cut("raw", "wide", F.col("place") - F.col("left") + 1, block))
-    rows = at.select(h.alias("h"), "first_sequence_id", "place").withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
+    h = _hash(_cut("raw", "wide", F.col("place") - F.col("left") + 1, block))
+    rows = at.select(h.alias("h"), "first_sequence_id", "place").withColumn("bucket", _bucket(F.col("h"), buckets))
     order = ("bucket", "h", "first_sequence_id", "place")
-    rows.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    steps = {"parquet.writer.version": "v2", "parquet.enable.dictionary#h": "false"}  # sorted numbers as differences
+    rows.sortWithinPartitions(*order).write.mode("overwrite").options(**steps).partitionBy("bucket").parquet(f"{path}/blocks")
     meta = [(VERSION, window, tolerance, step, block, piece, buckets)]
     names = "version int, window int, tolerance long, step int, block int, piece int, buckets int"
     contigs.sparkSession.createDataFrame(meta, names).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
@@ -99,8 +109,8 @@ def candidates(texts: DataFrame, table: SeedTable, tolerance: int) -> DataFrame:
     """``(seq, first_sequence_id, start)`` of ``texts(seq)``: windows that share a block with a read."""
     places = F.sequence(F.lit(0), F.length("seq") - table.block)
     asked = texts.where(F.length("seq") >= table.block).select("seq", F.explode(places).alias("at"))
-    h = F.xxhash64(F.substring("seq", F.col("at") + 1, F.lit(table.block)).cast("binary"))
-    asked = asked.select("seq", "at", h.alias("h"), F.pmod(h, F.lit(table.buckets)).cast("int").alias("bucket"))
+    h = _hash(F.substring("seq", F.col("at") + 1, F.lit(table.block)).cast("binary"))
+    asked = asked.select("seq", "at", h.alias("h")).withColumn("bucket", _bucket(F.col("h"), table.buckets))
     met = table.blocks.join(asked, ["bucket", "h"]).select("seq", "first_sequence_id", "place", "at")
     moves = F.sequence(F.lit(-tolerance), F.lit(tolerance))
     moved = met.select("seq", "first_sequence_id", "place", F.explode(F.transform(moves, lambda m: F.col("place") - F.col("at") + m)).alias("start"))

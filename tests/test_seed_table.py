@@ -55,10 +55,10 @@ def test_later_searches_do_not_read_the_reference(spark, tmp_path):
 
 
 def test_one_row_for_a_step_of_letters(spark, tmp_path):
-    assert seed_table.layout(50, 2) == (5, 15) and seed_table.layout(150, 5) == (6, 24) and seed_table.layout(50, 2, 1) == (1, 16)
+    assert seed_table.layout(50, 2) == (7, 14) and seed_table.layout(150, 5) == (11, 22) and seed_table.layout(50, 2, 1) == (1, 16)
     seed_table.save(placed(spark, ["ACGTTGCA" * 200], 50), str(tmp_path / "t"), 50, 2, piece=100)
     table = seed_table.load(spark, str(tmp_path / "t"))
-    assert sorted(r.place for r in table.blocks.collect()) == list(range(0, 1600 - 14, 5))
+    assert sorted(r.place for r in table.blocks.collect()) == list(range(0, 1600 - 13, 7))
 
 
 def test_empty_tables_and_errors(spark, tmp_path):
