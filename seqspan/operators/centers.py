@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspan.operators.scan import ranks
@@ -96,12 +96,17 @@ def ranked(centers: DataFrame, folder: str, name: str) -> DataFrame:
     return placed.select("parent", ordinal, F.col("id").alias("center_id"), F.col("s").alias("center_s"), place)
 
 
+def copies(members: DataFrame) -> Column:
+    """Members that a row stands for: ``n``, or one."""
+    return F.col("n") if "n" in members.columns else F.lit(1)
+
+
 def center_edit_calls(members: DataFrame, centers: DataFrame, radius: int) -> DataFrame:
     """``(parent, calls)``: distances the sequential rule computes.  The k-th center is tried
     against k centers, another member against those up to the first within the radius."""
-    own = centers.select("parent", F.col("center_id").alias("id"))
-    texts = members.join(own, ["parent", "id"], "left_anti").groupBy("parent", "s").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    texts = texts.withColumn("most", F.lit(radius))
+    own = centers.select("parent", F.col("center_id").alias("id"), F.lit(True).alias("own"))
+    texts = members.join(own, ["parent", "id"], "left").groupBy("parent", "s").agg((F.sum(copies(members)) - F.count("own")).alias("n"), F.min("id").alias("id"))
+    texts = texts.where("n > 0").withColumn("most", F.lit(radius))
     near = least_within(texts, centers.select("parent", F.col("child_ordinal").alias("id"), F.col("center_s").alias("s")))
     calls = near.join(texts.select("parent", "id", "n"), ["parent", "id"]).select("parent", ((F.col("other") + 1) * F.col("n")).alias("calls"))
     every = calls.unionByName(centers.select("parent", F.col("child_ordinal").alias("calls")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,3 +45,18 @@ def ranks(rows: DataFrame, group: str, order: str, name: str, folder: str, overa
     placed = prefix_sums(rows, [group, order], None, at, folder)
     first = placed.groupBy(group).agg(F.min(at).alias("_first"))
     return placed.join(first, group).withColumn(name, F.col(at) - F.col("_first")).drop("_first", *([] if overall else [at]))
+
+
+BLOCK = 16  # bits of ids that are ordered by one task
+
+
+def places(rows: DataFrame, group: str, by: str, order: list[Column], name: str) -> DataFrame:
+    """``rows`` and ``name``: their place (from 0) in their ``group`` in order of ``by``, a long, and
+    ``order``, which tell rows apart.  A group is ordered by blocks of ``by``, each of which adds
+    the rows in the blocks before it, so no task orders a whole group.  ``rows`` are read twice."""
+    cut = rows.withColumn("_block", F.shiftright(by, BLOCK))
+    before = F.sum("_n").over(W.partitionBy(group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    starts = cut.groupBy(group, "_block").agg(F.count("*").alias("_n")).select(group, "_block", F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(W.partitionBy(group, "_block").orderBy(by, *order)) - 1
+    placed = cut.withColumn(name, own).join(starts, [group, "_block"])
+    return placed.withColumn(name, (F.col(name) + F.col("_start")).cast("long")).drop("_block", "_start")

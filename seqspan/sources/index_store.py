@@ -25,4 +25,5 @@ def load(spark: SparkSession, path: str) -> SequenceIndex:
     meta = rows[0]
     if meta.format_version != FORMAT_VERSION:
         raise ValueError(f"index format {meta.format_version} is not supported; {FORMAT_VERSION} is")
-    return SequenceIndex(**tables, window=meta.window, stride=meta.stride, max_tolerance=meta.max_tolerance, windows=meta.reference_window_count)
+    members = tables.pop("members")
+    return SequenceIndex(**tables, leaves=members, window=meta.window, stride=meta.stride, max_tolerance=meta.max_tolerance, windows=meta.reference_window_count)
