@@ -139,12 +139,20 @@ def routed_leaves(reads: DataFrame, index: SequenceIndex, both_strands: bool = F
 def routed(reads: DataFrame, index: SequenceIndex, config: QueryConfig = QueryConfig()) -> DataFrame:
     """Hits among the members of the leaf world that each read and strand is routed to; both
     route modes lead to the same one."""
-    t = config.within(index.max_tolerance)
+    found = routed_texts(reads, index, config)
+    return hits_of(found.join(index.members.select(F.col("leaf_id").alias("parent"), F.col("seq").alias("s"), "sequence_id", "contig", "start"), ["parent", "s"]))
+
+
+def routed_texts(reads: DataFrame, index: SequenceIndex, config: QueryConfig) -> DataFrame:
+    """``(parent, s, ordinal, name, reverse, distance)``, stored: each read and strand with the texts near it
+    in its leaf world.  Members that are equal are compared once."""
+    folder = work_folder(reads.sparkSession)
     leaves = routed_leaves(reads, index, config.both_strands, config.route)[-1]
-    near = pairs_within(*leaf_sides(leaves, index, t))
-    near = near.select("parent", "id", F.col("other").alias("sequence_id"), F.col("d").alias("distance"))
-    placed = near.join(index.members.select(F.col("leaf_id").alias("parent"), "sequence_id", "contig", "start"), ["parent", "sequence_id"])
-    return hits_of(placed.join(leaves.select("parent", asked_id(), "ordinal", "name", "reverse"), ["parent", "id"]))
+    asked, members = leaf_sides(leaves, index, config.within(index.max_tolerance))
+    texts = kept(members.groupBy("parent", "s").agg(F.min("id").alias("id")), folder, "leaf_texts")
+    near = pairs_within(asked, texts).select("parent", "id", F.col("other").alias("text"), F.col("d").alias("distance"))
+    near = near.join(texts.withColumnRenamed("id", "text"), ["parent", "text"]).join(leaves.select("parent", asked_id(), "ordinal", "name", "reverse"), ["parent", "id"])
+    return kept(near.select("parent", "s", "ordinal", "name", "reverse", "distance"), folder, "near_texts")
 
 
 def leaf_sides(leaves: DataFrame, index: SequenceIndex, tolerance: int) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqspan.config import QueryConfig
@@ -14,6 +13,7 @@ from seqspan.operators import hierarchy, inspection, search, seed_table
 from seqspan.operators.centers import center_edit_calls
 from seqspan.operators.hierarchy import SequenceIndex
 from seqspan.operators.reads import generate_reads
+from seqspan.operators.scan import places
 from seqspan.operators.seeds import seed_hits
 from seqspan.operators.tables import kept, work_folder
 from seqspan.operators.windows import locations, windows
@@ -300,8 +300,9 @@ def verify_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hit_order_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = W.partitionBy("ordinal").orderBy("sequence_id", F.when(F.col("strand") == "+", 0).otherwise(1), "distance")
-    return index_hits(spark, sf_dir).select("ordinal", "sequence_id", "strand", F.row_number().over(order).alias("place"))
+    found = kept(index_hits(spark, sf_dir).select("ordinal", "sequence_id", "strand", "distance"), work_folder(spark), "hits")
+    placed = places(found, "ordinal", "sequence_id", [F.when(F.col("strand") == "+", 0).otherwise(1), F.col("distance")], "place")
+    return placed.select("ordinal", "sequence_id", "strand", (F.col("place") + 1).cast("int").alias("place"))
 
 
 def query_stats_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
