@@ -8,7 +8,8 @@ little-endian.
 * **Reading.**  Where arrays lie follows from the header and their lengths, so every split is
   a range of places and no task sees a whole array.  Texts have the window's length (the
   root's is empty), which every task checks; where they have not, their lengths are walked
-  once to find the splits.
+  once to find the splits.  A task reads and decodes a split a piece at a time, so its memory
+  does not depend on the size of the split.
 * **Writing.**  First places are prefix sums over the nodes.  Every task writes the run of
   places it holds to a file of its own; one commit renames them, in order, to ``part-*``.
   These parts one after the other are the file (``cat path/part-* > file``), and a folder of
@@ -18,11 +19,12 @@ Paths are those of pyarrow's file systems (local, hdfs, s3)."""
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 from itertools import pairwise
 
 import numpy as np
@@ -36,7 +38,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from seqspan.config import FORMAT_VERSION
 from seqspan.operators.hierarchy import SequenceIndex
 from seqspan.operators.scan import prefix_sums_of
-from seqspan.operators.tables import kept, work_folder
+from seqspan.operators.tables import kept, partitions_of, work_folder
 from seqspan.operators.windows import locations
 
 # The file's format.
@@ -49,6 +51,8 @@ NODE = np.dtype([
 
 ROOT_LAYER, LEAF_LAYER = 3, 2
 SPLIT = 64 << 20
+PIECE, PLACES = 4 << 20, 1 << 16  # bytes of texts and places that a task holds at a time
+RUN = 1 << 20  # places that a task writes, from which on there are more tasks
 SCHEMAS = {
     "nodes": "position long, " + ", ".join(f"{c} long" for c in NODE.names) + ", text string", "children": "position long, value long",
     "members": "position long, value long, text string", "beacons": "position long, value long", "distances": "position long, value int",
@@ -184,14 +188,30 @@ def walked(data: Bytes, at: int, n: int, split: int) -> list[tuple[int, int]]:
     return [*cuts, (n, at)] if n else cuts
 
 
-def decoded_texts(raw: bytes, lengths: np.ndarray | None) -> pa.Array:
-    """Texts behind their lengths; ``lengths`` as expected, or None."""
-    if lengths is None:
-        seen, at = [], 0
-        while at < len(raw):
-            seen.append(struct.unpack_from("<Q", raw, at)[0])
-            at += 8 + seen[-1]
-        lengths = np.array(seen, np.int64)
+def piece_of(data: Bytes, at: int, end: int, most: int, lengths: np.ndarray | None) -> tuple[bytes, np.ndarray]:
+    """The next texts from ``at``, ``most`` or about ``PIECE`` bytes but one at least, and their lengths: the
+    first of ``lengths``, or read from the file."""
+    if lengths is not None:
+        lengths = lengths[: max(1, int(np.searchsorted(np.cumsum(lengths[:most] + 8), PIECE, "right")))]
+        return data.read(at, int((lengths + 8).sum())), lengths
+    raw, seen, size = data.read(at, min(PIECE, end - at)), [], 0
+    while len(seen) < most and size + 8 <= len(raw):
+        n = struct.unpack_from("<Q", raw, size)[0]
+        if at + size + 8 + n > end:
+            raise ValueError("truncated index")
+        if size + 8 + n > len(raw):
+            if seen:
+                break
+            raw = data.read(at, 8 + n)
+        seen.append(n)
+        size += 8 + n
+    if not seen:
+        raise ValueError("truncated index")
+    return raw[:size], np.array(seen, np.int64)
+
+
+def decoded_texts(raw: bytes, lengths: np.ndarray) -> pa.Array:
+    """Texts behind their lengths, which must be as expected."""
     places, body = placed(lengths)
     cells = np.frombuffer(raw, np.uint8)
     if (cells[places].view("<u8") != lengths).any():
@@ -231,17 +251,19 @@ class IndexFileSource(DataSource):
         return SCHEMAS[self.options["array"]]
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return IndexReader(self.options["path"], self.options["array"], int(self.options.get("split_bytes", SPLIT)))
+        return IndexReader(self.options["path"], self.options["array"], int(self.options.get("split_bytes", SPLIT)), self.options.get("splits"))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:  # noqa: ANN001
         return IndexWriter(self.options["path"])
 
 
 class IndexReader(DataSourceReader):
-    def __init__(self, path: str, array: str, split: int) -> None:
-        self.path, self.array, self.split = path, array, split
+    def __init__(self, path: str, array: str, split: int, splits: str | None = None) -> None:
+        self.path, self.array, self.split, self.splits = path, array, split, splits
 
     def partitions(self) -> list[Range]:
+        if self.splits is not None:  # found before
+            return [Range(*r) for r in json.loads(self.splits)] or [Range(0, 0, 0)]
         data = Bytes(self.path)
         return ranges(data, header(data, self.path), self.split)[self.array] or [Range(0, 0, 0)]
 
@@ -250,19 +272,28 @@ class IndexReader(DataSourceReader):
             return
         data = Bytes(self.path)
         kind = {"nodes": NODE, "distances": np.dtype("<i4")}.get(self.array, np.dtype("<u8"))
-        values = np.frombuffer(data.read(part.at, part.count * kind.itemsize), kind)
-        columns = {"position": pa.array(np.arange(part.first, part.first + part.count))}
-        if self.array == "nodes":
-            columns |= {c: pa.array(values[c].astype(np.int64)) for c in NODE.names}
-        else:
-            columns["value"] = pa.array(values.astype(np.int32 if kind.itemsize == 4 else np.int64))
-        if self.array in ("nodes", "members"):
-            lengths = None
-            if part.width is not None:
-                lengths = np.full(part.count, part.width, np.int64)
-                lengths[np.arange(part.first, part.first + part.count) == part.root] = 0
-            columns["text"] = decoded_texts(data.read(part.texts, part.texts_end - part.texts), lengths)
-        yield pa.RecordBatch.from_pydict(columns)
+        done, text_at = 0, part.texts
+        while done < part.count:
+            n, texts = min(PLACES, part.count - done), None
+            if self.array in ("nodes", "members"):
+                lengths = None
+                if part.width is not None:
+                    lengths = np.full(n, part.width, np.int64)
+                    lengths[np.arange(part.first + done, part.first + done + n) == part.root] = 0
+                raw, lengths = piece_of(data, text_at, part.texts_end, n, lengths)
+                n, text_at, texts = len(lengths), text_at + len(raw), decoded_texts(raw, lengths)
+            values = np.frombuffer(data.read(part.at + done * kind.itemsize, n * kind.itemsize), kind)
+            columns = {"position": pa.array(np.arange(part.first + done, part.first + done + n))}
+            if self.array == "nodes":
+                columns |= {c: pa.array(values[c].astype(np.int64)) for c in NODE.names}
+            else:
+                columns["value"] = pa.array(values.astype(np.int32 if kind.itemsize == 4 else np.int64))
+            if texts is not None:
+                columns["text"] = texts
+            done += n
+            yield pa.RecordBatch.from_pydict(columns)
+        if part.texts_end and text_at != part.texts_end:
+            raise ValueError("truncated index")
 
 
 @dataclass
@@ -332,8 +363,10 @@ def node_offsets(nodes: DataFrame, folder: str) -> DataFrame:
     return kept(prefix_sums_of(own, ["node_id"], held, folder), folder, "node_offsets")
 
 
-def _runs(rows: DataFrame, section: int, kind: np.dtype | None) -> DataFrame:
-    """``rows(position, ...)`` as encoded runs, each task a range of places.  ``kind`` None: texts."""
+def _runs(rows: DataFrame, section: int, kind: np.dtype | None, many: int) -> DataFrame:
+    """``rows(position, ...)``, ``many``, as encoded runs, each task a range of places.  ``kind`` None:
+    texts.  A writer's task gets its runs in one batch, so beyond ``RUN`` places a task there are
+    more tasks."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -350,7 +383,9 @@ def _runs(rows: DataFrame, section: int, kind: np.dtype | None) -> DataFrame:
                 raw = b.column("value").to_numpy(zero_copy_only=False).astype(np.int64).astype(kind).tobytes()
             yield pa.RecordBatch.from_pydict({"section": pa.array([section], pa.int32()), "position": b.column("position").slice(0, 1), "places": pa.array([b.num_rows]), "data": pa.array([raw], pa.binary())})
 
-    return rows.repartitionByRange("position").sortWithinPartitions("position").mapInArrow(encode, "section int, position long, places long, data binary")
+    few = many <= RUN * partitions_of(rows.sparkSession)
+    dealt = rows.repartitionByRange("position") if few else rows.repartitionByRange(-(-many // RUN), "position")
+    return dealt.sortWithinPartitions("position").mapInArrow(encode, "section int, position long, places long, data binary")
 
 
 def save(index: SequenceIndex, path: str) -> None:
@@ -375,6 +410,7 @@ def save(index: SequenceIndex, path: str) -> None:
     layers = [x for r in index.layers.orderBy("layer").collect() for x in (r.first_node, r.node_count, r.selection_radius)]
     head = HEADER.pack(MAGIC, FORMAT_VERSION, index.window, index.stride, index.max_tolerance, index.windows, 0, *layers, total.nodes)
     lengths = [total.nodes, total.child_count, total.members_held, total.members_held, total.beacon_count, total.distances_held]
+    sizes = [total.nodes, *lengths]
     bodies = [
         (fields, NODE), (texts, None), (value(children, "node_id"), np.dtype("<u8")), (value(members, "sequence_id"), np.dtype("<u8")),
         (value(members, "seq"), None), (value(beacons, "child_ordinal"), np.dtype("<u8")), (value(distances, "distance"), np.dtype("<i4")),
@@ -382,7 +418,7 @@ def save(index: SequenceIndex, path: str) -> None:
     heads = [head, *[struct.pack("<Q", n) for n in lengths]]
     out = spark.createDataFrame([(2 * k, 0, 1, h) for k, h in enumerate(heads)], "section int, position long, places long, data binary")
     for k, (rows, kind) in enumerate(bodies):
-        out = out.unionByName(_runs(rows, 2 * k + 1, kind))
+        out = out.unionByName(_runs(rows, 2 * k + 1, kind, sizes[k]))
     out.write.format("seqspan_index").mode("append").save(path)
 
 
@@ -413,8 +449,8 @@ def load(spark: SparkSession, path: str, contigs: DataFrame | None = None, split
     registered(spark)
     data = Bytes(path)
     head = header(data, path)
-    ranges(data, head, split_bytes)
-    array = lambda name: spark.read.format("seqspan_index").option("array", name).option("split_bytes", split_bytes).load(path)
+    splits = {name: json.dumps([astuple(r) for r in found]) for name, found in ranges(data, head, split_bytes).items()}
+    array = lambda name: spark.read.format("seqspan_index").option("array", name).option("splits", splits[name]).load(path)
     folder = work_folder(spark)
     nodes = kept(array("nodes"), folder, "nodes_read")
     kids = _owned(nodes, "first_child", "child_count").join(array("children"), "position")

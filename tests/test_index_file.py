@@ -4,6 +4,7 @@ import itertools
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seqspan.cli import main
@@ -136,3 +137,31 @@ def test_command_line_takes_binary_indexes(spark, tmp_path, capsys):
 def test_parquet_indexes_are_no_files(built, tmp_path):
     index_store.save(built[2], str(tmp_path / "parquet"))
     assert not index_file.is_file(str(tmp_path / "parquet"))
+
+
+def test_a_split_is_read_in_pieces_and_walked_once(spark, built, tmp_path, monkeypatch):
+    """Batches are bounded, not as long as the split; splits that are found travel to the reader."""
+    monkeypatch.setattr(index_file, "PIECE", 64)
+    index = built[2]
+    unlike = ["x" * 300, "", "ab", "é" * 40] * 5
+    raw = index_file.encoded_texts(pa.array(unlike))
+    (tmp_path / "file").write_bytes(raw)
+    data, at, texts = index_file.Bytes(str(tmp_path / "file")), 0, []
+    while at < len(raw):
+        piece, lengths = index_file.piece_of(data, at, len(raw), 1 << 16, None)
+        assert len(lengths) == 1 or len(piece) <= 64
+        texts += index_file.decoded_texts(piece, lengths).to_pylist()
+        at += len(piece)
+    assert texts == unlike
+    (tmp_path / "index").write_bytes(plain_file(index))
+    path = str(tmp_path / "index")
+    data = index_file.Bytes(path)
+    part = index_file.ranges(data, index_file.header(data, path), 1 << 26)["members"]
+    assert len(part) == 1
+    batches = list(index_file.IndexReader(path, "members", 1 << 26).read(part[0]))
+    assert len(batches) > 1 and all(b.num_rows <= 64 // 11 for b in batches)
+    assert [x for b in batches for x in b.column("position").to_pylist()] == list(range(part[0].count))
+    calls = []
+    monkeypatch.setattr(index_file, "ranges", lambda *a: calls.append(a))
+    reader = index_file.IndexReader(path, "members", 1 << 26, index_file.json.dumps([index_file.astuple(p) for p in part]))
+    assert reader.partitions() == part and not calls
