@@ -68,27 +68,43 @@ def by_segments(reads: DataFrame, windows: DataFrame, window: int, tolerance: in
     without it they stream past the reads' segments, which suits windows at stride 1."""
     if window <= tolerance:
         return brute_force(reads, windows, tolerance, both_strands)
-    parts = segments(window, tolerance)
     every = windows.select(F.col("seq").alias("s"), "sequence_id", "contig", "start")
     texts = every.select("s").distinct() if repeats else every
+    asked = strands(reads, both_strands)
+    pairs = segment_pairs(asked.select("seq").distinct(), texts, window, tolerance)
+    if repeats:
+        near = pairs.distinct().withColumn("distance", F.levenshtein("seq", "s", tolerance)).where("distance >= 0")
+        placed = near.join(every, "s").drop("s")
+    else:
+        placed = pairs.withColumn("distance", F.levenshtein("seq", "s", tolerance)).where("distance >= 0").drop("s").distinct()
+    return hits_of(asked.join(placed, "seq"))
+
+
+def segment_pairs(distinct: DataFrame, texts: DataFrame, window: int, tolerance: int) -> DataFrame:
+    """Rows of ``texts(s, ...)``, all as long as the window, and of ``distinct(seq)`` that share a segment,
+    once for each that they share."""
+    parts = segments(window, tolerance)
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("s", a + 1, n).alias("x")) for k, (a, n) in enumerate(parts)])
     left = texts.select("*", F.explode(keys).alias("key")).select(*texts.columns, "key.*")
-    asked = strands(reads, both_strands)
     cuts = [
         F.struct(F.lit(k).alias("k"), F.substring("seq", a + move + 1, n).alias("x"))
         for k, (a, n) in enumerate(parts) for move in range(-tolerance, tolerance + 1) if a + move >= 0
     ]
-    distinct = asked.select("seq").distinct()
     right = distinct.select("seq", F.explode(F.array_distinct(F.array(*cuts))).alias("key")).select("seq", "key.*")
     length = F.element_at(F.array(*[F.lit(n) for _, n in parts]), F.col("k") + 1)
     right = right.where(F.length("x") == length)  # cut short at the read's end
-    pairs = left.join(right, ["k", "x"]).drop("k", "x")
-    if repeats:
-        near = pairs.distinct().withColumn("distance", F.levenshtein("seq", "s", tolerance)).where("distance >= 0")
-        placed = near.join(every, "s").drop("s")
+    return left.join(right, ["k", "x"]).drop("k", "x")
+
+
+def near_texts(distinct: DataFrame, texts: DataFrame, window: int, tolerance: int) -> DataFrame:
+    """``(seq, s, distance)``: all pairs of ``distinct(seq)`` and ``texts(s)`` within the tolerance.  Texts as long
+    as the window meet by segments, where these are not empty; all others are compared with every row."""
+    tolerance, alike = min(tolerance, LONGEST), F.char_length("s") == window
+    if window <= tolerance:
+        pairs = distinct.crossJoin(texts)
     else:
-        placed = pairs.withColumn("distance", F.levenshtein("seq", "s", tolerance)).where("distance >= 0").drop("s").distinct()
-    return hits_of(asked.join(placed, "seq"))
+        pairs = segment_pairs(distinct, texts.where(alike), window, tolerance).distinct().unionByName(distinct.crossJoin(texts.where(~alike)))
+    return pairs.select("seq", "s", F.levenshtein("seq", "s", tolerance).alias("distance")).where("distance >= 0")
 
 
 def asked_id() -> Column:
@@ -177,22 +193,34 @@ def latencies(reads: DataFrame, index: SequenceIndex, config: QueryConfig = Quer
     return found.select("ordinal", "routing_ns", "leaf_ns", (F.col("routing_ns") + F.col("leaf_ns")).alias("latency_ns"))
 
 
-def differences(expected: DataFrame, observed: DataFrame) -> DataFrame:
-    """One row: expected and observed hits, false negatives and positives.  The distance is
-    part of the key, so a hit of another distance counts on both sides."""
-    key = ["ordinal", "sequence_id", "strand", "distance"]
-    both = expected.select(*key, F.lit(1).alias("e")).join(observed.select(*key, F.lit(1).alias("o")), key, "full_outer")
-    return both.agg(
-        F.count("e").alias("expected_hits"), F.count("o").alias("observed_hits"),
-        F.count_if(F.col("o").isNull()).alias("false_negatives"), F.count_if(F.col("e").isNull()).alias("false_positives"),
-    )
-
-
 def verify(reads: DataFrame, index: SequenceIndex, windows: DataFrame, config: QueryConfig = QueryConfig(), limit: int = 100) -> DataFrame:
-    """Routed against brute-force hits of the first ``limit`` reads."""
+    """Routed hits of the first ``limit`` reads against all windows within the tolerance.  One row: expected and
+    observed hits, false negatives and positives; a hit of another distance, or of a window whose text is
+    another in the index, counts on both sides.
+
+    Both sides are pairs of a read and a text.  Copies are counted: those of a text among the windows, in
+    a leaf world, and in both."""
     some = reads.orderBy("ordinal").limit(limit) if limit else reads
-    t = config.within(index.max_tolerance)
-    return differences(brute_force(some, windows, t, config.both_strands), routed(some, index, config))
+    folder = work_folder(reads.sparkSession)
+    asked = strands(some, config.both_strands)
+    texts = kept(windows.groupBy(F.col("seq").alias("s")).agg(F.count("*").alias("expected")), folder, "texts")
+    near = near_texts(asked.select("seq").distinct(), texts.select("s"), index.window, config.within(index.max_tolerance))
+    near = asked.select("ordinal", "reverse", "seq").join(near, "seq").drop("seq")
+    expected = near.join(texts, "s").withColumn("distance", F.col("distance").cast("int"))
+    seen = routed_texts(some, index, config)
+    reached = seen.select("parent", "s").distinct()
+    members = index.members.select(F.col("leaf_id").alias("parent"), F.col("seq").alias("s"), "sequence_id").join(reached, ["parent", "s"])
+    same = windows.select(F.col("seq").alias("s"), "sequence_id", F.lit(1).alias("same"))
+    sizes = members.join(same, ["s", "sequence_id"], "left").groupBy("parent", "s").agg(F.count("*").alias("observed"), F.count("same").alias("both"))
+    observed = seen.join(sizes, ["parent", "s"]).select("ordinal", "reverse", "s", F.col("distance").cast("int").alias("distance"), "observed", "both")
+    met = expected.join(observed, ["ordinal", "reverse", "s", "distance"], "full_outer")
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    both = F.when(F.col("expected").isNotNull(), none("both")).otherwise(0)
+    return met.agg(
+        total("expected").alias("expected_hits"), total("observed").alias("observed_hits"),
+        total(none("expected") - both).alias("false_negatives"), total(none("observed") - both).alias("false_positives"),
+    )
 
 
 def route_counts(asked_at: list[DataFrame], index: SequenceIndex, config: QueryConfig = QueryConfig()) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from seqspan.config import BuildConfig, QueryConfig
 from seqspan.operators import hierarchy, search
-from tests.plain import Tree
+from tests.plain import Tree, dp
 from tests.test_index import check_tree, expected, found, reads_of
 
 TEXTS = ["AAAAAAAA", "AAAAAAAC", "AAAAAACC", "ACGTACGT", "ACGTACGA", "TTTTTTTT", "TTTTTTTA", "GGGGAAAA"]
@@ -33,3 +33,13 @@ def test_levels_hold_a_row_for_each_text(spark, monkeypatch):
     reads = ["AAAAAAAG", "ACGTACG", "TTTTTTTT", "GGGG"]
     hits = search.routed(reads_of(spark, reads), index, QueryConfig(both_strands=True))
     assert found(hits) == expected(texts, reads, 1, True)
+
+
+def test_near_texts_are_all_pairs_whatever_the_lengths(spark):
+    rng = random.Random(7)
+    texts = sorted({"".join(rng.choice("AC") for _ in range(n)) for n in [8] * 40 + [0, 1, 5, 9, 20]})
+    reads = sorted({"".join(rng.choice("AC") for _ in range(n)) for n in (0, 3, 6, 7, 7, 8, 8, 8, 9, 10)})
+    asked, held = spark.createDataFrame([(x,) for x in reads], "seq string"), spark.createDataFrame([(x,) for x in texts], "s string")
+    for window, t in ((8, 0), (8, 2), (0, 1)):
+        want = sorted((q, s, d) for q in reads for s in texts if (d := dp(q, s)) <= t)
+        assert sorted(tuple(r) for r in search.near_texts(asked, held, window, t).collect()) == want
