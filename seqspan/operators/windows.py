@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECE = 1 << 16
+FEW = 1 << 16  # contigs that may be broadcast
 
 
 def windows(contigs: DataFrame, window: int, stride: int = 1, spread: bool = False) -> DataFrame:
@@ -38,13 +39,15 @@ def locations(ids: DataFrame, contigs: DataFrame, stride: int) -> DataFrame:
     """Adds contig and start to ``ids(sequence_id, ...)`` by the range its contig owns.
 
     Ids meet contigs by equal blocks of ids.  A block is as wide as the mean contig, so that
-    contigs and blocks together make at most twice as many rows as there are contigs."""
+    contigs and blocks together make at most twice as many rows as there are contigs.  Beyond
+    ``FEW`` contigs both sides are shuffled by block: a broadcast would pass the driver."""
     c = contigs.where("window_count > 0").select("name", "first_sequence_id", "window_count")
-    mean = c.agg(F.avg("window_count")).first()[0]
+    mean, many = c.agg(F.avg("window_count"), F.count("*")).first()
     width = max(1, int(mean or 1))
     block = lambda x: F.floor(x / width)
     last = F.col("first_sequence_id") + F.col("window_count") - 1
     c = c.withColumn("_block", F.explode(F.sequence(block(F.col("first_sequence_id")), block(last))))
+    c = c.hint("merge") if many > FEW else c
     owns = (F.col("sequence_id") >= F.col("first_sequence_id")) & (F.col("sequence_id") <= last)
     start = (F.col("sequence_id") - F.col("first_sequence_id")) * stride
     met = ids.withColumn("_block", block(F.col("sequence_id"))).join(c, "_block").where(owns)

@@ -423,11 +423,12 @@ def save(index: SequenceIndex, path: str) -> None:
 
 
 def _owned(nodes: DataFrame, first: str, count: str, step: int = 1 << 16) -> DataFrame:
-    """``(owner, ordinal, position, beacon_count)`` of all places that nodes own; long runs are cut
-    before they are unrolled."""
+    """``(owner, ordinal, position, beacon_count)`` of all places that nodes own; long runs are cut,
+    and dealt to all tasks, before they are unrolled."""
     each = nodes.where(F.col(count) > 0).select("position", F.col(first).alias("first"), F.col(count).alias("n"), "beacon_count")
     cut = each.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))))
-    one = cut.withColumn("ordinal", F.explode(F.sequence("from", F.least(F.col("from") + step, F.col("n")) - 1)))
+    dealt = cut.repartition(partitions_of(nodes.sparkSession), "position", "from")
+    one = dealt.withColumn("ordinal", F.explode(F.sequence("from", F.least(F.col("from") + step, F.col("n")) - 1)))
     return one.select(F.col("position").alias("owner"), "ordinal", (F.col("first") + F.col("ordinal")).alias("position"), "beacon_count")
 
 
@@ -451,25 +452,27 @@ def load(spark: SparkSession, path: str, contigs: DataFrame | None = None, split
     head = header(data, path)
     splits = {name: json.dumps([astuple(r) for r in found]) for name, found in ranges(data, head, split_bytes).items()}
     array = lambda name: spark.read.format("seqspan_index").option("array", name).option("splits", splits[name]).load(path)
+    # A few nodes own any number of places, which Spark takes to be as small as the nodes: never broadcast.
+    owned = lambda rows, first, count, name: _owned(rows, first, count).join(array(name).hint("merge"), "position")
     folder = work_folder(spark)
     nodes = kept(array("nodes"), folder, "nodes_read")
-    kids = _owned(nodes, "first_child", "child_count").join(array("children"), "position")
+    kids = owned(nodes, "first_child", "child_count", "children")
     kids = kids.select(F.col("owner").alias("parent_id"), F.col("ordinal").alias("child_ordinal"), F.col("value").alias("position"))
     inner = F.col("layer") != ROOT_LAYER
     full = nodes.join(kids, "position", "left").select(
         F.col("position").alias("node_id"), F.col("layer").cast("int").alias("layer"), "parent_id", "child_ordinal", F.when(inner, F.col("center_sequence_id")).alias("center_sequence_id"),
         F.when(inner, F.col("text")).alias("center_seq"), "member_count", "child_count", "beacon_count",
     )
-    held = _owned(nodes.where(F.col("layer") == LEAF_LAYER), "first_member", "member_count").join(array("members"), "position")
+    held = owned(nodes.where(F.col("layer") == LEAF_LAYER), "first_member", "member_count", "members")
     members = held.select(F.col("owner").alias("leaf_id"), F.col("ordinal").alias("member_ordinal"), F.col("value").alias("sequence_id"), F.col("text").alias("seq"))
     if contigs is None:
         members = members.select("*", F.lit(None).cast("string").alias("contig"), F.lit(None).cast("long").alias("start"))
     else:
         members = locations(members, contigs, head.stride)
-    beacons = _owned(nodes, "first_beacon", "beacon_count").join(array("beacons"), "position")
+    beacons = owned(nodes, "first_beacon", "beacon_count", "beacons")
     beacons = beacons.select(F.col("owner").alias("parent_id"), F.col("ordinal").cast("int").alias("beacon_index"), F.col("value").alias("child_ordinal"))
     sized = nodes.withColumn("distances_held", F.col("beacon_count") * F.col("child_count"))
-    table = _owned(sized, "first_distance", "distances_held").join(array("distances"), "position")
+    table = owned(sized, "first_distance", "distances_held", "distances")
     table = table.select(
         F.col("owner").alias("parent_id"), F.floor(F.col("ordinal") / F.col("beacon_count")).alias("child_ordinal"),
         (F.col("ordinal") % F.col("beacon_count")).cast("int").alias("beacon_index"), F.col("value").alias("distance"),

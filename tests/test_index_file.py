@@ -165,3 +165,22 @@ def test_a_split_is_read_in_pieces_and_walked_once(spark, built, tmp_path, monke
     monkeypatch.setattr(index_file, "ranges", lambda *a: calls.append(a))
     reader = index_file.IndexReader(path, "members", 1 << 26, index_file.json.dumps([index_file.astuple(p) for p in part]))
     assert reader.partitions() == part and not calls
+
+
+def test_places_and_many_contigs_are_not_broadcast(spark, built, tmp_path, monkeypatch):
+    """Nodes are few and what they own is not: nothing that grows with it may pass the driver."""
+    contigs, _, index = built
+    contigs = spark.createDataFrame(contigs.collect(), contigs.schema)  # without their own plan
+    (tmp_path / "file").write_bytes(plain_file(index))
+    plans, kept = {}, index_file.kept
+
+    def seen(df, folder, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(df, folder, name)
+
+    monkeypatch.setattr(index_file, "kept", seen)
+    monkeypatch.setattr("seqspan.operators.windows.FEW", 27, raising=False)
+    assert contigs.count() == 28
+    assert tables(index_file.load(spark, str(tmp_path / "file"), contigs)) == tables(index)
+    assert {"nodes", "members", "beacons", "beacon_distances"} <= plans.keys()
+    assert [name for name, plan in plans.items() if "Broadcast" in plan] == []
