@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -240,8 +240,8 @@ def encoded_texts(texts: pa.Array) -> bytes:
 
 
 class IndexFileSource(DataSource):
-    """``spark.read.format("seqspan_index").option("array", ...)``: places and values of one array;
-    writing takes ``(section, position, places, data)``, see ``save``."""
+    """``spark.read.format("seqspan_index").option("array", ...)``, once ``registered``: places and values of
+    one array; writing takes ``(section, position, places, data)``, see ``save``."""
 
     @classmethod
     def name(cls) -> str:
@@ -390,7 +390,7 @@ def _runs(rows: DataFrame, section: int, kind: np.dtype | None, many: int) -> Da
 
 def save(index: SequenceIndex, path: str) -> None:
     """Writes ``path``, a new folder, as parts of the binary file."""
-    spark = registered(index.nodes.sparkSession)
+    spark = index.nodes.sparkSession
     fs, root = located(path)
     if fs.get_file_info(root).type != pafs.FileType.NotFound:
         raise ValueError(f"there is something already: {path}")
@@ -419,7 +419,19 @@ def save(index: SequenceIndex, path: str) -> None:
     out = spark.createDataFrame([(2 * k, 0, 1, h) for k, h in enumerate(heads)], "section int, position long, places long, data binary")
     for k, (rows, kind) in enumerate(bodies):
         out = out.unionByName(_runs(rows, 2 * k + 1, kind, sizes[k]))
-    out.write.format("seqspan_index").mode("append").save(path)
+    writer, names = IndexWriter(path), ["section", "position", "places", "file"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = writer.write(Row(**r) for b in batches for r in b.to_pylist()).runs
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], names=names)
+
+    try:  # by the data source itself, its planning would hold five more Python processes on the driver
+        runs = out.mapInArrow(write, "section int, position long, places long, file string").collect()  # one row a part
+        writer.commit([Runs([tuple(r) for r in runs])])
+    except Exception:
+        writer.abort([])
+        raise
 
 
 def _owned(nodes: DataFrame, first: str, count: str, step: int = 1 << 16) -> DataFrame:
@@ -447,11 +459,21 @@ def load(spark: SparkSession, path: str, contigs: DataFrame | None = None, split
 
     Raises ValueError for a path that cannot be read, another format or version, and a file
     whose arrays do not end where it does."""
-    registered(spark)
     data = Bytes(path)
     head = header(data, path)
-    splits = {name: json.dumps([astuple(r) for r in found]) for name, found in ranges(data, head, split_bytes).items()}
-    array = lambda name: spark.read.format("seqspan_index").option("array", name).option("splits", splits[name]).load(path)
+    splits = ranges(data, head, split_bytes)
+
+    def array(name: str) -> DataFrame:
+        reader = IndexReader(path, name, split_bytes)
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in b.column("split").to_pylist():
+                    yield from reader.read(Range(*json.loads(r)))
+
+        each = spark.createDataFrame([(json.dumps(astuple(r)),) for r in splits[name]], "split string")
+        return each.mapInArrow(read, SCHEMAS[name])
+
     # A few nodes own any number of places, which Spark takes to be as small as the nodes: never broadcast.
     owned = lambda rows, first, count, name: _owned(rows, first, count).join(array(name).hint("merge"), "position")
     folder = work_folder(spark)
